@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import WHITE_CLASS, cut
 
 #: Measures with an adaptive upper fence, and the least width of that fence above the upper quartile.
-UPPER_FENCES = {"symbol_share": 0.05, "dup_line_share": 0.30, "repeat_share": 0.25, "mean_word": 2.0, "caps_share": 0.25}
+UPPER_FENCES = {"symbol_share": 0.05, "dup_line_share": 0.30, "repeat_share": 0.40, "mean_word": 2.0, "caps_share": 0.25}
 #: Measures with an adaptive lower fence, and its least width below the lower quartile.
 LOWER_FENCES = {"mean_word": 1.5}
 ACCURACY = 10_000
