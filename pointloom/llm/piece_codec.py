@@ -21,7 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SPACE = "▁"
@@ -391,57 +392,48 @@ def slices(texts: pd.Series, most: int = 2 * CHUNK) -> Iterator[slice]:
         yield slice(begin, len(texts))
 
 
-def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with a column of ids. The model file is read here and travels with the tasks: half a megabyte, whatever the corpus."""
-    data = open(model_path, "rb").read()
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+def model_bytes(path: str) -> bytes:
+    """The model file, read on the driver; it travels with the tasks: half a megabyte, whatever the corpus."""
+    with open(path, "rb") as f:
+        return f.read()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def encode_column(text: Column, model_path: str) -> Column:
+    """The ids of a text."""
+    data = model_bytes(model_path)
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def run(texts: pd.Series) -> pd.Series:
         codec = codec_of(data)
-        for batch in batches:
-            for part in slices(batch[text_col]):
-                rows = batch.iloc[part].copy()
-                rows[ids_col] = codec.encode(rows[text_col].tolist())
-                yield rows
+        return pd.Series([ids for part in slices(texts) for ids in codec.encode(texts.iloc[part].tolist())])
 
-    return docs.mapInPandas(run, schema)
+    return run(text)
 
 
-def decode_documents(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """docs with a column of the texts that the ids stand for."""
-    data = open(model_path, "rb").read()
-    schema = T.StructType([*docs.schema.fields, T.StructField(text_col, T.StringType())])
+def decode_column(ids: Column, model_path: str) -> Column:
+    """The text that ids stand for; null ids give an empty text."""
+    data = model_bytes(model_path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = codec_of(data)
-        for batch in batches:
-            yield batch.assign(**{text_col: codec.decode([[] if x is None else x for x in batch[ids_col]])})
+    @F.pandas_udf(T.StringType())
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series(codec_of(data).decode([[] if x is None else x for x in rows]))
 
-    return docs.mapInPandas(run, schema)
+    return run(ids)
 
 
-def round_trip_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass; neither leaves the worker."""
-    data = open(model_path, "rb").read()
-    picked = docs.select(id_col, text_col)
-    schema = T.StructType(
-        [picked.schema[id_col], *[T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]]
-    )
+def round_trip(text: Column, model_path: str) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids; neither leaves the worker."""
+    data = model_bytes(model_path)
+    schema = T.StructType([T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))])
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(schema)
+    def run(texts: pd.Series) -> pd.DataFrame:
         codec = codec_of(data)
-        for batch in batches:
-            for part in slices(batch[text_col]):
-                rows = batch.iloc[part]
-                ids = codec.encode(rows[text_col].tolist())
-                yield pd.DataFrame(
-                    {
-                        id_col: rows[id_col].to_numpy(),
-                        "n_tokens": [len(i) for i in ids],
-                        "ids_sha256": [sha(codec.decimal(i)) for i in ids],
-                        "decoded_sha256": [sha(t.encode()) for t in codec.decode(ids)],
-                    }
-                )
-
-    return picked.mapInPandas(run, schema)
+        rows = []
+        for part in slices(texts):
+            ids = codec.encode(texts.iloc[part].tolist())
+            rows += [(len(i), sha(codec.decimal(i)), sha(t.encode())) for i, t in zip(ids, codec.decode(ids), strict=True)]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    return run(text)

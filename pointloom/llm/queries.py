@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import decontam, pii, piece_codec, quality_crf, quality_rules, simhash
 from . import line_dedup as ld
-from . import pii, quality_rules
 from .common import table
 
 #: Production key of the pseudonyms; a deployment passes its own.
@@ -25,13 +28,40 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ld.digest(ld.line_dedup(docs, min_docs=10, min_chars=1, keep="none")).drop("keep_runs")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    done = piece_codec.round_trip(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return docs.select("doc_id", done.alias("d")).select("doc_id", "d.*")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.quality_rules(docs)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_line_dedup, op9_quality_rules)
+    f.__name__: f
+    for f in (
+        op1_pii,
+        op2_line_dedup,
+        op3_sentencepiece,
+        op4_quality_classifier,
+        op6_simhash,
+        op9_quality_rules,
+        op10_decontamination,
+    )
 }
 
 OP2_SQL = r"""
