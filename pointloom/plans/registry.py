@@ -1,12 +1,507 @@
-"""All queries of the point engine with their SQL."""
+"""All queries of the point engine over the test tables, each with its SQL where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bits, geometry
+from ..functions.casts import point_cast
+from ..functions.schema import BUILTIN, POINT_IDX, Attribute, PointSchema
+from ..operators import aggregates, frame, hull, joins, normals, ransac, reproject, voxel
+from ..operators.convert import LayoutConverter
+from ..sources import ascii as ascii_points
+from ..sources.las import read_las, write_las
+from ..sources.pnts import read_pnts, write_pnts
+from ..sources.tables import embedding_points, event_points, lineitem_points
+from ..streaming import running
+from .scratch import scratch
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+#: The tables as points, in SQL.
+LI = "li AS (SELECT l_quantity AS x, l_extendedprice AS y, l_discount * 100 AS z, CAST(floor(l_extendedprice / 2) AS INTEGER) AS intensity, l_linenumber AS rn, l_suppkey AS psid FROM lineitem)"
+EV = """ev AS (SELECT event_id AS point_idx, value AS x, floor((floor(epoch(ts)) - 1704067200) / 86400) AS y, CAST(user_id AS DOUBLE) AS z,
+  CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 WHEN 'view' THEN 5 ELSE 0 END AS cls, CAST(floor(epoch(ts)) AS DOUBLE) AS gps FROM events)"""
+EM = "em AS (SELECT vec_id AS point_idx, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z, label AS cls FROM embeddings)"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def flat(points: DataFrame, *more: str) -> DataFrame:
+    """(point_idx, x, y, z, more): positions as columns, for comparison."""
+    p = F.col("Position3D")
+    return points.select(POINT_IDX, *[p[a].cast("double").alias(a) for a in "xyz"], *more)
+
+
+
+# Aggregates.
+
+
+@query(f"WITH {LI} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM li")
+def bounds(spark, sf_dir):
+    return aggregates.bounds(lineitem_points(spark, sf_dir))
+
+
+@query(f"WITH {LI} SELECT min(intensity) AS min, max(intensity) AS max FROM li")
+def minmax_intensity(spark, sf_dir):
+    return aggregates.minmax(lineitem_points(spark, sf_dir), "Intensity")
+
+
+@query(f"WITH {EV} SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM ev")
+def minmax_position(spark, sf_dir):
+    return aggregates.minmax(event_points(spark, sf_dir), "Position3D")
+
+
+@query(f"WITH {LI} SELECT round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM li")
+def centroid(spark, sf_dir):
+    c = aggregates.centroid(lineitem_points(spark, sf_dir))
+    return c.select(*[F.round(a, 4).alias(a) for a in "xyz"])
+
+
+@query(f"""WITH {EV} SELECT count(*) AS n, round(covar_pop(x, x), 4) AS xx, round(covar_pop(x, y), 4) AS xy, round(covar_pop(x, z), 4) AS xz,
+  round(covar_pop(y, y), 4) AS yy, round(covar_pop(y, z), 4) AS yz, round(covar_pop(z, z), 4) AS zz FROM ev""")
+def covariance(spark, sf_dir):
+    c = aggregates.covariance(event_points(spark, sf_dir))
+    return c.select("n", *[F.round(F.col(p) / F.col("n"), 4).alias(p) for p in aggregates.PAIRS])
+
+
+@query("SELECT count(*) AS n_points FROM events")
+def point_count(spark, sf_dir):
+    return frame.point_count(event_points(spark, sf_dir))
+
+
+@query(f"WITH {LI} SELECT CAST(r.rn AS INTEGER) AS return_number, count(li.rn) AS n_points FROM range(1, 8) r(rn) LEFT JOIN li ON li.rn = r.rn GROUP BY r.rn")
+def return_histogram(spark, sf_dir):
+    return aggregates.return_histogram(lineitem_points(spark, sf_dir), bins=7)
+
+
+@query(f"""WITH {EV}, s AS (SELECT count(*) AS n, min(x) a, max(x) b, min(y) c, max(y) d, min(z) e, max(z) f, min(cls) g, max(cls) h, min(gps) i, max(gps) j FROM ev)
+SELECT 'Position3D.x' AS attribute, 'vec3f64' AS type, CAST(a AS DOUBLE) AS min, CAST(b AS DOUBLE) AS max, n AS n_points FROM s UNION ALL
+SELECT 'Position3D.y', 'vec3f64', CAST(c AS DOUBLE), CAST(d AS DOUBLE), n FROM s UNION ALL SELECT 'Position3D.z', 'vec3f64', CAST(e AS DOUBLE), CAST(f AS DOUBLE), n FROM s UNION ALL
+SELECT 'Classification', 'u8', CAST(g AS DOUBLE), CAST(h AS DOUBLE), n FROM s UNION ALL SELECT 'GpsTime', 'f64', CAST(i AS DOUBLE), CAST(j AS DOUBLE), n FROM s""")
+def info_report(spark, sf_dir):
+    return aggregates.info(event_points(spark, sf_dir))
+
+
+VOXEL = "CAST(greatest(floor((x - lx) / 25.0 - 0.5), 0) AS BIGINT) AS ix, CAST(greatest(floor((y - ly) / 5.0 - 0.5), 0) AS BIGINT) AS iy, CAST(greatest(floor((z - lz) / 20.0 - 0.5), 0) AS BIGINT) AS iz"
+CELLS = f"b AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz FROM ev), c AS (SELECT ev.*, {VOXEL} FROM ev, b)"
+LEAF = (25.0, 5.0, 20.0)
+
+
+@query(f"""WITH {EV}, {CELLS}, m AS (SELECT ix, iy, iz, cls, row_number() OVER (PARTITION BY ix, iy, iz ORDER BY count(*) DESC, cls) AS r FROM c GROUP BY ix, iy, iz, cls),
+g AS (SELECT ix, iy, iz, avg(x) AS x, avg(y) AS y, avg(z) AS z, greatest(max(gps), 0) AS gps FROM c GROUP BY ix, iy, iz)
+SELECT row_number() OVER (ORDER BY g.ix, g.iy, g.iz) - 1 AS point_idx, g.ix, g.iy, g.iz, round(g.x, 6) AS x, round(g.y, 6) AS y, round(g.z, 6) AS z, m.cls AS classification, g.gps AS gps_time
+FROM g JOIN m USING (ix, iy, iz) WHERE m.r = 1""")
+def voxel_downsample(spark, sf_dir):
+    v = voxel.voxel_downsample(event_points(spark, sf_dir), LEAF)
+    rounded = [F.round(F.col("Position3D")[a], 6).alias(a) for a in "xyz"]
+    return v.select(POINT_IDX, "ix", "iy", "iz", *rounded, F.col("Classification").cast("int").alias("classification"), F.col("GpsTime").alias("gps_time"))
+
+
+@query(f"WITH {EV}, {CELLS} SELECT ix, iy, iz, count(*) AS n_points FROM c GROUP BY ix, iy, iz")
+def voxel_counts(spark, sf_dir):
+    return voxel.voxel_counts(event_points(spark, sf_dir), LEAF)
+
+
+# Projection, ranges, edits.
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev")
+def view_points(spark, sf_dir):
+    return flat(frame.view_attribute(event_points(spark, sf_dir), "Position3D"))
+
+
+@query(f"WITH {EV} SELECT point_idx, CAST(trunc(x) AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z FROM ev")
+def view_with_conversion(spark, sf_dir):
+    v = frame.view_attribute(event_points(spark, sf_dir), "Position3D", "vec3i32")
+    return v.select(POINT_IDX, *[F.col("Position3D")[a].alias(a) for a in "xyz"])
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev WHERE cls = 3")
+def filter_classification(spark, sf_dir):
+    return flat(frame.filter_points(event_points(spark, sf_dir), F.col("Classification") == 3))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev WHERE point_idx % 2 = 0")
+def filter_even_index(spark, sf_dir):
+    return flat(frame.filter_points(event_points(spark, sf_dir), F.col(POINT_IDX) % 2 == 0))
+
+
+@query(f"WITH {EV} SELECT row_number() OVER (ORDER BY point_idx) - 1 AS point_idx, x, y, z FROM ev WHERE point_idx % 2 = 0")
+def filter_into_reindexed(spark, sf_dir):
+    return flat(frame.reindex(frame.filter_points(event_points(spark, sf_dir), F.col(POINT_IDX) % 2 == 0)))
+
+
+@query(f"WITH {EV} SELECT point_idx - 100 AS point_idx, x, y, z FROM ev WHERE point_idx >= 100 AND point_idx < 900")
+def slice_points(spark, sf_dir):
+    return flat(frame.slice_points(event_points(spark, sf_dir), 100, 900))
+
+
+@query(f"WITH {EV} SELECT point_idx - 150 AS point_idx, x, y, z FROM ev WHERE point_idx >= 150 AND point_idx < 200")
+def slice_nested(spark, sf_dir):
+    return flat(frame.slice_points(frame.slice_points(event_points(spark, sf_dir), 100, 900), 50, 100))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev WHERE point_idx >= 500")
+def seek_points(spark, sf_dir):
+    return flat(frame.seek(event_points(spark, sf_dir), 500))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev WHERE point_idx = 42")
+def get_point(spark, sf_dir):
+    return flat(frame.get_point(event_points(spark, sf_dir), 42))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev ORDER BY point_idx LIMIT 1000")
+def take_n(spark, sf_dir):
+    return flat(frame.take(event_points(spark, sf_dir), 1000))
+
+
+@query(f"WITH {EV} SELECT row_number() OVER (ORDER BY cls, point_idx) - 1 AS point_idx, x, y, z FROM ev")
+def sort_by(spark, sf_dir):
+    return flat(frame.sort_by(event_points(spark, sf_dir), F.col("Classification")))
+
+
+@query(f"WITH {EV} SELECT point_idx, x * 2 + 1 AS x, y * 2 + 1 AS y, z * 2 + 1 AS z FROM ev")
+def transform_attribute(spark, sf_dir):
+    change = lambda i, p: geometry.vec(*[p[a] * 2 + 1 for a in "xyz"])
+    return flat(frame.transform_attribute(event_points(spark, sf_dir), "Position3D", change))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z, CASE WHEN point_idx = 7 THEN 9 ELSE cls END AS classification FROM ev")
+def set_at(spark, sf_dir):
+    return flat(frame.set_at(event_points(spark, sf_dir), 7, {"Classification": F.lit(9)}), F.col("Classification").cast("int").alias("classification"))
+
+
+@query(f"WITH {EV} SELECT CASE point_idx WHEN 3 THEN 800 WHEN 800 THEN 3 ELSE point_idx END AS point_idx, x, y, z FROM ev")
+def swap_points(spark, sf_dir):
+    return flat(frame.swap(event_points(spark, sf_dir), 3, 800))
+
+
+@query(f"WITH {EV}, n AS (SELECT count(*) AS n FROM ev) SELECT point_idx, x, y, z FROM ev UNION ALL SELECT n + i, 0, 0, 0 FROM n, range(0, 10) r(i)")
+def resize_longer(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    n = points.count()
+    return flat(frame.resize(points, n + 10, n))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev WHERE point_idx < 300")
+def resize_shorter(spark, sf_dir):
+    return flat(frame.resize(event_points(spark, sf_dir), 300))
+
+
+@query(f"WITH {EV}, n AS (SELECT max(point_idx) + 1 AS n FROM ev) SELECT point_idx, x, y, z FROM ev UNION ALL SELECT point_idx + n, x, y, z FROM ev, n")
+def append_points(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    return flat(frame.append(points, points))
+
+
+@query("SELECT count(DISTINCT event_id) = count(*) AS equal FROM events")
+def views_equal(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    return frame.equal_points(points, frame.swap(frame.swap(points, 1, 2), 1, 2))
+
+
+# Layout conversion and casts.
+
+SOURCE = PointSchema.of("Position3D", "Classification", "GpsTime")
+TARGET = PointSchema((Attribute("GpsTime", "f32"), Attribute("Position3D", "vec3f32"), Attribute("Classification", "u32")))
+
+
+@query(f"""WITH {EV} SELECT point_idx, CAST(CAST(gps AS FLOAT) AS DOUBLE) AS gps_time, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y,
+  CAST(CAST(z AS FLOAT) AS DOUBLE) AS z, CAST(cls AS BIGINT) AS classification FROM ev""")
+def convert_layout(spark, sf_dir):
+    out = LayoutConverter(SOURCE, TARGET).convert(event_points(spark, sf_dir))
+    return flat(out, F.col("GpsTime").cast("double").alias("gps_time"), F.col("Classification").alias("classification"))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z, 0 AS intensity, 0 AS red FROM ev")
+def convert_default_fill(spark, sf_dir):
+    target = PointSchema.of("Position3D", "Intensity", "ColorRGB")
+    out = LayoutConverter(SOURCE, target, defaults=True).convert(event_points(spark, sf_dir))
+    return flat(out, F.col("Intensity").alias("intensity"), F.col("ColorRGB.x").alias("red"))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z, CAST((cls * 60) % 256 AS INTEGER) AS user_data, CAST(cls AS INTEGER) + 1000 AS intensity FROM ev")
+def convert_custom_mapping(spark, sf_dir):
+    target = PointSchema.of("Position3D", "UserData", "Intensity")
+    c = LayoutConverter(SOURCE, target, defaults=True)
+    c.map("Classification", "UserData", after=lambda v: F.pmod(v.cast("int") * 60, F.lit(256)).cast("short"))
+    c.map("Classification", "Intensity", after=lambda v: v + 1000)
+    return flat(c.convert(event_points(spark, sf_dir)), F.col("UserData").cast("int").alias("user_data"), F.col("Intensity").cast("int").alias("intensity"))
+
+
+@query(f"""WITH {LI}, v AS (SELECT (y - 50000) * 100 AS f, CAST(psid AS BIGINT) * 7919 - 300000 AS i FROM li)
+SELECT CAST(least(greatest(trunc(f), 0), 255) AS INTEGER) AS f_u8, CAST(least(greatest(trunc(f), -128), 127) AS INTEGER) AS f_i8, CAST(least(greatest(trunc(f), 0), 65535) AS INTEGER) AS f_u16,
+  CAST(trunc(f) AS INTEGER) AS f_i32, CAST(((i % 256) + 256) % 256 AS INTEGER) AS i_u8, CAST((((i + 128) % 256) + 256) % 256 - 128 AS INTEGER) AS i_i8,
+  CAST(((i % 65536) + 65536) % 65536 AS INTEGER) AS i_u16, CAST((((i + 32768) % 65536) + 65536) % 65536 - 32768 AS INTEGER) AS i_i16,
+  CAST(((i % 4294967296) + 4294967296) % 4294967296 AS BIGINT) AS i_u32, CAST(CAST(i AS FLOAT) AS DOUBLE) AS i_f32, count(*) AS n FROM v GROUP BY ALL""")
+def casts(spark, sf_dir):
+    p = lineitem_points(spark, sf_dir)
+    v = p.select(((F.col("Position3D.y") - 50000) * 100).alias("f"), (F.col("PointSourceID").cast("long") * 7919 - 300000).alias("i"))
+    out = [point_cast(F.col("f"), "f64", t).cast("int").alias(f"f_{t}") for t in ("u8", "i8", "u16", "i32")]
+    out += [point_cast(F.col("i"), "i64", t).cast("int").alias(f"i_{t}") for t in ("u8", "i8", "u16", "i16")]
+    out += [point_cast(F.col("i"), "i64", "u32").alias("i_u32"), point_cast(F.col("i"), "i64", "f32").cast("double").alias("i_f32")]
+    picked = v.select(*out)
+    return picked.groupBy(*picked.columns).agg(F.count("*").alias("n"))
+
+
+# Boxes, vectors, bits.
+
+BOX = ((50.0, 5.0, 20.0), (200.0, 20.0, 100.0))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev WHERE x BETWEEN 50 AND 200 AND y BETWEEN 5 AND 20 AND z BETWEEN 20 AND 100")
+def aabb_contains(spark, sf_dir):
+    return flat(event_points(spark, sf_dir).where(geometry.box_contains(geometry.box(*BOX), F.col("Position3D"))))
+
+
+@query(f"WITH {EV} SELECT point_idx, x, y, z FROM ev WHERE x BETWEEN 48.5 AND 201.5 AND y BETWEEN 3.5 AND 21.5 AND z BETWEEN 18.5 AND 101.5")
+def aabb_contains_approx(spark, sf_dir):
+    return flat(event_points(spark, sf_dir).where(geometry.box_contains_approx(geometry.box(*BOX), F.col("Position3D"), 1.5)))
+
+
+NATION_BOX = "bx AS (SELECT n_nationkey AS box_id, n_nationkey * 10.0 AS lx, n_nationkey * 10.0 + 15 AS hx, 0.0 AS ly, n_nationkey * 1.0 + 3 AS hy, n_regionkey * 20.0 AS lz, n_regionkey * 20.0 + 35 AS hz FROM nation)"
+
+
+def nation_boxes(spark, sf_dir):
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    low = geometry.vec(n * 10.0, F.lit(0.0), r * 20.0)
+    high = geometry.vec(n * 10.0 + 15, n * 1.0 + 3, r * 20.0 + 35)
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(n.cast("long").alias("box_id"), geometry.box_unchecked(low, high).alias("box"))
+
+
+@query(f"WITH {EV}, {NATION_BOX} SELECT CAST(box_id AS BIGINT) AS box_id, point_idx FROM ev JOIN bx ON x BETWEEN lx AND hx AND y BETWEEN ly AND hy AND z BETWEEN lz AND hz")
+def points_in_boxes(spark, sf_dir):
+    return joins.points_in_boxes(event_points(spark, sf_dir), nation_boxes(spark, sf_dir), 20.0).select("box_id", POINT_IDX)
+
+
+@query(f"""WITH {NATION_BOX} SELECT CAST(a.box_id AS BIGINT) AS box_id, CAST(b.box_id AS BIGINT) AS box_id_right FROM bx a JOIN bx b
+  ON a.lx <= b.hx AND a.hx >= b.lx AND a.ly <= b.hy AND a.hy >= b.ly AND a.lz <= b.hz AND a.hz >= b.lz""")
+def aabb_intersects_join(spark, sf_dir):
+    b = nation_boxes(spark, sf_dir)
+    return joins.boxes_intersecting(b, b, 20.0).select("box_id", "box_id_right")
+
+
+@query(f"""WITH {NATION_BOX}, h AS (SELECT *, greatest(hx - lx, hy - ly, hz - lz) / 2 AS h FROM bx) SELECT CAST(box_id AS BIGINT) AS box_id, CAST(hx - lx AS DOUBLE) AS ex, CAST((ly + hy) / 2 AS DOUBLE) AS cy,
+  CAST((lx + hx) / 2 - h AS DOUBLE) AS low_x, CAST((lz + hz) / 2 + h AS DOUBLE) AS high_z, CAST(least(lx, 5) AS DOUBLE) AS union_low_x, CAST(greatest(hy, 7) AS DOUBLE) AS union_high_y FROM h""")
+def aabb_cubic(spark, sf_dir):
+    b = F.col("box")
+    cube, joint = geometry.box_cubic(b), geometry.box_union(b, geometry.box((5.0, 5.0, 5.0), (7.0, 7.0, 7.0)))
+    return nation_boxes(spark, sf_dir).select(
+        "box_id", geometry.box_extent(b)["x"].alias("ex"), geometry.box_center(b)["y"].alias("cy"), cube["min"]["x"].alias("low_x"), cube["max"]["z"].alias("high_z"),
+        joint["min"]["x"].alias("union_low_x"), joint["max"]["y"].alias("union_high_y"),
+    )
+
+
+@query(f"WITH {EV}, f AS (SELECT *, point_idx % 256 AS f FROM ev) SELECT point_idx, f & 7 AS rn, (f >> 3) & 7 AS nr, (f >> 6) & 1 AS dir, (f >> 7) & 1 AS edge, f AS packed FROM f")
+def las_flags(spark, sf_dir):
+    p = event_points(spark, sf_dir).select(POINT_IDX, F.pmod(POINT_IDX, F.lit(256)).alias("f"))
+    u = bits.unpack(F.col("f"), bits.BASIC_FLAGS)
+    out = p.select(POINT_IDX, *[c.alias(n) for n, c in u.items()])
+    packed = bits.pack({n: F.col(n) for n in u}, bits.BASIC_FLAGS)
+    return out.select(POINT_IDX, *[F.col(a).cast("long").alias(b) for a, b in zip(u, ("rn", "nr", "dir", "edge"), strict=True)], packed.cast("long").alias("packed"))
+
+
+@query(f"""WITH {EV}, f AS (SELECT *, (point_idx * 40503) % 65536 AS f FROM ev) SELECT point_idx, f & 15 AS rn, (f >> 4) & 15 AS nr, (f >> 8) & 15 AS cf, (f >> 12) & 3 AS ch,
+  (f >> 14) & 1 AS dir, (f >> 15) & 1 AS edge, f AS packed FROM f""")
+def las_extended_flags(spark, sf_dir):
+    p = event_points(spark, sf_dir).select(POINT_IDX, F.pmod(F.col(POINT_IDX) * 40503, F.lit(65536)).alias("f"))
+    u = bits.unpack(F.col("f"), bits.EXTENDED_FLAGS)
+    out = p.select(POINT_IDX, *[c.alias(n) for n, c in u.items()])
+    packed = bits.pack({n: F.col(n) for n in u}, bits.EXTENDED_FLAGS)
+    return out.select(POINT_IDX, *[F.col(a).cast("long").alias(b) for a, b in zip(u, ("rn", "nr", "cf", "ch", "dir", "edge"), strict=True)], packed.cast("long").alias("packed"))
+
+
+@query(f"WITH {EV} SELECT point_idx, CAST(trunc((x - 100.0) / 0.25) AS INTEGER) AS x, CAST(trunc((y - 10.0) / 0.25) AS INTEGER) AS y, CAST(trunc(z / 0.5) AS INTEGER) AS z, trunc((x - 100.0) / 0.25) * 0.25 + 100.0 AS wx FROM ev")
+def las_quantise(spark, sf_dir):
+    scale, offset = (0.25, 0.25, 0.5), (100.0, 10.0, 0.0)
+    p = event_points(spark, sf_dir).select(POINT_IDX, geometry.local_position(F.col("Position3D"), scale, offset).alias("l"))
+    return p.select(POINT_IDX, *[F.col("l")[a].alias(a) for a in "xyz"], geometry.world_position(F.col("l"), scale, offset)["x"].alias("wx"))
+
+
+def _spread_sql(c: str) -> str:
+    return " | ".join(f"(((({c}) >> {i}) & 1) << {3 * i})" for i in range(10))
+
+
+@query(f"WITH {EV}, c AS (SELECT point_idx, CAST(floor(x) AS BIGINT) AS i, CAST(y AS BIGINT) AS j, CAST(z AS BIGINT) AS k FROM ev) SELECT point_idx, ({_spread_sql('i')}) | (({_spread_sql('j')}) << 1) | (({_spread_sql('k')}) << 2) AS code FROM c")
+def morton3(spark, sf_dir):
+    p = F.col("Position3D")
+    return event_points(spark, sf_dir).select(POINT_IDX, bits.morton3(*[F.floor(p[a]) for a in "xyz"]).alias("code"))
+
+
+@query(f"WITH {EV}, r AS (SELECT point_idx, reverse(lpad(bin(point_idx), 64, '0')) AS b FROM ev) SELECT point_idx, CAST(substr(b, 1, 32) AS VARCHAR) AS high, CAST(substr(b, 33, 32) AS VARCHAR) AS low FROM r")
+def reverse_bits(spark, sf_dir):
+    text = F.lpad(F.bin(bits.reverse_bits(F.col(POINT_IDX))), 64, "0")
+    return event_points(spark, sf_dir).select(POINT_IDX, F.substring(text, 1, 32).alias("high"), F.substring(text, 33, 32).alias("low"))
+
+
+@query(f"WITH {EV} SELECT point_idx, CAST(ceil(point_idx / 8.0) * 8 AS BIGINT) AS aligned FROM ev")
+def align_to(spark, sf_dir):
+    return event_points(spark, sf_dir).select(POINT_IDX, bits.align_to(F.col(POINT_IDX), 8).alias("aligned"))
+
+
+@query(f"""WITH {EV} SELECT point_idx, round(abs(x + 2 * y - 3 * z + 4) / sqrt(14.0), 6) AS plane, round(sqrt(y * y + z * z), 6) AS line,
+  round(sqrt((x - least(greatest(x, 0), 100)) * (x - least(greatest(x, 0), 100)) + y * y + z * z), 6) AS segment, round(y, 6) AS edge FROM ev""")
+def distances(spark, sf_dir):
+    p = F.col("Position3D")
+    plane = F.struct(*[F.lit(v).alias(n) for n, v in zip("abcd", (1.0, 2.0, -3.0, 4.0), strict=True)])
+    a, b, up = (geometry.vector(v) for v in ((0.0, 0.0, 0.0), (100.0, 0.0, 0.0), (0.0, 0.0, 1.0)))
+    found = {"plane": geometry.point_plane_distance(p, plane), "line": geometry.point_line_distance(p, a, b), "segment": geometry.point_segment_distance(p, a, b), "edge": geometry.point_edge_signed_distance(p, a, b, up)}
+    return event_points(spark, sf_dir).select(POINT_IDX, *[F.round(c, 6).alias(n) for n, c in found.items()])
+
+
+# Joins, neighbours, global algorithms.
+
+
+@query(f"WITH {EV} SELECT point_idx, x, x AS x_right FROM ev")
+def zip_join(spark, sf_dir):
+    p = event_points(spark, sf_dir)
+    both = joins.zip_points(p.select(POINT_IDX, "Position3D"), p.select(POINT_IDX, "Position3D"))
+    return both.select(POINT_IDX, F.col("Position3D.x").alias("x"), F.col("Position3D_right.x").alias("x_right"))
+
+
+NEAR = f"WITH {EM}, d AS (SELECT a.point_idx, b.point_idx AS neighbour, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) AS d FROM em a, em b), k AS (SELECT *, row_number() OVER (PARTITION BY point_idx ORDER BY d, neighbour) AS rank FROM d)"
+
+
+@query(f"{NEAR} SELECT point_idx, CAST(rank AS INTEGER) AS rank, neighbour, round(d, 9) AS distance2 FROM k WHERE rank <= 8")
+def knn(spark, sf_dir):
+    k = joins.knn(embedding_points(spark, sf_dir), 8)
+    return k.select(POINT_IDX, "rank", "neighbour", F.round("distance2", 9).alias("distance2"))
+
+
+@query(f"""{NEAR} SELECT k.point_idx, count(*) AS n, round(covar_pop(x, x) * count(*), 6) AS xx, round(covar_pop(x, y) * count(*), 6) AS xy, round(covar_pop(z, z) * count(*), 6) AS zz
+  FROM k JOIN em ON em.point_idx = k.neighbour WHERE rank <= 8 GROUP BY k.point_idx""")
+def neighbourhood_covariance(spark, sf_dir):
+    c = normals.neighbourhoods(embedding_points(spark, sf_dir), 8)
+    return c.select(POINT_IDX, "n", *[F.round(p, 6).alias(p) for p in ("xx", "xy", "zz")])
+
+
+@query()
+def compute_normals(spark, sf_dir):
+    n = normals.normals(embedding_points(spark, sf_dir), 8)
+    return n.select(POINT_IDX, *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "curvature")])
+
+
+SEED, ITERATIONS = 11, 40
+DRAW = "n AS (SELECT count(*) AS n FROM ev), h AS (SELECT CAST(i AS INTEGER) AS h, (11 + (i + 1) * 7919) % n AS a, (11 + (i + 1) * 104729) % n AS b, (11 + (i + 1) * 1299709) % n AS c FROM n, range(0, 40) r(i))"
+PLANES = f"""WITH {EV}, {DRAW}, t AS (SELECT h, p.x px, p.y py, p.z pz, q.x - p.x ux, q.y - p.y uy, q.z - p.z uz, r.x - p.x vx, r.y - p.y vy, r.z - p.z vz FROM h JOIN ev p ON p.point_idx = h.a JOIN ev q ON q.point_idx = h.b JOIN ev r ON r.point_idx = h.c),
+pl AS (SELECT h, uy * vz - uz * vy AS a, uz * vx - ux * vz AS b, ux * vy - uy * vx AS c, px, py, pz FROM t),
+s AS (SELECT h, count(*) FILTER (a * a + b * b + c * c > 0 AND abs(a * x + b * y + c * z - (a * px + b * py + c * pz)) / sqrt(a * a + b * b + c * c) < 2.0) AS ranking FROM pl, ev GROUP BY h)"""
+
+
+@query(f"{PLANES} SELECT h AS hypothesis, ranking FROM s")
+def ransac_plane(spark, sf_dir):
+    return ransac.ransac_planes(event_points(spark, sf_dir), 2.0, ITERATIONS, SEED).select("hypothesis", "ranking")
+
+
+@query(f"""WITH {EV}, {DRAW}, t AS (SELECT h, p.x px, p.y py, p.z pz, q.x - p.x ux, q.y - p.y uy, q.z - p.z uz FROM h JOIN ev p ON p.point_idx = h.a JOIN ev q ON q.point_idx = h.b)
+SELECT h AS hypothesis, count(*) FILTER (ux * ux + uy * uy + uz * uz > 0 AND sqrt(power(uy * (pz - z) - uz * (py - y), 2) + power(uz * (px - x) - ux * (pz - z), 2) + power(ux * (py - y) - uy * (px - x), 2)) / sqrt(ux * ux + uy * uy + uz * uz) < 5.0) AS ranking
+FROM t, ev GROUP BY h""")
+def ransac_line(spark, sf_dir):
+    return ransac.ransac_lines(event_points(spark, sf_dir), 5.0, ITERATIONS, SEED).select("hypothesis", "ranking")
+
+
+BEST = f"{PLANES}, best AS (SELECT pl.* FROM pl JOIN s USING (h) ORDER BY ranking DESC, h DESC LIMIT 1), inl AS (SELECT point_idx FROM ev, best WHERE abs(a * x + b * y + c * z - (a * px + b * py + c * pz)) / sqrt(a * a + b * b + c * c) < 2.0)"
+
+
+@query(f"{BEST} SELECT ev.point_idx, x, y, z FROM ev JOIN inl USING (point_idx)")
+def inliers_semi(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    return flat(joins.inliers(points, ransac.ransac_plane(points, 2.0, ITERATIONS, SEED)[1]))
+
+
+@query(f"{BEST} SELECT ev.point_idx, x, y, z FROM ev WHERE point_idx NOT IN (SELECT point_idx FROM inl)")
+def outliers_anti(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    return flat(joins.outliers(points, ransac.ransac_plane(points, 2.0, ITERATIONS, SEED)[1]))
+
+
+@query()
+def convex_hull(spark, sf_dir):
+    return hull.hull_vertices(event_points(spark, sf_dir)).select(POINT_IDX, "x", "y", "z")
+
+
+@query()
+def convex_hull_mesh(spark, sf_dir):
+    return hull.hull_mesh(embedding_points(spark, sf_dir))
+
+
+@query(f"WITH {EV} SELECT point_idx, round(radians(y) * 6378137.0, 4) AS x, round(ln(tan(radians(x / 10) / 2 + pi() / 4)) * 6378137.0, 4) AS y FROM ev")
+def reproject_webmercator(spark, sf_dir):
+    p = frame.transform_attribute(event_points(spark, sf_dir), "Position3D", lambda i, v: geometry.vec(v["x"] / 10, v["y"], v["z"]))
+    return flat(reproject.reproject(p, "EPSG:4326", "EPSG:3857")).select(POINT_IDX, F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(f"WITH {EV} SELECT point_idx, round(x / 10, 6) AS x, round(3 + y / 10, 6) AS y FROM ev")
+def reproject_utm_roundtrip(spark, sf_dir):
+    p = frame.transform_attribute(event_points(spark, sf_dir), "Position3D", lambda i, v: geometry.vec(v["x"] / 10, 3 + v["y"] / 10, v["z"]))
+    there = reproject.reproject(p, "EPSG:4326", "EPSG:32631")
+    back = reproject.reproject_between(there, p, "EPSG:32631", "EPSG:4326")
+    return flat(back).select(POINT_IDX, F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+# Files.
+
+
+@query(f"""WITH {EV} SELECT point_idx, printf('%.2f', x) AS x, cls AS classification FROM ev""")
+def ascii_roundtrip(spark, sf_dir):
+    path = scratch(spark, "ascii")
+    ascii_points.write_ascii(event_points(spark, sf_dir), path, "xyzct", precision=5)
+    back = ascii_points.read_ascii(spark, path, "xyzct", ", ")
+    return back.select(POINT_IDX, F.format_string("%.2f", F.col("Position3D.x")).alias("x"), F.col("Classification").cast("int").alias("classification"))
+
+
+@query(f"WITH {EV} SELECT point_idx, round(trunc(x / 0.25) * 0.25, 6) AS x, CAST(cls AS INTEGER) AS classification, gps AS gps_time FROM ev")
+def las_roundtrip(spark, sf_dir):
+    path = scratch(spark, "las")
+    write_las(event_points(spark, sf_dir), path, scale=(0.25, 0.25, 0.25))
+    back = read_las(spark, path)
+    return back.select(POINT_IDX, F.round(F.col("Position3D.x"), 6).alias("x"), F.col("Classification").cast("int").alias("classification"), F.col("GpsTime").alias("gps_time"))
+
+
+@query(f"WITH {EV} SELECT point_idx, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM ev")
+def pnts_roundtrip(spark, sf_dir):
+    path = scratch(spark, "pnts")
+    write_pnts(event_points(spark, sf_dir), path)
+    return flat(read_pnts(spark, path))
+
+
+@query(f"""WITH {EV} SELECT strftime(to_timestamp(floor(gps / 86400) * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n_points, min(x) AS min_x, max(x) AS max_x, min(z) AS min_z, max(z) AS max_z FROM ev GROUP BY 1""")
+def windowed_bounds(spark, sf_dir):
+    """The streaming aggregate, run over a finite table."""
+    w = running.running_bounds(event_points(spark, sf_dir))
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_points", "min_x", "max_x", "min_z", "max_z")
+
+
+@query(f"WITH {EV} SELECT CAST(cls AS INTEGER) AS classification, CAST(y AS INTEGER) AS day, count(*) AS n_points FROM ev GROUP BY ROLLUP (cls, y)")
+def classification_rollup(spark, sf_dir):
+    p = event_points(spark, sf_dir).select(F.col("Classification").cast("int").alias("classification"), F.col("Position3D.y").cast("int").alias("day"))
+    return p.rollup("classification", "day").agg(F.count("*").alias("n_points"))
+
+
+@query("SELECT 'Position3D' AS name, 'vec3f64' AS type UNION ALL SELECT 'Classification', 'u8' UNION ALL SELECT 'GpsTime', 'f64'")
+def point_schema(spark, sf_dir):
+    schema = PointSchema.of_frame(event_points(spark, sf_dir))
+    return spark.createDataFrame([(a.name, a.type) for a in schema.attributes if a.name in BUILTIN], "name string, type string")
+
+
+def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
