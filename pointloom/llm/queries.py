@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, pii, piece_codec, quality_crf, quality_rules, simhash
+from . import decontam, pii, piece_codec, quality_crf, quality_rules, secret_scan, simhash
 from . import line_dedup as ld
 from .common import table
 
@@ -42,6 +42,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality_rules.quality_rules(docs)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_sentencepiece,
         op4_quality_classifier,
         op6_simhash,
+        op7_secret_scan,
         op9_quality_rules,
         op10_decontamination,
     )
