@@ -13,6 +13,7 @@ WHITE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,3 +42,9 @@ def row_keys(id_col: Column, text: Column) -> tuple[Column, Column]:
 
 def sha_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Python workers get at most so many rows and bytes at once (one row, if it is larger): texts are long, executors small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
