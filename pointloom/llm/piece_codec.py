@@ -29,7 +29,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.iinfo(np.int32).max
 #: Characters encoded at once, words kept, and symbols beyond which a word that must merge one pair at a time leaves the rounds.
-CHUNK, KEPT_WORDS, SERIAL = 1_000_000, 150_000, 64
+CHUNK, KEPT_WORDS, SERIAL = 500_000, 150_000, 64
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,10 +99,19 @@ class PieceModel:
                 left, right = self.symbols.get(p[:cut]), self.symbols.get(p[cut:])
                 if left is not None and right is not None:
                     pairs[left * self.base + right] = (order[pieces[i][1]], i)
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.ranks = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
-        self.merged = np.array([pairs[k][1] for k in self.keys.tolist()], np.int64)
         self.pairs = pairs
+        # An open-addressing table of the pairs, at most an eighth full; `probes` is its longest search.
+        self.shift = 64 - (8 * len(pairs)).bit_length()
+        slots = 1 << (64 - self.shift)
+        self.keys, self.ranks, self.merged = np.full(slots, -1, np.int64), np.full(slots, NONE, np.int32), np.full(slots, -1, np.int32)
+        self.probes = 0
+        keys = np.array(list(pairs), np.int64)
+        for k, at in zip(keys.tolist(), self.slot(keys).tolist(), strict=True):
+            steps = 1
+            while self.keys[at] != -1:
+                at, steps = (at + 1) & (slots - 1), steps + 1
+            self.keys[at], (self.ranks[at], self.merged[at]) = k, pairs[k]
+            self.probes = max(self.probes, steps)
         self.of_char = np.full(0x110000, -1, np.int32)
         for s, i in self.symbols.items():
             if len(s) == 1:
@@ -119,13 +128,22 @@ class PieceModel:
         self.starts_space = np.array([k == NORMAL and p.startswith(SPACE) for p, _, k in pieces])
         self.is_control = np.array([k == CONTROL for k in kinds])
 
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if the pair makes no piece) and merged symbol of each pair."""
-        known = (left < self.base) & (right < self.base)
-        key = np.where(known, left * self.base + right, -1)
-        at = np.searchsorted(self.keys, key)
-        at[at == len(self.keys)] = 0
-        hit = self.keys[at] == key
+        key = left * self.base + right
+        key[(left >= self.base) | (right >= self.base)] = -2
+        at = self.slot(key)
+        held = self.keys[at]
+        for _ in range(self.probes - 1):
+            astray = np.flatnonzero((held != key) & (held != -1))
+            if not len(astray):
+                break
+            at[astray] = (at[astray] + 1) & (len(self.keys) - 1)
+            held[astray] = self.keys[at[astray]]
+        hit = held == key
         return np.where(hit, self.ranks[at], NONE), np.where(hit, self.merged[at], -1)
 
     def merge_serial(self, symbols: list[int]) -> list[int]:
@@ -216,7 +234,10 @@ class PieceModel:
             place = np.cumsum(stay) - 1
             at = place[at]
             sym, word, rank, into = sym[stay], word[stay], rank[stay], into[stay]
-            fresh = np.unique(np.concatenate([at, at[at > 0] - 1]))
+            touched = np.zeros(len(sym), bool)
+            touched[at] = True
+            touched[np.maximum(at - 1, 0)] = True
+            fresh = np.flatnonzero(touched)
             nxt = np.minimum(fresh + 1, len(sym) - 1)
             r, m = self.lookup(sym[fresh], sym[nxt])
             r[(nxt == fresh) | (word[nxt] != word[fresh])] = NONE
@@ -258,26 +279,37 @@ class Codec:
 
     def clear(self) -> None:
         self.slots: dict[str, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self) -> None:
+        """Make room: only words met more than once since the last time stay, or none if those are many."""
+        stay = np.flatnonzero(self.used > 1)
+        if len(stay) > KEPT_WORDS // 2:
+            return self.clear()
+        words = list(self.slots)
+        self.slots = {words[k]: i for i, k in enumerate(stay.tolist())}
+        self.flat = self.flat[ranges(self.start[stay], self.size[stay])]
+        self.size = self.size[stay]
+        self.start = np.cumsum(self.size) - self.size
+        self.used = np.zeros(len(stay), np.int64)
 
     def learn(self, words: list[str]) -> None:
-        if len(self.slots) + len(words) > KEPT_WORDS:
-            self.clear()
         ids, size = self.model.merge_words([SPACE + w.replace(" ", SPACE) for w in words])
         self.slots.update(zip(words, range(len(self.slots), len(self.slots) + len(words)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, ids])
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each word; a word here is without its first white space."""
+        if len(self.slots) > KEPT_WORDS:
+            self.forget()
         missing = [w for w in dict.fromkeys(words) if w not in self.slots]
-        if missing and len(self.slots) + len(missing) > KEPT_WORDS:
-            self.clear()
-            missing = list(dict.fromkeys(words))
         if missing:
             self.learn(missing)
         slot = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        self.used += np.bincount(slot, minlength=len(self.used))
         size = self.size[slot]
         return self.flat[ranges(self.start[slot], size)], size
 
