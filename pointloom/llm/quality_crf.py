@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TRAIN_DOCS, TRAIN_LINES = 3000, 256
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 SYMBOLS = b"#*$%&|<>@^~{}[]\\/_=+"
 
 
