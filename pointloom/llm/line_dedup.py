@@ -17,13 +17,11 @@ from pyspark.sql import functions as F
 from .common import WHITE, cut, row_keys, sha_hex
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Text without these characters is lower-cased alike by lower() and by an ASCII-only mapping.
-CASE_SENSITIVE = r"[^\x00-\x7F -¿ß-ÿ]"
 
 
 def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, all else as it is; translate() works by character, so it only runs where lower() could change more."""
-    return F.when(text.rlike(CASE_SENSITIVE), F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+    """A-Z in lower case, all else as it is: lower() where the text is ASCII, character by character elsewhere."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def line_key(line: Column) -> Column:
