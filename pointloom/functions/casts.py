@@ -13,11 +13,16 @@ from pyspark.sql import types as T
 from .schema import SCALARS, VECTORS, parse_type, spark_type
 
 
+def whole(value: int, kind: T.DataType) -> Column:
+    """An integer literal; as text, because literals beyond 64 bits have no other way in."""
+    return F.lit(str(value)).cast(kind)
+
+
 def _wrap(c: Column, kind: str) -> Column:
     low, high = SCALARS[kind][2]
     wide = T.DecimalType(38, 0) if kind in ("u64", "i64") else T.LongType()
-    span = F.lit(high - low + 1).cast(wide)
-    start = F.lit(low).cast(wide)
+    span = whole(high - low + 1, wide)
+    start = whole(low, wide)
     return (F.pmod(c.cast(wide) - start, span) + start).cast(SCALARS[kind][0])
 
 
@@ -29,11 +34,11 @@ def _saturate(c: Column, kind: str) -> Column:
     inner = d.cast("long").cast(big)
     if kind == "u64":
         half = float(2**63)
-        inner = F.when(d < half, inner).otherwise((d - half).cast("long").cast(big) + F.lit(2**63).cast(big))
+        inner = F.when(d < half, inner).otherwise((d - half).cast("long").cast(big) + whole(2**63, big))
     return (
         F.when(F.isnan(d), F.lit(0).cast(out))
-        .when(d >= float(high), F.lit(high).cast(out))
-        .when(d <= float(low), F.lit(low).cast(out))
+        .when(d >= float(high), whole(high, out))
+        .when(d <= float(low), whole(low, out))
         .otherwise(inner.cast(out))
     )
 

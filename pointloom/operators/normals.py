@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import AXES
 from ..functions.schema import POINT_IDX
@@ -17,7 +18,10 @@ from .aggregates import PAIRS, POSITION
 from .joins import knn
 
 
-@F.pandas_udf("struct<nx:double,ny:double,nz:double,curvature:double>")
+RESULT = T.StructType([T.StructField(n, T.DoubleType()) for n in ("nx", "ny", "nz", "curvature")])
+
+
+@F.pandas_udf(RESULT)
 def smallest_axis(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
     m = np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
     values, vectors = np.linalg.eigh(m)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOLUMES = {"region": 6, "box": 12, "sphere": 4}
 TILES = "tile_path string, depth int, geometric_error double, refine string, volume_kind string, volume array<double>, uri string, transform array<double>, n_children int"
@@ -68,10 +71,6 @@ def flatten_tileset(text: str) -> list[tuple]:
 
 def read_tileset(spark: SparkSession, path: str) -> DataFrame:
     """One row for each tile of one or many tileset files, with the file's path; trees are flattened where the files are read."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
     schema = T.ArrayType(T._parse_datatype_string(TILES))
     names = schema.elementType.names
 
