@@ -54,6 +54,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, mi
         .agg(F.count("*").alias("n_docs"), F.min(F.struct("id", "pos")).alias("first"))
         .where(F.col("n_docs") >= min_docs)
     )
+    held = cut(held)  # both sides of the join are then plain exchanges, of which Spark splits large partitions: one line may be in all documents
     found = lines.join(held, ["h1", "h2"])
     if keep == "first":
         found = found.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
