@@ -31,8 +31,10 @@ from pyspark.sql import types as T
 
 from .common import cut, row_keys
 
-TILE, BLOCK, SMALL = 2048, 256, 32
-CHUNK = 250_000
+TILE, BLOCK, SMALL = 512, 256, 32
+#: Rows of removed documents (16 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
+BROADCAST_ROWS = 500_000
+CHUNK = 50_000
 WIDE, MINIMA = 4, 8
 ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1000193) for k in range(16)]
 
@@ -197,7 +199,7 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     by more than one never link).
     """
     keyed = distinct.select("fp", "level", F.posexplode("keys").alias("band", "value"))
-    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = cut(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"))
     rows = keyed.join(sizes, ["band", "value"])
     level, parts = F.col("level"), F.ceil(F.col("n") / tile).cast("int")
     own = F.struct(level.alias("level"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
@@ -250,7 +252,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     for _ in range(limit):
         both = now.union(now.select("v", "u")).toDF("x", "y")
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
         new = cut(large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct())
@@ -295,10 +297,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group the row with the smallest id stays (rows equal in id and text are one document)."""
     found = similar_documents(docs, id_col, text_col, shingle, similarity)
-    gone = found.where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))).select("k1", "k2").distinct()
+    gone = cut(found.where((F.col("k1") != F.col("first.k1")) | (F.col("k2") != F.col("first.k2"))).select("k1", "k2").distinct())
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("shuffle_hash")
     k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
-    return rows.join(gone.hint("shuffle_hash"), ["k1", "k2"], "left_anti").select("row.*")
+    return rows.join(gone, ["k1", "k2"], "left_anti").select("row.*")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
