@@ -29,7 +29,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 NONE = np.iinfo(np.int32).max
 #: Characters encoded at once, words kept, and symbols beyond which a word that must merge one pair at a time leaves the rounds.
-CHUNK, KEPT_WORDS, SERIAL = 500_000, 150_000, 64
+CHUNK, KEPT_WORDS, SERIAL = 200_000, 100_000, 64
 
 
 def proto_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -99,7 +99,6 @@ class PieceModel:
                 left, right = self.symbols.get(p[:cut]), self.symbols.get(p[cut:])
                 if left is not None and right is not None:
                     pairs[left * self.base + right] = (order[pieces[i][1]], i)
-        self.pairs = pairs
         # An open-addressing table of the pairs, at most an eighth full; `probes` is its longest search.
         self.shift = 64 - (8 * len(pairs)).bit_length()
         slots = 1 << (64 - self.shift)
@@ -131,6 +130,18 @@ class PieceModel:
     def slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
 
+    def pair(self, left: int, right: int) -> tuple[int, int] | None:
+        """(rank, merged symbol) of one pair."""
+        if left >= self.base or right >= self.base:
+            return None
+        key = left * self.base + right
+        at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> self.shift
+        while self.keys[at] != key:
+            if self.keys[at] == -1:
+                return None
+            at = (at + 1) & (len(self.keys) - 1)
+        return int(self.ranks[at]), int(self.merged[at])
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE if the pair makes no piece) and merged symbol of each pair."""
         key = left * self.base + right
@@ -154,10 +165,8 @@ class PieceModel:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j < n and symbols[i] < self.base and symbols[j] < self.base:
-                got = self.pairs.get(symbols[i] * self.base + symbols[j])
-                if got:
-                    heapq.heappush(heap, (got[0], i, symbols[i], symbols[j]))
+            if j < n and (got := self.pair(symbols[i], symbols[j])):
+                heapq.heappush(heap, (got[0], i, symbols[i], symbols[j]))
 
         for i in range(n):
             offer(i)
@@ -166,7 +175,7 @@ class PieceModel:
             j = after[i]
             if not alive[i] or symbols[i] != left or j >= n or symbols[j] != right:
                 continue
-            symbols[i] = self.pairs[left * self.base + right][1]
+            symbols[i] = self.pair(left, right)[1]
             alive[j] = False
             after[i] = after[j]
             if after[j] < n:
@@ -453,10 +462,11 @@ def decode_column(ids: Column, model_path: str) -> Column:
     return run(ids)
 
 
-def round_trip(text: Column, model_path: str) -> Column:
-    """struct(n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids; neither leaves the worker."""
+def round_trip(text: Column, model_path: str, with_ids: bool = False) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256[, ids]): encode, then decode the ids; a text is encoded once for all of them."""
     data = model_bytes(model_path)
-    schema = T.StructType([T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))])
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("ids", T.ArrayType(T.IntegerType()))]
+    schema = T.StructType([T.StructField(n, t) for n, t in fields[: 3 + with_ids]])
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
     @F.pandas_udf(schema)
@@ -465,7 +475,7 @@ def round_trip(text: Column, model_path: str) -> Column:
         rows = []
         for part in slices(texts):
             ids = codec.encode(texts.iloc[part].tolist())
-            rows += [(len(i), sha(codec.decimal(i)), sha(t.encode())) for i, t in zip(ids, codec.decode(ids), strict=True)]
+            rows += [(len(i), sha(codec.decimal(i)), sha(t.encode()), i)[: 3 + with_ids] for i, t in zip(ids, codec.decode(ids), strict=True)]
         return pd.DataFrame(rows, columns=schema.names)
 
     return run(text)
