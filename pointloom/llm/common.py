@@ -44,7 +44,7 @@ def sha_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+def bound_batches(spark: SparkSession, rows: int = 500, size: int = 4 << 20) -> None:
     """Python workers get at most so many rows and bytes at once (one row, if it is larger): texts are long, executors small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
