@@ -4,7 +4,7 @@ Fingerprints are compared once each, however many documents share one, and only
 are radius + 1 bands of the fingerprint: two fingerprints within the radius agree on one band at least, so every link is found. For a
 similarity of word shingles, fingerprints of 256 bits are blocked by MINIMA minima of the shingle hashes: documents of Jaccard
 similarity s share none of them with probability (1 - s)^MINIMA, 3 in a million at 0.8; the radius is the expected distance at that
-similarity and one standard deviation more.
+similarity and two standard deviations more, so pairs somewhat below it link too, and hardly one at it is missed.
 
 A block of at most TILE fingerprints is one tile. A larger one is cut by level (population count for a small radius, shingle count
 for a similarity: levels more than one apart can't link) and by hash into tiles, and each pair of tiles is a group of its own, on
@@ -283,7 +283,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """(k1, k2, id, first): the key of each row of docs and the (id, k1, k2) that comes first in its group of near copies."""
     cosine = 2 * similarity / (1 + similarity)
     bits, p = 64 * WIDE, math.acos(cosine) / math.pi
-    radius = round(bits * p + math.sqrt(bits * p * (1 - p)))
+    radius = round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
     k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), wide_sketch(F.col(text_col), shingle).alias("s"))
     marked = cut(rows.select("id", "k1", "k2", "s.*"))
