@@ -353,5 +353,6 @@ def listed(spans: Column) -> Column:
 def digest(docs, id_col: str = "doc_id", text_col: str = "text"):
     found = docs.select(id_col, find_secrets(F.col(text_col)).alias("s"))
     base = F.filter("s", lambda s: s["kind"].isin(*BASE_KINDS))
-    counts = [F.size(F.filter("s", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    count = lambda kind: F.size(F.filter("s", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in BASE_KINDS]
     return found.select(id_col, *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("s")).alias("spans"))
