@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.casts import default_value, point_cast
 from ..functions.schema import POINT_IDX, Attribute, PointSchema
+from .materialize import stable
 
 
 def idx() -> Column:
@@ -68,7 +69,8 @@ def reindex(df: DataFrame, *order: Column) -> DataFrame:
     a window. Ties fall back on the old index, so a sort by any key is stable.
     """
     keys = [*order, idx()]
-    parted = df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.monotonically_increasing_id().alias("_at"))
+    # Computed once: the ranges are sampled, so a second computation of the counts could see other partitions.
+    parted = stable(df.repartitionByRange(*keys).sortWithinPartitions(*keys).select("*", F.monotonically_increasing_id().alias("_at")))
     part = F.shiftright("_at", 33)
     counts = parted.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
