@@ -56,7 +56,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return quality_rules.quality_rules(docs)
+    return quality_rules.quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +99,44 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+#: Every 50-byte string, in hexadecimal; the union of those that a smaller id holds is cut out.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+r AS (SELECT w.doc_id, w.i FROM w JOIN m USING (s) WHERE m.least < w.doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM r),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM k GROUP BY doc_id, run),
+kept AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+found AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n, max(b) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS front FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN found USING (doc_id)
+"""
+#: Exact quantiles stand for the sketches, which are exact up to ACCURACY documents a group.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+p AS (SELECT doc_id, i, w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) AS i FROM w)),
+c AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM p),
+u AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM c, (VALUES (0), (1), (2)) v(o) WHERE c.n > 1 GROUP BY doc_id),
+b AS (SELECT d.doc_id, d.lang, d.source, len(w.w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+        len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(u.n, 0) AS n_repeat_words, len(l) AS n_lines, length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS n_caps
+      FROM d JOIN w USING (doc_id) LEFT JOIN u USING (doc_id)),
+s AS (SELECT *, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share, CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
+        CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS mean_word,
+        CASE WHEN word_chars > 0 THEN n_caps / word_chars ELSE 0 END AS caps_share, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
+q AS (SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, quantile_disc(symbol_share, [0.25, 0.75]) AS sy, quantile_disc(dup_line_share, [0.25, 0.75]) AS du,
+        quantile_disc(repeat_share, [0.25, 0.75]) AS re, quantile_disc(mean_word, [0.25, 0.75]) AS me, quantile_disc(caps_share, [0.25, 0.75]) AS ca FROM s GROUP BY ROLLUP (lang, source)),
+f AS (SELECT lang, source, level, n, {'sy': sy[2] + greatest(3.0 * (sy[2] - sy[1]), 0.05), 'du': du[2] + greatest(3.0 * (du[2] - du[1]), 0.30), 're': re[2] + greatest(3.0 * (re[2] - re[1]), 0.40),
+        'me': me[2] + greatest(3.0 * (me[2] - me[1]), 2.0), 'ca': ca[2] + greatest(3.0 * (ca[2] - ca[1]), 0.25), 'lo': me[1] - greatest(3.0 * (me[2] - me[1]), 1.5)} AS f FROM q),
+x AS (SELECT a.lang, a.source, CASE WHEN a.n >= 100 THEN a.f WHEN p.n >= 100 THEN p.f ELSE (SELECT f FROM f WHERE level = 3) END AS f
+      FROM f a JOIN f p ON a.level = 0 AND p.level = 1 AND a.lang IS NOT DISTINCT FROM p.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (symbol_share <= f.sy AND dup_line_share <= f.du AND repeat_share <= f.re AND mean_word <= f.me AND caps_share <= f.ca AND mean_word >= f.lo) AS kept
+FROM s JOIN x ON s.lang IS NOT DISTINCT FROM x.lang AND s.source IS NOT DISTINCT FROM x.source
+"""
+
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_suffix_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}

@@ -30,11 +30,15 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def test_line_dedup_matches_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, sf_dir, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
-    got = sorted(map(tuple, queries.op2_line_dedup(spark, sf_dir).collect()))
-    assert got == sorted(con.execute(queries.OP2_SQL).fetchall())
+    result = con.execute(queries.ORACLES[name])
+    names = [d[0] for d in result.description]
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(result.fetchall())
 
 
 def test_line_dedup_edge_cases(spark):
