@@ -1,10 +1,10 @@
 r"""Format-preserving pseudonyms for personal data, with DataFrame operations only.
 
-One regular expression finds candidates. Each is validated (Luhn sum, octet and calendar ranges, numbering-plan digits) and then
+One regular expression finds candidates. Each is validated (issuer ranges, lengths and Luhn sum of cards, octet and calendar ranges, number ranges) and then
 permuted within its own format by a keyed Feistel network over Z_a x Z_b, so that equal values get equal pseudonyms in every
 document, different values different ones, and separators stay. Candidates that fail validation stay as they are.
 
-    card    payload digits permuted, check digit recomputed    phone  10^5 x 10^5 over the ten national digits
+    card    digits after the issuer's four, new check digit     phone  10^5 x 10^5 over the ten national digits
     ipv4    2^16 x 2^16                                         ssn    88902 x 9999 over all valid numbers
     date    189 x 773 = 146097 days from 1800-01-01             email  keyed hashes of the local part and of the domain
 
@@ -30,13 +30,13 @@ ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, SSN, PHONE, CARD))
 KINDS = ("email", "ipv4", "date", "ssn", "phone", "card")
 
 
-def prf(key: str, tweak: str, i: Column, half: Column) -> Column:
+def prf(key: str, tweak: str | Column, i: Column, half: Column) -> Column:
     """48 bits of a keyed hash of a round and a half."""
-    said = F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), half.cast("string"))
+    said = F.concat_ws("|", F.lit(key), F.lit(tweak) if isinstance(tweak, str) else tweak, i.cast("string"), half.cast("string"))
     return F.conv(F.substring(F.sha2(said, 256), 1, 12), 16, 10).cast("bigint")
 
 
-def feistel(key: str, tweak: str, left: Column, right: Column, a: Column, b: Column, decrypt: bool = False) -> Column:
+def feistel(key: str, tweak: str | Column, left: Column, right: Column, a: Column, b: Column, decrypt: bool = False) -> Column:
     """A keyed permutation of Z_a x Z_b, as a struct (l, r).
 
     Each round adds the keyed hash of one half to the other, modulo its size, and swaps; decrypt runs the rounds backwards.
@@ -62,7 +62,7 @@ def padded(number: Column, width: Column) -> Column:
     return F.lpad(number.cast("string"), width, "0")
 
 
-def permuted_digits(key: str, tweak: str, digits: Column, decrypt: bool) -> Column:
+def permuted_digits(key: str, tweak: str | Column, digits: Column, decrypt: bool) -> Column:
     """A permutation of all digit strings of this length (2 to 18)."""
     n = F.length(digits)
     u = F.call_function("div", n, F.lit(2)).cast("int")
@@ -95,14 +95,24 @@ def refilled(shape: Column, digits: Column) -> Column:
     return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("o"), F.lit(1).alias("k")), step, lambda s: s["o"])
 
 
+#: Prefixes and lengths that card issuers use.
+ISSUERS = (
+    r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|35(?:2[89]|[3-8]\d)\d{12}"
+    r"|6(?:011|4[4-9]\d|5\d\d)\d{12}|62\d{14,17})$"
+)
+
+
 def card(key: str, m: Column, decrypt: bool) -> Column:
-    payload = permuted_digits(key, "card", digits_of(m).substr(F.lit(1), F.length(digits_of(m)) - 1), decrypt)
+    """The issuer's first four digits stay, as part of the format; those up to the check digit are permuted."""
+    d = digits_of(m)
+    issuer, rest = d.substr(F.lit(1), F.lit(4)), d.substr(F.lit(5), F.length(d) - 5)
+    payload = F.concat(issuer, permuted_digits(key, F.concat(F.lit("card|"), issuer), rest, decrypt))
     return F.element_at(F.transform(F.array(payload), lambda p: refilled(m, F.concat(p, check_digit(p)))), 1)
 
 
 def card_valid(m: Column) -> Column:
     d = digits_of(m)
-    return check_digit(d.substr(F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1))
+    return d.rlike(ISSUERS) & (check_digit(d.substr(F.lit(1), F.length(d) - 1)) == F.right(d, F.lit(1)))
 
 
 def octets(m: Column) -> Column:
