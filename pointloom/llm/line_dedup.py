@@ -69,9 +69,11 @@ def keep_runs(dropped: Column, n_lines: Column) -> Column:
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none"
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep: str = "none", info_col: str = "line_dedup"
 ) -> DataFrame:
-    """docs with its columns, the text without repeated lines, and a struct `line_dedup` (n_lines, n_dropped, keep_runs).
+    """docs with its columns, the text without repeated lines, and a struct `info_col` (n_lines, n_dropped, keep_runs).
+
+    A column of docs that has the name of info_col is replaced.
 
     A line is repeated when its key (white space stripped at both ends, A-Z in lower case) of at least min_chars code points is in
     at least min_docs documents. keep="none" drops all its lines; keep="first" leaves the first by id and position.
@@ -92,7 +94,7 @@ def line_dedup(
     info = F.struct(
         F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.col("runs").alias("keep_runs")
     )
-    return marked.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns], info.alias("line_dedup"))
+    return marked.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != info_col], info.alias(info_col))
 
 
 def digest(result: DataFrame) -> DataFrame:

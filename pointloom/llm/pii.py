@@ -214,8 +214,8 @@ def pseudonym(key: str, m: Column, decrypt: bool) -> Column:
     )
 
 
-def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", decrypt: bool = False) -> DataFrame:
-    """docs with pseudonyms in the text, and a struct `pii` with the number of each kind.
+def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", decrypt: bool = False, info_col: str = "pii") -> DataFrame:
+    """docs with pseudonyms in the text, and a struct `info_col` with the number of each kind, in place of a column of that name.
 
     decrypt=True turns pseudonyms of numbers and dates back with the same key (an email's is one-way).
     """
@@ -234,6 +234,6 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", decrypt: boo
     joined = F.concat(F.col("gaps")[0], F.array_join(F.zip_with("new", rest, lambda m, g: F.concat(m["text"], g)), ""))
     count = lambda kind: F.coalesce(F.size(F.filter("new", lambda m: m["kind"] == kind)), F.lit(0)).cast("long")
     return split.select(
-        *[F.coalesce(joined, text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns],
-        F.struct(*[F.when(F.col("new").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(k) for k in KINDS]).alias("pii"),
+        *[F.coalesce(joined, text).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != info_col],
+        F.struct(*[F.when(F.col("new").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(k) for k in KINDS]).alias(info_col),
     )

@@ -120,9 +120,10 @@ def strip_repeats(texts, length=50):
     return out
 
 
-@pytest.mark.parametrize("chunk", [60_000, 2 << 20])
-def test_suffix_dedup_matches_brute_force(spark, sf_dir, monkeypatch, chunk):
+@pytest.mark.parametrize(("chunk", "hot"), [(60_000, 1 << 15), (60_000, 3), (2 << 20, 1 << 15)])
+def test_suffix_dedup_matches_brute_force(spark, sf_dir, monkeypatch, chunk, hot):
     monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "BUCKET", chunk)
     texts = [(r["doc_id"], r["text"].encode()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.op8_suffix_dedup(spark, sf_dir).collect())) == strip_repeats(texts)
@@ -130,7 +131,6 @@ def test_suffix_dedup_matches_brute_force(spark, sf_dir, monkeypatch, chunk):
 
 def test_suffix_dedup_of_periodic_and_edge_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK", 400)
-    monkeypatch.setattr(suffix_dedup, "SLICE", 300)
     rng = random.Random(9)
     part = "".join(rng.choice("ab") for _ in range(90))
     texts = ["ab" * 60, "ba" * 40, "a" * 200, "a" * 49, "a" * 50, "", part + "é" + part, "x" + part[:60] + "y" + part[30:], "é" * 40, "é" * 30, "ab" * 60, part * 3]

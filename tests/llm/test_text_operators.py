@@ -50,6 +50,8 @@ def test_line_dedup_edge_cases(spark):
     first = next(r for r in rows if r["doc_id"] == 3)
     assert first["text"] == "own 3\n" and first["line_dedup"]["n_lines"] == 4 and first["line_dedup"]["n_dropped"] == 2
     assert [tuple(x) for x in first["line_dedup"]["keep_runs"]] == [(1, 2)]
+    clash = ld.line_dedup(docs(spark, texts).withColumn("line_dedup", F.lit("mine")))
+    assert clash.columns.count("line_dedup") == 1 and clash.first()["line_dedup"]["n_lines"] == 4
     none = next(r for r in rows if r["doc_id"] is None)
     assert none["text"] == "" and none["line_dedup"]["n_lines"] == 1
     assert ld.line_dedup(docs(spark, [])).count() == 0
@@ -132,6 +134,7 @@ def test_pseudonyms(spark):
     assert pii.pseudonymize(docs(spark, [odd]), "key").first()["text"] == odd
     for secret in ("555-0134", "555-0187", "10.0.0.1 ", "078-05-1120", "x-y.example.org"):
         assert secret not in a
+    assert pii.pseudonymize(docs(spark, [PRIVATE]).withColumn("pii", F.lit(1)), "key").first()["pii"]["card"] == 2
     other = pii.pseudonymize(docs(spark, [PRIVATE]), "other key").first()["text"]
     assert other != a
     back = pii.pseudonymize(docs(spark, [a]), "key", decrypt=True).first()["text"]
