@@ -6,15 +6,17 @@ anchor stands for about twenty strings that follow each other, its stretch. Thre
 
 1. For each anchor a chunk sends the hash of its K-gram, the hash of its stretch and the smallest document; a K-gram hash bucket
    answers with the smallest document of all chunks that hold the same stretch, and marks K-grams that stand in unequal stretches.
-2. Of those the chunk sends the stretches' bytes, once each. The bucket sorts the suffixes of stretches that start a string and
-   share the anchor and its place: a merge sort that compares suffixes by prefix polynomial hashes and binary search for their
-   common extension. Neighbours with a common extension of `length`, verified byte by byte, are equal strings, and each stretch is
-   told where a smaller document holds one of its strings.
+2. Of those the chunk sends the stretches' bytes, once each. The bucket sorts the suffixes that start at the anchors: a merge sort
+   that compares suffixes by prefix polynomial hashes and binary search for their common extension. Strings with the same anchor
+   place are equal where suffixes beside each other have a long enough common extension and the bytes before the anchor agree; the
+   smallest document of equal strings, verified byte by byte, is sent to each stretch that a smaller document shares a string with.
+   A K-gram in more than HOT unequal stretches would fill a task: of those the chunk sends 96-bit hashes of the strings instead,
+   each string once, and the buckets go by the strings' hashes.
 3. Each chunk removes the strings found.
 
-Prefix hashes make a comparison logarithmic. A chunk sends each anchor once, however many of its documents hold it, so a passage in
-a third of all documents reaches a bucket once for each chunk. Chunks hold about CHUNK bytes and stay where they are: they are
-written once to a bucketed table in the shared folder and read from there by each pass.
+Prefix hashes make a comparison logarithmic. A chunk sends each anchor and each string once, however many of its documents hold it,
+so a passage in a third of all documents reaches a bucket once for each chunk. Chunks hold about CHUNK bytes and stay where they
+are: they are written once to a bucketed table in the shared folder and read from there by each pass.
 
 Defined results: a null text is empty; texts shorter than `length` stay; rows with the same id don't remove each other's bytes, nor
 do rows with a null id, which come after all others; what is left of a text may be no valid UTF-8 and is binary; other columns are
@@ -35,11 +37,14 @@ from pyspark.sql import functions as F
 from .common import bound_batches, shared_dir
 
 K = 18
-CHUNK, BUCKET, SLICE = 3 << 20, 16 << 20, 1 << 20
+#: Stretches of one K-gram that are sorted together at most; beyond, their strings go by their own hashes.
+HOT = 1 << 15
+CHUNK, BUCKET, SLICE = 2 << 20, 2 << 20, 1 << 18
 LAST = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _bytes = np.random.default_rng(20240229).integers(1 << 63, 1 << 64, 256, np.uint64)  # fixed values of the bytes in hashes
+_others = np.random.default_rng(20240301).integers(1 << 63, 1 << 64, 256, np.uint64)  # and those of a second, independent hash
 _powers: dict[int, np.ndarray] = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
@@ -54,10 +59,10 @@ def powers(base: int, n: int) -> np.ndarray:
 class Prefixes:
     """Hashes of all substrings of a text from the hashes of its prefixes, modulo 2^64."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, values: np.ndarray = _bytes):
         self.n = len(text)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(_bytes[text] * powers(BASE, self.n), out=self.sums[1:])
+        np.cumsum(values[text] * powers(BASE, self.n), out=self.sums[1:])
 
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * powers(INVERSE, self.n + 1)[start]
@@ -115,7 +120,7 @@ def _anchors(texts: list[bytes], number: int, length: int) -> dict[str, np.ndarr
     own = begins[doc[lo]]
     return {
         "doc": doc[lo] + np.int32(number), "lo": (lo - own).astype(np.int32), "hi": (hi - own).astype(np.int32), "at": (at - own).astype(np.int32),
-        "gram": low[lo], "stretch": stretch >> np.uint64(17),
+        "gram": mixed(low[lo] + np.uint64(BASE)), "stretch": stretch >> np.uint64(17),
     }
 
 
@@ -140,10 +145,14 @@ class Chunk:
 
     def buckets(self, n: int) -> Iterator[tuple[int, slice]]:
         """Entries by K-gram bucket; they are sorted by K-gram, so a bucket is a range."""
-        b = bucket_of(self.gram, n)
-        edges = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, int), len(b))
-        for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            yield int(b[s]), slice(s, e)
+        return ranges_of(bucket_of(self.gram, n))
+
+
+def ranges_of(b: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(value, range) of runs of equal values."""
+    edges = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, int), len(b))
+    for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        yield int(b[s]), slice(s, e)
 
 
 def bucket_of(gram: np.ndarray, n: int) -> np.ndarray:
@@ -178,20 +187,26 @@ def wide48(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 ROWS = "chunk long, bucket long, kind int, data binary"
 
 
+def joined48(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+
+
 def send_anchors(rows: pd.DataFrame, length: int, n_buckets: int) -> pd.DataFrame:
     c = Chunk(rows, length)
     marked = c.stretch << np.uint64(1) | c.shared.astype(np.uint64)
-    out = [(int(rows["chunk"].iloc[0]), b, 1, packed(c.gram[s], *wide48(marked[s]), c.low[s])) for b, s in c.buckets(n_buckets)]
+    # 48 bits of a K-gram's hash are enough: two that are taken for one only cost the exchange of their stretches.
+    cut = lambda g: wide48(g >> np.uint64(16))
+    out = [(int(rows["chunk"].iloc[0]), b, 1, packed(*cut(c.gram[s]), *wide48(marked[s]), c.low[s])) for b, s in c.buckets(n_buckets)]
     return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
 
 
-def answer_anchors(rows: pd.DataFrame) -> pd.DataFrame:
-    """To each chunk: entries of which another chunk holds a smaller document, with that; entries whose bytes are needed."""
+def answer_anchors(rows: pd.DataFrame, hot_from: int) -> pd.DataFrame:
+    """To each chunk: entries of which another chunk holds a smaller document, with that; entries whose bytes are needed; those of hot K-grams."""
     rows = rows.sort_values("chunk")
     parts = [unpacked(d) for d in rows["data"]]
     sizes = np.array([len(p[0]) for p in parts])
-    gram, lo32, hi16, low = (np.concatenate([p[i] for p in parts]) for i in range(4))
-    marked = lo32.astype(np.uint64) | hi16.astype(np.uint64) << np.uint64(32)
+    g32, g16, s32, s16, low = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    gram, marked = joined48(g32, g16), joined48(s32, s16)
     stretch, shared = marked >> np.uint64(1), (marked & np.uint64(1)).astype(bool)
     order = np.lexsort((stretch, gram))
     g, s, m = gram[order], stretch[order], low[order]
@@ -202,37 +217,74 @@ def answer_anchors(rows: pd.DataFrame) -> pd.DataFrame:
     of_gram = np.cumsum(new_gram) - 1
     several = np.add.reduceat(new_stretch.astype(np.int64), by_gram) > 1
     apart = (np.minimum.reduceat(m, by_gram) != np.maximum.reduceat(m, by_gram)) | np.logical_or.reduceat(shared[order], by_gram)
-    needed, lower = np.empty(len(g), bool), np.empty(len(g), np.int64)
-    needed[order] = (several & apart)[of_gram]
+    hot = np.diff(np.append(by_gram, len(g))) > hot_from
+    needed, crowded, lower = np.empty(len(g), bool), np.empty(len(g), bool), np.empty(len(g), np.int64)
+    needed[order] = (several & apart & ~hot)[of_gram]
+    crowded[order] = (several & apart & hot)[of_gram]
     lower[order] = least
     out, at = [], 0
     for chunk, n in zip(rows["chunk"].tolist(), sizes.tolist(), strict=True):
         part = slice(at, at + n)
         at += n
         smaller = np.flatnonzero(lower[part] < low[part])
-        ask = np.flatnonzero(needed[part])
-        if len(smaller) or len(ask):
-            out.append((chunk, int(rows["bucket"].iloc[0]), 2, packed(smaller, lower[part][smaller], ask)))
+        ask, crowd = np.flatnonzero(needed[part]), np.flatnonzero(crowded[part])
+        if len(smaller) or len(ask) or len(crowd):
+            out.append((chunk, int(rows["bucket"].iloc[0]), 2, packed(smaller, lower[part][smaller], ask, crowd)))
     return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
 
 
+class HotStrings:
+    """The distinct strings of a chunk's stretches of hot K-grams, by hash, with the smallest document, and where each occurs."""
+
+    def __init__(self, c: Chunk, entries: np.ndarray, length: int):
+        run = c.first[entries]
+        doc, lo, hi = c.a["doc"][run], c.a["lo"][run].astype(np.int64), c.a["hi"][run].astype(np.int64)
+        text = np.frombuffer(b"".join(c.texts[d][i : j + length] for d, i, j in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.uint8)
+        strings = hi - lo + 1
+        size = strings + length - 1
+        record = np.repeat(np.arange(len(entries)), strings)
+        string = np.arange(len(record)) - np.repeat(np.cumsum(strings) - strings, strings)
+        at = np.repeat(np.cumsum(size) - size, strings) + string
+        h1, h2 = mixed(Prefixes(text).of(at, length)), mixed(Prefixes(text, _others).of(at, length)) >> np.uint64(32)
+        order = np.lexsort((c.low[entries][record], h2, h1))
+        h1, h2 = h1[order], h2[order]
+        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) if len(h1) else np.zeros(0, bool)
+        self.entry, self.string, self.klass = entries[record[order]], string[order], np.cumsum(new) - 1
+        self.h1, self.h2, self.low = h1[new], h2[new].astype(np.uint32), c.low[self.entry[new]]
+
+    def buckets(self, n: int) -> Iterator[tuple[int, slice]]:
+        return ranges_of(bucket_of(self.h1, n))
+
+
+def by_chunk_bucket(answers: pd.DataFrame) -> dict[int, list[np.ndarray]]:
+    return {b: unpacked(d) for b, k, d in zip(answers["bucket"], answers["kind"], answers["data"], strict=True) if k == 2}
+
+
+def hot_entries(c: Chunk, asked: dict[int, list[np.ndarray]], n_buckets: int) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[s.start + asked[b][3] for b, s in c.buckets(n_buckets) if b in asked]])
+
+
 def send_stretches(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buckets: int) -> pd.DataFrame:
     columns = ["chunk", "bucket", "kind", "data"]
     if not len(rows) or not len(answers):
         return pd.DataFrame([], columns=columns)
-    asked = {b: unpacked(d)[2] for b, d in zip(answers["bucket"], answers["data"], strict=True)}
+    asked = by_chunk_bucket(answers)
     c = Chunk(rows, length)
+    chunk = int(rows["chunk"].iloc[0])
     out = []
     for b, s in c.buckets(n_buckets):
-        want = asked.get(b)
-        if want is None or not len(want):
+        if b not in asked or not len(asked[b][2]):
             continue
-        e = np.arange(s.start, s.stop)[want]
+        e = s.start + asked[b][2]
         run = c.first[e]
         doc, lo, hi = c.a["doc"][run], c.a["lo"][run], c.a["hi"][run]
         text = b"".join(c.texts[d][i : j + length] for d, i, j in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True))
         data = packed(e.astype(np.int64), c.gram[e], c.low[e], (hi - lo + length).astype(np.uint8), (c.a["at"][run] - lo).astype(np.uint8), np.frombuffer(text, np.uint8))
-        out.append((int(rows["chunk"].iloc[0]), b, 3, data))
+        out.append((chunk, b, 3, data))
+    hot = hot_entries(c, asked, n_buckets)
+    if len(hot):
+        strings = HotStrings(c, hot, length)
+        out += [(chunk, b, 5, packed(strings.h1[s], strings.h2[s], strings.low[s])) for b, s in strings.buckets(n_buckets)]
     return pd.DataFrame(out, columns=columns)
 
 
@@ -244,12 +296,16 @@ class Suffixes:
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The longest common extension, at most `length`: binary search on equal prefix hashes."""
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length)
-        for _ in range(self.length.bit_length()):
+        out = np.full(len(x), self.length)
+        apart = np.flatnonzero(self.prefix.of(x, self.length) != self.prefix.of(y, self.length))
+        x, y = x[apart], y[apart]
+        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length - 1)
+        for _ in range((self.length - 1).bit_length()):
             middle = (low + high + 1) // 2
             same = self.prefix.of(x, middle) == self.prefix.of(y, middle)
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
-        return low
+        out[apart] = low
+        return out
 
     def less(self, x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         n = self.common(x, y)
@@ -291,52 +347,81 @@ class Suffixes:
             width *= 2
         return order
 
-    def equal(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Whether strings are equal, byte by byte."""
-        out = np.ones(len(x), bool)
-        for k in range(self.length):
-            out &= self.text[x + k] == self.text[y + k]
-        return out
-
 
 def answer_stretches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """To each chunk: (entry, string of its stretch, smallest document), where that is smaller than the stretch's own."""
     rows = rows.sort_values("chunk")
+    out = []
+    if len(own := rows[rows["kind"] == 3]):
+        out += _answer_sorted(own, length)
+    if len(own := rows[rows["kind"] == 5]):
+        out += _answer_hashed(own)
+    return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
+
+
+def _answer_hashed(rows: pd.DataFrame) -> list[tuple]:
+    parts = [unpacked(d) for d in rows["data"]]
+    counts = np.array([len(p[0]) for p in parts])
+    h1, h2, low = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((h2, h1))
+    new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
+    least = np.empty(len(low), np.int64)
+    least[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    out, at = [], 0
+    for chunk, n in zip(rows["chunk"].tolist(), counts.tolist(), strict=True):
+        smaller = np.flatnonzero(least[at : at + n] < low[at : at + n])
+        if len(smaller):
+            out.append((chunk, int(rows["bucket"].iloc[0]), 6, packed(smaller, least[at : at + n][smaller])))
+        at += n
+    return out
+
+
+def _answer_sorted(rows: pd.DataFrame, length: int) -> list[tuple]:
     parts = [unpacked(d) for d in rows["data"]]
     counts = np.array([len(p[0]) for p in parts])
     entry, gram, low, size, anchor, text = (np.concatenate([p[i] for p in parts]) for i in range(6))
     size, anchor = size.astype(np.int64), anchor.astype(np.int64)
-    starts = np.cumsum(size) - size
-    strings = size - length + 1
-    record = np.repeat(np.arange(len(size)), strings)
-    string = np.arange(len(record)) - np.repeat(np.cumsum(strings) - strings, strings)
-    # Equal strings have the same anchor at the same place: only those are compared.
-    order = np.lexsort((anchor[record] - string, gram[record]))
-    g, p = gram[record[order]], (anchor[record] - string)[order]
-    new = np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]))
-    alone = new & np.append(new[1:], True)
-    order, group = order[~alone], (np.cumsum(new) - 1)[~alone]
-    out: list[tuple] = []
-    if len(order):
-        at = (starts[record] + string)[order]
-        suffixes = Suffixes(text, length)
-        by = suffixes.sort(at, group)
-        at, group, order = at[by], group[by], order[by]
-        same = (group[1:] == group[:-1]) & (suffixes.common(at[1:], at[:-1]) == length)
-        pairs = np.flatnonzero(same)
-        same[pairs] = suffixes.equal(at[pairs + 1], at[pairs])  # a hash collision would part here
-        klass = np.cumsum(np.append(True, ~same)) - 1
-        least = np.minimum.reduceat(low[record[order]], np.flatnonzero(np.append(True, ~same)))[klass]
-        smaller = np.flatnonzero(least < low[record[order]])
-        rec, st, least = record[order[smaller]], string[order[smaller]], least[smaller]
-        sorted_ = np.argsort(rec, kind="stable")
-        rec, st, least = rec[sorted_], st[sorted_], least[sorted_]
-        edges = np.searchsorted(rec, np.append(0, np.cumsum(counts)))
-        for k, chunk in enumerate(rows["chunk"].tolist()):
-            s = slice(edges[k], edges[k + 1])
-            if s.start < s.stop:
-                out.append((chunk, int(rows["bucket"].iloc[0]), 4, packed(entry[rec[s]], st[s].astype(np.uint8), least[s])))
-    return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
+    group = np.unique(gram, return_inverse=True)[1]
+    order = np.argsort(group, kind="stable")
+    # Each record's bytes from its anchor on, and those before it backwards, padded to rows of one width.
+    place = (np.cumsum(size) - size + anchor)[order]
+    width = length - K
+    size, anchor, group, low = size[order], anchor[order], group[order], low[order]
+    step = np.arange(length)
+    right = np.where(step < (size - anchor)[:, None], text[np.minimum(place[:, None] + step, len(text) - 1)], 0).astype(np.uint8)
+    left = np.where(step[:width] < anchor[:, None], text[np.maximum(place[:, None] - 1 - step[:width], 0)], 0).astype(np.uint8)
+    suffixes = Suffixes(right.ravel(), length)
+    at = np.arange(len(order)) * length
+    by = suffixes.sort(at, group)
+    order, size, anchor, group, low, right, left = order[by], size[by], anchor[by], group[by], low[by], right[by], left[by]
+    extension = np.append(-1, np.where(group[1:] == group[:-1], suffixes.common(at[by][1:], at[by][:-1]), -1))
+    before = Prefixes(left.ravel())
+    row = np.arange(len(order)) * width
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for p in range(width + 1):
+        # Strings with p bytes before the anchor: equal suffixes of the rest stand together, and the p bytes must agree.
+        string = anchor - p
+        here = np.flatnonzero((string >= 0) & (string <= size - length))
+        run = np.cumsum(extension < length - p)[here]
+        side = before.of(row[here], p)
+        o = np.lexsort((low[here], side, run))
+        new = np.append(True, (run[o][1:] != run[o][:-1]) | (side[o][1:] != side[o][:-1])) if len(o) else np.zeros(0, bool)
+        first = here[o][new][np.cumsum(new) - 1] if len(o) else o
+        mine = here[o]
+        smaller = np.flatnonzero(low[first] < low[mine])
+        mine, first = mine[smaller], first[smaller]
+        same = (right[mine, : length - p] == right[first, : length - p]).all(1) & (left[mine, :p] == left[first, :p]).all(1)
+        found.append((order[mine[same]], string[mine[same]], low[first[same]]))
+    record, string, least = (np.concatenate([f[i] for f in found]) for i in range(3))
+    o = np.argsort(record, kind="stable")
+    record, string, least = record[o], string[o], least[o]
+    edges = np.searchsorted(record, np.append(0, np.cumsum(counts)))
+    out = []
+    for k, chunk in enumerate(rows["chunk"].tolist()):
+        s = slice(edges[k], edges[k + 1])
+        if s.start < s.stop:
+            out.append((chunk, int(rows["bucket"].iloc[0]), 4, packed(entry[record[s]], string[s].astype(np.uint8), least[s])))
+    return out
 
 
 RESULT = "id long, k1 long, k2 long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
@@ -349,13 +434,19 @@ def remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buckets: in
     first = {b: s.start for b, s in c.buckets(n_buckets)}
     low = c.low.copy()
     singles = []
-    for b, kind, data in zip(answers["bucket"], answers["kind"], answers["data"], strict=True):
-        got = unpacked(data)
-        if kind == 2:
-            at = first[b] + got[0]
-            low[at] = np.minimum(low[at], got[1])
-        else:
-            singles.append(got)
+    asked = by_chunk_bucket(answers)
+    for b, got in asked.items():
+        at = first[b] + got[0]
+        low[at] = np.minimum(low[at], got[1])
+    hashed = {b: unpacked(d) for b, k, d in zip(answers["bucket"], answers["kind"], answers["data"], strict=True) if k == 6}
+    if hashed or len(hot_entries(c, asked, n_buckets)):
+        strings = HotStrings(c, hot_entries(c, asked, n_buckets), length)
+        least = strings.low.copy()
+        for b, s in strings.buckets(n_buckets):
+            if b in hashed:
+                least[s.start + hashed[b][0]] = hashed[b][1]
+        singles.append([strings.entry, strings.string, least[strings.klass]])
+    singles += [unpacked(d) for k, d in zip(answers["kind"], answers["data"], strict=True) if k == 4]
     sizes = np.array([len(t) for t in c.texts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
     depth = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
@@ -413,7 +504,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"lengths from {K} to 200")
     chunks, n = chunked(docs, id_col, text_col)
     sent = chunks.groupBy("chunk").applyInPandas(lambda rows: send_anchors(rows, length, n), ROWS)
-    answers = sent.groupBy("bucket").applyInPandas(answer_anchors, ROWS)
+    hot_from = HOT
+    answers = sent.groupBy("bucket").applyInPandas(lambda rows: answer_anchors(rows, hot_from), ROWS)
     path = f"{shared_dir(docs.sparkSession).rstrip('/')}/pointloom-answers-{uuid4().hex}"
     answers.write.parquet(path)  # read twice below
     answers = docs.sparkSession.read.schema(ROWS).parquet(path)
