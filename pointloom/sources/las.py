@@ -141,6 +141,8 @@ class LasWriter(DataSourceArrowWriter):
         self.options, self.overwrite = options, overwrite
         self.scale = tuple(float(v) for v in options.get("scale", "0.001,0.001,0.001").split(","))
         self.offset = tuple(float(v) for v in options.get("offset", "0,0,0").split(","))
+        pairs = [p.rpartition(":") for p in options.get("extra", "").split(",") if p]
+        self.extra = [(name, kind) for name, _, kind in pairs]
         if 0.0 in self.scale:
             raise ValueError("a scale of zero")
 
@@ -148,7 +150,8 @@ class LasWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         fmt = int(self.options["pointFormat"])
-        dtype = las.record_dtype(fmt)
+        dtype = las.record_dtype(fmt, self.extra)
+        vlrs = [las.Vlr(las.VLR_USER, las.EXTRA_BYTES, b"".join(las.ExtraField(n, t).pack() for n, t in self.extra))] if self.extra else []
         low, high = np.full(3, np.inf), np.full(3, -np.inf)
         counts, total = np.zeros(15, np.int64), 0
         bits = 15 if las.is_extended(fmt) else 7
@@ -164,7 +167,7 @@ class LasWriter(DataSourceArrowWriter):
                 counts += np.bincount(raw["flags"] & bits, minlength=16)[1:16]
                 total += len(raw)
         world = lambda v: tuple(float(c) * s + o for c, s, o in zip(v if total else (0, 0, 0), self.scale, self.offset, strict=True))
-        header = las.Header((1, 4), fmt, dtype.itemsize, total, 375, self.scale, self.offset, world(low) + world(high), counts.tolist(), software="pointloom")
+        header = las.Header((1, 4), fmt, dtype.itemsize, total, 375, self.scale, self.offset, world(low) + world(high), counts.tolist(), vlrs, software="pointloom")
         # One name for each partition, whichever attempt writes it: a lost task's file is replaced whole.
         path = f"{self.options['path'].rstrip('/')}/part-{TaskContext.get().partitionId():05d}.las"
         write_whole(path, las.pack_header(header), *parts)
@@ -219,8 +222,8 @@ def las_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def stored_columns(points: DataFrame, fmt: int, scale, offset) -> DataFrame:
-    """Points as the fields of a format's records. Attributes that the format lacks are dropped, missing ones are zero."""
+def stored_columns(points: DataFrame, fmt: int, scale, offset, extra: list[tuple[str, str]] = ()) -> DataFrame:
+    """Points as the fields of a format's records, extra attributes after them. Other attributes are dropped, missing ones are zero."""
     from ..functions.bits import pack
     from ..functions.geometry import local_position
 
@@ -238,8 +241,11 @@ def stored_columns(points: DataFrame, fmt: int, scale, offset) -> DataFrame:
     vectors = {"red": ("ColorRGB", "x"), "green": ("ColorRGB", "y"), "blue": ("ColorRGB", "z"), "wx": ("WaveformParameters", "x"), "wy": ("WaveformParameters", "y"), "wz": ("WaveformParameters", "z")}
     out = []
     parts = EXTENDED_FLAGS if las.is_extended(fmt) else BASIC_FLAGS
-    for name in las.record_dtype(fmt).names:
-        if name in "xyz":
+    kinds = dict(extra)
+    for name in las.record_dtype(fmt, extra).names:
+        if name in kinds:
+            out.append((F.col(name).cast("long") if kinds[name] == "u64" else F.col(name)).alias(name))
+        elif name in "xyz":
             out.append(place[name].alias(name))
         elif name == "flags":
             out.append(pack({n: value(n) for n, _, _ in parts}, parts).alias(name))
@@ -251,15 +257,26 @@ def stored_columns(points: DataFrame, fmt: int, scale, offset) -> DataFrame:
     return points.select(POINT_IDX, *out)
 
 
-def write_las(points: DataFrame, path: str, fmt: int | None = None, scale=(0.001, 0.001, 0.001), offset=(0.0, 0.0, 0.0)) -> None:
-    """A folder of LAS 1.4 files in index order; the format follows from the attributes unless given."""
-    fmt = las.best_format(PointSchema.of_frame(points)) if fmt is None else fmt
+def write_las(points: DataFrame, path: str, fmt: int | None = None, scale=(0.001, 0.001, 0.001), offset=(0.0, 0.0, 0.0), extra: tuple[str, ...] = ()) -> None:
+    """A folder of LAS 1.4 files in index order; the format follows from the attributes unless given.
+
+    extra names scalar attributes that no format has; they are stored as described extra bytes.
+    """
+    schema = PointSchema.of_frame(points)
+    fmt = las.best_format(schema) if fmt is None else fmt
     if 0.0 in scale:
         raise ValueError("a scale of zero")
-    rows = stored_columns(points, fmt, scale, offset).repartitionByRange(POINT_IDX).sortWithinPartitions(POINT_IDX)
+    pairs = []
+    for name in extra:
+        a = schema.find(name)
+        if a is None or a.type not in las.NUMPY:
+            raise ValueError(f"no scalar attribute {name!r}")
+        pairs.append((name, a.type))
+    rows = stored_columns(points, fmt, scale, offset, pairs).repartitionByRange(POINT_IDX).sortWithinPartitions(POINT_IDX)
     points.sparkSession.dataSource.register(LasSource)
     join = lambda v: ",".join(map(repr, map(float, v)))
-    rows.write.format("points_las").option("pointFormat", fmt).option("scale", join(scale)).option("offset", join(offset)).mode("append").save(path)
+    writer = rows.write.format("points_las").option("pointFormat", fmt).option("scale", join(scale)).option("offset", join(offset))
+    writer.option("extra", ",".join(f"{n}:{t}" for n, t in pairs)).mode("append").save(path)
 
 
 def las_bytes(header: las.Header, records: np.ndarray) -> bytes:

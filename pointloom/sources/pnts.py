@@ -79,8 +79,8 @@ def _padded(data: bytes, fill: bytes, at: int = 0) -> bytes:
     return data + fill * (-(len(data) + at) % 8)
 
 
-def pack_tile(columns: dict[str, np.ndarray], n: int, rtc_center: list[float] | None = None) -> bytes:
-    """columns: semantic -> array (n, components)."""
+def pack_tile(columns: dict[str, np.ndarray], n: int, rtc_center: list[float] | None = None, batch: dict | None = None, batch_body: bytes = b"") -> bytes:
+    """columns: semantic -> array (n, components); batch: the batch table's JSON, whose references point into batch_body."""
     features: dict = {"POINTS_LENGTH": n}
     if rtc_center:
         features["RTC_CENTER"] = rtc_center
@@ -92,7 +92,10 @@ def pack_tile(columns: dict[str, np.ndarray], n: int, rtc_center: list[float] |
             body += np.ascontiguousarray(columns[name]).astype(kind).tobytes()
     head = _padded(json.dumps(features, separators=(",", ":")).encode(), b" ", HEADER.size)
     body = _padded(body, b"\0")
-    return HEADER.pack(b"pnts", 1, HEADER.size + len(head) + len(body), len(head), len(body), 0, 0) + head + body
+    table = _padded(json.dumps(batch, separators=(",", ":")).encode(), b" ") if batch else b""
+    tail = _padded(batch_body, b"\0") if batch else b""
+    sizes = [len(p) for p in (head, body, table, tail)]
+    return HEADER.pack(b"pnts", 1, HEADER.size + sum(sizes), *sizes) + head + body + table + tail
 
 
 def load_tile(path: str) -> Tile:

@@ -81,6 +81,17 @@ def test_las_extra_bytes_and_records(spark, tmp_path):
     assert fmt.ExtraField.unpack(described.pack()) == described
 
 
+def test_las_extra_attributes_round_trip(spark, tmp_path):
+    schema = PointSchema.of("Position3D", "Intensity").add(Attribute("Quality", "f32")).add(Attribute("Tag", "u32"))
+    p = frame.in_memory(spark, schema, [((float(i), 0.0, 0.0), i, i / 2, 2**32 - 1 - i) for i in range(5)])
+    write_las(p, str(tmp_path / "o"), extra=("Quality", "Tag"))
+    back = read_las(spark, str(tmp_path / "o"))
+    assert frame.equal_points(p, back.select(p.columns)).first()[0]
+    assert [e["name"] for e in las_metadata(spark, str(tmp_path / "o")).first()["extra_fields"]] == ["Quality", "Tag"]
+    with pytest.raises(ValueError):
+        write_las(p, str(tmp_path / "q"), extra=("Position3D",))
+
+
 def test_las_pruning_and_errors(spark, tmp_path):
     las_file(tmp_path / "a.las", 0)
     las_file(tmp_path / "b.las", 0)
@@ -118,6 +129,8 @@ def test_tiles(spark, tmp_path):
     assert tuple(pnts_metadata(spark, path).first()[1:3]) == (2, [10.0, 10.0, 10.0])
     with pytest.raises(ValueError):
         read_tile(b"pnts")
+    named = read_tile(pack_tile({"POSITION": at}, 2, batch={"id": [1, 2], "h": {"byteOffset": 0, "componentType": "FLOAT", "type": "SCALAR"}}, batch_body=b"12345678"))
+    assert named.batch["id"] == [1, 2] and named.batch_body == b"12345678" and named.length == 2
     points = read_points(spark, path)
     write_pnts(points, str(tmp_path / "out"), (1.0, 2.0, 3.0))
     assert read_pnts(spark, str(tmp_path / "out"), positionsMode="relative").count() == 2
