@@ -96,34 +96,47 @@ def _anchors(texts: list[bytes], number: int, length: int) -> dict[str, np.ndarr
     prefix = Prefixes(buf)
     n = len(buf) - length + 1
     value = mixed(prefix.of(np.arange(len(buf) - K + 1), K))
-    place = np.arange(len(value), dtype=np.int32)
-    # Leftmost smallest K-gram of each string, by doubling: width - 1 more K-grams from where it starts.
-    width, have = length - K + 1, 1
-    low, where = value, place
+    # Smallest K-gram of each string, by doubling the number of K-grams looked at.
+    width, have, low = length - K + 1, 1, value
     while have < width:
         step = min(have, width - have)
-        right = low[step:]
-        left = low[: len(right)]
-        where = np.where(right < left, where[step:], where[: len(right)])
-        low = np.minimum(left, right)
+        low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    low, where = low[:n], where[:n]
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[:n]
-    start = np.flatnonzero(np.arange(n) + length <= (begins + sizes)[doc])
-    # Strings inside one text only; the minima of those never look beyond it.
-    first = np.append(True, (where[start[1:]] != where[start[:-1]]) | (doc[start[1:]] != doc[start[:-1]]))
-    lo = start[first]
-    hi = start[np.append(np.flatnonzero(first)[1:], len(start)) - 1]
-    at = where[lo]
+    inside = np.ones(n, bool)  # strings of one text only
+    for end in (begins + sizes).tolist():
+        inside[max(0, end - length + 1) : end] = False
+    start = np.flatnonzero(inside)
+    least = low[start]
+    leaves = value[start] == least  # the anchor is the string's first K-gram, so the next string has another
+    first = np.append(True, (least[1:] != least[:-1]) | leaves[:-1] | (start[1:] != start[:-1] + 1))[: len(start)]
+    last = np.append(first[1:], True)[: len(start)]
+    lo, hi, gram = start[first], start[last], least[last]
+    at = hi.copy()
+    later = np.flatnonzero(~leaves[last])
+    if len(later):
+        ahead = value[hi[later][:, None] + np.arange(1, width)] == gram[later][:, None]
+        at[later] += 1 + ahead.argmax(1)
     size = hi - lo + length
     stretch = mixed(prefix.of(lo, size) + (size * 64 + (at - lo)).astype(np.uint64) * np.uint64(BASE))
-    own = begins[doc[lo]]
+    doc = np.searchsorted(begins + sizes, lo, side="right")
+    own = begins[doc]
     return {
-        "doc": doc[lo] + np.int32(number), "lo": (lo - own).astype(np.int32), "hi": (hi - own).astype(np.int32), "at": (at - own).astype(np.int32),
-        "gram": mixed(low[lo] + np.uint64(BASE)), "stretch": stretch >> np.uint64(17),
+        "doc": (doc + number).astype(np.int32), "lo": (lo - own).astype(np.int32), "hi": (hi - own).astype(np.int32), "at": (at - own).astype(np.int32),
+        "gram": mixed(gram + np.uint64(BASE)), "stretch": stretch >> np.uint64(17),
     }
 
 
+def sorted_by(gram: np.ndarray, stretch: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Order by K-gram, stretch and document. Most K-grams occur once, so only the others are compared further."""
+    order = np.argsort(gram, kind="stable")
+    g = gram[order]
+    same = np.append(False, g[1:] == g[:-1])[: len(g)]
+    tied = np.flatnonzero(same | np.append(same[1:], False)[: len(g)])
+    part = order[tied]
+    order[tied] = part[np.lexsort((doc[part], stretch[part], gram[part]))]
+    return order
+
+
 class Chunk:
     """A chunk's documents in order, their stretches, and its entries: distinct (K-gram, stretch) with the smallest document."""
 
@@ -132,7 +145,7 @@ class Chunk:
         self.rows, self.rank = rows, rows["rank"].to_numpy(np.int64)
         self.texts = [bytes(t) for t in rows["text"]]
         a = anchors(self.texts, length)
-        order = np.lexsort((a["doc"], a["stretch"], a["gram"]))
+        order = sorted_by(a["gram"], a["stretch"], a["doc"])
         self.a = {k: v[order] for k, v in a.items()}
         gram, stretch = self.a["gram"], self.a["stretch"]
         first = np.append(True, (gram[1:] != gram[:-1]) | (stretch[1:] != stretch[:-1])) if len(gram) else np.zeros(0, bool)
