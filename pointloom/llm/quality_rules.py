@@ -6,7 +6,7 @@ quartiles; a group with too few documents takes its language's fences, or the co
 is kept when every measure is inside them.
 
 Defined results: a null text has no words; null languages and sources form groups of their own; a document without words is
-rejected by the base rules; repeated rows each count and each get their row; other columns pass through.
+rejected by the base rules; repeated rows each count and each get their row; other columns are ignored.
 """
 
 from __future__ import annotations
