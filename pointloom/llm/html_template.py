@@ -28,7 +28,7 @@ from .common import cut
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|template|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -49,8 +49,10 @@ ASIDE_WORDS = frozenset(
     "topbar toolbar related recommended login signin signup search searchbox copyright disclaimer contentinfo complementary".split()
 )
 ARTICLE_WORDS = frozenset("main article".split())
-#: Share of a host's pages that a template's class covers at least, and the largest share of link text in a slot that stays.
+#: Share of a host's pages that a template's class covers at least, the largest share of link text in a slot that stays, and the depth
+#: below which paths list each element once.
 SUPPORT, LINKS = 0.1, 0.5
+DEEP = 64
 
 
 def purposes(attrs: str) -> list[str]:
@@ -66,11 +68,12 @@ def purposes(attrs: str) -> list[str]:
 def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
     """(path, text, characters inside links) of each block with text, in page order.
 
-    A path lists the open block elements, an element's purposes after dots: "html/body/div.ad". Elements that may stay open end by
+    A path lists the open block elements, an element's purposes after dots: "html/body/div.ad"; below DEEP elements only those that
+    the path doesn't list yet, so that deep nests have short paths. Elements that may stay open end by
     the rules of HTML for p, li, dt, dd, td, th, tr and option; an end tag closes up to its element, or nothing if none is open.
     """
     stack: list[str] = []
-    names: list[str] = []
+    paths: list[str] = []
     text: list[str] = []
     linked = links = 0
 
@@ -78,11 +81,11 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
         nonlocal linked
         whole = " ".join("".join(text).split())
         text.clear()
-        out = ("/".join(names), whole, linked) if whole else None
+        out = (paths[-1] if paths else "", whole, linked) if whole else None
         linked = 0
         return out
 
-    for m in TOKEN.finditer(page or ""):
+    for m in TOKEN.finditer(page or ""):  # linear: a tag's unquoted part ends at the next '<', and nothing is tried twice
         tag = m["tag"]
         if tag is None:
             said = m.group()
@@ -105,8 +108,8 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
         if m["end"]:
             if tag in stack:
                 while stack.pop() != tag:
-                    names.pop()
-                names.pop()
+                    paths.pop()
+                paths.pop()
             continue
         closing = ENDS.get(tag, {"p"} if tag not in ("html", "head", "body") else set())
         scope = SCOPES.get(tag, set())
@@ -114,11 +117,13 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
             if stack[i] in scope or (stack[i] not in closing and stack[i] in ("article", "section", "div", "td", "body", "li", "blockquote")):
                 break
             if stack[i] in closing:
-                del stack[i:], names[i:]
+                del stack[i:], paths[i:]
                 break
         if tag not in VOID:
+            name, above = ".".join([tag, *purposes(m["attrs"])]), paths[-1] if paths else ""
+            listed = len(stack) >= DEEP and f"/{name}/" in f"/{above}/"
             stack.append(tag)
-            names.append(".".join([tag, *purposes(m["attrs"])]))
+            paths.append(above if listed else f"{above}/{name}" if above else name)
     if (found := flush()) is not None:
         yield found
 

@@ -171,6 +171,14 @@ DIRTY = """<html><head><title>t</title><script>var a = "<p>no</p>";</script></he
 <aside>More</aside><div class="comments"><div class=comment><p>Nice {i}!</p></div></div><!-- <p>gone</p> --><footer>&copy; us</footer></body></html>"""
 
 
+def test_odd_markup_takes_linear_time():
+    deep = "<article>" + "<div>z" * 20_000
+    assert html_template.page_text(deep, None).count("z") == 20_000
+    for page in ("<a " * 30_000, '<a "' * 20_000, "<p>" * 50_000 + "x", "<!--" * 30_000, "<div>x<section class=ad>y" * 5000):
+        assert len(html_template.page_text(page, None)) <= len(page)
+    assert html_template.page_text('<article><p title="a>b">One</p><p class=\'ad\'>no</p>two', None) == "One\ntwo"
+
+
 @pytest.mark.parametrize("main", ["article", "content"])
 def test_dirty_pages(spark, main):
     pages = [(i, f"http://h.example/{i}", DIRTY.replace("{main}", main).replace("{i}", str(i))) for i in range(12)]
