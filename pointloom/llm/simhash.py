@@ -1,25 +1,30 @@
-"""SimHash near-dedup: fingerprints, exact tiled comparison, connected components.
-
-Fingerprints are compared once each, however many documents share one, and only inside blocks. For a radius of few bits the blocks
-are radius + 1 bands of the fingerprint: two fingerprints within the radius agree on one band at least, so every link is found. For a
-similarity of word shingles, fingerprints of 256 bits are blocked by MINIMA minima of the shingle hashes: documents of Jaccard
-similarity s share none of them with probability (1 - s)^MINIMA, 3 in a million at 0.8; the radius is the expected distance at that
-similarity and two standard deviations more, so pairs somewhat below it link too, and hardly one at it is missed.
-
-A block of at most TILE fingerprints is one tile. A larger one is cut by level (population count for a small radius, shingle count
-for a similarity: levels more than one apart can't link) and by hash into tiles, and each pair of tiles is a group of its own, on
-any executor. Inside a pair of tiles, sub-blocks sorted by population count are compared by exclusive-or and bit counts, and those
-whose counts differ beyond the radius are skipped. A pair of tiles returns a spanning forest of its links, so a large group of near
-copies gives as many rows as members, not pairs. Components come from alternating large-star and small-star steps over a table.
-
-Defined results: null and empty texts and texts of white space have fingerprint zero and link like any other; repeated rows share a
-fingerprint; a null id is never the smallest unless all of a component's are null; other columns pass through.
+"""Near-dedup: fingerprints or shingle sets, exact tiled comparison, connected components.
+
+SimHash fingerprints are compared once each, however many documents share one, and only inside blocks: radius + 1 bands of the
+fingerprint. Two fingerprints within the radius agree on one band at least, so every link is found.
+
+For a similarity of word shingles a node is a set of distinct shingles (as 64-bit hashes), however many documents have it, and two nodes
+link if the exact Jaccard similarity of their sets is the given one or more. Blocks are MINIMA minima of the shingle hashes, which come
+from the set alone: sets of similarity s share none of them with probability (1 - s)^MINIMA, 3 in a million at 0.8. Blocks of the same
+members are compared once. Sets are made again from the texts, of those nodes only that share a block, and travel to its tiles.
+
+A block of at most TILE fingerprints is one tile (of SET_TILE sets and SET_SHINGLES shingles, for a similarity). A larger one is cut by
+level (population count for a small radius; the number of distinct shingles for a similarity, which is part of the node) and by hash
+into tiles, and each pair of tiles whose levels differ by one at most is a group of its own, on any executor: by their sizes alone,
+nodes whose levels differ by more can't link. Inside a pair of tiles, sub-blocks of fingerprints sorted by population count are compared
+by exclusive-or and bit counts; sets are compared where they share one of the rarest shingles that a similar set can't lack all of. A
+pair of tiles returns a spanning forest of its links, so a large group of near copies gives as many rows as members, not pairs.
+Components come from alternating large-star and small-star steps over a table.
+
+Defined results: null and empty texts and texts of white space have fingerprint zero, or the empty set, and link like any other; repeated
+rows share a fingerprint or set; a null id is never the smallest unless all of a component's are null; other columns pass through.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import repeat
 
 import numpy as np
@@ -32,10 +37,11 @@ from pyspark.sql import types as T
 from .common import cut, row_keys
 
 TILE, BLOCK, SMALL = 512, 256, 32
+SET_TILE, SET_SHINGLES = 2048, 1_000_000
 #: Rows of removed documents (16 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 CHUNK = 50_000
-WIDE, MINIMA = 4, 8
+MINIMA = 8
 ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1000193) for k in range(16)]
 
 
@@ -48,12 +54,21 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def sketches(texts: list[str | None], shingle: int, width: int = 1, minima: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(SimHash of width * 64 bits, minima of the shingle hashes, number of shingles) of each text.
+def shingle_hashes(text: str | None, shingle: int) -> list[int]:
+    """Hashes of the word shingles, with repeats; a text of fewer words is one shingle.
 
     bytes.lower and bytes.split know only ASCII letters and white space, as wanted here.
     """
-    fp, low, count = np.zeros((len(texts), width), np.uint64), np.zeros((len(texts), minima), np.uint64), np.zeros(len(texts), np.int64)
+    words = (text or "").encode().lower().split()
+    if not words:
+        return []
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
+    return list(map(xxhash.xxh64_intdigest, grams, repeat(42)))
+
+
+def sketches(texts: list[str | None], shingle: int) -> np.ndarray:
+    """The 64-bit SimHash of each text."""
+    fp = np.zeros(len(texts), np.uint64)
     hashes: list[int] = []
     held: list[tuple[int, int]] = []
 
@@ -62,29 +77,26 @@ def sketches(texts: list[str | None], shingle: int, width: int = 1, minima: int
             h = np.array(hashes, np.uint64)
             row = np.array([i for i, _ in held])
             n = np.array([k for _, k in held])
-            start = np.cumsum(n) - n
-            for w in range(width):
-                bits = np.unpackbits(mixed(h, w).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                sums = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
-                fp[row, w] = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-            for m in range(minima):
-                low[row, m] = np.minimum.reduceat(mixed(h, width + m), start)
-            count[row] = n
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            sums = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int32)
+            fp[row] = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
             hashes.clear()
             held.clear()
 
     for i, text in enumerate(texts):
-        words = (text or "").encode().lower().split()
-        if not words:
+        found = shingle_hashes(text, shingle)
+        if not found:
             continue
-        grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else [b" ".join(words)]
-        before = len(hashes)
-        hashes.extend(map(xxhash.xxh64_intdigest, grams, repeat(42)))
-        held.append((i, len(hashes) - before))
+        hashes.extend(found)
+        held.append((i, len(found)))
         if len(hashes) > CHUNK:
             flush()
     flush()
-    return fp, low, count
+    return fp
+
+
+def distinct_shingles(text: str | None, shingle: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
 
 
 def fingerprint(text: Column, shingle: int) -> Column:
@@ -92,19 +104,34 @@ def fingerprint(text: Column, shingle: int) -> Column:
 
     @F.pandas_udf(T.LongType())
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(sketches(texts.tolist(), shingle)[0][:, 0].view(np.int64))
+        return pd.Series(sketches(texts.tolist(), shingle).view(np.int64))
 
     return run(text)
 
 
-def wide_sketch(text: Column, shingle: int) -> Column:
-    """struct(fp binary, keys array<long>, n long): the 256-bit SimHash, the minima and the number of shingles."""
+def set_sketch(text: Column, shingle: int) -> Column:
+    """struct(fp binary, keys array<long>, n long): 128 bits that name the set of distinct shingles, its minima and its size."""
     schema = T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
 
     @F.pandas_udf(schema)
     def run(texts: pd.Series) -> pd.DataFrame:
-        fp, low, n = sketches(texts.tolist(), shingle, WIDE, MINIMA)
-        return pd.DataFrame({"fp": [f.tobytes() for f in fp], "keys": list(low.view(np.int64)), "n": n})
+        fp, keys, n = [], [], []
+        for text in texts:
+            h = distinct_shingles(text, shingle)
+            fp.append(xxhash.xxh3_128_digest(h.tobytes()))
+            keys.append(np.array([mixed(h, m).min() if len(h) else 0 for m in range(MINIMA)], np.uint64).view(np.int64))
+            n.append(len(h))
+        return pd.DataFrame({"fp": fp, "keys": keys, "n": n})
+
+    return run(text)
+
+
+def shingle_set(text: Column, shingle: int) -> Column:
+    """The hashes of the distinct shingles, ascending, 8 bytes each."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([distinct_shingles(text, shingle).tobytes() for text in texts])
 
     return run(text)
 
@@ -186,59 +213,113 @@ def compare_groups(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius:
             yield tile_links(part, None, radius) if which.max() == 0 else tile_links(part[which == 1], part[which == 2], radius)
 
 
+def set_links(sets: list[np.ndarray], side: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect all sets of one group whose Jaccard similarity is the given one or more.
+
+    Sides as dealt: 0 for all, or 1 and 2, of which only pairs across are due. A set is done when it has been compared with all that
+    share one of its rarest shingles; sets that aren't done need no comparison once they are all in one component.
+    """
+    n, num, den = len(sets), similarity.numerator, similarity.denominator
+    size = np.array([len(x) for x in sets])
+    at = np.cumsum(size) - size
+    code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(n), size)
+    listed = np.argsort(code, kind="stable")
+    listed, begin = owner[listed], np.cumsum(count) - count
+    has = np.zeros(len(count), bool)
+    root, done = np.arange(n), np.zeros(n, bool)
+    found_i, found_j = [], []
+    while True:
+        left = np.flatnonzero(~done)
+        most = np.bincount(root[left], minlength=n).argmax() if len(left) else 0
+        todo = left[root[left] != most]
+        if not len(todo):
+            break
+        if n > SMALL and len(left) == n:  # begin with a set that shares much
+            todo = np.array([np.argmax([count[code[k : k + m]].sum() for k, m in zip(at, size, strict=True)])])
+        for i in todo[: max(1, len(todo) // 4)].tolist():
+            done[i] = True
+            own = code[at[i] : at[i] + size[i]]
+            rare = own[np.argsort(count[own], kind="stable")[: size[i] - -(-num * size[i] // den) + 1]]
+            rare = rare[count[rare] > 1]
+            if not len(rare):
+                continue
+            j = np.unique(np.concatenate([listed[begin[c] : begin[c] + count[c]] for c in rare.tolist()]))
+            low, high = np.minimum(size[j], size[i]), np.maximum(size[j], size[i])
+            j = j[~done[j] & (root[j] != root[i]) & ((side[j] != side[i]) | (side[i] == 0)) & (den * low >= num * high)]
+            if not len(j):
+                continue
+            has[own] = True
+            start = np.cumsum(size[j]) - size[j]
+            member = np.repeat(at[j] - start, size[j]) + np.arange(size[j].sum())
+            both = np.add.reduceat(has[code[member]], start, dtype=np.int64)
+            has[own] = False
+            j = j[den * both >= num * (size[i] + size[j] - both)]
+            if len(j):
+                found_i.append(np.full(len(j), i))
+                found_j.append(j)
+                root[np.isin(root, root[j])] = root[i]
+    i, j = np.concatenate(found_i or [[]]).astype(int), np.concatenate(found_j or [[]]).astype(int)
+    tree = forest(i, j, n)
+    moved = np.flatnonzero(tree != np.arange(n))
+    return moved, tree[moved]
+
+
 def bands(fp: Column, radius: int) -> Column:
     """radius + 1 disjoint bands of the 64 bits; fingerprints within the radius agree on one at least."""
     edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
     return F.array(*[F.shiftrightunsigned(F.shiftleft(fp, 64 - hi), 64 - (hi - lo)) for lo, hi in zip(edges, edges[1:], strict=False)])
 
 
+def deal(rows: DataFrame, small: Column, parts: Column, levels: Column) -> DataFrame:
+    """(fp, g, side): a small block is one group; of others, parts tiles of each level, each pair of tiles whose levels may link."""
+    own = F.struct(F.col("level").alias("level"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
+    others = F.flatten(F.transform(levels, lambda c: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(c.alias("level"), p.alias("part")))))
+    pair = lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side"))
+    nowhere = F.struct(F.lit(-1).alias("level"), F.lit(0).alias("part"))
+    alone = F.array(F.struct(nowhere.alias("a"), nowhere.alias("b"), F.lit(0).alias("side")))
+    return rows.select("fp", "band", "value", F.explode(F.when(small, alone).otherwise(F.transform(others, pair))).alias("p")).select(
+        "fp", F.xxhash64("band", "value", "p.a", "p.b").alias("g"), F.col("p.side").alias("side")
+    )
+
+
+def whole_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in order of g, as frames that hold each group whole."""
+    held: list[pd.DataFrame] = []  # a group is at most two tiles, so this is bounded
+    for batch in batches:
+        held.append(batch)
+        if batch["g"].iloc[-1] != held[0]["g"].iloc[0]:
+            both = pd.concat(held)
+            last = both["g"].to_numpy() == batch["g"].iloc[-1]
+            yield both[~last]
+            held = [both[last]]
+    if held:
+        yield pd.concat(held)
+
+
 def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Links (u, v), u > v, that connect all fingerprints within the radius that share a key.
 
-    distinct has one row for each fingerprint: fp (long or binary), keys (array<long>) and level (fingerprints whose levels differ
+    distinct has one row for each fingerprint: fp (long), keys (array<long>) and level (fingerprints whose levels differ
     by more than one never link).
     """
     keyed = distinct.select("fp", "level", F.posexplode("keys").alias("band", "value"))
     sizes = cut(keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1"))
     rows = keyed.join(sizes, ["band", "value"])
-    level, parts = F.col("level"), F.ceil(F.col("n") / tile).cast("int")
-    own = F.struct(level.alias("level"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"))
-    others = F.flatten(
-        F.transform(F.sequence(level - 1, level + 1), lambda c: F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.struct(c.alias("level"), p.alias("part"))))
-    )
-    pair = lambda o: F.struct(F.least(own, o).alias("a"), F.greatest(own, o).alias("b"), F.when(own == o, 0).when(own < o, 1).otherwise(2).alias("side"))
-    nowhere = F.struct(F.lit(-1).alias("level"), F.lit(0).alias("part"))
-    alone = F.array(F.struct(nowhere.alias("a"), nowhere.alias("b"), F.lit(0).alias("side")))
-    dealt = rows.select("fp", "band", "value", F.explode(F.when(F.col("n") <= tile, alone).otherwise(F.transform(others, pair))).alias("p")).select(
-        "fp", F.xxhash64("band", "value", "p.a", "p.b").alias("g"), F.col("p.side").alias("side")
-    )
-    is_long = distinct.schema["fp"].dataType == T.LongType()
-    kind = "long" if is_long else "binary"
+    level = F.col("level")
+    dealt = deal(rows, F.col("n") <= tile, F.ceil(F.col("n") / tile).cast("int"), F.sequence(level - 1, level + 1))
 
     def found(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        column = part["fp"]
-        fp = column.to_numpy().view(np.uint64)[:, None] if is_long else np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+        fp = part["fp"].to_numpy().view(np.uint64)[:, None]
         for x, y in compare_groups(part["g"].to_numpy(), part["side"].to_numpy(), fp, radius):
-            if is_long:
-                x, y = x[:, 0].view(np.int64), y[:, 0].view(np.int64)
-                yield pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y)})
-            else:
-                ends = [sorted((p.tobytes(), q.tobytes())) for p, q in zip(x, y, strict=True)]
-                yield pd.DataFrame({"u": [e[1] for e in ends], "v": [e[0] for e in ends]})
+            x, y = x[:, 0].view(np.int64), y[:, 0].view(np.int64)
+            yield pd.DataFrame({"u": np.maximum(x, y), "v": np.minimum(x, y)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # a group is at most two tiles, so this is bounded
-        for batch in batches:
-            held.append(batch)
-            if batch["g"].iloc[-1] != held[0]["g"].iloc[0]:
-                both = pd.concat(held)
-                last = both["g"].to_numpy() == batch["g"].iloc[-1]
-                yield from found(both[~last])
-                held = [both[last]]
-        if held:
-            yield from found(pd.concat(held))
+        for part in whole_groups(batches):
+            yield from found(part)
 
-    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(run, f"u {kind}, v {kind}").distinct()
+    return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(run, "u long, v long").distinct()
 
 
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
@@ -279,18 +360,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(groups, "fp").select(F.col("id").alias(id_col), "fp", F.col("component").alias("component_id"))
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float, tile: int, shingles: int) -> DataFrame:
+    """Links (u, v), u > v, that connect all nodes that share a key and whose sets have the similarity.
+
+    nodes has one row for each set: fp, keys, n (its size), level and the row keys k1, k2 of a row of docs with that set.
+    """
+    keyed = nodes.select("fp", "n", "level", F.posexplode("keys").alias("band", "value"))
+    marks = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"m{k}") for k in (1, 2)]
+    sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("level").alias("low"), F.max("level").alias("high"), *marks)
+    # Of blocks with the same members one is compared.
+    same = sizes.where("sets > 1").groupBy("sets", "shingles", "low", "high", "m1", "m2").agg(F.min(F.struct("band", "value")).alias("b"))
+    blocks = cut(same.select("b.*", "sets", "shingles", "low", "high"))
+    level = F.col("level")
+    small = (F.col("sets") <= tile) & (F.col("shingles") <= shingles)
+    parts = F.greatest(F.ceil(F.col("sets") / tile), F.ceil(F.col("shingles") / shingles)).cast("int")
+    near = F.sequence(F.greatest(level - 1, F.col("low")), F.least(level + 1, F.col("high")))
+    dealt = cut(deal(keyed.join(blocks, ["band", "value"]), small, parts, near))
+    needed = cut(nodes.join(dealt.select("fp").distinct(), "fp", "left_semi").select("fp", "k1", "k2"))
+    needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed.hint("shuffle_hash")
+    texts = docs.select("k1", "k2", F.col(text_col).alias("text")).join(needed, ["k1", "k2"]).groupBy("fp").agg(F.first("text").alias("text"))
+    sets = texts.select("fp", shingle_set(F.col("text"), shingle).alias("set"))
+    exact = Fraction(str(similarity))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches):
+            for _, rows in part.groupby("g", sort=False):
+                fp = rows["fp"].tolist()
+                links = zip(*set_links([np.frombuffer(x, np.uint64) for x in rows["set"]], rows["side"].to_numpy(), exact), strict=True)
+                ends = [sorted((fp[i], fp[j])) for i, j in links]
+                if ends:
+                    yield pd.DataFrame({"u": [e[1] for e in ends], "v": [e[0] for e in ends]})
+
+    return dealt.join(sets, "fp").repartition("g").sortWithinPartitions("g").mapInPandas(run, "u binary, v binary").distinct()
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, tile: int = SET_TILE, shingles: int = SET_SHINGLES
+) -> DataFrame:
     """(k1, k2, id, first): the key of each row of docs and the (id, k1, k2) that comes first in its group of near copies."""
-    cosine = 2 * similarity / (1 + similarity)
-    bits, p = 64 * WIDE, math.acos(cosine) / math.pi
-    radius = round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
     k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), wide_sketch(F.col(text_col), shingle).alias("s"))
-    marked = cut(rows.select("id", "k1", "k2", "s.*"))
+    named_rows = docs.select(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("text"))
+    marked = cut(named_rows.select("id", "k1", "k2", set_sketch(F.col("text"), shingle).alias("s")).select("id", "k1", "k2", "s.*"))
     level = F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(similarity)).cast("int")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
-    distinct = marked.groupBy("fp").agg(F.min(order).alias("least"), F.min("keys").alias("keys"), F.min(level).alias("level"))
-    groups = named(distinct, links(distinct.select("fp", "keys", "level"), radius), "least")
+    distinct = marked.groupBy("fp").agg(F.min(order).alias("least"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    nodes = distinct.select("fp", "keys", "n", level.alias("level"), "least.k1", "least.k2")
+    groups = named(distinct, similar_links(named_rows, nodes, "text", shingle, similarity, tile, shingles), "least")
     return marked.join(groups, "fp").select("k1", "k2", "id", F.col("component").alias("first"))
 
 

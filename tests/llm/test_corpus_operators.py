@@ -105,6 +105,36 @@ def test_one_of_each_group_of_similar_texts(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [group.index(g) for g in range(40)]
 
 
+def edited(rng, word, base, edits):
+    copy = list(base)
+    for k in rng.sample(range(len(copy)), edits):
+        copy[k] = word()
+    return copy
+
+
+def least_of_similar(texts, n=5):
+    words = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} for w in words]
+    return components(range(len(texts)), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+
+
+def kept_ids(spark, texts):
+    return sorted(r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+
+
+def test_one_of_each_keeps_pairs_below_the_similarity(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for edits in [*range(2, 16)] * 5:
+        base = [word() for _ in range(200)]
+        texts += [" ".join(base), " ".join(edited(rng, word, base, edits))]
+    similar = [jaccard(texts[k], texts[k + 1]) for k in range(0, len(texts), 2)]
+    assert sum(0.7 < s < 0.8 for s in similar) > 5 and sum(0.8 <= s < 0.85 for s in similar) > 5
+    least = least_of_similar(texts)
+    assert kept_ids(spark, texts) == sorted(set(least.values()))
+
+
 def strip_repeats(texts, length=50):
     """By definition, over (id, bytes) in order of id."""
     seen, out = {}, []
