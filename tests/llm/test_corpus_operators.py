@@ -135,6 +135,20 @@ def test_one_of_each_keeps_pairs_below_the_similarity(spark):
     assert kept_ids(spark, texts) == sorted(set(least.values()))
 
 
+def test_one_of_each_of_repeated_passages_and_short_texts(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for times in (5, 10) * 5:
+        base, passage = [word() for _ in range(300)], [word() for _ in range(30)]
+        texts += [" ".join(base + passage), " ".join(base + passage * times)]
+    for _ in range(40):
+        short = [word() for _ in range(8)]
+        texts += [" ".join(short), " ".join([*short, word()])]
+    assert all(jaccard(texts[k], texts[k + 1]) >= 0.8 for k in range(0, len(texts), 2))
+    assert kept_ids(spark, texts) == list(range(0, len(texts), 2))
+
+
 def strip_repeats(texts, length=50):
     """By definition, over (id, bytes) in order of id."""
     seen, out = {}, []
