@@ -149,6 +149,19 @@ def test_one_of_each_of_repeated_passages_and_short_texts(spark):
     assert kept_ids(spark, texts) == list(range(0, len(texts), 2))
 
 
+@pytest.mark.parametrize(("tile", "shingles"), [(3, 1 << 20), (1 << 20, 700), (1 << 20, 1 << 20)])
+def test_similar_documents_by_any_tiles(spark, tile, shingles):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, passage = [word() for _ in range(150)], [word() for _ in range(60)]
+    texts = [" ".join(edited(rng, word, base, rng.randrange(12))) for _ in range(60)]
+    texts += [" ".join(base[: rng.randrange(90, 151)]) for _ in range(30)] + [" ".join(base * k) for k in (1, 2, 3)]
+    texts += [" ".join(passage + [word() for _ in range(rng.randrange(5, 60))]) for _ in range(40)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["first"]["id"] for r in simhash.similar_documents(d, tile=tile, shingles=shingles).collect()}
+    assert got == least_of_similar(texts)
+
+
 def strip_repeats(texts, length=50):
     """By definition, over (id, bytes) in order of id."""
     seen, out = {}, []
