@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import cut
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|template|svg|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|noscript|template|svg|iframe)\b[^>]*+>(?:(?<=[\s\"']/>)|(?<=<svg/>)|.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>|[^<]+|<",
     re.S | re.I,
 )
@@ -56,12 +56,16 @@ DEEP = 64
 
 
 def purposes(attrs: str) -> list[str]:
-    """Words of classes, ids and roles that say what an element is for."""
+    """Words of classes, ids and roles that say what an element is for.
+
+    Aside words count where all words of a class do, as in cookie-notice: no-sidebar, with-comments and menu-open say how it looks.
+    """
     found = []
     for _, a, b, c in ATTRIBUTE.findall(attrs):
-        for word in re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower()):
-            if word in ASIDE_WORDS or word in ARTICLE_WORDS:
-                found.append(word)
+        for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", a or b or c).lower().split():
+            words = [w for w in re.split(r"[_-]+", name) if w]
+            whole = all(w in ASIDE_WORDS or w in ARTICLE_WORDS for w in words)
+            found += [w for w in words if w in ARTICLE_WORDS or (whole and w in ASIDE_WORDS)]
     return found
 
 
@@ -129,11 +133,17 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
 
 
 def is_aside(path: str) -> bool:
-    """Whether an element of the path serves something else than the main text; a header does unless it is an article's."""
+    """Whether an element of the path serves something else than the main text; a header does unless it is an article's.
+
+    The words of html, body, main, an outermost article and whatever contains a main element say nothing about the main text.
+    """
     in_article = False
-    for element in path.split("/"):
+    elements = path.split("/")
+    main = max((i for i, e in enumerate(elements) if e.split(".")[0] == "main"), default=-1)
+    for i, element in enumerate(elements):
         tag, *words = element.split(".")
-        if tag in ASIDE_TAGS or any(w in ASIDE_WORDS for w in words) or (tag == "header" and not in_article):
+        named = i > main and tag not in ("html", "body") and not (tag == "article" and not in_article)
+        if tag in ASIDE_TAGS or (named and any(w in ASIDE_WORDS for w in words)) or (tag == "header" and not in_article):
             return True
         in_article = in_article or tag in ("article", "main") or any(w in ARTICLE_WORDS for w in words)
     return False

@@ -236,6 +236,19 @@ def test_odd_markup_takes_linear_time():
     assert html_template.page_text('<article><p title="a>b">One</p><p class=\'ad\'>no</p>two', None) == "One\ntwo"
 
 
+@pytest.mark.parametrize("attrs", ["", "class='single no-sidebar'", "class='post with-comments'", "id='page' class='menu-open has-sidebar'"])
+@pytest.mark.parametrize("tag", ["body", "main", "article", "div"])
+def test_layout_classes_hide_no_main_text(tag, attrs):
+    page = f"<{tag} {attrs}><article><p>One</p><svg class='x' /><p>Two</p><svg/><div class='cookie-notice'>no</div></article></{tag}><svg><text>no</text></svg><p class=ad>no</p>"
+    assert html_template.page_text(page, None) == "One\nTwo"
+
+
+@pytest.mark.parametrize("page", ["<body class=menu>{}</body>", "<main id=search>{}</main>", "<div class=widget><main>{}</main></div>", "<article class=notice>{}</article>"])
+def test_words_of_elements_that_hold_the_main_text(page):
+    text = "<article><p>One</p><article class=comment>no</article></article>" if "article" not in page else "<p>One</p><article class=comment>no</article>"
+    assert html_template.page_text(page.format(text), None) == "One"
+
+
 @pytest.mark.parametrize("main", ["article", "content"])
 def test_dirty_pages(spark, main):
     pages = [(i, f"http://h.example/{i}", DIRTY.replace("{main}", main).replace("{i}", str(i))) for i in range(12)]
