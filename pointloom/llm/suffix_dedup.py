@@ -292,7 +292,7 @@ def send_stretches(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buc
         run = c.first[e]
         doc, lo, hi = c.a["doc"][run], c.a["lo"][run], c.a["hi"][run]
         text = b"".join(c.texts[d][i : j + length] for d, i, j in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True))
-        data = packed(e.astype(np.int64), c.gram[e], c.low[e], (hi - lo + length).astype(np.uint8), (c.a["at"][run] - lo).astype(np.uint8), np.frombuffer(text, np.uint8))
+        data = packed(e.astype(np.int64), c.gram[e], c.low[e], (hi - lo + length).astype(np.uint16), (c.a["at"][run] - lo).astype(np.uint16), np.frombuffer(text, np.uint8))
         out.append((chunk, b, 3, data))
     hot = hot_entries(c, asked, n_buckets)
     if len(hot):

@@ -199,6 +199,17 @@ def test_suffix_dedup_of_periodic_and_edge_texts(spark, monkeypatch):
     assert suffix_dedup.remove_repeats(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [150, 200])
+def test_suffix_dedup_of_long_strings(spark, length):
+    rng = random.Random(15)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    parts = [letters(rng.randrange(length, 3 * length)) for _ in range(12)]
+    texts = [letters(rng.randrange(80)).join(["", *(part[rng.randrange(30) : len(part) - rng.randrange(30)] for part in rng.sample(parts, 4)), ""]) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(d, length=length)).collect()))
+    assert got == strip_repeats([(i, t.encode()) for i, t in enumerate(texts)], length)
+
+
 def test_suffix_sort_equals_python_sort():
     rng = np.random.default_rng(10)
     text = rng.integers(97, 99, 400).astype(np.uint8)
