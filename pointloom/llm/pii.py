@@ -4,12 +4,16 @@ One regular expression finds candidates. Each is validated (issuer ranges, lengt
 permuted within its own format by a keyed Feistel network over Z_a x Z_b, so that equal values get equal pseudonyms in every
 document, different values different ones, and separators stay. Candidates that fail validation stay as they are.
 
-    card    digits after the issuer's four, new check digit     phone  10^5 x 10^5 over the ten national digits
+    card    digits after the issuer's four, new check digit     phone  999 x 9990000 over area, exchange and line
     ipv4    2^16 x 2^16                                         ssn    88902 x 9999 over all valid numbers
     date    189 x 773 = 146097 days from 1800-01-01             email  keyed hashes of the local part and of the domain
 
-Defined results: a null text stays null with zero counts; empty texts, repeated rows and null ids pass through; text lengths are
-unbounded (one left-to-right scan); extra columns stay.
+A phone number is valid if neither its area code nor its exchange is 000: number plans differ too much between countries for more.
+Of an email's domain at most LABELS labels of LABEL characters, as the DNS has them, and the last label after them belong to the match.
+
+Defined results: a null text stays null with zero counts; empty texts, repeated rows and null ids pass through; texts may have any
+length and any runs of candidates (one left-to-right scan, in which every repetition of a group is bounded, so that the matcher's
+stack is too); extra columns stay.
 """
 
 from __future__ import annotations
@@ -20,7 +24,10 @@ from pyspark.sql import functions as F
 ROUNDS = 10
 DAY_ZERO, DAYS = "1800-01-01", 146_097
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: Fixed values of the DNS: characters of a label, and labels of a name of 253 characters before its last.
+LABEL, LABELS = 63, 126
+
+EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@(?:[A-Za-z0-9-]{{1,{LABEL}}}\.){{1,{LABELS}}}[A-Za-z]{{2,{LABEL}}}"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![./-]?\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)"
@@ -130,14 +137,24 @@ def ipv4_valid(m: Column) -> Column:
     return F.forall(F.split(m, r"\."), lambda o: (o.cast("int") <= 255) & ((o == "0") | ~o.startswith("0")))
 
 
-def phone(key: str, m: Column, decrypt: bool) -> Column:
+def phone_digits(m: Column) -> list[Column]:
+    """Country, area code, exchange and line."""
     d = digits_of(m)
-    return F.element_at(
-        F.transform(
-            F.array(permuted_digits(key, "phone", F.right(d, F.lit(10)), decrypt)), lambda p: refilled(m, F.concat(d.substr(F.lit(1), F.length(d) - 10), p))
-        ),
-        1,
-    )
+    n = F.length(d)
+    return [d.substr(F.lit(1), n - 10), d.substr(n - 9, F.lit(3)), d.substr(n - 6, F.lit(3)), d.substr(n - 3, F.lit(4))]
+
+
+def phone_valid(m: Column) -> Column:
+    _, area, exchange, _ = phone_digits(m)
+    return (area != "000") & (exchange != "000")
+
+
+def phone(key: str, m: Column, decrypt: bool) -> Column:
+    """The country stays; area code, exchange and line are permuted over all valid numbers."""
+    country, area, exchange, line = phone_digits(m)
+    out = feistel(key, "phone", area.cast("int") - 1, (exchange.cast("int") - 1) * 10_000 + line.cast("int"), F.lit(999), F.lit(9_990_000), decrypt)
+    show = lambda s: refilled(m, F.concat(country, padded(s["l"] + 1, F.lit(3)), padded(s["r"] + 10_000, F.lit(7))))
+    return F.element_at(F.transform(F.array(out), show), 1)
 
 
 def ssn_parts(m: Column) -> list[Column]:
@@ -209,7 +226,7 @@ def pseudonym(key: str, m: Column, decrypt: bool) -> Column:
         .when(whole(r"\d+\.\d+\.\d+\.\d+"), F.when(ipv4_valid(m), got("ipv4", ipv4)).otherwise(same))
         .when(whole(r"\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"), F.when(date_valid(m), got("date", date)).otherwise(same))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), F.when(ssn_valid(m), got("ssn", ssn)).otherwise(same))
-        .when(whole(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"), got("phone", phone))
+        .when(whole(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"), F.when(phone_valid(m), got("phone", phone)).otherwise(same))
         .otherwise(F.when(card_valid(m), got("card", card)).otherwise(same))
     )
 

@@ -13,13 +13,13 @@ from . import decontam, html_template, pii, piece_codec, quality_crf, quality_ru
 from . import line_dedup as ld
 from .common import table
 
-#: Production key of the pseudonyms; a deployment passes its own.
-PII_KEY = "pointloom-demo-key"
+#: The key of the registered query where the session sets none under KEY_SETTING. It is public, so it hides nothing: deployments set their own.
+PUBLIC_KEY, KEY_SETTING = "public-test-key", "spark.pointloom.pii.key"
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = pii.pseudonymize(docs, PII_KEY)
+    out = pii.pseudonymize(docs, spark.conf.get(KEY_SETTING, PUBLIC_KEY))
     return out.select("doc_id", "text", *[out.pii[k].alias(f"n_{k}") for k in pii.KINDS])
 
 

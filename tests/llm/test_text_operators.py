@@ -8,6 +8,7 @@ from datetime import date
 
 import duckdb
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -141,6 +142,110 @@ def test_pseudonyms(spark):
     assert back.split("; é")[0].split(";")[0] == PRIVATE.split(";")[0] and "078-05-1120" in back and "1990-02-28" in back and "10.0.0.1" in back
 
 
+def python_feistel(key, tweak, left, right, a, b):
+    for i in range(pii.ROUNDS):
+        said = hashlib.sha256(f"{key}|{tweak}|{i}|{right}".encode()).hexdigest()
+        left, right = right, (left + int(said[:12], 16)) % (b if i % 2 else a)
+    return left, right
+
+
+def python_digits(key, tweak, d):
+    u = len(d) // 2
+    left, right = python_feistel(key, tweak, int(d[:u]), int(d[u:]), 10**u, 10 ** (len(d) - u))
+    return f"{left:0{u}}{right:0{len(d) - u}}"
+
+
+def into(shape, digits):
+    digits = iter(digits)
+    return "".join(next(digits) if c.isdigit() else c for c in shape)
+
+
+def python_pseudonym(key, m):
+    d = re.sub(r"\D", "", m)
+    if "@" in m:
+        local, domain = (hashlib.sha256(f"{key}|{what}|{part}".encode()).hexdigest() for what, part in zip(("local", "domain"), m.lower().split("@"), strict=True))
+        return "email", f"u{local[:16]}@d{domain[:10]}.example"
+    if regex.fullmatch(r"\d+(\.\d+){3}", m):
+        o = m.split(".")
+        if any(int(x) > 255 or (x[0] == "0" and x != "0") for x in o):
+            return None, m
+        x, y = python_feistel(key, "ipv4", int(o[0]) * 256 + int(o[1]), int(o[2]) * 256 + int(o[3]), 65536, 65536)
+        return "ipv4", f"{x >> 8}.{x & 255}.{y >> 8}.{y & 255}"
+    if regex.fullmatch(r"\d{4}-\d\d-\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4}", m):
+        parts = [int(x) for x in re.split(r"\D", m)]
+        y, mo, day = parts if m[4] == "-" else (parts[2], parts[1], parts[0]) if "." in m or parts[0] > 12 else (parts[2], parts[0], parts[1])
+        try:
+            n = (date(y, mo, day) - date(1800, 1, 1)).days
+        except ValueError:
+            return None, m
+        if not 0 <= n < pii.DAYS:
+            return None, m
+        x, z = python_feistel(key, "date", n // 773, n % 773, 189, 773)
+        new = date.fromordinal(date(1800, 1, 1).toordinal() + x * 773 + z)
+        return "date", new.strftime("%Y-%m-%d" if m[4] == "-" else "%d.%m.%Y" if "." in m else "%m/%d/%Y")
+    if regex.fullmatch(r"\d{3}-\d\d-\d{4}", m):
+        a, g, s = map(int, m.split("-"))
+        if not (1 <= a <= 899 and a != 666 and g and s):
+            return None, m
+        x, y = python_feistel(key, "ssn", (a - 1 - (a > 666)) * 99 + g - 1, s - 1, 898 * 99, 9999)
+        a = x // 99 + 1
+        return "ssn", f"{a + (a >= 666):03}-{x % 99 + 1:02}-{y + 1:04}"
+    if regex.fullmatch(r"(\+\d{1,3}[ .-]?)?(\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}", m):
+        if d[-10:-7] == "000" or d[-7:-4] == "000":
+            return None, m
+        x, y = python_feistel(key, "phone", int(d[-10:-7]) - 1, int(d[-7:]) - 10_000, 999, 9_990_000)
+        return "phone", into(m, f"{d[:-10]}{x + 1:03}{y + 10_000:07}")
+    if not re.fullmatch(pii.ISSUERS.strip("^$"), d) or not luhn(d):
+        return None, m
+    payload = d[:4] + python_digits(key, f"card|{d[:4]}", d[4:-1])
+    return "card", into(m, payload + next(c for c in "0123456789" if luhn(payload + c)))
+
+
+def python_pseudonyms(key, text):
+    counts = dict.fromkeys(pii.KINDS, 0)
+
+    def new(m):
+        kind, said = python_pseudonym(key, m[0])
+        counts[kind] = counts.get(kind, 0) + 1
+        return said
+
+    return regex.sub(pii.ANY.replace("\\1", "\\g<sep>").replace("([ -])", "(?P<sep>[ -])").replace("\\g<sep>", "(?P=sep)"), new, text), *(counts[k] for k in pii.KINDS)
+
+
+def test_pseudonym_query_matches_brute_force(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = queries.op1_pii(spark, sf_dir).collect()
+    assert len(rows) == len(texts) and any(r["n_phone"] for r in rows)
+    for r in rows:
+        assert tuple(r)[1:] == python_pseudonyms(queries.PUBLIC_KEY, texts[r["doc_id"]])
+
+
+def test_pseudonyms_of_odd_numbers_match_brute_force(spark):
+    texts = [PRIVATE, "000-123-4567 1000-000-4567 123-000-4567 001-001-0000 (999) 999-9999 +44 (020) 123-4567", "1.2.3.4.5 0.0.0.0 01.2.3.4 255.255.255.255",
+             "000-01-0001 666-01-0001 899-99-9999 665-99-9999 667-01-0001", "31/12/1999 12/31/1999 1799-12-31 1800-01-01 2199-12-31 2200-01-01 00.00.2000",
+             "378282246310005 3782 822463 10005 6011111111111117 4222222222222 5555-5555-5555-4444 5555 5555-5555 4444", "a@b a@b.c x.y@d-e.fg. @x.yz é@ü.de q@a.b.cd"]
+    rows = pii.pseudonymize(docs(spark, texts), "k").orderBy("doc_id").collect()
+    for text, r in zip(texts, rows, strict=True):
+        assert (r["text"], *(r["pii"][k] for k in pii.KINDS)) == python_pseudonyms("k", text)
+
+
+@pytest.mark.parametrize("n", [10, 1000, 100_000])
+def test_pseudonyms_of_any_run(spark, n):
+    """No run of candidates' parts overflows the matcher's stack or takes more than linear time."""
+    runs = ["x@" + "b." * n, "x@" + "bb." * n + "com", "x@" + "b" * n + ".com", "a." * n + "@x.org", "a@" * n, "1" * 10 * n, "1." * n, "1-" * n, "12-12-" * n, "1990-02-28" * n,
+            "+1 (155) 555-0134" * n, "4111 " * n, "(155) " * n, "é" * n + "@x.org", "1/" * n, "a@b.co " * min(n, 2000)]
+    d = docs(spark, runs, [None] * len(runs))
+    rows = pii.pseudonymize(d, "k").select("text", "pii").collect()
+    got = [r["text"] for r in rows]
+    assert len(got) == len(runs) and got[0] == runs[0] and got[5] == runs[5] and got[6] == runs[6]
+    assert not got[3].endswith("@x.org") and not got[13].endswith("@x.org") and rows[15]["pii"]["email"] == min(n, 2000)
+    assert (rows[1]["text"] == runs[1]) is False
+
+
+def test_pseudonyms_of_no_rows(spark):
+    assert pii.pseudonymize(docs(spark, []), "k").count() == 0
+
+
 def test_feistel_is_a_permutation(spark):
     a, b = F.lit(7), F.lit(11)
     numbers = spark.range(77).select("id", pii.feistel("k", "t", F.floor(F.col("id") / 11), F.col("id") % 11, a, b).alias("e"))
