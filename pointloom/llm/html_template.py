@@ -1,25 +1,39 @@
-"""Main text of web pages by template deduction over the pages of a host.
-
-Each page becomes a sequence of structural tokens: the path of block elements, with the classes that name a purpose, under which text
-stands. A token's occurrence vector (how often it is on each page of the host) is folded into a mergeable fingerprint, so hosts of any
-number of pages are summed where their pages lie. Tokens of one host with equal vectors form an equivalence class; a class is valid
-when its tokens nest: one of them contains the others, or all share a parent. Valid classes that cover enough pages, nested by path,
-are the host's template, and the text under a template's tokens is a slot. Slots are then judged: those under elements that serve
-navigation, adverts, forms, comments and the like go; where the template has an article or main element only what it holds stays;
-elsewhere the slots with most text and few links stay. Every block of a slot that stays is extracted whole, however often it recurs.
-
-Defined results: null and empty html, and pages without main text, give an empty text; a host of one page, an url without a host and
-a null url are judged by the page's own elements alone; unclosed, misplaced and unknown tags never fail; equal pages are extracted
-alike; other columns pass through.
+"""Main text of web pages by equivalence-class template deduction over the pages of a host.
+
+A page is a set of tokens: an element token for each path of block elements on it (tags with their classes and ids), and a text token
+for each block of text in its element (path, text and the number of the occurrence, so that a token is on a page once or not at all).
+A token's occurrence vector over the host's pages is folded into an exclusive-or of page hashes, so hosts of any number of pages are
+summed where their pages lie. Tokens of a host with equal vectors form an equivalence class. Classes are nested into a template from
+the one of most pages on: a class stands in the slot of the innermost element that holds its tokens, and is split where its tokens
+stand in slots of several classes. A text token that is on nearly all pages, or always there when its element is, is the template's
+own text: menus, notices, an owner's line. What the pages say beyond that, element by element, are the slots' contents.
+
+Slots are judged by their contents: those that hold nothing but the template's text, or nearly so, go. Of the others those under
+elements that serve navigation, adverts, forms, comments and the like go, by tag names and a fixed word list: a menu of another
+section, or an advert that changes, varies like an article does. Where the template has an article or main element, only what it
+holds stays; elsewhere the container with most text that isn't links. Of the slots that stay the page's own text is extracted, with the
+template's text in its midst, such as a heading that every article has; whole containers (a list, a division) in which a page says
+nothing of its own go, and so does the template's text before and after all that is the page's own. Pages of one host may be copies of each other: where fewer than MIN_PAGES pages are there, or the template's text
+would be most of the host's prose, text counts as contents, and elements alone decide.
+
+Tokens are counted by (host, token), so a host of a third of all pages spreads over all tasks. What reaches one row of a host are the
+tokens on a tenth of its pages or more, of which there are at most ten times as many as a page has on average. A page is parsed twice,
+for its tokens and for its text: storing its blocks would cost more disk than parsing costs time.
+
+Defined results: null and empty html, and pages without main text, give an empty text; an url without a host and a null url are judged
+by the page's own elements alone; unclosed, misplaced and unknown tags never fail; equal pages of a host are extracted alike; other
+columns pass through.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +63,16 @@ ASIDE_WORDS = frozenset(
     "topbar toolbar related recommended login signin signup search searchbox copyright disclaimer contentinfo complementary".split()
 )
 ARTICLE_WORDS = frozenset("main article".split())
-#: Share of a host's pages that a template's class covers at least, the largest share of link text in a slot that stays, and the depth
-#: below which paths list each element once.
-SUPPORT, LINKS = 0.1, 0.5
-DEEP = 64
+# Elements that hold several blocks, of which one alone may be a page's part.
+CONTAINERS = frozenset(" html body main article section div aside nav header footer form blockquote dl ul ol menu table tbody thead tfoot figure details dialog fieldset address hgroup".split(" "))
+# Elements that hold a whole page or text, whose classes and ids differ from page to page.
+WHOLE = frozenset("html body main article".split())
+#: Share of a host's pages that an element or a text of a class with it covers at least; that from which a text is the template's
+#: without its element; the pages that give evidence on text; the share of a slot's text that varies at least; the largest share of
+#: link text in a slot that stays where no element says article; the depth below which paths list each element once.
+SUPPORT, OPTIONAL, ALWAYS, MIN_PAGES, VARIES, LINKS, DEEP = 0.1, 0.5, 0.9, 5, 0.05, 0.5, 64
+#: Characters of all templates up to which they are broadcast; beyond, pages are joined with them by host.
+BROADCAST_CHARS = 16 << 20
 
 
 def purposes(attrs: str) -> list[str]:
@@ -69,23 +89,32 @@ def purposes(attrs: str) -> list[str]:
     return found
 
 
-def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
-    """(path, text, characters inside links) of each block with text, in page order.
+def look(attrs: str) -> str:
+    """A mark of an element's classes and id, digits apart, or nothing where it has none: it tells plain elements with other roles apart."""
+    names = {n for kind, a, b, c in ATTRIBUTE.findall(attrs) if kind.lower() != "role" for n in re.sub(r"\d+", "0", a or b or c).split()}
+    return f":{zlib.crc32(' '.join(sorted(names)).encode()):08x}" if names else ""
 
-    A path lists the open block elements, an element's purposes after dots: "html/body/div.ad"; below DEEP elements only those that
-    the path doesn't list yet, so that deep nests have short paths. Elements that may stay open end by
+
+def blocks(page: str | None, nodes: list[tuple[int, str]] | None = None) -> Iterator[tuple[str, str, int, int]]:
+    """(path, text, characters inside links, node) of each block with text, in page order; nodes gets (parent, tag) of each element.
+
+    A path lists the open block elements, an element's purposes after dots and its look after a colon: "html/body/div.ad:5cc0e8b4";
+    below DEEP elements only those that the path doesn't list yet, so that deep nests have short paths. Elements that may stay open end by
     the rules of HTML for p, li, dt, dd, td, th, tr and option; an end tag closes up to its element, or nothing if none is open.
     """
+    nodes = [] if nodes is None else nodes
+    nodes.append((-1, ""))
     stack: list[str] = []
     paths: list[str] = []
+    open_nodes: list[int] = [0]
     text: list[str] = []
     linked = links = 0
 
-    def flush() -> tuple[str, str, int] | None:
+    def flush() -> tuple[str, str, int, int] | None:
         nonlocal linked
         whole = " ".join("".join(text).split())
         text.clear()
-        out = (paths[-1] if paths else "", whole, linked) if whole else None
+        out = (paths[-1] if paths else "", whole, linked, open_nodes[-1]) if whole else None
         linked = 0
         return out
 
@@ -113,7 +142,9 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
             if tag in stack:
                 while stack.pop() != tag:
                     paths.pop()
+                    open_nodes.pop()
                 paths.pop()
+                open_nodes.pop()
             continue
         closing = ENDS.get(tag, {"p"} if tag not in ("html", "head", "body") else set())
         scope = SCOPES.get(tag, set())
@@ -121,58 +152,94 @@ def blocks(page: str | None) -> Iterator[tuple[str, str, int]]:
             if stack[i] in scope or (stack[i] not in closing and stack[i] in ("article", "section", "div", "td", "body", "li", "blockquote")):
                 break
             if stack[i] in closing:
-                del stack[i:], paths[i:]
+                del stack[i:], paths[i:], open_nodes[i + 1 :]
                 break
         if tag not in VOID:
-            name, above = ".".join([tag, *purposes(m["attrs"])]), paths[-1] if paths else ""
+            attrs = m["attrs"]
+            name = ".".join([tag, *purposes(attrs)]) + (look(attrs) if tag not in WHOLE else "") if attrs else tag
+            above = paths[-1] if paths else ""
             listed = len(stack) >= DEEP and f"/{name}/" in f"/{above}/"
+            nodes.append((open_nodes[-1], tag))
+            open_nodes.append(len(nodes) - 1)
             stack.append(tag)
             paths.append(above if listed else f"{above}/{name}" if above else name)
     if (found := flush()) is not None:
         yield found
 
 
+def words_of(element: str) -> tuple[str, list[str]]:
+    tag, *words = element.partition(":")[0].split(".")
+    return tag, words
+
+
 def is_aside(path: str) -> bool:
     """Whether an element of the path serves something else than the main text; a header does unless it is an article's.
 
-    The words of html, body, main, an outermost article and whatever contains a main element say nothing about the main text.
+    The words of html, body, main, an outermost article and whatever contains a main element say nothing about the main text; nor does
+    a form that contains an article or main element.
     """
-    in_article = False
-    elements = path.split("/")
-    main = max((i for i, e in enumerate(elements) if e.split(".")[0] == "main"), default=-1)
-    for i, element in enumerate(elements):
-        tag, *words = element.split(".")
-        named = i > main and tag not in ("html", "body") and not (tag == "article" and not in_article)
-        if tag in ASIDE_TAGS or (named and any(w in ASIDE_WORDS for w in words)) or (tag == "header" and not in_article):
+    inside = False
+    elements = [words_of(e) for e in path.split("/")]
+    main = max((i for i, (tag, _) in enumerate(elements) if tag == "main"), default=-1)
+    held = max((i for i, (tag, _) in enumerate(elements) if tag in ("main", "article")), default=-1)
+    for i, (tag, words) in enumerate(elements):
+        named = i > main and tag not in ("html", "body") and not (tag == "article" and not inside)
+        serves = tag in ASIDE_TAGS and not (tag == "form" and i < held)
+        if serves or (named and any(w in ASIDE_WORDS for w in words)) or (tag == "header" and not inside):
             return True
-        in_article = in_article or tag in ("article", "main") or any(w in ARTICLE_WORDS for w in words)
+        inside = inside or tag in ("article", "main") or any(w in ARTICLE_WORDS for w in words)
     return False
 
 
 def in_article(path: str) -> bool:
-    return any(e.split(".")[0] in ("article", "main") or any(w in ARTICLE_WORDS for w in e.split(".")[1:]) for e in path.split("/"))
+    return any(tag in ("article", "main") or any(w in ARTICLE_WORDS for w in words) for tag, words in map(words_of, path.split("/")))
 
 
-TOKENS = T.ArrayType(
-    T.StructType([T.StructField("path", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("chars", T.LongType()), T.StructField("links", T.LongType())])
-)
+def text_key(path: str, text: str, seen: dict[int, int]) -> int:
+    """63 bits that name a text token: the path, the text and how often this page has said it there before."""
+    key = xxhash.xxh64_intdigest(f"{path}\0{text}")
+    times = seen[key] = seen.get(key, 0) + 1
+    return (key + (times - 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 1
 
 
-def page_tokens(page: Column) -> Column:
-    """The structural tokens of a page with how often each occurs and how much text and link text stands under it."""
+def path_key(path: str) -> int:
+    return xxhash.xxh64_intdigest(path, 1) >> 1
+
+
+TOKEN_FIELDS = T.StructType([
+    T.StructField("path", T.ArrayType(T.StringType())), T.StructField("key", T.ArrayType(T.LongType())), T.StructField("element", T.ArrayType(T.LongType())),
+    T.StructField("chars", T.ArrayType(T.LongType())), T.StructField("links", T.ArrayType(T.LongType())),
+])
 
-    @F.pandas_udf(TOKENS)
-    def run(pages: pd.Series) -> pd.Series:
-        out = []
-        for page in pages:
-            found: dict[str, list[int]] = {}
-            for path, text, linked in blocks(page):
-                t = found.setdefault(path, [0, 0, 0])
-                t[0] += 1
-                t[1] += len(text)
-                t[2] += min(linked, len(text))
-            out.append([{"path": p, "n": n, "chars": c, "links": k} for p, (n, c, k) in found.items()])
-        return pd.Series(out)
+
+def page_tokens(page: Column) -> Column:
+    """The tokens of a page, in arrays of equal length: those of elements have a path; chars and links are of text directly in it."""
+
+    def tokens(page: str | None) -> tuple[list, ...]:
+        elements: dict[str, list[int]] = {"": [0, 0]}  # the page itself
+        texts: list[tuple[int, str, int, int]] = []
+        seen: dict[int, int] = {}
+        for path, text, linked, _ in blocks(page):
+            if path not in elements:
+                cut = len(path)
+                while cut > 0 and path[:cut] not in elements:
+                    elements[path[:cut]] = [0, 0]
+                    cut = path.rfind("/", 0, cut)
+            at = elements[path]
+            linked = min(linked, len(text))
+            at[0] += len(text)
+            at[1] += linked
+            texts.append((text_key(path, text, seen), path, len(text), linked))
+        keys = {p: path_key(p) for p in elements}
+        return (
+            [*elements, *[None] * len(texts)], [*keys.values(), *[t[0] for t in texts]], [*keys.values(), *[keys[t[1]] for t in texts]],
+            [*[c for c, _ in elements.values()], *[t[2] for t in texts]], [*[k for _, k in elements.values()], *[t[3] for t in texts]],
+        )
+
+    @F.pandas_udf(TOKEN_FIELDS)
+    def run(pages: pd.Series) -> pd.DataFrame:
+        found = [tokens(p) for p in pages]
+        return pd.DataFrame({f.name: [t[i] for t in found] for i, f in enumerate(TOKEN_FIELDS)})
 
     return run(page)
 
@@ -181,19 +248,63 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
-def nests(paths: list[str]) -> bool:
-    """Whether tokens of a class can stand in one template: one contains the others, or all share a parent."""
-    shortest = min(paths, key=len)
-    parents = {p.rpartition("/")[0] for p in paths}
-    return len(parents) == 1 or all(p == shortest or p.startswith(shortest + "/") or p.rpartition("/")[0].startswith(shortest.rpartition("/")[0]) for p in paths)
+class Template:
+    """Classes of a host nested into each other: for each element its class, and for each class the element in whose slot it stands.
 
+    tokens: (vector, pages, path or None, key, element's key, characters, link characters), the page itself with path "".
+    """
 
-def judged(classes: list[tuple[list[str], int, list[int], list[int]]], pages: int) -> list[str]:
-    """Paths of the slots that stay, of a host's valid classes (paths, pages, characters, link characters)."""
-    slots: dict[str, tuple[int, int]] = {}
-    for paths, support, chars, links in classes:
-        if support >= SUPPORT * pages and nests(paths):
-            slots |= {p: (c, k) for p, c, k in zip(paths, chars, links, strict=True) if not is_aside(p)}
+    def __init__(self, tokens: list[tuple[int, int, str | None, int, int, int, int]]):
+        self.pages = max((n for _, n, p, *_ in tokens if p == ""), default=0)
+        self.elements = {key: (p, vector, n, chars, links) for vector, n, p, key, _, chars, links in tokens if p is not None}
+        self.texts = {key: (e, vector, n, chars, links) for vector, n, p, key, e, chars, links in tokens if p is None and e in self.elements}
+        path_to = {p: k for k, (p, *_) in self.elements.items()}
+        self.place: dict[int, tuple[int, int]] = {}  # class of an element: (vector, key of the element in whose slot the class stands)
+        for k, (p, vector, *_) in sorted(self.elements.items(), key=lambda x: x[1][0].count("/") + bool(x[1][0])):
+            above = path_to.get(p.rpartition("/")[0], k)  # an element above is on all pages of p, so it is among the tokens
+            same = above != k and self.elements[above][1] == vector
+            self.place[k] = self.place[above] if same else (vector, above)
+
+    def own_texts(self) -> set[int]:
+        """Text tokens that are the template's: on nearly all pages, or of the class of their element, outside articles."""
+        out = set()
+        for key, (e, vector, n, *_) in self.texts.items():
+            path = self.elements[e][0]
+            with_element = vector == self.place[e][0] and n >= OPTIONAL * self.pages and not in_article(path)
+            if n >= MIN_PAGES and (n >= ALWAYS * self.pages or with_element):
+                out.add(key)
+        prose = lambda x: x[-2] - x[-1]
+        said = sum(prose(x) for x in self.elements.values() if not is_aside(x[0]))
+        fixed = sum(prose(self.texts[k]) for k in out if not is_aside(self.elements[self.texts[k][0]][0]))
+        return out if 2 * fixed < said else set()
+
+    def contents(self, own: set[int]) -> dict[str, tuple[int, int]]:
+        """(characters, link characters) beyond the template's text of each slot: an element with such contents, or one beside it."""
+        fixed: dict[int, list[int]] = {}
+        for key in own:
+            e, _, _, chars, links = self.texts[key]
+            f = fixed.setdefault(e, [0, 0])
+            f[0] += chars
+            f[1] += links
+        left, inside = {}, {}
+        for k, (p, _, _, chars, links) in self.elements.items():
+            c, l = fixed.get(k, (0, 0))
+            left[p] = (chars - c, links - l)
+            at = p
+            while True:
+                total = inside.setdefault(at, [0, 0])
+                total[0] += chars
+                total[1] += chars - c
+                if not at:
+                    break
+                at = at.rpartition("/")[0]
+        varies = {p for p, (chars, new) in inside.items() if new > VARIES * chars}
+        return {p: x for p, x in left.items() if p and (p in varies or p.rpartition("/")[0] in varies)}
+
+
+def judged(contents: dict[str, tuple[int, int]]) -> list[str]:
+    """Paths of the slots that stay, of all slots' contents."""
+    slots = {p: x for p, x in contents.items() if not is_aside(p)}
     if any(in_article(p) for p in slots):
         return sorted(p for p in slots if in_article(p))
     # No element says article: the container with most text that isn't links, and every slot inside it.
@@ -208,61 +319,131 @@ def judged(classes: list[tuple[list[str], int, list[int], list[int]]], pages: in
     return sorted(p for p, (c, k) in slots.items() if (p.startswith(best + "/") or p == best) and k <= LINKS * c)
 
 
+TEMPLATE = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("slots", T.StringType()), ("gone", T.StringType()), ("own", T.LongType()))])
+
+
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, slots): for each host with a name, the paths of the slots that stay. One row for each host."""
+    """(host, template): for each host with a name (as a hash) the slots that stay, those that go, and the template's own text tokens."""
     key = F.xxhash64(F.col(url_col), F.col(html_col))
-    tokens = pages.select(host_of(F.col(url_col)).alias("host"), key.alias("page"), F.explode(page_tokens(F.col(html_col))).alias("t")).where("host != ''")
-    # The occurrence vector, summed over pages in any order: equal vectors have equal sums of hashes of (page, times).
-    vector = [F.sum(F.shiftright(F.xxhash64(F.lit(s), "page", "t.n"), 16)).alias(f"v{s}") for s in (1, 2)]
-    summed = tokens.groupBy("host", F.col("t.path").alias("path")).agg(*vector, F.count("*").alias("support"), F.sum("t.chars").alias("chars"), F.sum("t.links").alias("links"))
-    counts = tokens.groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    member = F.struct("path", "chars", "links")
-    classes = summed.groupBy("host", "v1", "v2").agg(F.first("support").alias("support"), F.sort_array(F.collect_list(member)).alias("m"))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def decide(rows: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([judged([([m["path"] for m in c["m"]], c["support"], [m["chars"] for m in c["m"]], [m["links"] for m in c["m"]]) for c in r], p) for r, p in zip(rows, n, strict=True)])
-
-    hosts = classes.groupBy("host").agg(F.collect_list(F.struct("support", "m")).alias("classes")).join(counts, "host")
-    return hosts.select("host", decide("classes", "pages").alias("slots"))
-
-
-def page_text(page: str | None, slots: list[str] | None) -> str:
-    """The main text of a page: blocks in the host's slots, or in the page's own, as judged alone, where it has none of those."""
-    found = list(blocks(page))
-    if slots is not None:
-        wanted = set(slots)
-        kept = [t for p, t, _ in found if p in wanted]
-        # Rare tokens are in no class with support: what stands in the same article, or beside a slot, belongs to it.
-        if kept:
-            parents = {s.rpartition("/")[0] for s in slots}
-            article = any(in_article(s) for s in slots)
-            return "\n".join(t for p, t, _ in found if p in wanted or (not is_aside(p) and (in_article(p) if article else any(p.startswith(q + "/") for q in parents))))
+    host = host_of(F.col(url_col))
+    found = pages.where(host != "").select(F.xxhash64(host).alias("host"), key.alias("page"), page_tokens(F.col(html_col)).alias("t"))
+    tokens = found.select("host", "page", F.explode(F.arrays_zip(*[F.col(f"t.{f.name}") for f in TOKEN_FIELDS])).alias("t")).select("host", "page", "t.*")
+    # A token is on a page once at most, so equal occurrence vectors have equal exclusive-ors of page hashes, summed in any order.
+    summed = cut(
+        tokens.groupBy("host", "key")
+        .agg(F.bit_xor("page").alias("vector"), F.count("*").alias("n"), F.max("path").alias("path"), F.max("element").alias("element"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+        .where((F.col("n") >= MIN_PAGES) | F.col("path").isNotNull())
+    )
+    counts = summed.where("path = ''").select("host", F.col("n").alias("pages"))
+    often = summed.join(counts, "host").where(F.col("n") >= F.when(F.col("path").isNull(), OPTIONAL).otherwise(SUPPORT) * F.col("pages"))
+    members = often.groupBy("host").agg(F.collect_list(F.struct("vector", "n", "path", "key", "element", "chars", "links")).alias("tokens"))
+
+    @F.pandas_udf(TEMPLATE)
+    def deduce(rows: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in rows:
+            t = Template([tuple(m.values()) for m in row])
+            own = t.own_texts()
+            slots = judged(t.contents(own))
+            out.append((slots, sorted({x[0] for x in t.elements.values()} - {""} - set(slots)), sorted(own)))
+        return pd.DataFrame(out, columns=["slots", "gone", "own"])
+
+    return members.select("host", deduce("tokens").alias("template"))
+
+
+class Kept:
+    """Which blocks of a host's pages are main text: by the innermost element of theirs that the template has."""
+
+    def __init__(self, slots: list[str], gone: list[str], own: list[int]):
+        self.slots, self.gone, self.own = frozenset(slots), frozenset(gone), frozenset(own)
+        self.article = any(in_article(p) for p in slots)
+        self.decided: dict[str, bool] = {}
+
+    def stays(self, path: str) -> bool:
+        if path not in self.decided:
+            if len(self.decided) > 10_000:
+                self.decided.clear()
+            at = path
+            while at and at not in self.slots and at not in self.gone:
+                at = at.rpartition("/")[0]
+            # An element too rare for the template stands in a slot that stays, or in an element with such slots: it belongs to it.
+            rare = at != path and not is_aside(path) and (in_article(path) if self.article else any(p == at or p.startswith(at + "/") for p in self.slots))
+            self.decided[path] = path in self.slots or rare
+        return self.decided[path]
+
+
+def without_template(found: list[tuple[str, str, int, int]], new: list[bool], nodes: list[tuple[int, str]]) -> list[str]:
+    """The texts of a page's blocks without those that are the template's: whole containers that say nothing new, and what stands before
+    and after all that is new in the container of the new, unless that is in an article."""
+    said = [False] * len(nodes)
+    for (_, _, _, node), is_new in zip(found, new, strict=True):
+        while is_new and node >= 0 and not said[node]:
+            said[node] = True
+            node = nodes[node][0]
+    holder = lambda node: node if nodes[node][1] in CONTAINERS else nodes[node][0]
+    kept = [(t, n, is_new, in_article(p)) for (p, t, _, n), is_new in zip(found, new, strict=True) if is_new or said[max(holder(n), 0)]]
+    depth = [0] * len(nodes)
+    for i, (parent, _) in enumerate(nodes[1:], 1):
+        depth[i] = depth[parent] + 1
+    common = -1
+    for _, node, is_new, _ in kept:
+        if is_new:
+            node = max(holder(node), 0)
+            common = node if common < 0 else common
+            while common != node:
+                if depth[common] >= depth[node]:
+                    common = nodes[common][0]
+                else:
+                    node = nodes[node][0]
+    edge = lambda x: not x[2] and not x[3] and depth[max(holder(x[1]), 0)] <= depth[max(common, 0)]
+    while kept and edge(kept[0]):
+        kept.pop(0)
+    while kept and edge(kept[-1]):
+        kept.pop()
+    return [t for t, *_ in kept]
+
+
+def page_text(page: str | None, template: Kept | None) -> str:
+    """The main text of a page: the new text of the host's slots, or, where it has none there, the page's own slots as judged alone."""
+    nodes: list[tuple[int, str]] = []
+    found = list(blocks(page, nodes))
+    if template is not None:
+        seen: dict[int, int] = {}
+        new = [text_key(p, t, seen) not in template.own for p, t, *_ in found]
+        stays = [template.stays(p) for p, *_ in found]
+        if any(map(bool.__and__, new, stays)):
+            return "\n".join(without_template([f for f, s in zip(found, stays, strict=True) if s], [n for n, s in zip(new, stays, strict=True) if s], nodes))
+        found = [f for f, n in zip(found, new, strict=True) if n]
     chars: dict[str, list[int]] = {}
-    for p, t, k in found:
+    for p, t, k, _ in found:
         c = chars.setdefault(p, [0, 0])
         c[0] += len(t)
         c[1] += min(k, len(t))
-    own = set(judged([([p], 1, [c], [k]) for p, (c, k) in chars.items()], 1))
-    return "\n".join(t for p, t, _ in found if p in own)
-
-
-#: Host rows up to which the templates are broadcast (each has a few paths); beyond, pages are joined with them by host.
-BROADCAST_HOSTS = 20_000
+    own = set(judged({p: (c, k) for p, (c, k) in chars.items()}))
+    return "\n".join(t for p, t, *_ in found if p in own)
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """pages with the main text of each."""
-    found = cut(templates(pages, url_col, html_col)).select(F.col("host").alias("_host"), F.col("slots").alias("_slots"))
-    found = F.broadcast(found) if found.count() <= BROADCAST_HOSTS else found
+    found = cut(templates(pages, url_col, html_col)).select(F.col("host").alias("_host"), F.col("template").alias("_template"))
+    length = F.aggregate(F.concat("template.slots", "template.gone"), F.lit(0).cast("long"), lambda n, p: n + F.length(p)) + 8 * F.size("template.own")
+    size = found.select(F.col("_template").alias("template")).agg(F.sum(length)).first()[0] or 0
+    found = F.broadcast(found) if size <= BROADCAST_CHARS else found
 
     @F.pandas_udf(T.StringType())
-    def run(html: pd.Series, slots: pd.Series) -> pd.Series:
-        return pd.Series([page_text(h, None if s is None else list(s)) for h, s in zip(html, slots, strict=True)])
+    def run(html: pd.Series, hosts: pd.Series, template: pd.DataFrame) -> pd.Series:
+        held: dict[int, Kept] = {}
+        out = []
+        for i, (h, host) in enumerate(zip(html, hosts, strict=True)):
+            slots = template["slots"].iat[i]
+            if slots is not None and host not in held:
+                held[host] = Kept(list(slots), list(template["gone"].iat[i]), list(template["own"].iat[i]))
+            out.append(page_text(h, None if slots is None else held[host]))
+        return pd.Series(out)
 
-    rows = pages.select(F.struct("*").alias("_row"), host_of(F.col(url_col)).alias("_host"))
+    rows = pages.select(F.struct("*").alias("_row"), F.xxhash64(host_of(F.col(url_col))).alias("_host"))
     joined = rows.join(found, "_host", "left")
-    text = run(F.col("_row")[html_col], F.col("_slots")).alias(text_col)
+    text = run(F.col("_row")[html_col], F.col("_host"), F.col("_template")).alias(text_col)
     return joined.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c != text_col], text)
 
 

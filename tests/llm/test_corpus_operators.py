@@ -274,6 +274,65 @@ def test_dirty_pages(spark, main):
     assert html_template.extract(d.limit(0)).count() == 0
 
 
+def story(rng, n=5):
+    sentence = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(8, 20))) + "."
+    return [sentence() for _ in range(n)]
+
+
+MENU, OWNER = ["Home", "World news", "About us"], "Printed by the owner of this place in the old town."
+PLAIN = {
+    "boxes": "<html><body><div><div>{menu}</div></div><div><p>{head}</p>{body}</div><div>{owner}</div></body></html>",
+    "flat": "<html><body>{menu}<p>{head}</p>{body}<p>{owner}</p></body></html>",
+    "listed": "<body><ul>{items}</ul><table><tr><td><p>{head}</p>{body}</td></tr></table><p>{owner}</p></body>",
+    "opaque": "<body><div class=x1><p>Latest</p><div class='x2 y9'>{menu}</div></div><div class=x7 id=post-{i}><p>{head}</p>{body}</div><div class=z3><p>{owner}</p></div></body>",
+}
+
+
+@pytest.mark.parametrize("kind", sorted(PLAIN))
+def test_template_of_plain_markup(spark, kind):
+    """No element or class says what it is for: only what the pages of the host share does."""
+    rng = random.Random(21)
+    assert not any(t in html_template.ASIDE_TAGS or html_template.purposes(a) for t, a in re.findall(r"<(\w+)([^>]*)", PLAIN[kind]))
+    stories = [story(rng) for _ in range(20)]
+    fill = lambda i, s: PLAIN[kind].format(
+        i=i, menu="".join(f"<p>{m}</p>" for m in MENU), items="".join(f"<li>{m}</li>" for m in MENU), head=s[0], body="".join(f"<p>{x}</p>" for x in s[1:]), owner=OWNER)
+    pages = [(i, f"http://plain.example/{i}", fill(i, s)) for i, s in enumerate(stories)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join(s) for i, s in enumerate(stories)}
+    alone = [html_template.page_text(h, None) for _, _, h in pages]
+    if kind in ("boxes", "flat"):  # a page by itself can't tell, so the template decides
+        assert all(OWNER in t or MENU[0] in t for t in alone)
+
+
+def test_template_inside_articles_and_copies(spark):
+    rng = random.Random(22)
+    shares = "<div><p>Send this to a friend</p><p>Print this page</p></div>"
+    page = lambda s, more="": f"<body><article><h1>{s[0]}</h1>{''.join(f'<p>{x}</p>' for x in s[1:])}{more}<p>Written here.</p></article></body>"
+    stories = [story(rng) for _ in range(8)]
+    pages = [(i, f"http://a.example/{i}", page(s, shares)) for i, s in enumerate(stories)]
+    same, near = story(rng, 9), story(rng, 9)
+    pages += [(100 + i, f"http://copies.example/{i}", page(same)) for i in range(12)]
+    pages += [(200 + i, f"http://near.example/{i}", page([*near[:8], f"Edition {i}."])) for i in range(12)]
+    pages += [(300 + i, f"http://few.example/{i}", page(s, shares)) for i, s in enumerate(stories[:3])]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_template.extract(d).collect()}
+    for i, s in enumerate(stories):
+        assert got[i] == "\n".join([*s, "Written here."]) != html_template.page_text(pages[i][2], None)
+    assert {got[100 + i] for i in range(12)} == {"\n".join([*same, "Written here."])}
+    assert [got[200 + i] for i in range(12)] == ["\n".join([*near[:8], f"Edition {i}.", "Written here."]) for i in range(12)]
+    assert got[300] == "\n".join([*stories[0], "Send this to a friend", "Print this page", "Written here."])
+
+
+def test_template_of_a_host_with_very_many_paths(spark):
+    rng = random.Random(23)
+    letters = lambda: "".join(rng.choice("ghijklmnop") for _ in range(8))
+    pages = [(i, f"http://many.example/{i}", "<article>" + "".join(f"<div class={letters()}><p>{letters()}</p></div>" for _ in range(100)) + "</article>") for i in range(60)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string")
+    found = html_template.templates(d).first()["template"]
+    assert len(found["slots"]) + len(found["gone"]) + len(found["own"]) < 10
+    assert all(len(r["text"].split("\n")) == 100 for r in html_template.extract(d).collect())
+
+
 def test_pipeline_stages(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
