@@ -322,32 +322,37 @@ def links(distinct: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return dealt.repartition("g").sortWithinPartitions("g").mapInPandas(run, "u long, v long").distinct()
 
 
+def settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars already: no node has two smaller ones, or both a smaller and a larger one."""
+    ends = F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = edges.select(F.explode(ends).alias("e")).select("e.*").groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
+
+
 def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     """(node, root) of every node that isn't the smallest of its component; root is that smallest node. Edges are (u, v), u > v.
 
-    Alternates large-star and small-star; each step is a grouped minimum (combined before the shuffle) and a join, and is cut.
+    Alternates large-star and small-star until all components are stars; each step is a grouped minimum (combined before the shuffle)
+    and a join. Both sides of a join are tables by then, so it has plain exchanges, of which Spark splits those of nodes with very many
+    links.
     """
-    mark = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     now = cut(edges)
-    seen = mark(now)
     for _ in range(limit):
+        if settled(now):
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = now.union(now.select("v", "u")).toDF("x", "y")
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
+        large = cut(both.where("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct())
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
-        new = cut(large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct())
-        after = mark(new)
-        if after == seen:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        now, seen = new, after
+        now = cut(large.join(low, "u").select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct())
     raise RuntimeError(f"components did not settle in {limit} steps")
 
 
 def named(distinct: DataFrame, edges: DataFrame, least: str) -> DataFrame:
     """(fp, component) of every fingerprint; component is the smallest `least` of its component."""
-    rooted = distinct.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", least, F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min(least).alias("component"))
+    rooted = cut(distinct.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").select("fp", least, F.coalesce("root", "fp").alias("root")))
+    smallest = cut(rooted.groupBy("root").agg(F.min(least).alias("component")))
     return rooted.join(smallest, "root").select("fp", "component")
 
 
