@@ -73,6 +73,8 @@ WHOLE = frozenset("html body main article".split())
 SUPPORT, OPTIONAL, ALWAYS, MIN_PAGES, VARIES, LINKS, DEEP = 0.1, 0.5, 0.9, 5, 0.05, 0.5, 64
 #: Characters of all templates up to which they are broadcast; beyond, pages are joined with them by host.
 BROADCAST_CHARS = 16 << 20
+#: Hosts up to which their numbers of pages (16 bytes each) are broadcast; beyond, tokens are joined with them by host.
+BROADCAST_HOSTS = 500_000
 
 
 def purposes(attrs: str) -> list[str]:
@@ -335,7 +337,9 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         .where((F.col("n") >= MIN_PAGES) | F.col("path").isNotNull())
     )
     counts = summed.where("path = ''").select("host", F.col("n").alias("pages"))
-    often = summed.join(counts, "host").where(F.col("n") >= F.when(F.col("path").isNull(), OPTIONAL).otherwise(SUPPORT) * F.col("pages"))
+    few = counts.count() <= BROADCAST_HOSTS
+    often = summed.join(F.broadcast(counts) if few else counts, "host").where(F.col("n") >= F.when(F.col("path").isNull(), OPTIONAL).otherwise(SUPPORT) * F.col("pages"))
+    often = often if few else often.repartition("host", "key")  # the join may then split a host's rare tokens
     members = often.groupBy("host").agg(F.collect_list(F.struct("vector", "n", "path", "key", "element", "chars", "links")).alias("tokens"))
 
     @F.pandas_udf(TEMPLATE)
