@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,15 +19,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where that is unset, as in a bare test session, a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(where)
-        return where
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pointloom-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The cluster's shared folder (spark.checkpoint.dir). In a local session without it, as in tests, a temporary one; elsewhere it must be set."""
+    context = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="pointloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(where)
+    return where
+
+
+_scratch: list[tuple[SparkSession, str, str | None]] = []
+
+
+def scratch(spark: SparkSession, name: str, table: bool = False) -> str:
+    """A path in the shared folder for data that results read; drop_scratch removes it, and the table of this name if there is one."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    if not _scratch:
+        atexit.register(drop_scratch)
+    _scratch.append((spark, path, name if table else None))
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def drop_scratch() -> None:
+    """Remove all scratch data of this process; results that read it must have been used or written by then. Runs when Python ends."""
+    while _scratch:
+        spark, path, name = _scratch.pop()
+        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+            continue  # a stopped session leaves its shared folder to whoever made it
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_path(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:

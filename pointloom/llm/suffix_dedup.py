@@ -4,47 +4,57 @@ Bytes are removed that lie in a string of `length` bytes which also starts in a
 length has an anchor: the leftmost K-gram of smallest hash in it, so equal strings have equal anchors at equal places, and one
 anchor stands for about twenty strings that follow each other, its stretch. Three passes over chunks of documents find all repeats:
 
-1. For each anchor a chunk sends the hash of its K-gram, the hash of its stretch and the smallest document; a K-gram hash bucket
-   answers with the smallest document of all chunks that hold the same stretch, and marks K-grams that stand in unequal stretches.
-2. Of those the chunk sends the stretches' bytes, once each. The bucket sorts the suffixes that start at the anchors: a merge sort
-   that compares suffixes by prefix polynomial hashes and binary search for their common extension. Strings with the same anchor
-   place are equal where suffixes beside each other have a long enough common extension and the bytes before the anchor agree; the
-   smallest document of equal strings, verified byte by byte, is sent to each stretch that a smaller document shares a string with.
-   A K-gram in more than HOT unequal stretches would fill a task: of those the chunk sends 96-bit hashes of the strings instead,
-   each string once, and the buckets go by the strings' hashes.
+1. For each anchor a chunk sends 32 bits of its K-gram's hash beyond its bucket, 31 bits of its stretch's and the smallest document; the
+   bucket answers with the entries whose bytes are needed: of K-grams that stand in unequal stretches, and of equal ones of unequal
+   documents. Hashes only choose here: entries that are taken for equal and aren't, are told apart by their bytes.
+2. Of those the chunk sends the stretches' bytes, once each. Stretches that are all equal are compared as a whole. Of others the bucket
+   sorts the suffixes that start at the anchors: a merge sort that compares suffixes by prefix polynomial hashes and binary search for
+   their common extension. Strings with the same anchor place are equal where suffixes beside each other have a long enough common
+   extension and the bytes before the anchor agree; the smallest document of equal strings, verified byte by byte, is sent to each
+   stretch that a smaller document shares a string with.
+   A K-gram in very many unequal stretches would fill a task: an estimate from a sample of chunks finds those with more than HOT. Their
+   entries take no part in pass 1; the chunk sends each of their strings once, and buckets go by the strings' hashes, so that a K-gram
+   of a third of all documents spreads over all tasks. This only chooses a way: the result is the same whichever K-grams go by it.
 3. Each chunk removes the strings found.
 
-Prefix hashes make a comparison logarithmic. A chunk sends each anchor and each string once, however many of its documents hold it,
-so a passage in a third of all documents reaches a bucket once for each chunk. Chunks hold about CHUNK bytes and stay where they
-are: they are written once to a bucketed table in the shared folder and read from there by each pass.
+Nothing is removed on the word of a hash: equal strings are compared byte by byte inside chunks (each occurrence with the one before)
+and in buckets. Prefix hashes make a comparison logarithmic. A chunk sends each anchor and each string once, however many of its
+documents hold it, so a passage in a third of all documents reaches a bucket once for each chunk. Chunks grow with the square root of
+the corpus, from CHUNK to MOST_CHUNK bytes, so that a chunk's message to a bucket holds many entries; beyond about a terabyte messages
+get shorter, and there are never more of them than anchors. Chunks are written once to a table in the shared folder, bucketed by
+chunk, and read from there by each pass; common.drop_scratch removes it once results have been used, at the latest when Python ends.
 
 Defined results: a null text is empty; texts shorter than `length` stay; rows with the same id don't remove each other's bytes, nor
-do rows with a null id, which come after all others; what is left of a text may be no valid UTF-8 and is binary; other columns are
-ignored.
+do rows with a null id, which come after all others; ids must be integers (others fail when they are cast to long); what is left of a
+text may be no valid UTF-8 and is binary; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 from collections.abc import Iterator
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shared_dir
+from .common import scratch
 
 K = 18
-#: Stretches of one K-gram that are sorted together at most; beyond, their strings go by their own hashes.
-HOT = 1 << 15
+#: Estimated stretches of a K-gram, counted once for each chunk, beyond which its strings go by their own hashes, and the most K-grams of
+#: which all chunks are told (8 bytes each): those with most stretches.
+HOT, MOST_HOT = 1 << 15, 1_000_000
 CHUNK, BUCKET, SLICE = 2 << 20, 2 << 20, 1 << 18
+MOST_CHUNK, MOST_BUCKET, MOST_FILES = 32 << 20, 8 << 20, 50_000
+SAMPLED = 16
 LAST = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 _bytes = np.random.default_rng(20240229).integers(1 << 63, 1 << 64, 256, np.uint64)  # fixed values of the bytes in hashes
-_others = np.random.default_rng(20240301).integers(1 << 63, 1 << 64, 256, np.uint64)  # and those of a second, independent hash
 _powers: dict[int, np.ndarray] = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
@@ -59,10 +69,10 @@ def powers(base: int, n: int) -> np.ndarray:
 class Prefixes:
     """Hashes of all substrings of a text from the hashes of its prefixes, modulo 2^64."""
 
-    def __init__(self, text: np.ndarray, values: np.ndarray = _bytes):
+    def __init__(self, text: np.ndarray):
         self.n = len(text)
         self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(values[text] * powers(BASE, self.n), out=self.sums[1:])
+        np.cumsum(_bytes[text] * powers(BASE, self.n), out=self.sums[1:])
 
     def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * powers(INVERSE, self.n + 1)[start]
@@ -122,7 +132,7 @@ def _anchors(texts: list[bytes], number: int, length: int) -> dict[str, np.ndarr
     own = begins[doc]
     return {
         "doc": (doc + number).astype(np.int32), "lo": (lo - own).astype(np.int32), "hi": (hi - own).astype(np.int32), "at": (at - own).astype(np.int32),
-        "gram": mixed(gram + np.uint64(BASE)), "stretch": stretch >> np.uint64(17),
+        "gram": mixed(gram + np.uint64(BASE)), "stretch": stretch >> np.uint64(33),
     }
 
 
@@ -137,10 +147,19 @@ def sorted_by(gram: np.ndarray, stretch: np.ndarray, doc: np.ndarray) -> np.ndar
     return order
 
 
+def padded_rows(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Rows of one width with the bytes of each piece, zeros after its end."""
+    step = np.arange(size.max())
+    return np.where(step < size[:, None], text[np.minimum(start[:, None] + step, len(text) - 1)], 0).astype(np.uint8)
+
+
 class Chunk:
-    """A chunk's documents in order, their stretches, and its entries: distinct (K-gram, stretch) with the smallest document."""
+    """A chunk's documents in order, their stretches, and its entries: distinct stretches with the smallest document.
 
-    def __init__(self, rows: pd.DataFrame, length: int):
+    Entries of hot K-grams are apart from the others; those are numbered by `cold`.
+    """
+
+    def __init__(self, rows: pd.DataFrame, length: int, hot: np.ndarray):
         rows = rows.sort_values(["rank", "k1", "k2"], kind="stable")
         self.rows, self.rank = rows, rows["rank"].to_numpy(np.int64)
         self.texts = [bytes(t) for t in rows["text"]]
@@ -149,16 +168,45 @@ class Chunk:
         self.a = {k: v[order] for k, v in a.items()}
         gram, stretch = self.a["gram"], self.a["stretch"]
         first = np.append(True, (gram[1:] != gram[:-1]) | (stretch[1:] != stretch[:-1])) if len(gram) else np.zeros(0, bool)
+        again = np.flatnonzero(~first)
+        if len(again):
+            first[again] = ~self.equal(again, again - 1, length)
         self.first = np.flatnonzero(first)
         self.entry = np.cumsum(first) - 1
         last = np.append(self.first[1:], len(gram)) - 1
         self.gram, self.stretch = gram[self.first], stretch[self.first]
         self.low = self.rank[self.a["doc"][self.first]]
         self.shared = self.rank[self.a["doc"][last[: len(self.first)]]] != self.low if len(self.first) else np.zeros(0, bool)
+        crowded = np.isin(self.gram, hot)
+        self.cold, self.hot = np.flatnonzero(~crowded), np.flatnonzero(crowded)
+
+    def equal(self, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
+        """Whether the stretches of occurrences x and y are the same bytes."""
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        text = np.frombuffer(b"".join(self.texts), np.uint8)
+        out = np.empty(len(x), bool)
+        for s in range(0, len(x), 1 << 16):
+            i, j = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
+            rows, size = [], []
+            for k in (i, j):
+                doc, lo = self.a["doc"][k], self.a["lo"][k].astype(np.int64)
+                size.append(self.a["hi"][k] - lo + length)
+                rows.append(padded_rows(text, begins[doc] + lo, size[-1]))
+            wide = min(r.shape[1] for r in rows)
+            out[s : s + (1 << 16)] = (size[0] == size[1]) & (rows[0][:, :wide] == rows[1][:, :wide]).all(1)
+        return out
 
     def buckets(self, n: int) -> Iterator[tuple[int, slice]]:
-        """Entries by K-gram bucket; they are sorted by K-gram, so a bucket is a range."""
-        return ranges_of(bucket_of(self.gram, n))
+        """Cold entries by K-gram bucket; they are sorted by K-gram, so a bucket is a range."""
+        return ranges_of(bucket_of(self.gram[self.cold], n))
+
+    def bytes_of(self, entries: np.ndarray, length: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The bytes of the entries' stretches, their sizes, and where in them their anchors are."""
+        run = self.first[entries]
+        doc, lo, hi = self.a["doc"][run], self.a["lo"][run].astype(np.int64), self.a["hi"][run].astype(np.int64)
+        text = b"".join(self.texts[d][i : j + length] for d, i, j in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True))
+        return text, hi - lo + length, self.a["at"][run] - lo
 
 
 def ranges_of(b: np.ndarray) -> Iterator[tuple[int, slice]]:
@@ -192,113 +240,99 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def wide48(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """48 bits as 32 and 16."""
-    return (a & np.uint64(2**32 - 1)).astype(np.uint32), (a >> np.uint64(32)).astype(np.uint16)
-
-
 ROWS = "chunk long, bucket long, kind int, data binary"
+COLUMNS = ["chunk", "bucket", "kind", "data"]
 
 
-def joined48(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)
+def many_stretches(rows: pd.DataFrame, length: int, least: int) -> pd.DataFrame:
+    """(K-gram, stretches) of those with at least `least` unequal stretches in this chunk."""
+    c = Chunk(rows, length, np.zeros(0, np.uint64))
+    gram, n = np.unique(c.gram, return_counts=True)
+    many = n >= least
+    return pd.DataFrame({"gram": gram[many].view(np.int64), "n": n[many]})
 
 
-def send_anchors(rows: pd.DataFrame, length: int, n_buckets: int) -> pd.DataFrame:
-    c = Chunk(rows, length)
-    marked = c.stretch << np.uint64(1) | c.shared.astype(np.uint64)
-    # 48 bits of a K-gram's hash are enough: two that are taken for one only cost the exchange of their stretches.
-    cut = lambda g: wide48(g >> np.uint64(16))
-    out = [(int(rows["chunk"].iloc[0]), b, 1, packed(*cut(c.gram[s]), *wide48(marked[s]), c.low[s])) for b, s in c.buckets(n_buckets)]
-    return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
+def send_anchors(rows: pd.DataFrame, length: int, n_buckets: int, hot: np.ndarray) -> pd.DataFrame:
+    c = Chunk(rows, length, hot)
+    gram = (c.gram[c.cold] & np.uint64(2**32 - 1)).astype(np.uint32)
+    marked = (c.stretch[c.cold] << np.uint64(1) | c.shared[c.cold].astype(np.uint64)).astype(np.uint32)
+    low = c.low[c.cold]
+    out = [(int(rows["chunk"].iloc[0]), b, 1, packed(gram[s], marked[s], low[s])) for b, s in c.buckets(n_buckets)]
+    return pd.DataFrame(out, columns=COLUMNS)
 
 
-def answer_anchors(rows: pd.DataFrame, hot_from: int) -> pd.DataFrame:
-    """To each chunk: entries of which another chunk holds a smaller document, with that; entries whose bytes are needed; those of hot K-grams."""
+def answer_anchors(rows: pd.DataFrame) -> pd.DataFrame:
+    """To each chunk: entries whose bytes are needed, and whether they are to be sorted (or only compared as a whole)."""
     rows = rows.sort_values("chunk")
     parts = [unpacked(d) for d in rows["data"]]
     sizes = np.array([len(p[0]) for p in parts])
-    g32, g16, s32, s16, low = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    gram, marked = joined48(g32, g16), joined48(s32, s16)
-    stretch, shared = marked >> np.uint64(1), (marked & np.uint64(1)).astype(bool)
+    gram, marked, low = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    stretch, shared = marked >> 1, (marked & 1).astype(bool)
     order = np.lexsort((stretch, gram))
     g, s, m = gram[order], stretch[order], low[order]
     new_gram = np.append(True, g[1:] != g[:-1])
     new_stretch = new_gram | np.append(True, s[1:] != s[:-1])
     by_stretch, by_gram = np.flatnonzero(new_stretch), np.flatnonzero(new_gram)
-    least = np.minimum.reduceat(m, by_stretch)[np.cumsum(new_stretch) - 1]
-    of_gram = np.cumsum(new_gram) - 1
+    of_gram, of_stretch = np.cumsum(new_gram) - 1, np.cumsum(new_stretch) - 1
     several = np.add.reduceat(new_stretch.astype(np.int64), by_gram) > 1
     apart = (np.minimum.reduceat(m, by_gram) != np.maximum.reduceat(m, by_gram)) | np.logical_or.reduceat(shared[order], by_gram)
-    hot = np.diff(np.append(by_gram, len(g))) > hot_from
-    needed, crowded, lower = np.empty(len(g), bool), np.empty(len(g), bool), np.empty(len(g), np.int64)
-    needed[order] = (several & apart & ~hot)[of_gram]
-    crowded[order] = (several & apart & hot)[of_gram]
-    lower[order] = least
+    copied = np.minimum.reduceat(m, by_stretch) != np.maximum.reduceat(m, by_stretch)
+    sort, compare = np.empty(len(g), bool), np.empty(len(g), bool)
+    sort[order] = (several & apart)[of_gram]
+    compare[order] = copied[of_stretch]
     out, at = [], 0
     for chunk, n in zip(rows["chunk"].tolist(), sizes.tolist(), strict=True):
         part = slice(at, at + n)
         at += n
-        smaller = np.flatnonzero(lower[part] < low[part])
-        ask, crowd = np.flatnonzero(needed[part]), np.flatnonzero(crowded[part])
-        if len(smaller) or len(ask) or len(crowd):
-            out.append((chunk, int(rows["bucket"].iloc[0]), 2, packed(smaller, lower[part][smaller], ask, crowd)))
-    return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
+        ask = np.flatnonzero(sort[part] | compare[part])
+        if len(ask):
+            out.append((chunk, int(rows["bucket"].iloc[0]), 2, packed(ask, sort[part][ask].astype(np.uint8))))
+    return pd.DataFrame(out, columns=COLUMNS)
 
 
 class HotStrings:
     """The distinct strings of a chunk's stretches of hot K-grams, by hash, with the smallest document, and where each occurs."""
 
-    def __init__(self, c: Chunk, entries: np.ndarray, length: int):
-        run = c.first[entries]
-        doc, lo, hi = c.a["doc"][run], c.a["lo"][run].astype(np.int64), c.a["hi"][run].astype(np.int64)
-        text = np.frombuffer(b"".join(c.texts[d][i : j + length] for d, i, j in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.uint8)
-        strings = hi - lo + 1
-        size = strings + length - 1
-        record = np.repeat(np.arange(len(entries)), strings)
+    def __init__(self, c: Chunk, length: int):
+        data, size, _ = c.bytes_of(c.hot, length)
+        text = np.frombuffer(data, np.uint8)
+        strings = size - length + 1
+        record = np.repeat(np.arange(len(c.hot)), strings)
         string = np.arange(len(record)) - np.repeat(np.cumsum(strings) - strings, strings)
         at = np.repeat(np.cumsum(size) - size, strings) + string
-        h1, h2 = mixed(Prefixes(text).of(at, length)), mixed(Prefixes(text, _others).of(at, length)) >> np.uint64(32)
-        order = np.lexsort((c.low[entries][record], h2, h1))
-        h1, h2 = h1[order], h2[order]
-        new = np.append(True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])) if len(h1) else np.zeros(0, bool)
-        self.entry, self.string, self.klass = entries[record[order]], string[order], np.cumsum(new) - 1
-        self.h1, self.h2, self.low = h1[new], h2[new].astype(np.uint32), c.low[self.entry[new]]
+        h = mixed(Prefixes(text).of(at, length))
+        order = np.lexsort((c.low[c.hot][record], h))
+        h, at = h[order], at[order]
+        rows = padded_rows(text, at, np.full(len(at), length)) if len(at) else np.zeros((0, length), np.uint8)
+        new = np.append(True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1]).any(1)) if len(h) else np.zeros(0, bool)
+        self.entry, self.string, self.klass = c.hot[record[order]], string[order], np.cumsum(new) - 1
+        self.h, self.low, self.text = h[new], c.low[self.entry[new]], rows[new]
 
     def buckets(self, n: int) -> Iterator[tuple[int, slice]]:
-        return ranges_of(bucket_of(self.h1, n))
+        return ranges_of(bucket_of(self.h, n))
 
 
-def by_chunk_bucket(answers: pd.DataFrame) -> dict[int, list[np.ndarray]]:
-    return {b: unpacked(d) for b, k, d in zip(answers["bucket"], answers["kind"], answers["data"], strict=True) if k == 2}
+def by_chunk_bucket(answers: pd.DataFrame, kind: int) -> dict[int, list[np.ndarray]]:
+    return {b: unpacked(d) for b, k, d in zip(answers["bucket"], answers["kind"], answers["data"], strict=True) if k == kind}
 
 
-def hot_entries(c: Chunk, asked: dict[int, list[np.ndarray]], n_buckets: int) -> np.ndarray:
-    return np.concatenate([np.zeros(0, np.int64), *[s.start + asked[b][3] for b, s in c.buckets(n_buckets) if b in asked]])
-
-
-def send_stretches(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buckets: int) -> pd.DataFrame:
-    columns = ["chunk", "bucket", "kind", "data"]
-    if not len(rows) or not len(answers):
-        return pd.DataFrame([], columns=columns)
-    asked = by_chunk_bucket(answers)
-    c = Chunk(rows, length)
+def send_stretches(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buckets: int, hot: np.ndarray) -> pd.DataFrame:
+    if not len(rows):
+        return pd.DataFrame([], columns=COLUMNS)
+    asked = by_chunk_bucket(answers, 2)
+    c = Chunk(rows, length, hot)
     chunk = int(rows["chunk"].iloc[0])
     out = []
     for b, s in c.buckets(n_buckets):
-        if b not in asked or not len(asked[b][2]):
-            continue
-        e = s.start + asked[b][2]
-        run = c.first[e]
-        doc, lo, hi = c.a["doc"][run], c.a["lo"][run], c.a["hi"][run]
-        text = b"".join(c.texts[d][i : j + length] for d, i, j in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True))
-        data = packed(e.astype(np.int64), c.gram[e], c.low[e], (hi - lo + length).astype(np.uint16), (c.a["at"][run] - lo).astype(np.uint16), np.frombuffer(text, np.uint8))
-        out.append((chunk, b, 3, data))
-    hot = hot_entries(c, asked, n_buckets)
-    if len(hot):
-        strings = HotStrings(c, hot, length)
-        out += [(chunk, b, 5, packed(strings.h1[s], strings.h2[s], strings.low[s])) for b, s in strings.buckets(n_buckets)]
-    return pd.DataFrame(out, columns=columns)
+        if b in asked:
+            e = c.cold[s.start + asked[b][0]]
+            text, size, anchor = c.bytes_of(e, length)
+            data = packed(c.gram[e], c.low[e], size.astype(np.uint16), anchor.astype(np.uint16), asked[b][1], np.frombuffer(text, np.uint8))
+            out.append((chunk, b, 3, zstandard.compress(data, 1)))
+    if len(c.hot):
+        strings = HotStrings(c, length)
+        out += [(chunk, b, 5, zstandard.compress(packed(strings.h[s], strings.low[s], strings.text[s].ravel()), 1)) for b, s in strings.buckets(n_buckets)]
+    return pd.DataFrame(out, columns=COLUMNS)
 
 
 class Suffixes:
@@ -362,24 +396,34 @@ class Suffixes:
 
 
 def answer_stretches(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """To each chunk: (entry, string of its stretch, smallest document), where that is smaller than the stretch's own."""
+    """To each chunk: (entry, string of its stretch or none for all of it, smallest document), where that is smaller than the stretch's own."""
     rows = rows.sort_values("chunk")
     out = []
     if len(own := rows[rows["kind"] == 3]):
-        out += _answer_sorted(own, length)
+        out += _answer_bytes(own, length)
     if len(own := rows[rows["kind"] == 5]):
-        out += _answer_hashed(own)
-    return pd.DataFrame(out, columns=["chunk", "bucket", "kind", "data"])
+        out += _answer_strings(own, length)
+    return pd.DataFrame(out, columns=COLUMNS)
+
+
+def least_of_equal(h: np.ndarray, rows: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The smallest document of the rows that are the same bytes as each; equal rows have equal hashes."""
+    order = np.argsort(h, kind="stable")
+    new = np.append(True, h[order][1:] != h[order][:-1])
+    if ((rows[order][1:] != rows[order][:-1]).any(1) & ~new[1:]).any():  # hashes collide: by the bytes themselves
+        of = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+        order = np.argsort(of, kind="stable")
+        new = np.append(True, of[order][1:] != of[order][:-1])
+    out = np.empty(len(low), np.int64)
+    out[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
 
 
-def _answer_hashed(rows: pd.DataFrame) -> list[tuple]:
-    parts = [unpacked(d) for d in rows["data"]]
+def _answer_strings(rows: pd.DataFrame, length: int) -> list[tuple]:
+    parts = [unpacked(zstandard.decompress(d)) for d in rows["data"]]
     counts = np.array([len(p[0]) for p in parts])
-    h1, h2, low = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    order = np.lexsort((h2, h1))
-    new = np.append(True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1]))
-    least = np.empty(len(low), np.int64)
-    least[order] = np.minimum.reduceat(low[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    h, low, text = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    least = least_of_equal(h, text.reshape(-1, length), low)
     out, at = [], 0
     for chunk, n in zip(rows["chunk"].tolist(), counts.tolist(), strict=True):
         smaller = np.flatnonzero(least[at : at + n] < low[at : at + n])
@@ -389,27 +433,68 @@ def _answer_hashed(rows: pd.DataFrame) -> list[tuple]:
     return out
 
 
-def _answer_sorted(rows: pd.DataFrame, length: int) -> list[tuple]:
-    parts = [unpacked(d) for d in rows["data"]]
+def _answer_bytes(rows: pd.DataFrame, length: int) -> list[tuple]:
+    parts = [unpacked(zstandard.decompress(d)) for d in rows["data"]]
     counts = np.array([len(p[0]) for p in parts])
-    entry, gram, low, size, anchor, text = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    size, anchor = size.astype(np.int64), anchor.astype(np.int64)
-    group = np.unique(gram, return_inverse=True)[1]
+    gram, low, size, anchor, sort, text = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    size, anchor, sort = size.astype(np.int64), anchor.astype(np.int64), sort.astype(bool)
+    edges = np.append(0, np.cumsum(size)).tolist()
+    data = text.tobytes()
+    # Compared as a whole; a K-gram whose stretches turn out to be unequal is sorted after all.
+    plain = np.flatnonzero(~sort)
+    least: dict[bytes, int] = {}
+    pieces = [data[edges[k] : edges[k + 1]] for k in plain.tolist()]
+    for piece, doc in zip(pieces, low[plain].tolist(), strict=True):
+        if least.get(piece, LAST + 1) > doc:
+            least[piece] = doc
+    own = np.array([least[p] for p in pieces], np.int64)
+    kinds = {}
+    for g, piece in zip(gram[plain].tolist(), pieces, strict=True):
+        kinds.setdefault(g, piece)
+    unequal = np.array([kinds[g] != piece for g, piece in zip(gram[plain].tolist(), pieces, strict=True)], bool)
+    sort[plain] = np.isin(gram[plain], gram[plain[unequal]])
+    starts = np.append(0, np.cumsum(counts))
+    message = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(size)) - starts[message]
+    found = np.zeros(len(size), bool)
+    found[plain] = (own < low[plain]) & ~sort[plain]
+    to = np.full(len(size), LAST)
+    to[plain] = own
+    record, string, smaller = _sorted_strings(np.flatnonzero(sort), gram, low, size, anchor, text, np.array(edges[:-1]), length)
+    out = []
+    bucket = int(rows["bucket"].iloc[0])
+    ends = np.searchsorted(message[record], np.arange(len(counts) + 1))
+    for k, chunk in enumerate(rows["chunk"].tolist()):
+        whole = starts[k] + np.flatnonzero(found[starts[k] : starts[k + 1]])
+        s = slice(ends[k], ends[k + 1])
+        if len(whole) or s.start < s.stop:
+            out.append((chunk, bucket, 4, packed(place[whole], to[whole], place[record[s]], string[s].astype(np.uint8), smaller[s])))
+    return out
+
+
+def _sorted_strings(
+    which: np.ndarray, gram: np.ndarray, low: np.ndarray, size: np.ndarray, anchor: np.ndarray, text: np.ndarray, begin: np.ndarray, length: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, string of its stretch, smallest document) of the records' strings that a smaller document has; in order of records."""
+    if not len(which):
+        return (np.zeros(0, np.int64),) * 3
+    group = np.unique(gram[which], return_inverse=True)[1]
     order = np.argsort(group, kind="stable")
     # Each record's bytes from its anchor on, and those before it backwards, padded to rows of one width.
-    place = (np.cumsum(size) - size + anchor)[order]
+    which, group = which[order], group[order]
+    size, anchor, low = size[which], anchor[which], low[which]
+    place = begin[which] + anchor
     width = length - K
-    size, anchor, group, low = size[order], anchor[order], group[order], low[order]
     step = np.arange(length)
     right = np.where(step < (size - anchor)[:, None], text[np.minimum(place[:, None] + step, len(text) - 1)], 0).astype(np.uint8)
     left = np.where(step[:width] < anchor[:, None], text[np.maximum(place[:, None] - 1 - step[:width], 0)], 0).astype(np.uint8)
     suffixes = Suffixes(right.ravel(), length)
-    at = np.arange(len(order)) * length
+    at = np.arange(len(which)) * length
     by = suffixes.sort(at, group)
-    order, size, anchor, group, low, right, left = order[by], size[by], anchor[by], group[by], low[by], right[by], left[by]
+    which, size, anchor, group, low, right, left = which[by], size[by], anchor[by], group[by], low[by], right[by], left[by]
     extension = np.append(-1, np.where(group[1:] == group[:-1], suffixes.common(at[by][1:], at[by][:-1]), -1))
     before = Prefixes(left.ravel())
-    row = np.arange(len(order)) * width
+    row = np.arange(len(which)) * width
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for p in range(width + 1):
         # Strings with p bytes before the anchor: equal suffixes of the rest stand together, and the p bytes must agree.
@@ -424,42 +509,35 @@ def _answer_sorted(rows: pd.DataFrame, length: int) -> list[tuple]:
         smaller = np.flatnonzero(low[first] < low[mine])
         mine, first = mine[smaller], first[smaller]
         same = (right[mine, : length - p] == right[first, : length - p]).all(1) & (left[mine, :p] == left[first, :p]).all(1)
-        found.append((order[mine[same]], string[mine[same]], low[first[same]]))
+        found.append((which[mine[same]], string[mine[same]], low[first[same]]))
     record, string, least = (np.concatenate([f[i] for f in found]) for i in range(3))
     o = np.argsort(record, kind="stable")
-    record, string, least = record[o], string[o], least[o]
-    edges = np.searchsorted(record, np.append(0, np.cumsum(counts)))
-    out = []
-    for k, chunk in enumerate(rows["chunk"].tolist()):
-        s = slice(edges[k], edges[k + 1])
-        if s.start < s.stop:
-            out.append((chunk, int(rows["bucket"].iloc[0]), 4, packed(entry[record[s]], string[s].astype(np.uint8), least[s])))
-    return out
+    return record[o], string[o], least[o]
 
 
 RESULT = "id long, k1 long, k2 long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buckets: int) -> pd.DataFrame:
+def remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buckets: int, hot: np.ndarray) -> pd.DataFrame:
     if not len(rows):
         return pd.DataFrame([], columns=["id", "k1", "k2", "n_bytes", "spans", "kept"])
-    c = Chunk(rows, length)
-    first = {b: s.start for b, s in c.buckets(n_buckets)}
+    c = Chunk(rows, length, hot)
     low = c.low.copy()
     singles = []
-    asked = by_chunk_bucket(answers)
-    for b, got in asked.items():
-        at = first[b] + got[0]
-        low[at] = np.minimum(low[at], got[1])
-    hashed = {b: unpacked(d) for b, k, d in zip(answers["bucket"], answers["kind"], answers["data"], strict=True) if k == 6}
-    if hashed or len(hot_entries(c, asked, n_buckets)):
-        strings = HotStrings(c, hot_entries(c, asked, n_buckets), length)
+    asked, told, hashed = (by_chunk_bucket(answers, kind) for kind in (2, 4, 6))
+    for b, s in c.buckets(n_buckets):
+        if b in told:
+            entry = c.cold[s.start + asked[b][0]]
+            whole, least, record, string, smaller = told[b]
+            low[entry[whole]] = np.minimum(low[entry[whole]], least)
+            singles.append([entry[record], string, smaller])
+    if len(c.hot):
+        strings = HotStrings(c, length)
         least = strings.low.copy()
         for b, s in strings.buckets(n_buckets):
             if b in hashed:
                 least[s.start + hashed[b][0]] = hashed[b][1]
         singles.append([strings.entry, strings.string, least[strings.klass]])
-    singles += [unpacked(d) for k, d in zip(answers["kind"], answers["data"], strict=True) if k == 4]
     sizes = np.array([len(t) for t in c.texts], np.int64)
     begins = np.cumsum(sizes + 1) - sizes - 1
     depth = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
@@ -495,36 +573,52 @@ def remove(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buckets: in
     return result[["id", "k1", "k2", "n_bytes", "spans", "kept"]]
 
 
-def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(documents by chunk, number of K-gram buckets). The table is written once, each chunk in one place."""
+def chunked(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, int]:
+    """(documents by chunk, number of chunks, number of K-gram buckets). The table is written once, each chunk in one place."""
     spark = docs.sparkSession
-    bound_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
-    n, n_buckets = max(1, -(-total // CHUNK)), max(1, -(-total // BUCKET))
+    even = math.isqrt(1000 * total)  # then a chunk's message to a bucket holds about fifty entries
+    n = max(1, -(-total // max(CHUNK, min(even, MOST_CHUNK))))
+    n_buckets = max(1, -(-total // max(BUCKET, min(even, MOST_BUCKET))))
+    files = min(n, MOST_FILES)  # beyond, a file holds several chunks
     k1, k2 = F.xxhash64(F.lit(1), F.col(id_col), text), F.xxhash64(F.lit(2), F.col(id_col), text)
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     rows = docs.select(rank.alias("rank"), k1.alias("k1"), k2.alias("k2"), text.alias("text")).withColumn("chunk", F.pmod("k1", F.lit(n)))
     name = f"pointloom_chunks_{uuid4().hex}"
-    path = f"{shared_dir(spark).rstrip('/')}/{name}"
-    rows.repartition(n, "chunk").write.bucketBy(n, "chunk").option("path", path).saveAsTable(name)
-    return spark.table(name), n_buckets
+    rows.repartition(files, "chunk").write.bucketBy(files, "chunk").option("path", scratch(spark, name, table=True)).saveAsTable(name)
+    return spark.table(name), n, n_buckets
+
 
+def hot_grams(chunks: DataFrame, n: int, length: int, hot: int) -> np.ndarray:
+    """K-grams of which a sample of chunks (all, where there are few) lets expect more than `hot` stretches; MOST_HOT at most."""
+    step = max(1, n // SAMPLED)
+    seen = chunks.where(F.pmod(F.xxhash64("chunk"), F.lit(step)) == 0)
+    least = max(1, hot // n // 8)  # chunks are dealt by hash, so a K-gram's stretches spread over all of them
+    found = seen.groupBy("chunk").applyInPandas(lambda rows: many_stretches(rows, length, least), "gram long, n long")
+    often = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") * step > hot)
+    rows = often.orderBy(F.desc("n"), "gram").limit(MOST_HOT).select("gram").collect()
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
-    """(id_col, n_bytes, spans, kept): removed byte spans and what is left of each row's text."""
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, hot: int | None = None) -> DataFrame:
+    """(id_col, n_bytes, spans, kept): removed byte spans and what is left of each row's text.
+
+    hot: from how many stretches on (HOT, if it isn't given) a K-gram's strings go by their own hashes. Any value gives the same result.
+    """
     if not K <= length <= 200:
         raise ValueError(f"lengths from {K} to 200")
-    chunks, n = chunked(docs, id_col, text_col)
-    sent = chunks.groupBy("chunk").applyInPandas(lambda rows: send_anchors(rows, length, n), ROWS)
-    hot_from = HOT
-    answers = sent.groupBy("bucket").applyInPandas(lambda rows: answer_anchors(rows, hot_from), ROWS)
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/pointloom-answers-{uuid4().hex}"
+    spark = docs.sparkSession
+    chunks, n, buckets = chunked(docs, id_col, text_col)
+    crowded = hot_grams(chunks, n, length, HOT if hot is None else hot)
+    sent = chunks.groupBy("chunk").applyInPandas(lambda rows: send_anchors(rows, length, buckets, crowded), ROWS)
+    answers = sent.groupBy("bucket").applyInPandas(answer_anchors, ROWS)
+    path = scratch(spark, f"pointloom-answers-{uuid4().hex}")
     answers.write.parquet(path)  # read twice below
-    answers = docs.sparkSession.read.schema(ROWS).parquet(path)
-    stretches = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda rows, got: send_stretches(rows, got, length, n), ROWS)
+    answers = spark.read.schema(ROWS).parquet(path)
+    stretches = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda rows, got: send_stretches(rows, got, length, buckets, crowded), ROWS)
     more = stretches.groupBy("bucket").applyInPandas(lambda rows: answer_stretches(rows, length), ROWS)
-    done = chunks.groupBy("chunk").cogroup(answers.unionByName(more).groupBy("chunk")).applyInPandas(lambda rows, got: remove(rows, got, length, n), RESULT)
+    done = chunks.groupBy("chunk").cogroup(answers.unionByName(more).groupBy("chunk")).applyInPandas(lambda rows, got: remove(rows, got, length, buckets, crowded), RESULT)
     return done.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "spans", "kept")
 
 

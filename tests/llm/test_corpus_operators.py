@@ -6,11 +6,12 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from pointloom.llm import html_template, queries, simhash, suffix_dedup
+from pointloom.llm import common, html_template, queries, simhash, suffix_dedup
 
 
 def fingerprint(text, shingle=3):
@@ -210,6 +211,57 @@ def test_suffix_dedup_of_long_strings(spark, length):
     assert got == strip_repeats([(i, t.encode()) for i, t in enumerate(texts)], length)
 
 
+def test_suffix_dedup_trusts_no_hash(spark, monkeypatch):
+    """With hashes of a few bits, stretches and strings that collide are told apart by their bytes."""
+    rng = random.Random(16)
+    part = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    shared = [part(rng.randrange(60, 140)) for _ in range(20)]
+    texts = [part(rng.randrange(60)).join(rng.choice(shared)[rng.randrange(8) :] for _ in range(4)) for _ in range(80)]
+    expected = strip_repeats([(i, t.encode()) for i, t in enumerate(texts)])
+    real = suffix_dedup.anchors
+
+    def weak(data, length):
+        a = real(data, length)
+        return a | {"stretch": a["stretch"] & np.uint64(1)}
+
+    rows = pd.DataFrame({"rank": range(len(texts)), "k1": 0, "k2": 0, "text": [t.encode() for t in texts]})
+    monkeypatch.setattr(suffix_dedup, "anchors", weak)
+    for hot in ([], sorted(set(real([t.encode() for t in texts], 50)["gram"].tolist()))[::2]):
+        hot = np.array(hot, np.uint64)
+        chunks = [rows[rows["rank"] % 3 == k].assign(chunk=k) for k in range(3)]
+        by_bucket = lambda sent, answer: [answer(g) for _, g in pd.concat(sent).groupby("bucket")]
+        asked = pd.concat(by_bucket([suffix_dedup.send_anchors(c, 50, 4, hot) for c in chunks], suffix_dedup.answer_anchors))
+        sent = [suffix_dedup.send_stretches(c, asked[asked["chunk"] == k], 50, 4, hot) for k, c in enumerate(chunks)]
+        told = pd.concat([asked, *by_bucket(sent, lambda g: suffix_dedup.answer_stretches(g, 50))])
+        done = pd.concat([suffix_dedup.remove(c, told[told["chunk"] == k], 50, 4, hot) for k, c in enumerate(chunks)]).sort_values("id")
+        got = [(r.id, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in done.itertuples()]
+        assert got == expected
+
+
+def test_equal_strings_with_colliding_hashes():
+    rng = np.random.default_rng(17)
+    rows = rng.integers(97, 99, (200, 6)).astype(np.uint8)
+    low = rng.integers(0, 1000, 200)
+    least = suffix_dedup.least_of_equal(rows[:, 0].astype(np.uint64), rows, low)
+    assert [int(x) for x in least] == [min(int(l) for r, l in zip(rows, low, strict=True) if (r == row).all()) for row in rows]
+
+
+def test_suffix_dedup_with_several_chunks_in_a_file(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 300)
+    monkeypatch.setattr(suffix_dedup, "MOST_CHUNK", 300)
+    monkeypatch.setattr(suffix_dedup, "MOST_FILES", 3)
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("abcdef") for _ in range(70)) + rng.choice("xy") * 60 for _ in range(50)] * 2
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = sorted(map(tuple, suffix_dedup.digest(suffix_dedup.remove_repeats(d)).collect()))
+    assert got == strip_repeats([(i, t.encode()) for i, t in enumerate(texts)])
+    assert {t.name for t in spark.catalog.listTables()} > before
+    common.drop_scratch()
+    assert not any(t.name.startswith("pointloom_chunks") for t in spark.catalog.listTables())
+
+
 def test_suffix_sort_equals_python_sort():
     rng = np.random.default_rng(10)
     text = rng.integers(97, 99, 400).astype(np.uint8)
