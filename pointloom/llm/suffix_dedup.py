@@ -185,16 +185,16 @@ class Chunk:
         sizes = np.array([len(t) for t in self.texts], np.int64)
         begins = np.cumsum(sizes) - sizes
         text = np.frombuffer(b"".join(self.texts), np.uint8)
-        out = np.empty(len(x), bool)
-        for s in range(0, len(x), 1 << 16):
-            i, j = x[s : s + (1 << 16)], y[s : s + (1 << 16)]
-            rows, size = [], []
-            for k in (i, j):
-                doc, lo = self.a["doc"][k], self.a["lo"][k].astype(np.int64)
-                size.append(self.a["hi"][k] - lo + length)
-                rows.append(padded_rows(text, begins[doc] + lo, size[-1]))
-            wide = min(r.shape[1] for r in rows)
-            out[s : s + (1 << 16)] = (size[0] == size[1]) & (rows[0][:, :wide] == rows[1][:, :wide]).all(1)
+        start, size = [], []
+        for k in (x, y):
+            lo = self.a["lo"][k].astype(np.int64)
+            start.append(begins[self.a["doc"][k]] + lo)
+            size.append(self.a["hi"][k] - lo + length)
+        words = np.ndarray(len(text) - 7, np.uint64, text.tobytes(), strides=(1,))  # eight bytes at a time, the last ones up to the end
+        out = size[0] == size[1]
+        for k in range(0, int(size[0].max()), 8):
+            off = np.minimum(k, size[0] - 8)
+            out &= words[start[0] + off] == words[np.minimum(start[1] + off, len(words) - 1)]
         return out
 
     def buckets(self, n: int) -> Iterator[tuple[int, slice]]:
@@ -230,6 +230,16 @@ def packed(*arrays: np.ndarray) -> bytes:
     return b"".join(out)
 
 
+_codec: list = []
+
+
+def codec() -> list:
+    """This process's compressor and decompressor."""
+    if not _codec:
+        _codec.extend([zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()])
+    return _codec
+
+
 def unpacked(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
@@ -328,10 +338,10 @@ def send_stretches(rows: pd.DataFrame, answers: pd.DataFrame, length: int, n_buc
             e = c.cold[s.start + asked[b][0]]
             text, size, anchor = c.bytes_of(e, length)
             data = packed(c.gram[e], c.low[e], size.astype(np.uint16), anchor.astype(np.uint16), asked[b][1], np.frombuffer(text, np.uint8))
-            out.append((chunk, b, 3, zstandard.compress(data, 1)))
+            out.append((chunk, b, 3, codec()[0].compress(data)))
     if len(c.hot):
         strings = HotStrings(c, length)
-        out += [(chunk, b, 5, zstandard.compress(packed(strings.h[s], strings.low[s], strings.text[s].ravel()), 1)) for b, s in strings.buckets(n_buckets)]
+        out += [(chunk, b, 5, codec()[0].compress(packed(strings.h[s], strings.low[s], strings.text[s].ravel()))) for b, s in strings.buckets(n_buckets)]
     return pd.DataFrame(out, columns=COLUMNS)
 
 
@@ -420,7 +430,7 @@ def least_of_equal(h: np.ndarray, rows: np.ndarray, low: np.ndarray) -> np.ndarr
 
 
 def _answer_strings(rows: pd.DataFrame, length: int) -> list[tuple]:
-    parts = [unpacked(zstandard.decompress(d)) for d in rows["data"]]
+    parts = [unpacked(codec()[1].decompress(d)) for d in rows["data"]]
     counts = np.array([len(p[0]) for p in parts])
     h, low, text = (np.concatenate([p[i] for p in parts]) for i in range(3))
     least = least_of_equal(h, text.reshape(-1, length), low)
@@ -434,7 +444,7 @@ def _answer_strings(rows: pd.DataFrame, length: int) -> list[tuple]:
 
 
 def _answer_bytes(rows: pd.DataFrame, length: int) -> list[tuple]:
-    parts = [unpacked(zstandard.decompress(d)) for d in rows["data"]]
+    parts = [unpacked(codec()[1].decompress(d)) for d in rows["data"]]
     counts = np.array([len(p[0]) for p in parts])
     gram, low, size, anchor, sort, text = (np.concatenate([p[i] for p in parts]) for i in range(6))
     size, anchor, sort = size.astype(np.int64), anchor.astype(np.int64), sort.astype(bool)
