@@ -1,12 +1,16 @@
 """Quality rules with adaptive thresholds, with DataFrame operations only.
 
-Each document is measured once. Mergeable quantile sketches of the measures (percentile_approx buffers, merged by partial
-aggregation) give, for each language and source, for each language and for the whole corpus, an upper and a lower fence outside the
+Each document is measured once. Mergeable quantile sketches of the measures (KLL sketches of K items, exact for groups of up to K
+documents) give, for each language and source, for each language and for the whole corpus, an upper and a lower fence outside the
 quartiles; a group with too few documents takes its language's fences, or the corpus's. The fences are joined back and a document
 is kept when every measure is inside them.
 
+Sketches are merged in steps, so that no task gets one of every other task: those of a group by SALTS classes of input partitions, then
+those; a language's from its sources' by SALTS classes of sources, then those; the corpus's from the languages' likewise.
+
 Defined results: a null text has no words; null languages and sources form groups of their own; a document without words is
-rejected by the base rules; repeated rows each count and each get their row; other columns are ignored.
+rejected by the base rules; repeated rows each count and each get their row; other columns are ignored; an id column with the name of
+a result raises.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ from .common import WHITE_CLASS, cut
 UPPER_FENCES = {"symbol_share": 0.05, "dup_line_share": 0.30, "repeat_share": 0.40, "mean_word": 2.0, "caps_share": 0.25}
 #: Measures with an adaptive lower fence, and its least width below the lower quartile.
 LOWER_FENCES = {"mean_word": 1.5}
-ACCURACY = 10_000
+K, SALTS = 4096, 256
+MEASURES = ("symbol_share", "dup_line_share", "repeat_share", "mean_word", "caps_share")
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "passed", *MEASURES)
 
 
 def words_of(text: Column) -> Column:
@@ -84,24 +90,32 @@ def measure(docs: DataFrame, id_col: str, text_col: str, group_cols: list[str])
     )
 
 
-def fences(measured: DataFrame, n_groups: int, min_group: int, spread: float) -> DataFrame:
-    """A fence row for each full group: its own, its first group column's, or the corpus's, by how many documents each has."""
-    keys = [f"g{i}" for i in range(n_groups)]
-    names = sorted(set(UPPER_FENCES) | set(LOWER_FENCES))
-    sketched = measured.rollup(*keys).agg(
-        F.grouping_id().alias("level"), F.count("*").alias("n"),
-        *[F.percentile_approx(m, F.array(F.lit(0.25), F.lit(0.75)), ACCURACY).alias(m) for m in names],
-    )
-    q1, q3 = (lambda m: F.col(m)[0]), (lambda m: F.col(m)[1])
+def merged(rows: DataFrame, keys: list[str], salt: Column) -> DataFrame:
+    """One row of sketches for each value of the keys, of rows (..., n, a sketch for each measure); by classes of `salt` first."""
+    both = [F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, K).alias(m) for m in MEASURES]]
+    return rows.withColumn("salt", F.pmod(salt, F.lit(SALTS))).groupBy(*keys, "salt").agg(*both).groupBy(*keys).agg(*both)
+
+
+def fence(spread: float) -> Column:
+    """Fences around the quartiles of a row's sketches; null where it counts nothing."""
+    q1, q3 = (lambda m: F.kll_sketch_get_quantile_double(m, F.lit(0.25))), (lambda m: F.kll_sketch_get_quantile_double(m, F.lit(0.75)))
     width = lambda m, least: F.greatest(spread * (q3(m) - q1(m)), F.lit(least))
     ups = [(q3(m) + width(m, least)).alias(f"hi_{m}") for m, least in UPPER_FENCES.items()]
     downs = [(q1(m) - width(m, least)).alias(f"lo_{m}") for m, least in LOWER_FENCES.items()]
-    rows = cut(sketched.select(*keys, "level", "n", F.struct(*ups, *downs).alias("fence")))
-    corpus = rows.where(F.col("level") == 2**n_groups - 1).first()
-    own = rows.where(F.col("level") == 0).select(*keys, "n", "fence")
-    first = rows.where(F.col("level") == 2 ** (n_groups - 1) - 1).select(F.col("g0").alias("p0"), F.col("n").alias("pn"), F.col("fence").alias("pf"))
-    whole = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in (corpus["fence"].asDict() if corpus else {}).items()]) if corpus else F.col("fence")
-    return own.join(first, F.col("g0").eqNullSafe(F.col("p0")), "left").select(
+    return F.when(F.col("n") > 0, F.struct(*ups, *downs))
+
+
+def fences(measured: DataFrame, n_groups: int, min_group: int, spread: float) -> DataFrame:
+    """A fence row for each full group: its own, its first group column's, or the corpus's, by how many documents each has."""
+    keys = [f"g{i}" for i in range(n_groups)]
+    parted = measured.select(*keys, *MEASURES, F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"))
+    parts = parted.groupBy(*keys, "salt").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(m, K).alias(m) for m in MEASURES])
+    own = cut(parts.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(m, K).alias(m) for m in MEASURES]))
+    first = cut(merged(own, ["g0"], F.xxhash64(*keys)))
+    corpus = merged(first, [], F.xxhash64("g0")).select(fence(spread).alias("fence")).first()["fence"]
+    whole = F.struct(*[F.lit(v).cast("double").alias(k) for k, v in corpus.asDict().items()]) if corpus else F.col("fence")
+    first = first.select(F.col("g0").alias("p0"), F.col("n").alias("pn"), fence(spread).alias("pf"))
+    return own.select(*keys, "n", fence(spread).alias("fence")).join(first, F.col("g0").eqNullSafe(F.col("p0")), "left").select(
         *[F.col(k).alias(f"f{k}") for k in keys],
         F.when(F.col("n") >= min_group, F.col("fence")).when(F.col("pn") >= min_group, F.col("pf")).otherwise(whole).alias("fence"),
     )
@@ -118,6 +132,8 @@ def quality_rules(
     """
     if not 1 <= len(group_cols) <= 2:
         raise ValueError("one or two grouping columns")
+    if id_col in RESULTS:
+        raise ValueError(f"the id column has the name of a result: {id_col}")
     measured = cut(measure(docs, id_col, text_col, list(group_cols)))
     limits = fences(measured, len(group_cols), min_group, spread)
     same = [F.col(f"g{i}").eqNullSafe(F.col(f"fg{i}")) for i in range(len(group_cols))]

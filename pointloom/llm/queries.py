@@ -114,7 +114,7 @@ SELECT d.doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT)
        sha256(unhex(coalesce(front || substr(h, 2 * last + 1), h))) AS kept_sha256
 FROM d LEFT JOIN found USING (doc_id)
 """
-#: Exact quantiles stand for the sketches, which are exact up to ACCURACY documents a group.
+#: Exact quantiles stand for the sketches, which are exact up to quality_rules.K documents a group.
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,

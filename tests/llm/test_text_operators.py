@@ -107,6 +107,18 @@ def test_quality_rules_small_and_null_groups(spark):
     got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_rules(d).collect()}
     assert got == {0: True, 1: True, 2: False}
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
+    with pytest.raises(ValueError):
+        quality_rules.quality_rules(docs(spark, []).withColumnRenamed("id", "kept"), id_col="kept")
+
+
+def test_merged_sketches_have_the_quantiles(spark):
+    """More documents than a sketch keeps, in unequal groups and many partitions: ranks within a hundredth."""
+    d = spark.range(60_000, numPartitions=40).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g0"), (F.col("id") % 7).cast("string").alias("g1"), *[(F.xxhash64("id") / 2.0**63).alias(m) for m in quality_rules.MEASURES])
+    got = quality_rules.fences(d, 2, 100, 3.0)
+    assert got.count() == 14
+    for r in got.collect():
+        assert abs(r["fence"]["hi_mean_word"] - (0.5 + 3.0)) < 0.15 and abs(r["fence"]["lo_mean_word"] - (-0.5 - 3.0)) < 0.15
 
 
 PRIVATE = "Card 4111 1111 1111 1111, 4111-1111-1111-1111 or 4111111111111112; call +1 (155) 555-0134 or 212-555-0187; ip 10.0.0.1 not 300.1.1.1; ssn 078-05-1120; born 1990-02-28, 28.02.1990, 02/28/1990, not 1990-02-31; é.ü@x-y.example.org."
