@@ -3,7 +3,7 @@
 Every line becomes a 128-bit hash with its document and position. The hashes are range-partitioned with a secondary sort by
 document and position, so that a line shared by a third of all documents spreads over many ranges; the sorted stream gives each
 document's first occurrence of a hash, and one partial count per range and hash is shuffled to find how many documents hold it.
-What goes back to the documents is a compressed keep bitmap for each (runs of kept lines, as in a run container), never text.
+What goes back to the documents is a compressed bitmap for each, as runs of dropped lines (those between them stay), never text.
 
 Defined results: a null or empty text is one empty line; lines whose key is empty never count as repeated; repeated rows with the
 same id count as one document, as do all rows with a null id; other columns pass through untouched, whatever their names.
@@ -33,7 +33,7 @@ def split_lines(text: Column) -> Column:
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, keep: str) -> DataFrame:
-    """(k1, k2, dropped): for each row key that loses lines, their positions in order."""
+    """(k1, k2, gone): for each row key that loses lines, its bitmap of them as runs (start, length) in order."""
     k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     key = F.col("key")
     lines = (
@@ -58,13 +58,20 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_docs: int, mi
     found = lines.join(held, ["h1", "h2"])
     if keep == "first":
         found = found.where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("pos") == F.col("first.pos"))))
-    return found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("dropped"))
+    return found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("at")).select("k1", "k2", runs_of(F.col("at")).alias("gone"))
 
 
-def keep_runs(dropped: Column, n_lines: Column) -> Column:
-    """The keep bitmap as runs (start, length) of kept lines: the gaps between dropped positions."""
-    ends = F.concat(dropped, F.array(n_lines))
-    starts = F.concat(F.array(F.lit(0)), F.transform(dropped, lambda p: p + 1))
+def runs_of(at: Column) -> Column:
+    """Sorted positions as runs (start, length)."""
+    starts = F.filter(at, lambda p, i: ~F.coalesce(F.get(at, i - 1) == p - 1, F.lit(False)))
+    ends = F.filter(at, lambda p, i: ~F.coalesce(F.get(at, i + 1) == p + 1, F.lit(False)))
+    return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s + 1).alias("length")))
+
+
+def keep_runs(gone: Column, n_lines: Column) -> Column:
+    """The keep bitmap as runs (start, length) of kept lines: the gaps between runs of dropped ones."""
+    ends = F.concat(F.transform(gone, lambda r: r["start"]), F.array(n_lines))
+    starts = F.concat(F.array(F.lit(0)), F.transform(gone, lambda r: r["start"] + r["length"]))
     return F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e - s).alias("length"))), lambda r: r["length"] > 0)
 
 
@@ -84,7 +91,7 @@ def line_dedup(
     k1, k2 = row_keys(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
     lines = split_lines(F.col("row")[text_col])
-    gone = F.coalesce(F.col("dropped"), F.array().cast("array<int>"))
+    gone = F.coalesce(F.col("gone"), F.array().cast("array<struct<start:int,length:int>>"))
     marked = rows.join(dropped.hint("shuffle_hash"), ["k1", "k2"], "left").select(
         "row", lines.alias("lines"), gone.alias("gone"), keep_runs(gone, F.size(lines)).alias("runs")
     )
@@ -92,7 +99,7 @@ def line_dedup(
         F.array_join(F.flatten(F.transform("runs", lambda r: F.slice("lines", r["start"] + 1, r["length"]))), "\n")
     )
     info = F.struct(
-        F.size("lines").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.col("runs").alias("keep_runs")
+        F.size("lines").cast("long").alias("n_lines"), F.aggregate("gone", F.lit(0).cast("long"), lambda n, r: n + r["length"]).alias("n_dropped"), F.col("runs").alias("keep_runs")
     )
     return marked.select(*[kept.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c != info_col], info.alias(info_col))
 
