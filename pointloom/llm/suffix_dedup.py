@@ -48,9 +48,9 @@ K = 18
 #: Estimated stretches of a K-gram, counted once for each chunk, beyond which its strings go by their own hashes, and the most K-grams of
 #: which all chunks are told (8 bytes each): those with most stretches.
 HOT, MOST_HOT = 1 << 15, 1_000_000
-CHUNK, BUCKET, SLICE = 2 << 20, 2 << 20, 1 << 18
+CHUNK, BUCKET, SLICE = 8 << 20, 2 << 20, 1 << 18
 MOST_CHUNK, MOST_BUCKET, MOST_FILES = 32 << 20, 8 << 20, 50_000
-SAMPLED = 16
+SAMPLED = 8
 LAST = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
