@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -136,7 +137,7 @@ def test_tiling_equals_definition():
     for _ in range(300):
         doc, item = ([rng.randrange(4) for _ in range(rng.randrange(1, 26))] for _ in range(2))
         n = rng.randrange(1, 5)
-        assert sum(t[2] for t in decontam.greedy_tiles(np.array(doc), np.array(item), n)) == brute_tiles(doc, item, n)
+        assert sum(t[2] for t in decontam.greedy_tiles(np.array(doc), np.array(item), n)) == brute_tiles(doc, item, n) == table_tiles(doc, item, n)
 
 
 ITEM = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
@@ -162,6 +163,70 @@ def test_decontamination(spark):
         decontam.BLOCK_BYTES = many
 
 
+def table_tiles(doc, item, shortest):
+    """The definition again, by a table of how far the tokens from each pair of places on are equal and unmarked."""
+    names = {t: k for k, t in enumerate({*doc, *item})}
+    same = np.array([names[t] for t in doc])[:, None] == np.array([names[t] for t in item])
+    covered = 0
+    while True:
+        run = np.zeros((len(doc) + 1, len(item) + 1), int)
+        for i in range(len(item) - 1, -1, -1):
+            run[:-1, i] = (run[1:, i + 1] + 1) * same[:, i]
+        best = run.max()
+        if best < shortest:
+            return covered
+        for d, i in np.argwhere(run == best):
+            if run[d, i] == best and same[range(d, d + best), range(i, i + best)].all():
+                same[d : d + best] = False
+                same[:, i : i + best] = False
+                covered += int(best)
+
+
+def brute_pairs(texts, items, seed, coverage, least):
+    """(document, item, covered tokens) by the definition, with the same words for tokens."""
+    words = {i: re.findall(r"[^\W_]+", (x or "").lower()) for i, x in items.items()}
+    out = set()
+    for d, text in texts.items():
+        doc = re.findall(r"[^\W_]+", (text or "").lower())
+        grams = {tuple(doc[k : k + n]) for n in range(1, seed + 1) for k in range(len(doc) - n + 1)}
+        for i, item in words.items():
+            n = min(seed, len(item))
+            if len(item) >= max(least, 1) and any(tuple(item[k : k + n]) in grams for k in range(len(item) - n + 1)):
+                covered = table_tiles(doc, item, n)
+                if covered >= coverage * len(item) and covered:
+                    out.add((d, i, covered))
+    return out
+
+
+def test_decontamination_query_matches_brute_force(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = {(r["doc_id"], r["item_id"], r["n_covered"]) for r in queries.op10_decontamination(spark, sf_dir).collect()}
+    assert got and got == brute_pairs(texts, items, 5, 0.8, 5)
+
+
+@pytest.mark.parametrize(("block", "scan"), [(1, 1), (1, 3), (8 << 20, 4)])
+def test_decontamination_of_random_texts_matches_brute_force(spark, monkeypatch, block, scan):
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "SCAN_BLOCKS", scan)
+    rng = random.Random(31)
+    some = lambda n: " ".join(rng.choice("abcdefgh") for _ in range(n))
+    items = {k: some(rng.randrange(1, 14)) for k in range(7)} | {7: "a a a a a a a a", 8: "", 9: None, 10: "a"}
+    texts = {k: some(rng.randrange(50)) for k in range(40)} | {40: "a " * 60, 41: None, 42: "", 43: items[3], 44: items[3]}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("k1", F.lit("clash")).withColumn("row", F.lit(1))
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    expected = brute_pairs(texts, items, 3, 0.7, 4)
+    got = {(r["doc_id"], r["item_id"], r["n_covered"]) for r in decontam.contaminated(d, bench, seed=3, coverage=0.7, least=4).collect()}
+    assert got == expected
+    kept = decontam.without_contaminated(d, bench, seed=3, coverage=0.7, least=4)
+    assert kept.columns == d.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(texts) - {x for x, _, _ in expected})
+
+
+def test_tiling_of_repetitive_texts_takes_linear_time():
+    assert decontam.greedy_tiles(np.ones(30_000, int), np.ones(30_000, int), 5) == [(0, 0, 30_000)]
+    assert sum(t[2] for t in decontam.greedy_tiles(np.ones(200_000, int), np.ones(999, int), 5)) == 999
+
+
 def test_leaks_of_the_documents(spark, sf_dir):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
