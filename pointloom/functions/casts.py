@@ -18,12 +18,13 @@ def whole(value: int, kind: T.DataType) -> Column:
     return F.lit(str(value)).cast(kind)
 
 
-def _wrap(c: Column, kind: str) -> Column:
+def _wrap(c: Column, source: str, kind: str) -> Column:
     low, high = SCALARS[kind][2]
-    wide = T.DecimalType(38, 0) if kind in ("u64", "i64") else T.LongType()
+    wide = T.DecimalType(38, 0) if kind in ("u64", "i64") or source == "u64" else T.LongType()
     span = whole(high - low + 1, wide)
     start = whole(low, wide)
-    return (F.pmod(c.cast(wide) - start, span) + start).cast(SCALARS[kind][0])
+    rest = F.pmod(c.cast(wide), span) if wide == T.LongType() else c.cast(wide)  # so that the difference fits a long
+    return (F.pmod(rest - start, span) + start).cast(SCALARS[kind][0])
 
 
 def _saturate(c: Column, kind: str) -> Column:
@@ -48,7 +49,7 @@ def cast_scalar(c: Column, source: str, target: str) -> Column:
         return c
     if SCALARS[target][2] is None:
         return c.cast(SCALARS[target][0])
-    return _saturate(c, target) if SCALARS[source][2] is None else _wrap(c, target)
+    return _saturate(c, target) if SCALARS[source][2] is None else _wrap(c, source, target)
 
 
 def can_cast(source: str, target: str) -> bool:

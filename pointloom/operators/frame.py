@@ -33,6 +33,11 @@ def view_attribute(df: DataFrame, name: str, kind: str | None = None) -> DataFra
     return df.select(idx(), point_cast(F.col(name), a.type, kind or a.type).alias(name))
 
 
+def attribute_range(df: DataFrame, name: str, start: int, end: int, kind: str | None = None) -> DataFrame:
+    """(point_idx, attribute) of the points [start, end), cast if asked."""
+    return slice_points(view_attribute(df, name, kind), start, end, reindex=False)
+
+
 def get_point(df: DataFrame, index: int) -> DataFrame:
     return df.where(idx() == index)
 
@@ -104,7 +109,7 @@ def swap(df: DataFrame, i: int, j: int) -> DataFrame:
 def zero_points(df: DataFrame, start: int, end: int) -> DataFrame:
     schema = PointSchema.of_frame(df)
     empty = df.sparkSession.range(start, max(start, end)).withColumnRenamed("id", POINT_IDX)
-    return empty.select(POINT_IDX, *[default_value(a.type).alias(a.name) for a in schema.attributes])
+    return empty.select(POINT_IDX, *[default_value(a.type).alias(a.name, metadata={"point_type": a.type}) for a in schema.attributes])
 
 
 def resize(df: DataFrame, n: int, current: int | None = None) -> DataFrame:
@@ -127,6 +132,16 @@ def append(df: DataFrame, other: DataFrame, length: int | None = None) -> DataFr
     return df.unionByName(other.withColumn(POINT_IDX, idx() + length))
 
 
+def write_at(df: DataFrame, other: DataFrame, at: int) -> DataFrame:
+    """df with other's points in place of those from index `at` on, and beyond its end where there are more."""
+    if at < 0:
+        raise ValueError("cannot write before the first point")
+    if not PointSchema.of_frame(df).same_attributes(PointSchema.of_frame(other)):
+        raise ValueError("layouts differ")
+    fresh = other.withColumn(POINT_IDX, (idx() + at).cast("long"))
+    return df.join(fresh.select(POINT_IDX), POINT_IDX, "left_anti").unionByName(fresh)
+
+
 def equal_points(df: DataFrame, other: DataFrame) -> DataFrame:
     """One row `equal`: the same indices with the same values of the same attributes. One full outer join on the index."""
     if not PointSchema.of_frame(df).same_attributes(PointSchema.of_frame(other)):

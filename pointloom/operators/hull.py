@@ -1,7 +1,7 @@
 """Convex hulls in three dimensions: a hull of each partition's points, then the hull of those vertices.
 
-The hull of a union is the hull of the parts' hulls, so what reaches the last task is vertices only; partial hulls are merged in
-rounds of MERGE partitions until one is left.
+The hull of a union is the hull of the parts' hulls, so what is shuffled, and what reaches the last task, is vertices only: those of the
+scan's partitions go to as many tasks as shuffles have, theirs to MERGE, theirs to one.
 """
 
 from __future__ import annotations
@@ -141,10 +141,9 @@ def hull_vertices(points: DataFrame, position: str = POSITION) -> DataFrame:
     """(point_idx, x, y, z) of the hull's vertices. No points give no rows."""
     flat = points.select(POINT_IDX, *[F.col(position)[a].cast("double").alias(a) for a in AXES])
     part = flat.mapInPandas(_vertices, flat.schema)
-    n = flat.rdd.getNumPartitions()
-    while n > 1:
-        n = -(-n // MERGE)
-        part = part.coalesce(n).mapInPandas(_vertices, flat.schema) if n > 1 else part.repartition(1).mapInPandas(_vertices, flat.schema)
+    wide = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for n in ([wide] if wide > MERGE else []) + [MERGE if wide >= MERGE else wide] + [1]:
+        part = part.repartition(n).mapInPandas(_vertices, flat.schema)
     return part
 
 

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from ..plans.scratch import shared_dir
 
-def stable(df: DataFrame) -> DataFrame:
-    """df computed once. Where partitions decide a result (sampled ranges, coalescing), two computations could differ.
 
-    Written to spark.checkpoint.dir, which outlives executors; in a session without one it is persisted on local disks.
-    """
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist(StorageLevel.DISK_ONLY)
+def stable(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder, which outlives executors. Where partitions decide a result (sampled ranges), two computations could differ."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()

@@ -1,73 +1,81 @@
-"""RANSAC planes and lines: the hypotheses are few and broadcast, the points are scanned once."""
+"""RANSAC planes and lines: the points are scanned once for the draws and once for all hypotheses' counts.
+
+Hypothesis h is spanned by the points that come h * size to (h + 1) * size - 1 in the order of a seeded hash of their index, a sample
+without replacement that any subset of points, with any gaps in its numbers, can give. With fewer points than that the order is gone
+through again, each time with wider steps. Counts are conditional sums of one aggregate: no join, and one row from each task.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, point_line_distance, point_plane_distance
+from ..functions.geometry import AXES, point_line_distance, point_plane_distance, vector
 from ..functions.schema import POINT_IDX
 from .aggregates import POSITION
 
-#: Steps of the index draws: draw j of hypothesis i is (seed + (i + 1) * STEPS[j]) modulo the number of points.
-STEPS = (7919, 104_729, 1_299_709)
+Place = tuple[float, float, float]
+#: Hypotheses that one scan counts: more columns would leave generated code.
+SCAN = 90
 
 
-def draws(n: int, iterations: int, size: int, seed: int) -> list[tuple[int, ...]]:
-    """Distinct indices for each hypothesis; a draw that repeats an earlier one moves on to the next free index."""
+def draws(points: DataFrame, iterations: int, size: int, seed: int, position: str = POSITION) -> list[tuple[Place, ...]]:
+    """The positions that span each hypothesis. At most iterations * size points reach the driver."""
+    p = F.col(position)
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(POINT_IDX).cast("string")).cast("binary"))
+    placed = points.where(p.isNotNull()).select(order.alias("o"), POINT_IDX, *[p[a].cast("double").alias(a) for a in AXES])
+    pool = [tuple(r[2:]) for r in placed.orderBy("o", POINT_IDX).limit(iterations * size).collect()]
+    n = len(pool)
+    if n < size:
+        raise ValueError(f"{size} points are needed, there are {n}")
     out = []
-    for i in range(iterations):
-        picked: list[int] = []
+    for h in range(iterations):
+        step, picked = 1 + h * size // n, []
         for j in range(size):
-            at = (seed + (i + 1) * STEPS[j]) % n
+            at = (h * size + j * step) % n
             while at in picked:
                 at = (at + 1) % n
             picked.append(at)
-        out.append(tuple(picked))
+        out.append(tuple(pool[at] for at in picked))
     return out
 
 
-def _sampled(points: DataFrame, chosen: list[tuple[int, ...]], position: str) -> dict[int, tuple[float, float, float]]:
-    wanted = points.sparkSession.createDataFrame([(i,) for i in sorted({i for t in chosen for i in t})], f"{POINT_IDX} long")
-    rows = points.join(F.broadcast(wanted), POINT_IDX).select(POINT_IDX, *[F.col(position)[a].cast("double").alias(a) for a in AXES]).collect()  # a few for each hypothesis
-    return {r[0]: (r[1], r[2], r[3]) for r in rows}
-
-
-def _ranked(points: DataFrame, hypotheses: list[tuple], schema: str, distance, threshold: float) -> DataFrame:
-    """(hypothesis columns, ranking): how many points are closer than the threshold, for each hypothesis."""
-    table = points.sparkSession.createDataFrame(hypotheses, schema)
-    near = points.join(F.broadcast(table), distance < threshold, "inner")
-    counts = near.groupBy("hypothesis").agg(F.count("*").alias("ranking"))
-    return table.join(counts, "hypothesis", "left").withColumn("ranking", F.coalesce("ranking", F.lit(0)).cast("long"))
+def _ranked(points: DataFrame, hypotheses: list[tuple[dict[str, Column], Column]], threshold: float) -> DataFrame:
+    """(hypothesis, its columns, ranking): how many points are closer than the threshold, for each hypothesis."""
+    parts = []
+    for s in range(0, len(hypotheses), SCAN):
+        some = list(enumerate(hypotheses[s : s + SCAN], s))
+        counted = points.agg(*[F.count_if(distance < threshold).alias(f"r{h}") for h, (_, distance) in some])
+        rows = [F.struct(F.lit(h).alias("hypothesis"), *[c.alias(n) for n, c in columns.items()], F.col(f"r{h}").alias("ranking")) for h, (columns, _) in some]
+        parts.append(counted.select(F.inline(F.array(*rows))))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def _best(ranked: DataFrame):
     return ranked.orderBy(F.desc("ranking"), F.desc("hypothesis")).first()
 
 
-def plane_hypotheses(points: DataFrame, iterations: int, seed: int, position: str = POSITION) -> list[tuple]:
-    """(hypothesis, a, b, c, d) through three drawn points each; collinear draws make planes that no point is near."""
-    n = points.count()
-    if n < 3:
-        raise ValueError("a plane needs three points")
-    chosen = draws(n, iterations, 3, seed)
-    at = _sampled(points, chosen, position)
+def plane_hypotheses(points: DataFrame, iterations: int, seed: int, position: str = POSITION) -> list[tuple[float, float, float, float]]:
+    """(a, b, c, d) through three drawn points each; collinear draws make planes that no point is near."""
     out = []
-    for h, (i, j, k) in enumerate(chosen):
-        p, q, r = at[i], at[j], at[k]
+    for p, q, r in draws(points, iterations, 3, seed, position):
         u, v = [y - x for x, y in zip(p, q, strict=True)], [y - x for x, y in zip(p, r, strict=True)]
         a, b, c = u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]
-        out.append((h, a, b, c, -(a * p[0] + b * p[1] + c * p[2])))
+        out.append((a, b, c, -(a * p[0] + b * p[1] + c * p[2])))
     return out
 
 
 def ransac_planes(points: DataFrame, threshold: float, iterations: int, seed: int = 1, position: str = POSITION) -> DataFrame:
     """(hypothesis, a, b, c, d, ranking) of every hypothesis; points at a distance strictly below the threshold count."""
-    hypotheses = plane_hypotheses(points, iterations, seed, position)
-    plane = F.struct("a", "b", "c", "d")
-    square = F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c")
-    distance = F.when(square > 0, point_plane_distance(F.col(position), plane))
-    return _ranked(points, hypotheses, "hypothesis int, a double, b double, c double, d double", distance, threshold)
+    hypotheses = []
+    for plane in plane_hypotheses(points, iterations, seed, position):
+        columns = {n: F.lit(v) for n, v in zip("abcd", plane, strict=True)}
+        at = point_plane_distance(F.col(position), F.struct(*[c.alias(n) for n, c in columns.items()]))
+        hypotheses.append((columns, at if plane[0] ** 2 + plane[1] ** 2 + plane[2] ** 2 > 0 else F.lit(None).cast("double")))
+    return _ranked(points, hypotheses, threshold)
 
 
 def ransac_plane(points: DataFrame, threshold: float, iterations: int, seed: int = 1, position: str = POSITION) -> tuple[dict, DataFrame]:
@@ -80,17 +88,11 @@ def ransac_plane(points: DataFrame, threshold: float, iterations: int, seed: int
 
 def ransac_lines(points: DataFrame, threshold: float, iterations: int, seed: int = 1, position: str = POSITION) -> DataFrame:
     """(hypothesis, p, q, ranking) of every hypothesis, a line through two drawn points p and q."""
-    n = points.count()
-    if n < 2:
-        raise ValueError("a line needs two points")
-    chosen = draws(n, iterations, 2, seed)
-    at = _sampled(points, chosen, position)
-    rows = [(h, at[i], at[j]) for h, (i, j) in enumerate(chosen)]
-    p, q = F.col("p"), F.col("q")
-    apart = (p["x"] != q["x"]) | (p["y"] != q["y"]) | (p["z"] != q["z"])
-    distance = F.when(apart, point_line_distance(F.col(position), p, q))
-    v = "struct<x:double,y:double,z:double>"
-    return _ranked(points, rows, f"hypothesis int, p {v}, q {v}", distance, threshold)
+    hypotheses = []
+    for p, q in draws(points, iterations, 2, seed, position):
+        at = point_line_distance(F.col(position), vector(p), vector(q)) if p != q else F.lit(None).cast("double")
+        hypotheses.append(({"p": vector(p), "q": vector(q)}, at))
+    return _ranked(points, hypotheses, threshold)
 
 
 def ransac_line(points: DataFrame, threshold: float, iterations: int, seed: int = 1, position: str = POSITION) -> tuple[dict, DataFrame]:

@@ -1,13 +1,17 @@
-"""Reprojection with closed formulas as column expressions: EPSG:4326, EPSG:3857 and the UTM zones EPSG:326xx and 327xx.
+"""Reprojection with closed formulas as column expressions.
 
-Coordinates follow the systems' own axis order: (latitude, longitude) in degrees for EPSG:4326, (easting, northing) for the others.
-Other systems need a function of the caller's, from columns (x, y, z) to columns; there is no datum shift here.
+EPSG:4326, EPSG:3857, the UTM zones EPSG:326xx and 327xx, and the systems in SYSTEMS: conic projections with two standard parallels,
+Albers' (equal areas) and Lambert's (equal angles), and transverse Mercator, each on an ellipsoid whose datum lies at a fixed distance
+from WGS 84. System describes others of these kinds; anything else needs a function of the caller's, from columns (x, y, z) to columns.
+Coordinates follow the systems' own axis order: (latitude, longitude) in degrees for EPSG:4326, (easting, northing) for the others;
+heights stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from math import sqrt
+from dataclasses import dataclass
+from math import cos, log, pi, radians, sin, sqrt, tan
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,13 +35,6 @@ def _mercator_back(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(F.atan(F.exp(y / SEMI_MAJOR)) * 2 - F.pi() / 2), F.degrees(x / SEMI_MAJOR)
 
 
-N = FLATTENING / (2 - FLATTENING)
-RADIUS = SEMI_MAJOR / (1 + N) * (1 + N**2 / 4 + N**4 / 64)
-ALPHA = (N / 2 - 2 * N**2 / 3 + 5 * N**3 / 16, 13 * N**2 / 48 - 3 * N**3 / 5, 61 * N**3 / 240)
-BETA = (N / 2 - 2 * N**2 / 3 + 37 * N**3 / 96, N**2 / 48 + N**3 / 15, 17 * N**3 / 480)
-DELTA = (2 * N - 2 * N**2 / 3 - 2 * N**3, 7 * N**2 / 3 - 8 * N**3 / 5, 56 * N**3 / 15)
-
-
 def _sum(terms: list[Column]) -> Column:
     out = terms[0]
     for t in terms[1:]:
@@ -45,56 +42,212 @@ def _sum(terms: list[Column]) -> Column:
     return out
 
 
-def _utm(zone: int, south: bool, lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Krueger's series to the third order: millimetres within a zone."""
-    phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    e = 2 * sqrt(N) / (1 + N)
-    t = F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * e) * e)
+@dataclass(frozen=True)
+class System:
+    """A projected system. method: "albers", "lambert" or "transverse"; angles in degrees, lengths in metres.
+
+    shift is what the datum's geocentric coordinates need added to be those of WGS 84.
+    """
+
+    method: str
+    lat: float
+    lon: float
+    parallels: tuple[float, float] = (0.0, 0.0)
+    east: float = 0.0
+    north: float = 0.0
+    scale: float = 1.0
+    axis: float = SEMI_MAJOR
+    flattening: float = FLATTENING
+    shift: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+    def __post_init__(self):
+        if self.method not in ("albers", "lambert", "transverse"):
+            raise ValueError(f"no projection {self.method!r}")
+
+    @property
+    def e2(self) -> float:
+        return self.flattening * (2 - self.flattening)
+
+    @property
+    def third(self) -> float:
+        return self.flattening / (2 - self.flattening)
+
+
+# Parameters of the systems as the EPSG registry gives them.
+CLARKE = {"axis": 6378206.4, "flattening": 1 / 294.978698213898}
+GRS80 = {"flattening": 1 / 298.257222101}
+SYSTEMS = {
+    3309: System("albers", 0, -120, (34, 40.5), 0, -4_000_000, **CLARKE, shift=(-8, 159, 175)),  # NAD27 / California, shift of the western states
+    3310: System("albers", 0, -120, (34, 40.5), 0, -4_000_000, **GRS80),  # NAD83 / California
+    5070: System("albers", 23, -96, (29.5, 45.5), **GRS80),  # NAD83 / Conus
+    3577: System("albers", 0, 132, (-18, -36), **GRS80),  # GDA94 / Australia
+    2154: System("lambert", 46.5, 3, (49, 44), 700_000, 6_600_000, **GRS80),  # RGF93 / France
+    3034: System("lambert", 52, 10, (35, 65), 4_000_000, 2_800_000, **GRS80),  # ETRS89 / Europe
+    2193: System("transverse", 0, 173, (0, 0), 1_600_000, 10_000_000, 0.9996, **GRS80),  # NZGD2000 / New Zealand
+}
+
+
+def _krueger(n: float) -> tuple[tuple[float, ...], tuple[float, ...], tuple[float, ...], float]:
+    """Coefficients of Krueger's series to the third order, forth, back and from conformal to geodetic latitude, and the mean radius by axis."""
+    forth = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    latitude = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    return forth, back, latitude, (1 + n**2 / 4 + n**4 / 64) / (1 + n)
+
+
+def _conformal(phi: Column, e: float) -> Column:
+    """sinh of the isometric latitude, the tangent of the conformal one."""
+    return F.sinh(F.atanh(F.sin(phi)) - F.atanh(F.sin(phi) * e) * e)
+
+
+def _transverse(s: System, lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Millimetres within a zone. The latitude of origin is the equator."""
+    forth, _, _, mean = _krueger(s.third)
+    phi, lam = F.radians(lat), F.radians(lon - s.lon)
+    t = _conformal(phi, sqrt(s.e2))
     xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(t * t + 1))
-    east = eta + _sum([F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a for j, a in enumerate(ALPHA, 1)])
-    north = xi + _sum([F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a for j, a in enumerate(ALPHA, 1)])
-    return east * (UTM_SCALE * RADIUS) + UTM_EASTING, north * (UTM_SCALE * RADIUS) + (UTM_SOUTH if south else 0.0)
+    east = eta + _sum([F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * a for j, a in enumerate(forth, 1)])
+    north = xi + _sum([F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * a for j, a in enumerate(forth, 1)])
+    return east * (s.scale * mean * s.axis) + s.east, north * (s.scale * mean * s.axis) + s.north
 
 
-def _utm_back(zone: int, south: bool, x: Column, y: Column) -> tuple[Column, Column]:
-    xi = (y - (UTM_SOUTH if south else 0.0)) / (UTM_SCALE * RADIUS)
-    eta = (x - UTM_EASTING) / (UTM_SCALE * RADIUS)
-    xi1 = xi - _sum([F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b for j, b in enumerate(BETA, 1)])
-    eta1 = eta - _sum([F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b for j, b in enumerate(BETA, 1)])
+def _transverse_back(s: System, x: Column, y: Column) -> tuple[Column, Column]:
+    _, back, latitude, mean = _krueger(s.third)
+    xi, eta = (y - s.north) / (s.scale * mean * s.axis), (x - s.east) / (s.scale * mean * s.axis)
+    xi1 = xi - _sum([F.sin(xi * (2 * j)) * F.cosh(eta * (2 * j)) * b for j, b in enumerate(back, 1)])
+    eta1 = eta - _sum([F.cos(xi * (2 * j)) * F.sinh(eta * (2 * j)) * b for j, b in enumerate(back, 1)])
     chi = F.asin(F.sin(xi1) / F.cosh(eta1))
-    phi = chi + _sum([F.sin(chi * (2 * j)) * d for j, d in enumerate(DELTA, 1)])
-    return F.degrees(phi), F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + (6 * zone - 183)
+    phi = chi + _sum([F.sin(chi * (2 * j)) * d for j, d in enumerate(latitude, 1)])
+    return F.degrees(phi), F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + s.lon
+
+
+def _ring(phi: float, e2: float) -> float:
+    """Radius of a parallel by the ellipsoid's axis."""
+    return cos(phi) / sqrt(1 - e2 * sin(phi) ** 2)
+
+
+def _area(phi: float, e2: float) -> float:
+    e = sqrt(e2)
+    return (1 - e2) * (sin(phi) / (1 - e2 * sin(phi) ** 2) - log((1 - e * sin(phi)) / (1 + e * sin(phi))) / (2 * e))
+
+
+def _albers_cone(s: System) -> tuple[float, float, float]:
+    """(cone constant, its integration constant, radius of the latitude of origin by axis)."""
+    one, two = (radians(p) for p in s.parallels)
+    n = sin(one) if one == two else (_ring(one, s.e2) ** 2 - _ring(two, s.e2) ** 2) / (_area(two, s.e2) - _area(one, s.e2))
+    c = _ring(one, s.e2) ** 2 + n * _area(one, s.e2)
+    return n, c, sqrt(c - n * _area(radians(s.lat), s.e2)) / n
+
+
+def _lambert_cone(s: System) -> tuple[float, float, float]:
+    e = sqrt(s.e2)
+    t = lambda p: tan(pi / 4 - p / 2) / ((1 - e * sin(p)) / (1 + e * sin(p))) ** (e / 2)
+    one, two = (radians(p) for p in s.parallels)
+    n = sin(one) if one == two else (log(_ring(one, s.e2)) - log(_ring(two, s.e2))) / (log(t(one)) - log(t(two)))
+    f = _ring(one, s.e2) / (n * t(one) ** n)
+    return n, f, f * t(radians(s.lat)) ** n
+
+
+def _conic(s: System, lat: Column, lon: Column) -> tuple[Column, Column]:
+    phi, e = F.radians(lat), sqrt(s.e2)
+    if s.method == "albers":
+        n, c, start = _albers_cone(s)
+        sine = F.sin(phi)
+        area = (sine / (1 - sine * sine * s.e2) - F.log((1 - sine * e) / (1 + sine * e)) / (2 * e)) * (1 - s.e2)
+        rho = F.sqrt(F.greatest(c - area * n, F.lit(0.0))) / n
+    else:
+        n, f, start = _lambert_cone(s)
+        rho = F.pow(_tangent(phi, e), F.lit(n)) * f
+    theta = F.radians(lon - s.lon) * n
+    return rho * F.sin(theta) * s.axis + s.east, (start - rho * F.cos(theta)) * s.axis + s.north
+
+
+def _tangent(phi: Column, e: float) -> Column:
+    """exp of the isometric latitude, turned round."""
+    return F.exp(F.atanh(F.sin(phi) * e) * e - F.atanh(F.sin(phi)))
+
+
+def _conic_back(s: System, x: Column, y: Column) -> tuple[Column, Column]:
+    n, c, start = (_albers_cone if s.method == "albers" else _lambert_cone)(s)
+    side = 1.0 if n > 0 else -1.0
+    dx, dy = (x - s.east) / s.axis, start - (y - s.north) / s.axis
+    rho, theta = F.sqrt(dx * dx + dy * dy) * side, F.atan2(dx * side, dy * side)
+    if s.method == "albers":
+        e2, pole = s.e2, _area(pi / 2, s.e2)
+        beta = F.asin(F.greatest(F.least((c - rho * rho * (n * n)) / (n * pole), F.lit(1.0)), F.lit(-1.0)))
+        terms = (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360)
+        phi = beta + _sum([F.sin(beta * (2 * j)) * d for j, d in enumerate(terms, 1)])
+    else:
+        chi = F.lit(pi / 2) - F.atan(F.pow(rho / c, F.lit(1 / n))) * 2
+        phi = chi + _sum([F.sin(chi * (2 * j)) * d for j, d in enumerate(_krueger(s.third)[2], 1)])
+    return F.degrees(phi), F.degrees(theta / n) + s.lon
+
+
+def _geocentric(lat: Column, lon: Column, h: Column, axis: float, e2: float) -> tuple[Column, Column, Column]:
+    phi, lam = F.radians(lat), F.radians(lon)
+    across = F.lit(axis) / F.sqrt(1 - F.sin(phi) * F.sin(phi) * e2)
+    return (across + h) * F.cos(phi) * F.cos(lam), (across + h) * F.cos(phi) * F.sin(lam), (across * (1 - e2) + h) * F.sin(phi)
+
+
+def _geodetic(x: Column, y: Column, z: Column, axis: float, e2: float) -> tuple[Column, Column]:
+    """Bowring's formula: micrometres near the ground."""
+    f = 1 - sqrt(1 - e2)
+    r = F.sqrt(x * x + y * y)
+    u = F.atan2(z, r * (1 - f))
+    lift, pull = e2 / (1 - e2) * axis * (1 - f), e2 * axis
+    return F.degrees(F.atan2(z + F.pow(F.sin(u), F.lit(3)) * lift, r - F.pow(F.cos(u), F.lit(3)) * pull)), F.degrees(F.atan2(y, x))
+
+
+def _moved(lat: Column, lon: Column, h: Column, s: System, back: bool) -> tuple[Column, Column]:
+    """From WGS 84 to the system's datum, or back."""
+    if s.shift == (0.0, 0.0, 0.0):
+        return lat, lon
+    wgs, own = (SEMI_MAJOR, FLATTENING * (2 - FLATTENING)), (s.axis, s.e2)
+    at = _geocentric(lat, lon, h, *(own if back else wgs))
+    return _geodetic(*[c + d * (1 if back else -1) for c, d in zip(at, s.shift, strict=True)], *(wgs if back else own))
+
+
+def _utm(code: int) -> System:
+    return System("transverse", 0, 6 * (code % 100) - 183, (0, 0), UTM_EASTING, UTM_SOUTH if code > 32700 else 0.0, UTM_SCALE)
 
 
-def _code(crs: str | int) -> int:
+def _system(crs: str | int | System) -> int | System:
+    if isinstance(crs, System):
+        return crs
     text = str(crs).upper().removeprefix("EPSG:")
     code = int(text) if text.isdigit() else 0
-    if code in (4326, 3857) or 32601 <= code <= 32660 or 32701 <= code <= 32760:
+    if code in (4326, 3857):
         return code
-    raise ValueError(f"{crs}: only EPSG:4326, EPSG:3857 and UTM zones (326xx, 327xx) have formulas here; pass a transform")
+    if 32601 <= code <= 32660 or 32701 <= code <= 32760:
+        return _utm(code)
+    if code in SYSTEMS:
+        return SYSTEMS[code]
+    raise ValueError(f"{crs}: only EPSG:4326, EPSG:3857, UTM zones (326xx, 327xx) and {sorted(SYSTEMS)} have formulas here; pass a System or a transform")
 
 
-def transform(source: str | int, target: str | int) -> Transform:
+def transform(source: str | int | System, target: str | int | System) -> Transform:
     """A function from coordinate columns of one system to those of another."""
-    a, b = _code(source), _code(target)
+    a, b = _system(source), _system(target)
 
     def run(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
         if a == b:
             return x, y, z
         if a == 3857:
             x, y = _mercator_back(x, y)
-        elif a != 4326:
-            x, y = _utm_back(a % 100, a > 32700, x, y)
+        elif isinstance(a, System):
+            x, y = (_transverse_back if a.method == "transverse" else _conic_back)(a, x, y)
+            x, y = _moved(x, y, z, a, True)
         if b == 3857:
             x, y = _mercator(x, y)
-        elif b != 4326:
-            x, y = _utm(b % 100, b > 32700, x, y)
+        elif isinstance(b, System):
+            x, y = _moved(x, y, z, b, False)
+            x, y = (_transverse if b.method == "transverse" else _conic)(b, x, y)
         return x, y, z
 
     return run
 
 
-def reproject(points: DataFrame, source: str | int, target: str | int, position: str = POSITION, by: Transform | None = None) -> DataFrame:
+def reproject(points: DataFrame, source: str | int | System, target: str | int | System, position: str = POSITION, by: Transform | None = None) -> DataFrame:
     """points with their positions in another system."""
     run = by or transform(source, target)
     p = F.col(position)
@@ -103,7 +256,7 @@ def reproject(points: DataFrame, source: str | int, target: str | int, position:
     return points.withColumn(position, vec(*[c.cast(kinds[a]) for a, c in zip("xyz", out, strict=True)]))
 
 
-def reproject_between(source_points: DataFrame, target_points: DataFrame, source: str | int, target: str | int, by: Transform | None = None) -> DataFrame:
+def reproject_between(source_points: DataFrame, target_points: DataFrame, source: str | int | System, target: str | int | System, by: Transform | None = None) -> DataFrame:
     """target_points with the reprojected positions of source_points, by index; the tables need equal lengths."""
     from .joins import zip_points
 
@@ -112,7 +265,7 @@ def reproject_between(source_points: DataFrame, target_points: DataFrame, source
     return both.withColumn(POSITION, F.col(POSITION + "_right")).drop(POSITION + "_right")
 
 
-def transform_bounds(box: Column, source: str | int, target: str | int) -> Column:
+def transform_bounds(box: Column, source: str | int | System, target: str | int | System) -> Column:
     """The box between the images of a box's two corners; only the corners are mapped."""
     run = transform(source, target)
     low, high = (vec(*run(*[box[e][a] for a in "xyz"])) for e in ("min", "max"))

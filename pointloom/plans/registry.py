@@ -13,8 +13,11 @@ from ..functions.schema import BUILTIN, POINT_IDX, Attribute, PointSchema
 from ..operators import aggregates, frame, hull, joins, normals, ransac, reproject, voxel
 from ..operators.convert import LayoutConverter
 from ..sources import ascii as ascii_points
-from ..sources.las import read_las, write_las
-from ..sources.pnts import read_pnts, write_pnts
+from ..sources import las_format
+from ..sources.dispatch import read_points, write_points
+from ..sources.las import las_metadata, read_las, write_las
+from ..sources.pnts import pnts_metadata, read_pnts, write_pnts
+from ..sources.tileset import read_tileset
 from ..sources.tables import embedding_points, event_points, lineitem_points
 from ..streaming import running
 from .scratch import scratch
@@ -116,6 +119,44 @@ def voxel_counts(spark, sf_dir):
     return voxel.voxel_counts(event_points(spark, sf_dir), LEAF)
 
 
+#: Every built-in attribute with a reducer, made of an event's index and value.
+MADE = {
+    "ReturnNumber": ("u8", "i % 5"), "NumberOfReturns": ("u8", "i % 3 + 1"), "ClassificationFlags": ("u8", "i % 11"), "ScannerChannel": ("u8", "i % 4"), "ScanDirectionFlag": ("u8", "(i % 7) // 4"),
+    "EdgeOfFlightLine": ("u8", "(i % 9) // 8"), "ScanAngleRank": ("i8", "i % 6 - 3"), "ScanAngle": ("i16", "i % 8 - 400"), "UserData": ("u8", "i % 13"), "PointSourceID": ("u16", "i % 17 + 1000"), "PointID": ("u64", "i * 3"),
+    "Intensity": ("u16", "i % 1000"), "NIR": ("u16", "i % 777"),
+}
+MODES = [n for n in MADE if n not in ("ClassificationFlags", "PointID", "Intensity", "NIR")]
+FLAG_MODES = ("ScanDirectionFlag", "EdgeOfFlightLine")
+
+
+def _mode_sql(name: str) -> str:
+    return f"{name} AS (SELECT ix, iy, iz, {name} AS v, row_number() OVER (PARTITION BY ix, iy, iz ORDER BY count(*) DESC, {name}) AS r FROM t GROUP BY ix, iy, iz, {name})"
+
+
+def _mode_shown(name: str) -> str:
+    return f"CAST(CASE WHEN {name}.v <> 0 THEN 1 ELSE 0 END AS BIGINT)" if name in FLAG_MODES else f"CAST({name}.v AS BIGINT)"
+
+
+@query(f"""WITH {EV}, {CELLS}, t AS (SELECT ix, iy, iz, {", ".join(f"{sql} AS {n}" for n, (_, sql) in MADE.items())}, i FROM (SELECT *, point_idx AS i FROM c)),
+{", ".join(_mode_sql(n) for n in MODES)},
+g AS (SELECT ix, iy, iz, max(ClassificationFlags) AS flags, max(PointID) AS id, CAST(floor(avg(Intensity)) AS BIGINT) AS intensity, CAST(floor(avg(NIR)) AS BIGINT) AS nir, CAST(floor(avg(i % 50)) AS BIGINT) AS red,
+  CAST(floor(avg(i % 300)) AS BIGINT) AS blue, round(CAST(CAST(avg(i % 10) AS FLOAT) AS DOUBLE), 4) AS normal FROM t GROUP BY ix, iy, iz)
+SELECT g.ix, g.iy, g.iz, CAST(flags AS BIGINT) AS "ClassificationFlags", CAST(id AS BIGINT) AS "PointID", intensity AS "Intensity", nir AS "NIR", red, blue, normal, {", ".join(f'{_mode_shown(n)} AS "{n}"' for n in MODES)}
+FROM g {" ".join(f"JOIN {n} ON {n}.ix = g.ix AND {n}.iy = g.iy AND {n}.iz = g.iz AND {n}.r = 1" for n in MODES)}""")
+def voxel_reducers(spark, sf_dir):
+    """One reducer of each attribute that events don't have."""
+    i = F.col(POINT_IDX)
+    points = event_points(spark, sf_dir).select(POINT_IDX, "Position3D")
+    kinds = {n: k for n, (k, _) in MADE.items()}
+    named = lambda n, c: c.cast(PointSchema.of(n).struct_type(False)[n].dataType).alias(n, metadata={"point_type": kinds.get(n) or BUILTIN[n].type})
+    made = [named(n, F.expr(sql.replace("//", "div").replace("i ", f"{POINT_IDX} "))) for n, (_, sql) in MADE.items()]
+    colour = F.struct((i % 50).cast("int").alias("x"), F.lit(0).alias("y"), (i % 300).cast("int").alias("z"))
+    normal = F.struct((i % 10).cast("float").alias("x"), F.lit(0).cast("float").alias("y"), F.lit(1).cast("float").alias("z"))
+    v = voxel.voxel_downsample(points.select("*", *made, named("ColorRGB", colour), named("Normal", normal)), LEAF, index=False)
+    shown = [F.col("ColorRGB.x").cast("long").alias("red"), F.col("ColorRGB.z").cast("long").alias("blue"), F.round(F.col("Normal.x").cast("double"), 4).alias("normal")]
+    return v.select("ix", "iy", "iz", *[F.col(n).cast("long").alias(n) for n in ("ClassificationFlags", "PointID", "Intensity", "NIR", *MODES)], *shown)
+
+
 # Projection, ranges, edits.
 
 
@@ -274,6 +315,15 @@ def aabb_contains_approx(spark, sf_dir):
     return flat(event_points(spark, sf_dir).where(geometry.box_contains_approx(geometry.box(*BOX), F.col("Position3D"), 1.5)))
 
 
+@query(f"""WITH {EV} SELECT point_idx, least(x, 100) AS low_x, greatest(y, 10) AS high_y, least(x, 50) AS box_low_x, greatest(z, 100) AS box_high_z, y * 4 - z * 3 AS normal_x, z * 2 - x * 4 AS normal_y, x * 3 - y * 2 AS normal_z FROM ev""")
+def vectors(spark, sf_dir):
+    """Infimum and supremum of two points, a box extended to a point, and the normal of a triangle."""
+    p, q, origin = F.col("Position3D"), geometry.vector((100.0, 10.0, 500.0)), geometry.vector((0.0, 0.0, 0.0))
+    box, normal = geometry.box_extended(geometry.box(*BOX), p), geometry.triangle_normal(origin, p, geometry.vector((2.0, 3.0, 4.0)))
+    shown = {"low_x": geometry.infimum(p, q)["x"], "high_y": geometry.supremum(p, q)["y"], "box_low_x": box["min"]["x"], "box_high_z": box["max"]["z"], "normal_x": normal["x"], "normal_y": normal["y"], "normal_z": normal["z"]}
+    return event_points(spark, sf_dir).select(POINT_IDX, *[c.alias(n) for n, c in shown.items()])
+
+
 NATION_BOX = "bx AS (SELECT n_nationkey AS box_id, n_nationkey * 10.0 AS lx, n_nationkey * 10.0 + 15 AS hx, 0.0 AS ly, n_nationkey * 1.0 + 3 AS hy, n_regionkey * 20.0 AS lz, n_regionkey * 20.0 + 35 AS hz FROM nation)"
 
 
@@ -396,11 +446,50 @@ def compute_normals(spark, sf_dir):
     return n.select(POINT_IDX, *[F.round(c, 6).alias(c) for c in ("nx", "ny", "nz", "curvature")])
 
 
+#: Eigenvalues of the scatter matrix as the roots of its characteristic polynomial.
+ROOTS = f"""{NEAR}, m AS (SELECT k.point_idx, covar_pop(x, x) * count(*) AS a, covar_pop(x, y) * count(*) AS d, covar_pop(x, z) * count(*) AS f, covar_pop(y, y) * count(*) AS b, covar_pop(y, z) * count(*) AS e, covar_pop(z, z) * count(*) AS c
+  FROM k JOIN em ON em.point_idx = k.neighbour WHERE rank <= 8 GROUP BY k.point_idx),
+q AS (SELECT *, (a + b + c) / 3 AS q FROM m), p AS (SELECT *, sqrt(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6) AS p FROM q),
+w AS (SELECT *, ((a - q) * ((b - q) * (c - q) - e * e) - d * (d * (c - q) - e * f) + f * (d * e - (b - q) * f)) / (2 * p * p * p) AS w FROM p),
+r AS (SELECT *, q + 2 * p * cos(acos(greatest(least(w, 1), -1)) / 3 + 2 * pi() / 3) AS low FROM w)"""
+
+
+@query(f"{ROOTS} SELECT point_idx, round(low / (a + b + c), 6) AS curvature FROM r")
+def curvature(spark, sf_dir):
+    return normals.normals(embedding_points(spark, sf_dir), 8).select(POINT_IDX, F.round("curvature", 6).alias("curvature"))
+
+
+#: The kernel of the matrix without its smallest eigenvalue is a product of two of its rows, the longest one; the first component is positive.
+AXIS = f"""{ROOTS}, s AS (SELECT *, a - low AS aa, b - low AS bb, c - low AS cc FROM r),
+x AS (SELECT point_idx, unnest([{{'x': d * e - f * bb, 'y': f * d - aa * e, 'z': aa * bb - d * d}}, {{'x': d * cc - f * e, 'y': f * f - aa * cc, 'z': aa * e - d * f}}, {{'x': bb * cc - e * e, 'y': e * f - d * cc, 'z': d * e - bb * f}}]) AS v FROM s),
+n AS (SELECT point_idx, v, sqrt(v.x * v.x + v.y * v.y + v.z * v.z) AS n, row_number() OVER (PARTITION BY point_idx ORDER BY v.x * v.x + v.y * v.y + v.z * v.z DESC) AS r FROM x)"""
+
+
+@query(f"{AXIS} SELECT point_idx, round(abs(v.x / n), 4) AS nx, round(abs(v.y / n), 4) AS ny, round(abs(v.z / n), 4) AS nz, (v.x >= 0) = (v.y >= 0) AS xy FROM n WHERE r = 1")
+def normal_axes(spark, sf_dir):
+    """Directions without their sense."""
+    n = normals.normals(embedding_points(spark, sf_dir), 8)
+    return n.select(POINT_IDX, *[F.round(F.abs(c), 4).alias(c) for c in ("nx", "ny", "nz")], ((F.col("nx") >= 0) == (F.col("ny") >= 0)).alias("xy"))
+
+
 SEED, ITERATIONS = 11, 40
-DRAW = "n AS (SELECT count(*) AS n FROM ev), h AS (SELECT CAST(i AS INTEGER) AS h, (11 + (i + 1) * 7919) % n AS a, (11 + (i + 1) * 104729) % n AS b, (11 + (i + 1) * 1299709) % n AS c FROM n, range(0, 40) r(i))"
-PLANES = f"""WITH {EV}, {DRAW}, t AS (SELECT h, p.x px, p.y py, p.z pz, q.x - p.x ux, q.y - p.y uy, q.z - p.z uz, r.x - p.x vx, r.y - p.y vy, r.z - p.z vz FROM h JOIN ev p ON p.point_idx = h.a JOIN ev q ON q.point_idx = h.b JOIN ev r ON r.point_idx = h.c),
-pl AS (SELECT h, uy * vz - uz * vy AS a, uz * vx - ux * vz AS b, ux * vy - uy * vx AS c, px, py, pz FROM t),
-s AS (SELECT h, count(*) FILTER (a * a + b * b + c * c > 0 AND abs(a * x + b * y + c * z - (a * px + b * py + c * pz)) / sqrt(a * a + b * b + c * c) < 2.0) AS ranking FROM pl, ev GROUP BY h)"""
+
+
+def drawn(size: int, where: str = "TRUE") -> str:
+    """The points of each hypothesis: those that follow each other in the order of a hash of the index."""
+    ends = " ".join(f"JOIN pool p{j} ON p{j}.r = {size} * h.h + {j}" for j in range(size))
+    at = ", ".join(f"p{j}.{a} AS {a}{j}" for j in range(size) for a in "xyz")
+    return f"""ev0 AS (SELECT * FROM ev WHERE {where}), pool AS (SELECT x, y, z, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(point_idx AS VARCHAR)), point_idx) - 1 AS r FROM ev0),
+h AS (SELECT CAST(i AS INTEGER) AS h FROM range(0, {ITERATIONS}) r(i)), t AS (SELECT h, {at} FROM h {ends})"""
+
+
+def planes_sql(where: str = "TRUE") -> str:
+    return f"""WITH {EV}, {drawn(3, where)}, u AS (SELECT h, x0 px, y0 py, z0 pz, x1 - x0 ux, y1 - y0 uy, z1 - z0 uz, x2 - x0 vx, y2 - y0 vy, z2 - z0 vz FROM t),
+pl AS (SELECT h, uy * vz - uz * vy AS a, uz * vx - ux * vz AS b, ux * vy - uy * vx AS c, px, py, pz FROM u),
+s AS (SELECT h, count(*) FILTER (a * a + b * b + c * c > 0 AND abs(a * x + b * y + c * z - (a * px + b * py + c * pz)) / sqrt(a * a + b * b + c * c) < 2.0) AS ranking FROM pl, ev0 GROUP BY h)"""
+
+
+PLANES = planes_sql()
 
 
 @query(f"{PLANES} SELECT h AS hypothesis, ranking FROM s")
@@ -408,9 +497,19 @@ def ransac_plane(spark, sf_dir):
     return ransac.ransac_planes(event_points(spark, sf_dir), 2.0, ITERATIONS, SEED).select("hypothesis", "ranking")
 
 
-@query(f"""WITH {EV}, {DRAW}, t AS (SELECT h, p.x px, p.y py, p.z pz, q.x - p.x ux, q.y - p.y uy, q.z - p.z uz FROM h JOIN ev p ON p.point_idx = h.a JOIN ev q ON q.point_idx = h.b)
+FAR = "x > 60 AND point_idx % 3 <> 1"
+
+
+@query(f"{planes_sql(FAR)} SELECT h AS hypothesis, ranking FROM s")
+def ransac_plane_filtered(spark, sf_dir):
+    """Points whose numbers have gaps."""
+    some = event_points(spark, sf_dir).where("Position3D.x > 60 AND point_idx % 3 <> 1")
+    return ransac.ransac_planes(some, 2.0, ITERATIONS, SEED).select("hypothesis", "ranking")
+
+
+@query(f"""WITH {EV}, {drawn(2)}, u AS (SELECT h, x0 px, y0 py, z0 pz, x1 - x0 ux, y1 - y0 uy, z1 - z0 uz FROM t)
 SELECT h AS hypothesis, count(*) FILTER (ux * ux + uy * uy + uz * uz > 0 AND sqrt(power(uy * (pz - z) - uz * (py - y), 2) + power(uz * (px - x) - ux * (pz - z), 2) + power(ux * (py - y) - uy * (px - x), 2)) / sqrt(ux * ux + uy * uy + uz * uz) < 5.0) AS ranking
-FROM t, ev GROUP BY h""")
+FROM u, ev GROUP BY h""")
 def ransac_line(spark, sf_dir):
     return ransac.ransac_lines(event_points(spark, sf_dir), 5.0, ITERATIONS, SEED).select("hypothesis", "ranking")
 
@@ -435,11 +534,39 @@ def convex_hull(spark, sf_dir):
     return hull.hull_vertices(event_points(spark, sf_dir)).select(POINT_IDX, "x", "y", "z")
 
 
+#: The lowest and highest point along each of many directions is a vertex; of points as far as each other the hull may name either.
+DIRECTIONS = "d AS (SELECT i AS d, cos(i * 0.7) * cos(i * 0.3) AS dx, sin(i * 0.7) * cos(i * 0.3) AS dy, sin(i * 0.3) AS dz FROM range(0, 40) r(i))"
+
+
+@query(f"WITH {EV}, {DIRECTIONS} SELECT CAST(d AS INTEGER) AS direction, round(max(x * dx + y * dy + z * dz), 6) AS reach FROM ev, d GROUP BY d")
+def convex_hull_reach(spark, sf_dir):
+    """How far the hull reaches in many directions: as far as the points do."""
+    i = F.col("d")
+    d = spark.range(40).select(F.col("id").cast("int").alias("d")).select("d", (F.cos(i * 0.7) * F.cos(i * 0.3)).alias("dx"), (F.sin(i * 0.7) * F.cos(i * 0.3)).alias("dy"), F.sin(i * 0.3).alias("dz"))
+    v = hull.hull_vertices(event_points(spark, sf_dir)).join(F.broadcast(d))
+    return v.groupBy(F.col("d").alias("direction")).agg(F.round(F.max(F.col("x") * F.col("dx") + F.col("y") * F.col("dy") + F.col("z") * F.col("dz")), 6).alias("reach"))
+
+
 @query()
 def convex_hull_mesh(spark, sf_dir):
     return hull.hull_mesh(embedding_points(spark, sf_dir))
 
 
+ALBERS = """c AS (SELECT sqrt(e2) AS e, e2, f2.* FROM (SELECT (2 - f) * f AS e2 FROM (SELECT 1 / 298.257222101 AS f)), (SELECT radians(29.5) AS p1, radians(45.5) AS p2, radians(23) AS p0) f2),
+  m AS (SELECT *, cos(p1) * cos(p1) / (1 - e2 * sin(p1) * sin(p1)) AS m1, cos(p2) * cos(p2) / (1 - e2 * sin(p2) * sin(p2)) AS m2, {q1} AS q1, {q2} AS q2, {q0} AS q0 FROM c),
+  n AS (SELECT *, (m1 - m2) / (q2 - q1) AS n FROM m), k AS (SELECT *, m1 + n * q1 AS k FROM n)""".format(
+    **{q: f"(1 - e2) * (sin({p}) / (1 - e2 * sin({p}) * sin({p})) - ln((1 - e * sin({p})) / (1 + e * sin({p}))) / (2 * e))" for q, p in (("q0", "p0"), ("q1", "p1"), ("q2", "p2"))}
+)
+
+
+@query(f"""WITH {EV}, {ALBERS}, g AS (SELECT point_idx, radians(30 + x / 20) AS p, -96 + y / 2 AS lon FROM ev),
+  q AS (SELECT *, (1 - e2) * (sin(p) / (1 - e2 * sin(p) * sin(p)) - ln((1 - e * sin(p)) / (1 + e * sin(p))) / (2 * e)) AS q FROM g, k)
+  SELECT point_idx, round(6378137.0 * sqrt(k - n * q) / n * sin(n * radians(lon + 96)), 3) AS x, round(6378137.0 * (sqrt(k - n * q0) / n - sqrt(k - n * q) / n * cos(n * radians(lon + 96))), 3) AS y FROM q""")
+def reproject_albers(spark, sf_dir):
+    p = frame.transform_attribute(event_points(spark, sf_dir), "Position3D", lambda i, v: geometry.vec(v["x"] / 20 + 30, v["y"] / 2 - 96, v["z"]))
+    return flat(reproject.reproject(p, "EPSG:4326", "EPSG:5070")).select(POINT_IDX, F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query(f"WITH {EV} SELECT point_idx, round(radians(y) * 6378137.0, 4) AS x, round(ln(tan(radians(x / 10) / 2 + pi() / 4)) * 6378137.0, 4) AS y FROM ev")
 def reproject_webmercator(spark, sf_dir):
     p = frame.transform_attribute(event_points(spark, sf_dir), "Position3D", lambda i, v: geometry.vec(v["x"] / 10, v["y"], v["z"]))
@@ -473,6 +600,71 @@ def las_roundtrip(spark, sf_dir):
     return back.select(POINT_IDX, F.round(F.col("Position3D.x"), 6).alias("x"), F.col("Classification").cast("int").alias("classification"), F.col("GpsTime").alias("gps_time"))
 
 
+@query(f"""WITH {EV} SELECT count(*) AS points, round(min(trunc(x / 0.25) * 0.25), 6) AS min_x, round(max(trunc(x / 0.25) * 0.25), 6) AS max_x, round(min(trunc(z / 0.25) * 0.25), 6) AS min_z, round(max(trunc(z / 0.25) * 0.25), 6) AS max_z,
+  count(*) FILTER (point_idx % 5 = 1) AS first_returns, count(*) FILTER (point_idx % 5 = 4) AS fourth_returns, 1 AS point_format, '1.4' AS version FROM ev""")
+def las_headers(spark, sf_dir):
+    """Counts, bounds and by-return counts that writing puts into the files' headers."""
+    path = scratch(spark, "las")
+    points = event_points(spark, sf_dir)
+    returns = F.pmod(POINT_IDX, F.lit(5)).cast("short").alias("ReturnNumber", metadata={"point_type": "u8"})
+    write_las(points.select("*", returns), path, scale=(0.25, 0.25, 0.25))
+    m, b = las_metadata(spark, path).where("point_count > 0"), F.col("bounds")
+    ends = {"min_x": F.min(b[0]), "max_x": F.max(b[3]), "min_z": F.min(b[2]), "max_z": F.max(b[5])}
+    returned = {"first_returns": F.sum(F.col("points_by_return")[0]), "fourth_returns": F.sum(F.col("points_by_return")[3])}
+    return m.groupBy("point_format", "version").agg(F.sum("point_count").alias("points"), *[F.round(c, 6).alias(n) for n, c in ends.items()], *[c.alias(n) for n, c in returned.items()])
+
+
+@query(f"WITH {EV} SELECT point_idx, round(trunc(x / 0.25) * 0.25, 6) AS x FROM ev WHERE point_idx >= 500 AND point_idx < 600")
+def las_seek(spark, sf_dir):
+    """A range of a file's points by a pushed filter."""
+    path = scratch(spark, "las")
+    write_las(event_points(spark, sf_dir), path, scale=(0.25, 0.25, 0.25))
+    some = frame.seek(read_las(spark, path, pointsPerPartition=100), 500).where(F.col(POINT_IDX) < 600)
+    return some.select(POINT_IDX, F.round(F.col("Position3D.x"), 6).alias("x"))
+
+
+@query(f"""WITH {EV}, n AS (SELECT count(*) AS n FROM ev) SELECT point_idx, x, CAST(cls AS INTEGER) AS classification FROM ev UNION ALL SELECT point_idx + n, round(trunc(x / 0.25) * 0.25, 6), CAST(cls AS INTEGER) FROM ev, n""")
+def read_into(spark, sf_dir):
+    """Points of a file behind others, in the others' layout."""
+    path = scratch(spark, "las")
+    points = event_points(spark, sf_dir)
+    write_points(points, path, kind="las", scale=(0.25, 0.25, 0.25))
+    whole = read_points(spark, path, PointSchema.of_frame(points))
+    both = frame.append(points, whole)
+    return both.select(POINT_IDX, F.round(F.col("Position3D.x"), 6).alias("x"), F.col("Classification").cast("int").alias("classification"))
+
+
+@query("""SELECT CAST(f AS INTEGER) AS point_format, CAST(f AS INTEGER) AS chosen, size FROM (VALUES (0, 20), (1, 28), (2, 26), (3, 34), (4, 57), (5, 63), (6, 30), (7, 36), (8, 38), (9, 59), (10, 67)) v(f, size)""")
+def las_formats(spark, sf_dir):
+    """Record sizes of the point formats, and the format that each one's attributes lead back to."""
+    rows = [(f, las_format.best_format(las_format.format_schema(f)), las_format.record_dtype(f).itemsize) for f in range(11)]
+    return spark.createDataFrame(rows, "point_format int, chosen int, size int")
+
+
+@query(f"WITH {EV} SELECT count(*) AS points, CAST(min(CAST(x AS FLOAT)) AS DOUBLE) AS min_x, CAST(max(CAST(x AS FLOAT)) AS DOUBLE) AS max_x, CAST(max(CAST(z AS FLOAT)) AS DOUBLE) AS max_z FROM ev")
+def pnts_tileset(spark, sf_dir):
+    """Tiles' lengths by their metadata, and the root box of their tileset."""
+    path = scratch(spark, "pnts")
+    write_pnts(event_points(spark, sf_dir), path)
+    volume = F.col("volume")
+    root = read_tileset(spark, f"{path.removeprefix('file:')}/tileset.json").where("tile_path = '0'")
+    half = {"min_x": volume[0] - volume[3], "max_x": volume[0] + volume[3], "max_z": volume[2] + volume[11]}
+    counted = pnts_metadata(spark, path).agg(F.sum("points_length").alias("points"))
+    return counted.join(root.select(*[c.alias(n) for n, c in half.items()]))
+
+
+@query(f"WITH {EV} SELECT point_idx, CAST(trunc(x) AS INTEGER) AS x FROM ev WHERE point_idx >= 10 AND point_idx < 60")
+def attribute_range(spark, sf_dir):
+    v = frame.attribute_range(event_points(spark, sf_dir), "Position3D", 10, 60, "vec3i32")
+    return v.select(POINT_IDX, F.col("Position3D.x").alias("x"))
+
+
+@query(f"WITH {EV} SELECT point_idx, CASE WHEN point_idx BETWEEN 100 AND 199 THEN 0 ELSE x END AS x FROM ev")
+def write_at(spark, sf_dir):
+    points = event_points(spark, sf_dir)
+    return flat(frame.write_at(points, frame.zero_points(points, 0, 100), 100)).select(POINT_IDX, "x")
+
+
 @query(f"WITH {EV} SELECT point_idx, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM ev")
 def pnts_roundtrip(spark, sf_dir):
     path = scratch(spark, "pnts")

@@ -30,6 +30,7 @@ LETTERS = {
     "d": ("ScanDirectionFlag", None),
 }
 FLAGS = "ed"
+RANGES = {"u8": (0, 255), "i8": (-128, 127), "u16": (0, 65_535)}
 INTEGER, NUMBER = r"^[+-]?[0-9]+$", r"^[+-]?(inf|infinity|nan|[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)$"
 
 
@@ -53,7 +54,8 @@ def _component_type(name: str) -> str:
 def read_ascii(spark: SparkSession, path: str, fmt: str, delimiter: str = ",") -> DataFrame:
     """Points of text files, in file and line order. Fields aren't trimmed; extra fields are ignored.
 
-    A missing field, a value that is no number of its type and a flag other than 0 or 1 raise, naming line and letter.
+    A missing field, a value that is no number of its type or outside the type's range, and a flag other than 0 or 1 raise, naming line
+    and letter.
     """
     fields = parse_format(fmt)
     order = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
@@ -68,6 +70,8 @@ def read_ascii(spark: SparkSession, path: str, fmt: str, delimiter: str = ",") -
         kind = _component_type(found[0])
         good = F.lower(text).rlike(NUMBER) if kind in ("f64", "f32") else text.rlike("^[01]$" if letter in FLAGS else INTEGER)
         value = F.when(good, F.when(good, text).try_cast(spark_type(kind)))
+        if kind in RANGES:  # Spark's type is wider than the unsigned types
+            value = F.when(value.between(*RANGES[kind]), value)
         message = F.concat(F.lit("line "), (F.col(POINT_IDX) + 1).cast("string"), F.lit(f": cannot read {letter!r} from "), text)
         values[found] = F.coalesce(value, F.raise_error(message).cast(spark_type(kind)))
     out = []

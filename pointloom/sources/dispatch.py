@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.frame import append
+from ..functions.schema import PointSchema
+from ..operators.convert import LayoutConverter
+from ..operators.frame import append, write_at
 from .files import list_files
 from .las import read_las, write_las
 from .pnts import read_pnts, write_pnts
@@ -20,17 +22,25 @@ def extension(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def read_points(spark: SparkSession, path: str, **options) -> DataFrame:
-    """All points of a file or folder. Text files have no extension of their own: see ascii.read_ascii."""
+def read_points(spark: SparkSession, path: str, layout: PointSchema | None = None, **options) -> DataFrame:
+    """All points of a file or folder, converted to a layout if one is given: attributes by name, zero where the file has none.
+
+    Text files have no extension of their own: see ascii.read_ascii.
+    """
     reader = READERS.get(extension(path))
     if reader is None:
         raise ValueError(f"{path}: no reader for the extension {extension(path)!r}")
-    return reader(spark, path, **options)
+    points = reader(spark, path, **options)
+    return points if layout is None else LayoutConverter(PointSchema.of_frame(points), layout, defaults=True).convert(points)
 
 
-def read_points_into(points: DataFrame, path: str, **options) -> DataFrame:
-    """points with those of a file appended."""
-    return append(points, read_points(points.sparkSession, path, **options))
+def read_points_into(points: DataFrame, path: str, at: int | None = None, **options) -> DataFrame:
+    """points with those of a file, in points' layout, appended, or written over those from index `at` on."""
+    layout = PointSchema.of_frame(points)
+    found = read_points(points.sparkSession, path, **options)
+    if at is None:
+        return append(points, found)
+    return write_at(points, LayoutConverter(PointSchema.of_frame(found), layout, defaults=True).convert(found), at)
 
 
 def write_points(points: DataFrame, path: str, kind: str | None = None, **options) -> None:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+
 from pyarrow import fs
 
 
@@ -35,6 +38,40 @@ def write_whole(path: str, *parts: bytes) -> None:
     system.move(inner + ".tmp", inner)
 
 
+class Spool:
+    """A file whose head is known only after its body: the body goes to a file beside it, and is copied behind the head in the end."""
+
+    PIECE = 8 << 20
+
+    def __init__(self, path: str):
+        self.path = path
+        self.system, self.inner = system_of(path)
+        self.system.create_dir(self.inner.rsplit("/", 1)[0], recursive=True)
+        self.body = self.system.open_output_stream(self.inner + ".body")
+
+    def write(self, data: bytes) -> None:
+        self.body.write(data)
+
+    def finish(self, head: bytes) -> None:
+        self.body.close()
+        with self.system.open_input_stream(self.inner + ".body") as f:
+            self._copy(head, iter(lambda: f.read(self.PIECE), b""))
+        self.system.delete_file(self.inner + ".body")
+
+    def _copy(self, head: bytes, pieces: Iterable[bytes]) -> None:
+        with self.system.open_output_stream(self.inner + ".tmp") as f:
+            f.write(head)
+            for piece in pieces:
+                f.write(piece)
+        self.system.move(self.inner + ".tmp", self.inner)
+
+
+def each(read: Callable, paths: list[str], at_once: int = 64) -> list:
+    """read(path) of every path, many at a time: heads of files are small reads that wait for the store."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(read, paths))
+
+
 def remove(path: str) -> None:
     system, inner = system_of(path)
     if system.get_file_info(inner).type == fs.FileType.File:

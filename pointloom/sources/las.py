@@ -1,8 +1,11 @@
 """LAS files as a Spark data source (`format("points_las")`), one partition for each range of point records.
 
-Read options: pointsPerPartition, exact (stored instead of decoded attributes), columns (comma-separated attributes to keep). A
-filter on point_idx, or on the position's box (options minX .. maxZ), skips ranges and files whose header bounds lie outside.
-Compressed files need a codec that is not part of this package and raise.
+Read options: pointsPerPartition, exact (stored instead of decoded attributes), columns (comma-separated attributes to keep: Spark
+prunes no columns of Python sources). Filters on point_idx and on the position's coordinates are pushed: ranges of records and files
+whose header bounds lie outside are not read, and Spark applies the filters to what is. The options minX .. maxZ skip files by their
+bounds without filtering points. All files of a folder need the same attributes. Headers are read many at a time by the driver.
+Writing streams records to the file system; a file's header is put before them in the end.
+Compressed files need a codec that is not part of this package and raise: convert them, or register a data source of that name.
 """
 
 from __future__ import annotations
@@ -14,13 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 from ..functions.bits import BASIC_FLAGS, EXTENDED_FLAGS
 from ..functions.casts import can_cast, default_value, point_cast
 from ..functions.schema import BUILTIN, POINT_IDX, PointSchema
 from . import las_format as las
-from .files import list_files, open_binary, remove, write_whole
+from .files import Spool, each, list_files, open_binary, remove
 
 POINTS_PER_PARTITION = 1_000_000
 BATCH = 65_536
@@ -86,6 +91,18 @@ class LasReader(DataSourceReader):
         if any(is_compressed_path(p) for p in self.paths):
             raise ValueError("compressed point records (.laz) need a codec that isn't available; convert the files to .las")
         self.exact = options.get("exact", "false").lower() == "true"
+        # Closed ranges that points must lie in: of the index, and of the coordinates.
+        self.limits = {name: [-float("inf"), float("inf")] for name in (POINT_IDX, *"xyz")}
+        for axis in "xyz":
+            low, high = options.get(f"min{axis.upper()}"), options.get(f"max{axis.upper()}")
+            self.narrow(axis, low if low is None else float(low), high if high is None else float(high))
+
+    def narrow(self, name: str, low: float | None, high: float | None) -> None:
+        limits = self.limits[name]
+        if low is not None:
+            limits[0] = max(limits[0], low)
+        if high is not None:
+            limits[1] = min(limits[1], high)
 
     def schema(self) -> PointSchema:
         schema = file_header(self.paths[0]).schema(self.exact)
@@ -98,19 +115,22 @@ class LasReader(DataSourceReader):
         return schema
 
     def outside(self, header: las.Header) -> bool:
-        for i, axis in enumerate("XYZ"):
-            low, high = self.options.get(f"min{axis}"), self.options.get(f"max{axis}")
-            if (low is not None and header.bounds[3 + i] < float(low)) or (high is not None and header.bounds[i] > float(high)):
-                return True
-        return False
+        """Whether the header's bounds, which writers may have rounded, are off the limits by more than a step of the grid."""
+        low, high, step = header.bounds[:3], header.bounds[3:], [abs(s) for s in header.scale]
+        return any(high[i] + step[i] < self.limits[a][0] or low[i] - step[i] > self.limits[a][1] for i, a in enumerate("xyz"))
 
     def partitions(self) -> list[Range]:
         step = int(self.options.get("pointsPerPartition", POINTS_PER_PARTITION))
+        low, high = self.limits[POINT_IDX]
         out, first = [], 0
-        for path in self.paths:
-            header = file_header(path)
+        headers = each(file_header, self.paths)
+        layout = headers[0].schema(self.exact)
+        for path, header in zip(self.paths, headers, strict=True):
+            if not header.schema(self.exact).same_attributes(layout):
+                raise ValueError(f"{path}: its attributes differ from those of {self.paths[0]}; read files of different formats apart")
             if not self.outside(header):
-                out += [Range(path, s, min(s + step, header.count), first + s) for s in range(0, header.count, step)]
+                start, end = (int(min(max(0, v), header.count)) for v in (low - first, high + 1 - first))
+                out += [Range(path, s, min(s + step, end), first + s) for s in range(start, end, step)]
             first += header.count
         return out or [Range(self.paths[0], 0, 0, 0)]
 
@@ -129,6 +149,25 @@ class LasReader(DataSourceReader):
                 yield decode(np.frombuffer(data, dtype), header, schema, partition.first + at - partition.start)
 
 
+class PushingLasReader(LasReader):
+    """Reads no more than filters on the index and the coordinates need."""
+
+    def pushFilters(self, filters: list[Filter]):  # noqa: N802
+        for f in filters:
+            name = {(POINT_IDX,): POINT_IDX} | {("Position3D", a): a for a in "xyz"}
+            if (at := name.get(getattr(f, "attribute", None))) is not None and not (at in "xyz" and self.exact):
+                if isinstance(f, In):
+                    values = [v for v in f.value if v is not None]
+                    self.narrow(at, *((min(values), max(values)) if values else (float("inf"), -float("inf"))))
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.narrow(at, f.value, None)
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.narrow(at, None, f.value)
+                elif isinstance(f, EqualTo):
+                    self.narrow(at, f.value, f.value)
+            yield f  # ranges are kept whole, so Spark filters their points
+
+
 class Part(WriterCommitMessage):
     def __init__(self, path: str, count: int):
         self.path, self.count = path, count
@@ -155,12 +194,14 @@ class LasWriter(DataSourceArrowWriter):
         low, high = np.full(3, np.inf), np.full(3, -np.inf)
         counts, total = np.zeros(15, np.int64), 0
         bits = 15 if las.is_extended(fmt) else 7
-        parts: list[bytes] = []
+        # One name for each partition, whichever attempt writes it: a lost task's file is replaced whole.
+        path = f"{self.options['path'].rstrip('/')}/part-{TaskContext.get().partitionId():05d}.las"
+        spool = Spool(path)
         for batch in batches:
             raw = np.zeros(batch.num_rows, dtype)
             for name in dtype.names:
                 raw[name] = np.asarray(batch.column(name).to_numpy(zero_copy_only=False)).astype(dtype[name])
-            parts.append(raw.tobytes())
+            spool.write(raw.tobytes())
             if len(raw):
                 local = np.stack([raw[c] for c in "xyz"]).astype(float)
                 low, high = np.minimum(low, local.min(1)), np.maximum(high, local.max(1))
@@ -168,9 +209,7 @@ class LasWriter(DataSourceArrowWriter):
                 total += len(raw)
         world = lambda v: tuple(float(c) * s + o for c, s, o in zip(v if total else (0, 0, 0), self.scale, self.offset, strict=True))
         header = las.Header((1, 4), fmt, dtype.itemsize, total, 375, self.scale, self.offset, world(low) + world(high), counts.tolist(), vlrs, software="pointloom")
-        # One name for each partition, whichever attempt writes it: a lost task's file is replaced whole.
-        path = f"{self.options['path'].rstrip('/')}/part-{TaskContext.get().partitionId():05d}.las"
-        write_whole(path, las.pack_header(header), *parts)
+        spool.finish(las.pack_header(header))
         return Part(path, total)
 
     def commit(self, messages: list[Part | None]) -> None:
@@ -196,22 +235,24 @@ class LasSource(DataSource):
         return LasReader(self.options).schema().struct_type()
 
     def reader(self, schema) -> LasReader:
-        return LasReader(self.options)
+        return (PushingLasReader if self.options.get("pushdown", "false").lower() == "true" else LasReader)(self.options)
 
     def writer(self, schema, overwrite: bool) -> LasWriter:
         return LasWriter(self.options, schema, overwrite)
 
 
 def read_las(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Points of a file or folder. Filters are pushed unless pushdown=False; that needs a Spark setting, which is turned on for the session."""
     spark.dataSource.register(LasSource)
+    if str(options.setdefault("pushdown", True)).lower() == "true":
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("points_las").options(**{k: str(v) for k, v in options.items()}).load(path)
 
 
 def las_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row for each file: version, format, count, bounds, scale, offset, by-return counts and named records."""
-    rows = []
-    for p in list_files(path, (".las", ".laz")):
-        h = file_header(p)
+    rows, paths = [], list_files(path, (".las", ".laz"))
+    for p, h in zip(paths, each(file_header, paths), strict=True):
         find = lambda k, h=h: next((v for v in h.vlrs if v.user == las.VLR_USER and v.record == k), None)
         lookup, text = find(las.CLASS_LOOKUP), find(las.TEXT_AREA)
         rows.append((p, f"{h.version[0]}.{h.version[1]}", h.fmt, h.count, list(h.bounds), list(h.scale), list(h.offset), h.by_return, h.system, h.software, las.class_lookup(lookup) if lookup else {}, las.text_area(text) if text else None, [(e.name, e.type, e.scale, e.offset, e.description) for e in h.described]))

@@ -1,6 +1,7 @@
 """Point tiles (PNTS) as a Spark data source (`format("points_pnts")`), one partition for each tile.
 
-Options: positionsMode "absolute" (default; adds RTC_CENTER) or "relative"; for writing rtcCenter "x,y,z" (stored, not applied).
+Options: positionsMode "absolute" (default; adds RTC_CENTER) or "relative"; for writing rtcCenter "x,y,z" (stored, not applied) and
+pointsPerTile. Planning reads headers only, many at a time; all tiles of a folder need the same semantics.
 Only POSITION, RGB, RGBA and NORMAL are read and written; other attributes are dropped.
 """
 
@@ -19,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 from ..functions.casts import can_cast, point_cast
 from ..functions.schema import POINT_IDX, Attribute, PointSchema
-from .files import list_files, open_binary, remove, write_whole
+from .files import each, list_files, open_binary, remove, write_whole
 
 # Semantic, attribute, stored component type and count, in the order of writing.
 SEMANTICS = (
@@ -29,6 +30,7 @@ SEMANTICS = (
     ("NORMAL", Attribute("Normal", "vec3f32"), "<f4", 3),
 )
 HEADER = struct.Struct("<4sIIIIII")
+POINTS_PER_TILE = 1_000_000
 
 
 @dataclass
@@ -103,6 +105,28 @@ def load_tile(path: str) -> Tile:
         return read_tile(f.read())
 
 
+GLOBALS = ("POINTS_LENGTH", "RTC_CENTER", "QUANTIZED_VOLUME_OFFSET", "QUANTIZED_VOLUME_SCALE", "CONSTANT_RGBA", "BATCH_LENGTH")
+
+
+def tile_head(path: str) -> Tile:
+    """A tile without its body: its header, its feature table's JSON, and of the body the global values that the JSON refers to."""
+    with open_binary(path) as f:
+        head = f.read(HEADER.size)
+        if len(head) < HEADER.size or head[:4] != b"pnts":
+            raise ValueError("no point tile")
+        _, version, _, fj, fb, bj, bb = HEADER.unpack(head)
+        if version != 1:
+            raise ValueError(f"point tile of version {version}")
+        if HEADER.size + fj + fb + bj + bb > f.size():
+            raise ValueError("the tile is cut off")
+        tile = Tile(json.loads(f.read(fj) or b"{}"), b"")
+        for name in GLOBALS:
+            if isinstance(v := tile.features.get(name), dict):
+                f.seek(HEADER.size + fj + v["byteOffset"])
+                tile.features[name] = Tile({name: v | {"byteOffset": 0}}, f.read(16)).value(name)
+    return tile
+
+
 class TilePart(InputPartition):
     def __init__(self, path: str, first: int):
         self.path, self.first = path, first
@@ -114,13 +138,16 @@ class PntsReader(DataSourceReader):
         self.absolute = {"absolute": True, "relative": False}[options.get("positionsmode", options.get("positionsMode", "absolute")).lower()]
 
     def point_schema(self) -> PointSchema:
-        return PointSchema(tuple(a for _, a, _, _ in load_tile(self.paths[0]).attributes))
+        return PointSchema(tuple(a for _, a, _, _ in tile_head(self.paths[0]).attributes))
 
     def partitions(self) -> list[TilePart]:
         out, first = [], 0
-        for p in self.paths:
+        tiles = each(tile_head, self.paths)
+        for p, tile in zip(self.paths, tiles, strict=True):
+            if tile.attributes != tiles[0].attributes:
+                raise ValueError(f"{p}: its semantics differ from those of {self.paths[0]}; read tiles of different semantics apart")
             out.append(TilePart(p, first))
-            first += load_tile(p).length
+            first += tile.length
         return out
 
     def read(self, partition: TilePart) -> Iterator[pa.RecordBatch]:
@@ -141,51 +168,65 @@ class PntsReader(DataSourceReader):
 
 
 class TileWritten(WriterCommitMessage):
-    def __init__(self, name: str, n: int, low: list[float], high: list[float]):
-        self.name, self.n, self.low, self.high = name, n, low, high
+    """(name, points, lowest and highest coordinates) of the tiles of a partition."""
+
+    def __init__(self, tiles: list[tuple[str, int, list[float], list[float]]]):
+        self.tiles = tiles
 
 
 class PntsWriter(DataSourceArrowWriter):
-    """One tile for each partition and a tileset.json that lists them with their boxes."""
+    """Tiles of at most pointsPerTile points for each partition, and a tileset.json that lists them with their boxes."""
 
     def __init__(self, options: dict):
         self.path = options["path"].rstrip("/")
         center = options.get("rtccenter", options.get("rtcCenter"))
         self.center = [float(v) for v in center.split(",")] if center else None
+        self.most = int(options.get("pointspertile", options.get("pointsPerTile", POINTS_PER_TILE)))
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> TileWritten:
         from pyspark import TaskContext
 
         parts: dict[str, list[np.ndarray]] = {}
-        n = 0
+        held, tiles = 0, []
+
+        def flush() -> None:
+            nonlocal held
+            if held:
+                name = f"part-{TaskContext.get().partitionId():05d}-{len(tiles):05d}.pnts"
+                columns = {k: np.concatenate(v) for k, v in parts.items()}
+                write_whole(f"{self.path}/{name}", pack_tile(columns, held, self.center))
+                where = columns["POSITION"].astype(float) + (self.center or [0.0, 0.0, 0.0])
+                tiles.append((name, held, where.min(0).tolist(), where.max(0).tolist()))
+            parts.clear()
+            held = 0
+
         for batch in batches:
-            n += batch.num_rows
-            for name, a, _, width in SEMANTICS:
-                if a.name in batch.schema.names:
-                    column = batch.column(a.name)
-                    parts.setdefault(name, []).append(np.stack([column.field(c).to_numpy(zero_copy_only=False) for c in "xyzw"[:width]], 1))
-        name = f"part-{TaskContext.get().partitionId():05d}.pnts"
-        if not n:
-            return TileWritten(name, 0, [], [])
-        columns = {k: np.concatenate(v) for k, v in parts.items()}
-        write_whole(f"{self.path}/{name}", pack_tile(columns, n, self.center))
-        where = columns["POSITION"].astype(float) + (self.center or [0.0, 0.0, 0.0])
-        return TileWritten(name, n, where.min(0).tolist(), where.max(0).tolist())
+            for s in range(0, batch.num_rows, self.most):
+                some = batch.slice(s, min(self.most, batch.num_rows - s))
+                if held and held + some.num_rows > self.most:
+                    flush()
+                held += some.num_rows
+                for name, a, _, width in SEMANTICS:
+                    if a.name in some.schema.names:
+                        column = some.column(a.name).flatten()
+                        parts.setdefault(name, []).append(np.stack([column[c].to_numpy(zero_copy_only=False) for c in range(width)], 1))
+        flush()
+        return TileWritten(tiles)
 
     def commit(self, messages: list[TileWritten | None]) -> None:
         from .tileset import box_volume, tileset
 
-        tiles = sorted((m for m in messages if m and m.n), key=lambda m: m.name)
+        tiles = sorted(t for m in messages if m for t in m.tiles)
         if tiles:
-            low, high = np.min([t.low for t in tiles], 0).tolist(), np.max([t.high for t in tiles], 0).tolist()
-            children = [{"boundingVolume": box_volume(t.low, t.high), "geometricError": 0.0, "content": {"uri": t.name}} for t in tiles]
+            low, high = np.min([t[2] for t in tiles], 0).tolist(), np.max([t[3] for t in tiles], 0).tolist()
+            children = [{"boundingVolume": box_volume(t[2], t[3]), "geometricError": 0.0, "content": {"uri": t[0]}} for t in tiles]
             root = {"boundingVolume": box_volume(low, high), "geometricError": 0.0, "refine": "ADD", "children": children}
             write_whole(f"{self.path}/tileset.json", json.dumps(tileset(root, 0.0)).encode())
 
     def abort(self, messages: list[TileWritten | None]) -> None:
         for m in messages:
-            if m:
-                remove(f"{self.path}/{m.name}")
+            for name, *_ in m.tiles if m else ():
+                remove(f"{self.path}/{name}")
 
 
 class PntsSource(DataSource):
@@ -226,9 +267,8 @@ def write_pnts(points: DataFrame, path: str, rtc_center: tuple[float, float, flo
 
 def pnts_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One row for each tile: its global values; tiles have no bounds of their own."""
-    rows = []
-    for p in list_files(path, (".pnts",)):
-        t = load_tile(p)
+    rows, paths = [], list_files(path, (".pnts",))
+    for p, t in zip(paths, each(tile_head, paths), strict=True):
         one = lambda n, t=t: int(t.value(n)[0]) if n in t.features else None
         many = lambda n, t=t: [float(v) for v in t.value(n)] if n in t.features else None
         rows.append((p, t.length, many("RTC_CENTER"), many("QUANTIZED_VOLUME_OFFSET"), many("QUANTIZED_VOLUME_SCALE"), many("CONSTANT_RGBA"), one("BATCH_LENGTH")))

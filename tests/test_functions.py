@@ -86,3 +86,33 @@ def test_local_positions(spark):
     assert tuple(one(spark, geometry.local_position(p, (0.001, 0.001, 0.001), (0.0, 0.0, 0.0)))[0]) == (1999, -1999, 0)
     with pytest.raises(Exception, match="32 bits"):
         one(spark, geometry.local_position(geometry.vector((1e12, 0.0, 0.0)), (0.001, 1.0, 1.0), (0.0, 0.0, 0.0)))
+
+
+def test_untyped_points(spark):
+    from pyspark.sql import functions as F
+
+    from pointloom.functions.casts import point_cast
+    from pointloom.functions.schema import SCALARS, PointSchema, spark_type
+    from pointloom.functions.untyped import UntypedPoint, cast_value
+    from pointloom.operators.frame import in_memory
+    from decimal import Decimal
+
+    values = {"f64": [-1e30, -300.7, -0.5, 0.0, 1.5, 255.5, 1e10, 1e30, float("inf"), float("nan")], "i64": [-(2**63), -300, -1, 0, 127, 128, 255, 256, 70_000, 2**40 + 5, 2**63 - 1], "u64": [0, 300, 2**63, 2**64 - 1]}
+    for source, numbers in values.items():
+        numbers = [Decimal(v) for v in numbers] if source == "u64" else numbers
+        d = spark.createDataFrame([(i, v) for i, v in enumerate(numbers)], f"i int, v {spark_type(source).simpleString()}")
+        targets = [t for t in SCALARS if t != source]
+        for r in d.select("i", *[point_cast(F.col("v"), source, t).alias(t) for t in targets]).collect():
+            for t in targets:
+                got, expected = cast_value(numbers[r["i"]], source, t), r[t]
+                assert got == expected or (got != got and expected != expected), (source, numbers[r["i"]], t)
+    schema = PointSchema.of("Position3D", "Intensity", "ColorRGB")
+    p = UntypedPoint.of_row(schema, in_memory(spark, schema, [((1.5, -2.5, 3.0), 7, (1, 2, 3))]).first())
+    assert p.get("Position3D", "vec3i32") == (1, -2, 3) and p.get("Intensity", "f64") == 7.0
+    p.set("Intensity", -1, "i32")
+    p.set("ColorRGB", (1.9, 70000.0, -3.0), "vec3f64")
+    assert p.get("Intensity") == 65535 and p.get("ColorRGB") == (1, 65535, 0) and p.get("Intensity", "u8") == 255
+    assert in_memory(spark, schema, [p.row(0)[1:]]).first()["Intensity"] == 65535 and UntypedPoint(schema).get("Position3D") == (0.0, 0.0, 0.0)
+    for bad in (lambda: p.get("GpsTime"), lambda: p.get("Intensity", "vec3f64"), lambda: p.set("Intensity", (1, 2, 3), "vec3u8")):
+        with pytest.raises(ValueError):
+            bad()

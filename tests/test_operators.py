@@ -162,6 +162,68 @@ def test_reprojection(spark):
         back = reproject.reproject(reproject.reproject(p, 4326, code), code, 4326).orderBy(POINT_IDX).collect()
         assert tuple(back[0]["Position3D"]) == pytest.approx((45.0, 9.0, 1.0), abs=1e-6)
     with pytest.raises(ValueError):
-        reproject.transform("EPSG:4326", "EPSG:3309")
+        reproject.transform("EPSG:4326", "EPSG:3035")
     moved = reproject.reproject(p, "a", "b", by=lambda x, y, z: (y, x, z)).orderBy(POINT_IDX).first()
     assert tuple(moved["Position3D"]) == (9.0, 45.0, 1.0)
+
+
+def test_reprojection_to_california_albers(spark):
+    p = points(spark, [(1, 22, 0), (12, 23, 0), (10, 8, 2), (10, 0, 1)])
+    got = reproject.reproject(p, "EPSG:4326", "EPSG:3309").orderBy(POINT_IDX).collect()
+    # What the same points have in other implementations.
+    expected = [(12185139.590523569, 7420953.944297638, 0.0), (11104667.534080556, 7617693.973680517, 0.0), (11055663.927418157, 5832081.512011217, 2.0), (10807262.110686881, 4909128.916889962, 1.0)]
+    for r, e in zip(got, expected, strict=True):
+        assert tuple(r["Position3D"]) == pytest.approx(e, abs=1e-4)
+
+
+@pytest.mark.parametrize(("code", "lat", "lon", "east", "north"), [(5070, 23.0, -96.0, 0.0, 0.0), (2154, 46.5, 3.0, 700_000.0, 6_600_000.0), (3034, 52.0, 10.0, 4_000_000.0, 2_800_000.0), (2193, 0.0, 173.0, 1_600_000.0, 10_000_000.0)])
+def test_projected_systems(spark, code, lat, lon, east, north):
+    p = points(spark, [(lat, lon, 5.0), (lat + 2, lon + 1.5, 1.0), (lat - 1, lon - 2, 0.0)])
+    there = reproject.reproject(p, 4326, code).orderBy(POINT_IDX)
+    assert tuple(there.first()["Position3D"]) == pytest.approx((east, north, 5.0), abs=1e-3)
+    for r, e in zip(reproject.reproject(there, code, 4326).orderBy(POINT_IDX).collect(), p.orderBy(POINT_IDX).collect(), strict=True):
+        assert tuple(r["Position3D"]) == pytest.approx(tuple(e["Position3D"]), abs=1e-7)
+
+
+@pytest.mark.parametrize("code", [3309, 3310, 3577])
+def test_projected_systems_and_back(spark, code):
+    at = (-25.0, 133.0) if code == 3577 else (37.0, -121.0)
+    p = points(spark, [(at[0] + i / 3, at[1] - i / 2, float(i)) for i in range(5)])
+    for r, e in zip(reproject.reproject(reproject.reproject(p, 4326, code), code, 4326).orderBy(POINT_IDX).collect(), p.orderBy(POINT_IDX).collect(), strict=True):
+        assert tuple(r["Position3D"]) == pytest.approx(tuple(e["Position3D"]), abs=1e-7)
+
+
+def test_ransac_of_filtered_points(spark):
+    rows = [(0, 0, p * p) if p % 5 == 0 else (p, p * p, 1) for p in range(2, 2002)]
+    p = points(spark, rows).where(F.col(POINT_IDX) % 3 == 0)
+    best, near = ransac.ransac_plane(p, 0.1, 60)
+    assert best["ranking"] == near.count() == sum(i % 3 == 0 and (i + 2) % 5 != 0 for i in range(2000))
+    assert ransac.ransac_line(p, 0.1, 120)[0]["ranking"] == sum(i % 3 == 0 and (i + 2) % 5 == 0 for i in range(2000))
+    few = points(spark, [(0, 0, 0), (1, 0, 0), (0, 1, 0)]).where(F.col(POINT_IDX) >= 0)
+    assert {r["ranking"] for r in ransac.ransac_planes(few, 0.1, 200).collect()} == {3}
+
+
+def test_knn_of_copies_and_outliers(spark):
+    rng = np.random.default_rng(8)
+    dense = np.concatenate([np.repeat([[2.0, 2.0, 2.0]], 300, 0), rng.normal(size=(60, 3)) * 1e-6, [[1e6, 0, 0], [0.0, -0.0, 0.0], [-0.0, 0.0, 0.0]]])
+    found = joins.knn(points(spark, dense), 4).collect()
+    d = ((dense[:, None] - dense[None]) ** 2).sum(-1)
+    expected = {(i, k + 1): j for i, row in enumerate(d) for k, j in enumerate(np.lexsort((np.arange(len(row)), row))[:4].tolist())}
+    assert {(r[POINT_IDX], r["rank"]): r["neighbour"] for r in found} == expected
+
+
+def test_hull_keeps_the_scan_parallel(spark):
+    rng = np.random.default_rng(9)
+    p = rng.normal(size=(3000, 3))
+    one = {r[POINT_IDX] for r in hull.hull_vertices(points(spark, p).coalesce(1)).collect()}
+    assert {r[POINT_IDX] for r in hull.hull_vertices(points(spark, p).repartition(40)).collect()} == one
+
+
+def test_points_written_over_others(spark):
+    p = points(spark, [(i, 0, 0) for i in range(5)])
+    xs = lambda d: [r["Position3D"]["x"] for r in d.orderBy(POINT_IDX).collect()]
+    assert xs(frame.write_at(p, points(spark, [(9, 0, 0), (8, 0, 0)]), 1)) == [0, 9, 8, 3, 4]
+    assert xs(frame.write_at(p, points(spark, [(9, 0, 0), (8, 0, 0)]), 4)) == [0, 1, 2, 3, 9, 8]
+    assert [r["Position3D"]["x"] for r in frame.attribute_range(p, "Position3D", 1, 3, "vec3i32").orderBy(POINT_IDX).collect()] == [1, 2]
+    with pytest.raises(ValueError):
+        frame.write_at(p, p, -1)

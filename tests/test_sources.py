@@ -12,7 +12,7 @@ from pointloom.sources import ascii as text_points
 from pointloom.sources import las_format as fmt
 from pointloom.sources.dispatch import read_points, read_points_into, write_points
 from pointloom.sources.las import las_bytes, las_metadata, read_las, write_las
-from pointloom.sources.pnts import pack_tile, pnts_metadata, read_pnts, read_tile, write_pnts
+from pointloom.sources.pnts import PntsSource, pack_tile, pnts_metadata, read_pnts, read_tile, write_pnts
 from pointloom.sources.tileset import box_volume, check_tile, read_tileset, sphere_volume, tileset
 
 SIZES = [20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67]
@@ -110,6 +110,78 @@ def test_las_pruning_and_errors(spark, tmp_path):
         write_points(both, str(tmp_path / "o"), kind="laz")
 
 
+def test_las_filters_are_pushed(spark, tmp_path):
+    for k, name in enumerate("abc"):
+        raw = ten_points(1)
+        raw["x"] += k * 100_000
+        h = fmt.Header((1, 4), 1, raw.dtype.itemsize, 10, 0, (0.001,) * 3, (0.0,) * 3, (k * 100.0, 0.0, 0.0, k * 100 + 9.0, 9.0, 9.0), [2, 1, 1, 1, 1], [])
+        (tmp_path / f"{name}.las").write_bytes(las_bytes(h, raw))
+    p = read_las(spark, str(tmp_path), pointsPerPartition=4)
+    parts = lambda d: d.rdd.getNumPartitions()
+    assert parts(p) == 9
+    idx, x = F.col(POINT_IDX), F.col("Position3D.x")
+    for keep, count, most in (
+        (idx >= 25, 5, 2), (idx < 3, 3, 1), (idx == 17, 1, 1), ((idx >= 8) & (idx < 12), 4, 2), (idx.isin(4, 29), 2, 9), (x > 150, 10, 3), (x <= 9, 10, 3),
+        ((x >= 100) & (x < 105), 5, 3), (F.col("Position3D.y") > 50, 0, 1), (idx == 99, 0, 1),
+    ):
+        some = p.where(keep)
+        assert some.count() == count == read_las(spark, str(tmp_path), pushdown=False).where(keep).count() and parts(some) <= most
+    seeked = BY_INDEX(frame.seek(p, 28))
+    assert [r[POINT_IDX] for r in seeked] == [28, 29] and seeked[0]["Position3D"]["x"] == pytest.approx(208)
+    exact = read_las(spark, str(tmp_path), exact=True).where(F.col("LASLocalPosition.x") > 150_000)
+    assert exact.count() == 10
+
+
+def test_folders_of_different_layouts_raise(spark, tmp_path):
+    las_file(tmp_path / "a.las", 0)
+    las_file(tmp_path / "b.las", 3)
+    with pytest.raises(Exception, match="b.las: its attributes differ"):
+        read_las(spark, str(tmp_path)).count()
+    at = np.zeros((1, 3), np.float32)
+    (tmp_path / "a.pnts").write_bytes(pack_tile({"POSITION": at}, 1))
+    (tmp_path / "b.pnts").write_bytes(pack_tile({"POSITION": at, "NORMAL": at}, 1))
+    with pytest.raises(Exception, match="b.pnts: its semantics differ"):
+        read_pnts(spark, str(tmp_path)).count()
+
+
+def test_reading_into_a_layout(spark, tmp_path):
+    path = las_file(tmp_path / "a.las", 0)
+    layout = PointSchema((Attribute("Intensity", "u8"), Attribute("GpsTime", "f64"), Attribute("Position3D", "vec3f32")))
+    got = read_points(spark, path, layout)
+    assert got.columns == [POINT_IDX, "Intensity", "GpsTime", "Position3D"]
+    assert [(r["Intensity"], r["GpsTime"]) for r in BY_INDEX(got)] == [(i * 255 % 256, 0.0) for i in range(10)]
+    over = read_points_into(got.where(F.col(POINT_IDX) < 6), path, at=3)
+    assert [r["Position3D"]["x"] for r in BY_INDEX(over)] == [0, 1, 2, *range(10)]
+
+
+def test_tiles_are_planned_from_their_heads(spark, tmp_path, monkeypatch):
+    from pointloom.sources import pnts
+
+    at = np.arange(30, dtype=np.float32).reshape(10, 3)
+    whole = pack_tile({"POSITION": at}, 10, [1.0, 2.0, 3.0])
+    (tmp_path / "a.pnts").write_bytes(whole)
+    body = np.array([7, 0], np.uint32).tobytes() + at[:7].tobytes()
+    head = json.dumps({"POINTS_LENGTH": {"byteOffset": 0}, "POSITION": {"byteOffset": 8}}).encode().ljust(100)
+    (tmp_path / "b.pnts").write_bytes(pnts.HEADER.pack(b"pnts", 1, 28 + 100 + len(body), 100, len(body), 0, 0) + head + body)
+    monkeypatch.setattr(pnts, "load_tile", None)
+    parts = pnts.PntsReader({"path": str(tmp_path)}).partitions()
+    assert [(p.path[-6:], p.first) for p in parts] == [("a.pnts", 0), ("b.pnts", 10)] and pnts.tile_head(str(tmp_path / "b.pnts")).length == 7
+    monkeypatch.undo()
+    assert read_pnts(spark, str(tmp_path)).count() == 17
+    (tmp_path / "c.pnts").write_bytes(whole[:-9])
+    with pytest.raises(ValueError, match="cut off"):
+        pnts.tile_head(str(tmp_path / "c.pnts"))
+
+
+def test_tiles_of_bounded_size(spark, tmp_path):
+    p = frame.in_memory(spark, PointSchema.of("Position3D", "ColorRGB"), [((float(i), 0.0, 0.0), (i, i, 255)) for i in range(25)]).coalesce(1)
+    p.sparkSession.dataSource.register(PntsSource)
+    rows = p.select(F.struct(*[F.col("Position3D")[a].cast("float").alias(a) for a in "xyz"]).alias("Position3D"), F.struct(*[F.col("ColorRGB")[a].cast("short").alias(a) for a in "xyz"]).alias("ColorRGB"))
+    rows.write.format("points_pnts").mode("append").option("pointsPerTile", 10).save(str(tmp_path / "o"))
+    assert sorted(m["points_length"] for m in pnts_metadata(spark, str(tmp_path / "o")).collect()) == [5, 10, 10]
+    assert [r["Position3D"]["x"] for r in BY_INDEX(read_pnts(spark, str(tmp_path / "o")))] == list(range(25))
+
+
 def test_las_writes_what_it_can(spark, tmp_path):
     schema = PointSchema((Attribute("Classification", "u16"), Attribute("Intensity", "i64"), Attribute("ColorRGB", "vec3f64"), Attribute("GpsTime", "f32"), Attribute("Normal", "vec3f32"), Attribute("Position3D", "vec3f32")))
     p = frame.in_memory(spark, schema, [(300, -1, (1.5, 2.5, 70000.0), 2.0, (0.0, 0.0, 1.0), (1.0, 2.0, 3.0))])
@@ -168,17 +240,19 @@ def test_ascii_all_fields(spark, tmp_path):
     assert frame.equal_points(points, back).first()[0]
 
 
-@pytest.mark.parametrize(("line", "letters"), [("67.3", "i"), ("2", "e"), ("2.0.0", "x"), ("1", "xi"), ("300", "r"), (" 1", "i")])
+@pytest.mark.parametrize(("line", "letters"), [("67.3", "i"), ("2", "e"), ("2.0.0", "x"), ("1", "xi"), ("300", "r"), ("-5", "r"), ("65536", "i"), ("-1", "R"), ("128", "a"), ("-129", "a"), ("99999999999", "u"), (" 1", "i")])
 def test_ascii_errors(spark, tmp_path, line, letters):
     (tmp_path / "a.txt").write_text(line + "\n")
-    if line == "300":
-        # u8 columns are 16 bits wide in Spark: 300 is a number, but no u8; it is kept as read.
-        assert text_points.read_ascii(spark, str(tmp_path / "a.txt"), letters).count() == 1
-        return
     with pytest.raises(Exception, match="line 1"):
         text_points.read_ascii(spark, str(tmp_path / "a.txt"), letters).collect()
 
 
+@pytest.mark.parametrize(("line", "letters"), [("255", "r"), ("0", "u"), ("65535", "i"), ("-128", "a"), ("127", "a"), ("+7", "I")])
+def test_ascii_limits(spark, tmp_path, line, letters):
+    (tmp_path / "a.txt").write_text(line + "\n")
+    assert int(text_points.read_ascii(spark, str(tmp_path / "a.txt"), letters).first()[1]) == int(line)
+
+
 def test_ascii_lines(spark, tmp_path):
     p = frame.in_memory(spark, PointSchema.of("Position3D", "Intensity"), [((1.5, 100.0, 0.123456789), 7)])
     assert text_points.ascii_lines(p, "xyzis").first()["value"] == "1.5, 100.0, 0.12346, 7, "
