@@ -1,9 +1,11 @@
 r"""Secret scans by one combined deterministic automaton.
 
 The rules' regular expressions over bytes become position automata; subset construction over all of them at once, with every byte
-as a possible start, and Moore minimisation give one table of transitions, so all rules are scanned in a single byte pass. A text
-in which the pass ends a match of a rule is resolved for that rule: a backward pass of the reversed automaton marks where matches
-can start, and from the leftmost start the anchored automaton takes the longest match; the next starts where it ended.
+as a possible start, and Moore minimisation give one table of transitions, so all rules are scanned in a single byte pass: the texts of
+a batch are cut at bytes that no rule has (no match holds one), and all pieces step through the table together, as arrays, longest
+first. The pass tells in which pieces which rules match. Those few pieces are resolved rule by rule: a backward pass of the rule's
+reversed automaton marks where matches can start, and from the leftmost start its anchored automaton takes the longest match; the next
+starts where it ended.
 
 Base kinds (assign, access, hex) follow the contract's patterns; the other rules only add spans. Syntax of rules: literals, classes,
 groups, (?i:...), alternatives and * + ? {m,n}; bytes, ASCII only.
@@ -23,6 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Pieces from which on they step together; fewer go one by one, which costs less than a step of arrays for each byte.
+LANES = 48
+
+
 @dataclass(frozen=True)
 class Rule:
     """A match is `head` then `value` (which may be empty); it counts from so many bytes of the value, or of the whole."""
@@ -249,6 +255,16 @@ def reverse_links(follow: list[int]) -> list[int]:
     return out
 
 
+def shortest_match(machine: Automaton) -> int:
+    """Bytes of the shortest match of any rule: steps from the start to a state that accepts."""
+    seen, front, steps = {0}, {0}, 0
+    while front and not any(machine.accepts[s] for s in front):
+        front = {n for s in front for n in machine.moves[s]} - seen
+        seen |= front
+        steps += 1
+    return steps
+
+
 class Scanner:
     """All rules' automata: one for the pass over all, and for each rule the two that find its spans."""
 
@@ -259,6 +275,10 @@ class Scanner:
         if any(e for e, _, _ in parts):
             raise ValueError("a rule matches the empty string")
         self.all = automaton(p.sets, p.follow, join(f for _, f, _ in parts), [z for _, _, z in parts], anchored=False)
+        self.table, self.ending = np.array(self.all.moves, np.int32), np.array(self.all.accepts, np.int64)
+        known = join(p.sets)
+        self.apart = np.array([not known >> b & 1 for b in range(256)])
+        self.shortest = shortest_match(self.all)
         self.forward, self.backward, self.head = [], [], []
         for r in rules:
             p = Positions()
@@ -269,16 +289,28 @@ class Scanner:
             _, first, last = p.add(r.head)
             self.head.append(automaton(p.sets, p.follow, first, [last], anchored=True))
 
-    def ends(self, data: bytes) -> dict[int, int]:
-        """For each rule that matches, where its last match ends: one pass over the bytes."""
-        moves, accepts, state = self.all.moves, self.all.accepts, 0
-        found: dict[int, int] = {}
-        for i, b in enumerate(data):
-            state = moves[state][b]
-            if accepts[state]:
-                for k in ones(accepts[state]):
-                    found[k] = i + 1
-        return found
+    def hits(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Bits of the rules that match in each piece of the data: one pass over its bytes, all pieces of a length together."""
+        order = np.argsort(-size, kind="stable")
+        at, size = start[order], size[order]
+        state, found = np.zeros(len(at), np.int32), np.zeros(len(at), np.int64)
+        live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1 if len(size) else 1), side="right").tolist()
+        step = 0
+        while step < len(live) and live[step] >= LANES:
+            n = live[step]
+            state[:n] = now = self.table[state[:n], data[at[:n] + step]]
+            found[:n] |= self.ending[now]
+            step += 1
+        moves, accepts = self.all.moves, self.all.accepts
+        for k in range(live[step] if step < len(live) else 0):  # few long pieces: each by itself
+            now, bits = int(state[k]), int(found[k])
+            for b in data[at[k] + step : at[k] + size[k]].tolist():
+                now = moves[now][b]
+                bits |= accepts[now]
+            found[k] = bits
+        out = np.empty_like(found)
+        out[order] = found
+        return out
 
     @staticmethod
     def longest(machine: Automaton, data: bytes, start: int) -> int:
@@ -291,34 +323,53 @@ class Scanner:
                 end = i + 1
         return end
 
-    def spans(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(start, rule, end) in bytes: leftmost, longest, not overlapping for each rule; in order of start, then rule."""
+    def resolved(self, data: bytes, k: int) -> list[tuple[int, int]]:
+        """(start, end) of a rule's matches: leftmost, longest, not overlapping."""
+        moves, accepts, state = self.backward[k].moves, self.backward[k].accepts, 0
+        starts = []
+        for i in range(len(data) - 1, -1, -1):
+            state = moves[state][data[i]]
+            if accepts[state]:
+                starts.append(i)
         out = []
-        for k, last in self.ends(data).items():
-            moves, accepts, state = self.backward[k].moves, self.backward[k].accepts, 0
-            starts = []
-            for i in range(last - 1, -1, -1):
-                state = moves[state][data[i]]
-                if accepts[state]:
-                    starts.append(i)
-            rule, done = self.rules[k], 0
-            for start in reversed(starts):
-                if start < done:
-                    continue
-                done = self.longest(self.forward[k], data, start)
-                value = done - self.longest(self.head[k], data, start) if rule.value else 0
-                if value >= rule.least_value and done - start >= rule.least:
-                    out.append((start, k, done))
-        return sorted(out)
-
-    def text_spans(self, text: str | None) -> list[tuple[str, int, int]]:
-        """(kind, start, end) in code points."""
-        data = (text or "").encode()
-        found = self.spans(data)
-        if found and len(data) != len(text):
-            before = np.cumsum(np.append(0, (np.frombuffer(data, np.uint8) & 0xC0) != 0x80))
-            found = [(int(before[s]), k, int(before[e])) for s, k, e in found]
-        return [(self.rules[k].kind, s, e) for s, k, e in found]
+        rule, done = self.rules[k], 0
+        for start in reversed(starts):
+            if start < done:
+                continue
+            done = self.longest(self.forward[k], data, start)
+            value = done - self.longest(self.head[k], data, start) if rule.value else 0
+            if value >= rule.least_value and done - start >= rule.least:
+                out.append((start, done))
+        return out
+
+    def spans(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """For each text (start, rule, end) in bytes, in order of start, then rule."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        edge = np.unique(np.concatenate([ends, np.flatnonzero(self.apart[data]), np.flatnonzero(self.apart[data]) + 1, [0]])).astype(np.int64)
+        start, size = edge[:-1], np.diff(edge)
+        long = size >= self.shortest
+        start, size = start[long], size[long]
+        bits = self.hits(data, start, size)
+        for p in np.flatnonzero(bits).tolist():
+            s = int(start[p])
+            text = int(np.searchsorted(ends, s, side="right"))
+            begin = int(ends[text]) - len(texts[text])
+            piece = data[s : s + int(size[p])].tobytes()
+            out[text] += [(s - begin + i, k, s - begin + j) for k in ones(int(bits[p])) for i, j in self.resolved(piece, k)]
+        return [sorted(x) for x in out]
+
+    def text_spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
+        """For each text (kind, start, end) in code points."""
+        data = [(t or "").encode() for t in texts]
+        out = []
+        for text, raw, found in zip(texts, data, self.spans(data), strict=True):
+            if found and len(raw) != len(text):
+                before = np.cumsum(np.append(0, (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+                found = [(int(before[s]), k, int(before[e])) for s, k, e in found]
+            out.append([(self.rules[k].kind, s, e) for s, k, e in found])
+        return out
 
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -340,8 +391,8 @@ def find_secrets(text: Column) -> Column:
 
     @F.pandas_udf(SPANS)
     def run(texts: pd.Series) -> pd.Series:
-        scan = scanner().text_spans
-        return pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in texts])
+        found = scanner().text_spans(texts.tolist())
+        return pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in spans] for spans in found])
 
     return run(text)
 

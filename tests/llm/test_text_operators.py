@@ -280,10 +280,22 @@ def base_spans(text):
 @given(st.lists(st.sampled_from(["password", "Token", "sEcret", "api_key", "APIKEY", ":", "=", " ", '"', "'", "abc", "abcdef012345", "AKIA", "AKIAABCDEFGH", "é", "\n", ".", "ſ", "K"]), max_size=14))
 def test_secret_spans_match_brute_force(parts):
     text = "".join(parts)
-    got = [s for s in secret_scan.scanner().text_spans(text) if s[0] in secret_scan.BASE_KINDS]
+    got = [s for s in secret_scan.scanner().text_spans([text])[0] if s[0] in secret_scan.BASE_KINDS]
     assert got == base_spans(text)
 
 
+@pytest.mark.parametrize("lanes", [1, 3, 10**9])
+def test_secret_spans_of_batches(monkeypatch, lanes):
+    """Together or one by one, pieces give the spans of each text by itself."""
+    monkeypatch.setattr(secret_scan, "LANES", lanes)
+    rng = random.Random(51)
+    parts = ["password", "secret", "api_key", "=", ": ", '"', "a1b2c3d4e5f6" * 3, "AKIA" + "Q" * 18, "ghp_" + "x" * 36, "é", ",", "\n", " ", "word", "0123456789abcdef"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(30))) for _ in range(200)] + [None, "", "f" * 5000, "password=" + "x" * 3000]
+    got = secret_scan.scanner().text_spans(texts)
+    for text, spans in zip(texts, got, strict=True):
+        assert [s for s in spans if s[0] in secret_scan.BASE_KINDS] == base_spans(text or "") and spans == secret_scan.scanner().text_spans([text])[0]
+
+
 def test_secret_query(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     rows = queries.op7_secret_scan(spark, sf_dir).collect()
@@ -314,4 +326,4 @@ def test_automaton_equals_re():
                 if ends:
                     expected.append((at, ends[0]))
                 at = ends[0] if ends else at + 1
-            assert [(s, e) for kind, s, e in scan.text_spans(text) if kind == str(k)] == expected
+            assert [(s, e) for kind, s, e in scan.text_spans([text])[0] if kind == str(k)] == expected
