@@ -6,7 +6,8 @@ lines therefore vote together. A document's score is the mean of its lines' forw
 length. Only text is an input of the score.
 
 Training reads a bounded sample of labelled rows: at most TRAIN_DOCS documents, the first by hash of the id among those with
-crc32(id as text) mod 4 other than 2, and of them those with at most TRAIN_LINES lines. Scoring covers all rows and whole texts.
+crc32(id as text) mod 4 other than 2, one row of each (the text of smallest hash, where an id has several), and of them those with at
+most TRAIN_LINES lines; both bounds are parameters of fit. Scoring covers all rows and whole texts.
 
 Defined results: a null or empty text is one empty line and gets a score; without labels of both classes every score is the share
 of good ones in the sample (0.5 without any); repeated labels of a document count as bad if one of them is; rows with a null id are
@@ -172,8 +173,13 @@ def remainder(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Chain | float:
-    """A chain trained on a bounded sample of the labelled rows, or a constant score where both classes aren't there."""
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_lines: int = TRAIN_LINES
+) -> Chain | float:
+    """A chain trained on a bounded sample of the labelled rows, or a constant score where both classes aren't there.
+
+    max_docs * max_lines lines at most reach the driver, as numbers.
+    """
     chosen = (
         labels.where((remainder(F.col(id_col)) != 2) & F.col("quality").isNotNull())
         .groupBy(F.col(id_col).alias("id"))
@@ -189,11 +195,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     @F.pandas_udf(T.BinaryType())
     def measure(texts: pd.Series) -> pd.Series:
-        short = [(t or "").count("\n") < TRAIN_LINES for t in texts]
+        short = [(t or "").count("\n") < max_lines for t in texts]
         return pd.Series([line_measures([t])[0].tobytes() if s else None for t, s in zip(texts, short, strict=True)])
 
-    # The sample has max_docs rows at most, so it is safe to broadcast, and what comes back is bounded by TRAIN_LINES.
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    # The sample has max_docs rows at most, so it is safe to broadcast.
+    several = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
+    found = several.groupBy("id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sorted(map(tuple, found.select("id", "quality", measure("text").alias("m")).where("m IS NOT NULL").collect()))
     labels_of = np.array([q for _, q, _ in rows])
     if len(set(labels_of.tolist())) < 2:

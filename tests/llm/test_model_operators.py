@@ -93,6 +93,15 @@ def test_classifier_edge_cases(spark):
     assert got[0] == got[1] and all(0 <= g <= 1 for g in got)
 
 
+def test_classifier_trains_on_one_row_of_an_id(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    once = quality_crf.fit(docs, labels)
+    copied = docs.unionByName(docs.join(labels.select("doc_id"), "doc_id", "left_semi").select(docs.columns))
+    again = quality_crf.fit(copied, labels)
+    assert (once.weights == again.weights).all() and (once.moves == again.moves).all()
+    assert quality_crf.fit(docs, labels, max_lines=0) == 0.5 and isinstance(quality_crf.fit(docs, labels, max_docs=20), (quality_crf.Chain, float))
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(4)
     emit, moves, sizes = rng.lognormal(size=9), rng.normal(size=(2, 2)), np.array([4, 1, 3, 1])
