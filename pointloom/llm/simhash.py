@@ -1,7 +1,7 @@
 """Near-dedup: fingerprints or shingle sets, exact tiled comparison, connected components.
 
-SimHash fingerprints are compared once each, however many documents share one, and only inside blocks: radius + 1 bands of the
-fingerprint. Two fingerprints within the radius agree on one band at least, so every link is found.
+SimHash fingerprints are compared once each, however many documents share one, and only inside blocks: pairs of radius + 2 bands of the
+fingerprint. Two fingerprints within the radius agree on a pair at least, so every link is found.
 
 For a similarity of word shingles a node is a set of distinct shingles (as 64-bit hashes), however many documents have it, and two nodes
 link if the exact Jaccard similarity of their sets is the given one or more. Blocks are MINIMA minima of the shingle hashes, which come
@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
@@ -266,9 +266,16 @@ def set_links(sets: list[np.ndarray], side: np.ndarray, similarity: Fraction) ->
 
 
 def bands(fp: Column, radius: int) -> Column:
-    """radius + 1 disjoint bands of the 64 bits; fingerprints within the radius agree on one at least."""
-    edges = [round(64 * k / (radius + 1)) for k in range(radius + 2)]
-    return F.array(*[F.shiftrightunsigned(F.shiftleft(fp, 64 - hi), 64 - (hi - lo)) for lo, hi in zip(edges, edges[1:], strict=False)])
+    """The keys of a fingerprint: it has radius + 2 bands of bits, and each pair of them is a key.
+
+    Fingerprints within the radius differ in as many bands at most, so they agree on a pair. For two bits that is six keys of 32 bits,
+    by which unlike fingerprints rarely meet, however many there are.
+    """
+    n = radius + 2
+    edges = [round(64 * k / n) for k in range(n + 1)]
+    masks = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    return F.array(*[fp.bitwiseAND(F.lit(signed(x | y))) for x, y in combinations(masks, 2)])
 
 
 def deal(rows: DataFrame, small: Column, parts: Column, levels: Column) -> DataFrame:
