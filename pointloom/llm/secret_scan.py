@@ -346,8 +346,13 @@ class Scanner:
         """For each text (start, rule, end) in bytes, in order of start, then rule."""
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(t) for t in texts])
-        edge = np.unique(np.concatenate([ends, np.flatnonzero(self.apart[data]), np.flatnonzero(self.apart[data]) + 1, [0]])).astype(np.int64)
+        ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+        apart = self.apart[data]
+        edges = np.zeros(len(data) + 1, bool)
+        edges[0] = edges[ends] = True
+        edges[:-1] |= apart
+        edges[1:] |= apart
+        edge = np.flatnonzero(edges)
         start, size = edge[:-1], np.diff(edge)
         long = size >= self.shortest
         start, size = start[long], size[long]
