@@ -5,7 +5,8 @@ and words can be merged apart (checked when the model is read). All new words of
 each round every word finds its smallest pair rank by a segmented minimum, all words merge the leftmost pair of that rank at once,
 and the arrays are compacted; a word ends when none of its pairs is a piece. Where no merge of the round can make a pair of the
 same or a smaller rank, all its pairs of that rank merge at once, left to right, which gives the same result as one at a time.
-Words keep their ids for later batches, in a store of bounded size.
+Words keep their ids for later batches, in a store of bounded size. A word of more than SERIAL symbols whose pairs can only merge one
+at a time would take a round of arrays for each: it leaves the rounds, and a heap of (rank, place) ends it with the same result.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to an empty text; texts of any length are encoded in
 pieces cut between words.
