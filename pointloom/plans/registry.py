@@ -679,6 +679,37 @@ def windowed_bounds(spark, sf_dir):
     return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_points", "min_x", "max_x", "min_z", "max_z")
 
 
+def streamed(points: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The complete result of a streaming aggregate, once all files of the points have arrived."""
+    spark = points.sparkSession
+    arrived, done, state = (scratch(spark, f"stream-{n}") for n in ("in", "out", "state"))
+    points.write.parquet(arrived)
+    stream = apply(running.arriving_points(spark, arrived, points.schema, 4))
+    write = stream.writeStream.outputMode("complete").option("checkpointLocation", state).trigger(availableNow=True)
+    write.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(done)).start().awaitTermination()
+    return spark.read.parquet(done)
+
+
+@query(f"""WITH {EV} SELECT strftime(to_timestamp(floor(gps / 86400) * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS n_points, min(x) AS min_x, max(z) AS max_z FROM ev GROUP BY 1""")
+def streamed_bounds(spark, sf_dir):
+    w = streamed(event_points(spark, sf_dir), running.running_bounds)
+    return w.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "n_points", "min_x", "max_z")
+
+
+@query(f"""WITH {EV} SELECT strftime(to_timestamp(floor(gps / 86400) * 86400) AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, CAST(floor(x / 50) AS BIGINT) AS ix, CAST(floor(z / 50) AS BIGINT) AS iz, CAST(count(*) AS BIGINT) AS n_points FROM ev GROUP BY 1, 2, 3""")
+def streamed_cells(spark, sf_dir):
+    w = streamed(event_points(spark, sf_dir), lambda p: running.running_voxel_counts(p, (0.0, 0.0, 0.0), 50.0))
+    return w.groupBy(F.date_format("start", "yyyy-MM-dd").alias("day"), "ix", "iz").agg(F.sum("n_points").alias("n_points"))
+
+
+@query(f"""WITH {EV}, o AS (SELECT cls, gps, x, CASE WHEN gps - lag(gps) OVER (PARTITION BY cls ORDER BY gps) < 3600 THEN 0 ELSE 1 END AS fresh FROM ev),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY cls ORDER BY gps ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT CAST(cls AS INTEGER) AS classification, CAST(min(gps) AS BIGINT) AS first, CAST(max(gps) + 3600 AS BIGINT) AS until, count(*) AS n_points, max(x) AS max_x FROM s GROUP BY cls, s""")
+def streamed_sessions(spark, sf_dir):
+    w = streamed(event_points(spark, sf_dir), lambda p: running.sessions(p, "Classification", "1 hour"))
+    return w.select(F.col("Classification").cast("int").alias("classification"), F.unix_timestamp("start").alias("first"), F.unix_timestamp("end").alias("until"), "n_points", "max_x")
+
+
 @query(f"WITH {EV} SELECT CAST(cls AS INTEGER) AS classification, CAST(y AS INTEGER) AS day, count(*) AS n_points FROM ev GROUP BY ROLLUP (cls, y)")
 def classification_rollup(spark, sf_dir):
     p = event_points(spark, sf_dir).select(F.col("Classification").cast("int").alias("classification"), F.col("Position3D.y").cast("int").alias("day"))

@@ -21,3 +21,23 @@ def test_cells_and_sessions(spark, sf_dir):
     points = event_points(spark, sf_dir)
     assert running.running_voxel_counts(points, (0.0, 0.0, 0.0), 50.0).agg(F.sum("n_points")).first()[0] == points.count()
     assert running.sessions(points, "Classification", "1 hour").agg(F.sum("n_points")).first()[0] == points.count()
+
+
+def test_late_points_are_dropped(spark, tmp_path):
+    """What arrives after the watermark has passed its window changes nothing; what is late within the lateness counts."""
+    from pointloom.functions.schema import PointSchema
+    from pointloom.operators.frame import in_memory
+
+    schema = PointSchema.of("Position3D", "GpsTime")
+    day = 86_400.0
+    arrivals = [[(1.0, 0.0), (2.0, 1.0)], [(3.0, 5 * day)], [(9.0, 10.0), (4.0, 4.5 * day)], [(5.0, 9 * day)], [(6.0, 20 * day)]]
+    (tmp_path / "in").mkdir()
+    stream = running.arriving_points(spark, str(tmp_path / "in"), schema.struct_type(), 1)
+    q = running.running_bounds(stream, "1 day", lateness="2 days").writeStream.outputMode("append").format("memory").queryName("late_bounds").start()
+    for points in arrivals:
+        in_memory(spark, schema, [((x, 0.0, 0.0), t) for x, t in points]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q.processAllAvailable()
+    q.processAllAvailable()
+    q.stop()
+    got = {r["start"].day: (r["n_points"], r["max_x"]) for r in spark.table("late_bounds").collect()}
+    assert got[1] == (2, 2.0) and got[5] == (1, 4.0) and got[6] == (1, 3.0)
