@@ -35,9 +35,8 @@ def words_of(text: Column) -> Column:
 
 def trigram_hashes(words: Column) -> Column:
     n = F.size(words)
-    pairs = F.zip_with(F.slice(words, 1, n - 2), F.slice(words, 2, n - 2), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    grams = F.zip_with(pairs, F.slice(words, 3, n - 2), lambda p, c: F.xxhash64(p["a"], p["b"], c))
-    return F.when(n >= 3, grams).otherwise(F.array().cast("array<bigint>"))
+    grams = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(n >= 3, F.slice(grams, 1, n - 2)).otherwise(F.array().cast("array<bigint>"))
 
 
 def equal_neighbours(placed: Column) -> Column:
@@ -48,7 +47,7 @@ def equal_neighbours(placed: Column) -> Column:
         F.concat(none, F.slice(placed, 1, n - 1)), F.concat(F.slice(placed, 2, n - 1), none), lambda p, q: F.struct(p["h"].alias("p"), q["h"].alias("q"))
     )
     marked = F.zip_with(placed, around, lambda x, o: F.when((x["h"] == o["p"]) | (x["h"] == o["q"]), x["i"]))
-    return F.array_sort(F.filter(marked, lambda i: i.isNotNull()))
+    return F.sort_array(F.filter(marked, lambda i: i.isNotNull()))
 
 
 def covered_words(starts: Column) -> Column:
@@ -74,7 +73,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, group_cols: list[str])
         F.size("lines").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(
-            F.size(F.array_distinct("grams")) < F.size("grams"), F.array_sort(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+            F.size(F.array_distinct("grams")) < F.size("grams"), F.sort_array(F.transform("grams", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         ).alias("placed"),
     )
     counted = hashed.withColumn("starts", equal_neighbours(F.col("placed"))).withColumn(
