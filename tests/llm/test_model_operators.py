@@ -15,9 +15,12 @@ from pointloom.llm import decontam, piece_codec, quality_crf, queries
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
+LIBRARY = sentencepiece.SentencePieceProcessor(model_file=PATH)
+
+
 @pytest.fixture(scope="module")
 def library():
-    return sentencepiece.SentencePieceProcessor(model_file=PATH)
+    return LIBRARY
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +72,14 @@ def test_codec_columns(spark):
     assert d.limit(0).select(piece_codec.round_trip(F.col("text"), PATH)).count() == 0
 
 
+def test_codec_beside_clashing_columns(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a b", "mine", 1), (2, None, None, None), (2, "x" * 20_000 + " y", "z", 2)], "doc_id long, text string, ids_sha256 string, d int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op3_sentencepiece(spark, str(tmp_path)).collect()
+    assert sorted(r["n_tokens"] for r in rows) == sorted(len(LIBRARY.encode(t)) for t in ("a b", "", "x" * 20_000 + " y"))
+    assert [r["doc_id"] for r in rows].count(None) == 1
+
+
 def test_only_such_models():
     with pytest.raises(ValueError):
         piece_codec.PieceModel(b"")

@@ -327,3 +327,22 @@ def test_automaton_equals_re():
                     expected.append((at, ends[0]))
                 at = ends[0] if ends else at + 1
             assert [(s, e) for kind, s, e in scan.text_spans([text])[0] if kind == str(k)] == expected
+
+
+def test_secrets_beside_clashing_columns(spark):
+    d = docs(spark, ["password=abcdef1", None], [None, 3]).withColumn("s", F.lit("mine")).withColumn("spans", F.lit(1)).withColumn("n_hex", F.lit("x"))
+    rows = secret_scan.digest(d).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["n_assign"], r["n_hex"], r["spans"]) for r in rows] == [(None, 1, 0, "assign:0:16"), (3, 0, 0, "")]
+    assert secret_scan.digest(docs(spark, [])).count() == 0
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pointloom.llm import common
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: default))
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_dir(session)
