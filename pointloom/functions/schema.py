@@ -205,10 +205,11 @@ class PointSchema:
             if f.name == POINT_IDX:
                 continue
             kind = (f.metadata or {}).get("point_type")
-            if kind is None and f.name in BUILTIN and f.dataType == spark_type(BUILTIN[f.name].type):
+            shown = f.dataType.simpleString()  # without nullability, which edits change
+            if kind is None and f.name in BUILTIN and shown == spark_type(BUILTIN[f.name].type).simpleString():
                 kind = BUILTIN[f.name].type
             if kind is None and isinstance(f.dataType, T.StructType):
-                kind = next((v for v in VECTORS if spark_type(v) == f.dataType), None)
+                kind = next((v for v in VECTORS if spark_type(v).simpleString() == shown), None)
             kind = kind or kinds.get(f.dataType)
             if kind is None:
                 raise ValueError(f"{f.name}: {f.dataType.simpleString()} stands for no point type")

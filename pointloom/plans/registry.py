@@ -17,6 +17,7 @@ from ..sources import las_format
 from ..sources.dispatch import read_points, write_points
 from ..sources.las import las_metadata, read_las, write_las
 from ..sources.pnts import pnts_metadata, read_pnts, write_pnts
+from ..sources.raw import read_raw, write_raw
 from ..sources.tileset import read_tileset
 from ..sources.tables import embedding_points, event_points, lineitem_points
 from ..streaming import running
@@ -300,6 +301,39 @@ def casts(spark, sf_dir):
     return picked.groupBy(*picked.columns).agg(F.count("*").alias("n"))
 
 
+HUGE = "18446744073709551616"
+
+
+@query(f"""WITH {LI}, v AS (SELECT (y - 50000) * 1e15 AS f, CAST(psid AS BIGINT) * 7919000000000 - 300000000000000 AS i FROM li)
+SELECT CAST(((CAST(i AS HUGEINT) % {HUGE}) + {HUGE}) % {HUGE} AS VARCHAR) AS i_u64, CAST(least(greatest(CAST(trunc(f) AS HUGEINT), 0), {HUGE} - 1) AS VARCHAR) AS f_u64,
+  CAST(least(greatest(CAST(trunc(f) AS HUGEINT), -9223372036854775808), 9223372036854775807) AS VARCHAR) AS f_i64, count(*) AS n FROM v GROUP BY ALL""")
+def casts_wide(spark, sf_dir):
+    """The targets of 64 bits."""
+    p = lineitem_points(spark, sf_dir)
+    v = p.select(((F.col("Position3D.y") - 50000) * 1e15).alias("f"), (F.col("PointSourceID").cast("long") * 7919000000000 - 300000000000000).alias("i"))
+    out = {"i_u64": point_cast(F.col("i"), "i64", "u64"), "f_u64": point_cast(F.col("f"), "f64", "u64"), "f_i64": point_cast(F.col("f"), "f64", "i64")}
+    picked = v.select(*[c.cast("string").alias(n) for n, c in out.items()])
+    return picked.groupBy(*picked.columns).agg(F.count("*").alias("n"))
+
+
+KINDS = ("u8", "i8", "u16", "i16", "u32", "i32", "u64", "i64", "f32", "f64", "vec3u8", "vec3u16", "vec3f32", "vec3i32", "vec3f64", "vec4u8", "bytes[4]", "bytes[5]", "custom:mine[4]")
+
+
+@query(f"""WITH k AS (SELECT unnest([{", ".join(f"'{k}'" for k in KINDS)}]) AS k), g AS (SELECT k, CASE WHEN k LIKE 'vec3%' THEN 'vector' WHEN k LIKE '%[%' OR k LIKE 'vec4%' THEN k ELSE 'scalar' END AS g FROM k)
+SELECT a.k AS source, b.k AS target, a.g = b.g AS legal FROM g a, g b""")
+def legal_casts(spark, sf_dir):
+    """Which types convert to which; the others raise when a plan is made."""
+
+    def legal(a: str, b: str) -> bool:
+        try:
+            point_cast(F.lit(None), a, b)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(a, b, legal(a, b)) for a in KINDS for b in KINDS], "source string, target string, legal boolean")
+
+
 # Boxes, vectors, bits.
 
 BOX = ((50.0, 5.0, 20.0), (200.0, 20.0, 100.0))
@@ -641,6 +675,27 @@ def las_formats(spark, sf_dir):
     return spark.createDataFrame(rows, "point_format int, chosen int, size int")
 
 
+@query(f"WITH {EV} SELECT point_idx, CAST(CAST(x / 3 AS FLOAT) AS DOUBLE) AS quality, CAST(point_idx * 7 AS BIGINT) AS tag FROM ev")
+def las_extra_bytes(spark, sf_dir):
+    """Attributes that no point format has, as described extra bytes."""
+    path = scratch(spark, "las")
+    quality = (F.col("Position3D.x") / 3).cast("float").alias("Quality", metadata={"point_type": "f32"})
+    tag = (F.col(POINT_IDX) * 7).alias("Tag", metadata={"point_type": "u32"})
+    write_las(event_points(spark, sf_dir).select("*", quality, tag), path, extra=("Quality", "Tag"))
+    return read_las(spark, path).select(POINT_IDX, F.col("Quality").cast("double").alias("quality"), F.col("Tag").alias("tag"))
+
+
+@query(f"""WITH {EV}, r AS (SELECT point_idx, CAST(x AS FLOAT) AS x, CAST(z AS FLOAT) AS z FROM ev)
+SELECT point_idx, CAST(x AS DOUBLE) AS relative_x, CAST(CAST(CAST(x AS DOUBLE) + 1000.5 AS FLOAT) AS DOUBLE) AS absolute_x, CAST(CAST(CAST(z AS DOUBLE) - 20.25 AS FLOAT) AS DOUBLE) AS absolute_z FROM r""")
+def pnts_positions_mode(spark, sf_dir):
+    """Positions of tiles with a center, with it and without."""
+    path = scratch(spark, "pnts")
+    write_pnts(event_points(spark, sf_dir), path, rtc_center=(1000.5, 0.0, -20.25))
+    both = joins.zip_points(read_pnts(spark, path), read_pnts(spark, path, positionsMode="relative"))
+    shown = {"relative_x": "Position3D_right.x", "absolute_x": "Position3D.x", "absolute_z": "Position3D.z"}
+    return both.select(POINT_IDX, *[F.col(c).cast("double").alias(n) for n, c in shown.items()])
+
+
 @query(f"WITH {EV} SELECT count(*) AS points, CAST(min(CAST(x AS FLOAT)) AS DOUBLE) AS min_x, CAST(max(CAST(x AS FLOAT)) AS DOUBLE) AS max_x, CAST(max(CAST(z AS FLOAT)) AS DOUBLE) AS max_z FROM ev")
 def pnts_tileset(spark, sf_dir):
     """Tiles' lengths by their metadata, and the root box of their tileset."""
@@ -653,6 +708,15 @@ def pnts_tileset(spark, sf_dir):
     return counted.join(root.select(*[c.alias(n) for n, c in half.items()]))
 
 
+@query(f"WITH {EV} SELECT point_idx, x, z, CAST(cls AS INTEGER) AS classification, gps AS gps_time FROM ev")
+def raw_roundtrip(spark, sf_dir):
+    """Binary records without a header."""
+    path = scratch(spark, "raw")
+    schema = write_raw(event_points(spark, sf_dir), path, packed=1)
+    back = read_raw(spark, path, schema)
+    return flat(back, F.col("Classification").cast("int").alias("classification"), F.col("GpsTime").alias("gps_time")).drop("y")
+
+
 @query(f"WITH {EV} SELECT point_idx, CAST(trunc(x) AS INTEGER) AS x FROM ev WHERE point_idx >= 10 AND point_idx < 60")
 def attribute_range(spark, sf_dir):
     v = frame.attribute_range(event_points(spark, sf_dir), "Position3D", 10, 60, "vec3i32")

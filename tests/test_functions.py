@@ -116,3 +116,14 @@ def test_untyped_points(spark):
     for bad in (lambda: p.get("GpsTime"), lambda: p.get("Intensity", "vec3f64"), lambda: p.set("Intensity", (1, 2, 3), "vec3u8")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_shared_folder_must_be_set_on_a_cluster():
+    from types import SimpleNamespace
+
+    from pointloom.plans.scratch import shared_dir
+
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]"):
+        session = SimpleNamespace(sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda key, default: default))
+        with pytest.raises(ValueError, match="checkpoint"):
+            shared_dir(session)

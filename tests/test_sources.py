@@ -1,6 +1,7 @@
 """Readers and writers on files made here."""
 
 import json
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pointloom.functions.schema import POINT_IDX, Attribute, PointSchema
 from pointloom.operators import frame
 from pointloom.sources import ascii as text_points
 from pointloom.sources import las_format as fmt
+from pointloom.sources import raw
 from pointloom.sources.dispatch import read_points, read_points_into, write_points
 from pointloom.sources.las import las_bytes, las_metadata, read_las, write_las
 from pointloom.sources.pnts import PntsSource, pack_tile, pnts_metadata, read_pnts, read_tile, write_pnts
@@ -261,3 +263,30 @@ def test_ascii_lines(spark, tmp_path):
         text_points.ascii_lines(p, "q")
     with pytest.raises(ValueError):
         text_points.ascii_lines(p, "t")
+
+
+@pytest.mark.parametrize("packed", [None, 1, 4])
+def test_raw_records(spark, tmp_path, packed):
+    kinds = {"a": "u8", "b": "f64", "c": "u64", "d": "vec3u16", "e": "bytes[5]", "f": "i8", "g": "u32", "h": "vec3f32"}
+    schema = PointSchema(tuple(Attribute(n, k) for n, k in kinds.items()), packed)
+    rows = [(i % 256, i / 3, 2**64 - 1 - i, (i, 65535 - i, 7), bytes([i % 256] * 5), i % 256 - 128, 2**32 - 1 - i, (i + 0.5, 0.0, -1.0)) for i in range(300)]
+    p = frame.in_memory(spark, schema, [(*r[:2], Decimal(r[2]), *r[3:]) for r in rows]).repartition(3)
+    written = raw.write_raw(p, str(tmp_path / "o"), packed)
+    assert written.offsets() == schema.offsets() and sum(f.stat().st_size for f in (tmp_path / "o").glob("*.bin")) == 300 * schema.size
+    back = raw.read_raw(spark, str(tmp_path / "o"), written, pointsPerPartition=70)
+    assert frame.equal_points(p, back).first()[0] and back.rdd.getNumPartitions() >= 5
+    one = np.frombuffer(b"".join(f.read_bytes() for f in sorted((tmp_path / "o").glob("*.bin"))), raw.record_dtype(schema))
+    assert one["c"][17] == 2**64 - 18 and one["d"][17].tolist() == [17, 65518, 7]
+    with open(next((tmp_path / "o").glob("*.bin")), "ab") as f:
+        f.write(b"x")
+    with pytest.raises(Exception, match="no multiple"):
+        raw.read_raw(spark, str(tmp_path / "o"), written).count()
+
+
+def test_raw_attributes(spark):
+    schema = PointSchema.of("Position3D", "Intensity", "ColorRGB")
+    p = frame.in_memory(spark, schema, [((1.0, 2.0, 3.0), 513, (1, 2, 65535))])
+    assert bytes(raw.raw_attribute(p, "Position3D").first()[1]) == np.array([1.0, 2.0, 3.0]).tobytes()
+    assert bytes(raw.raw_attribute(p, "Intensity").first()[1]) == b"\x01\x02" and bytes(raw.raw_attribute(p, "ColorRGB").first()[1]) == b"\1\0\2\0\xff\xff"
+    with pytest.raises(ValueError):
+        raw.raw_attribute(p, "NIR")
