@@ -1,7 +1,8 @@
 """Convex hulls in three dimensions: a hull of each partition's points, then the hull of those vertices.
 
 The hull of a union is the hull of the parts' hulls, so what is shuffled, and what reaches the last task, is vertices only: those of the
-scan's partitions go to as many tasks as shuffles have, theirs to MERGE, theirs to one.
+scan's partitions go to as many tasks as shuffles have, theirs to MERGE, theirs to one; where shuffles have no more than MERGE tasks, to
+one at once.
 """
 
 from __future__ import annotations
@@ -142,7 +143,7 @@ def hull_vertices(points: DataFrame, position: str = POSITION) -> DataFrame:
     flat = points.select(POINT_IDX, *[F.col(position)[a].cast("double").alias(a) for a in AXES])
     part = flat.mapInPandas(_vertices, flat.schema)
     wide = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for n in ([wide] if wide > MERGE else []) + [MERGE if wide >= MERGE else wide] + [1]:
+    for n in ([wide, MERGE] if wide > MERGE else []) + [1]:
         part = part.repartition(n).mapInPandas(_vertices, flat.schema)
     return part
 
