@@ -30,6 +30,8 @@ LETTERS = {
     "d": ("ScanDirectionFlag", None),
 }
 FLAGS = "ed"
+#: Splits up to which one row for each (about 200 bytes) is broadcast to number lines; beyond, lines are shuffled by split.
+BROADCAST_SPLITS = 50_000
 RANGES = {"u8": (0, 255), "i8": (-128, 127), "u16": (0, 65_535)}
 INTEGER, NUMBER = r"^[+-]?[0-9]+$", r"^[+-]?(inf|infinity|nan|[0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?)$"
 
@@ -92,12 +94,19 @@ def _literal(text: str) -> str:
     return re.escape(text)
 
 
+def _splits(lines: DataFrame) -> int:
+    """No fewer than the splits of the files, by their number and size: nothing is read."""
+    spark = lines.sparkSession
+    most = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return len(lines.inputFiles()) + int(str(lines._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // most
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
     """Consecutive numbers in the order of splits and lines: one count for each split goes through a window, not the lines."""
     placed = lines.select("value", F.col("_order.file_path").alias("_f"), F.col("_order.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
     starts = placed.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_i").alias("_least"))
     before = starts.select("_f", "_b", "_least", (F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")).alias("_before"))
-    rows = placed.join(F.broadcast(before), ["_f", "_b"])  # one row for each split
+    rows = placed.join(F.broadcast(before) if _splits(lines) <= BROADCAST_SPLITS else before, ["_f", "_b"])  # one row for each split
     return rows.select("value", (F.col("_before") + F.col("_i") - F.col("_least")).alias(POINT_IDX))
 
 

@@ -242,6 +242,23 @@ def test_ascii_all_fields(spark, tmp_path):
     assert frame.equal_points(points, back).first()[0]
 
 
+@pytest.mark.parametrize("most", [0, 50_000])
+def test_ascii_of_many_splits(spark, tmp_path, monkeypatch, most):
+    """Lines are numbered in the order of files and splits, with the splits' row numbers broadcast or shuffled."""
+    monkeypatch.setattr(text_points, "BROADCAST_SPLITS", most)
+    for k, name in enumerate("abc"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{k * 500 + i},0,0\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = text_points.read_ascii(spark, str(tmp_path), "xyz")
+        assert [(r[POINT_IDX], r["Position3D"]["x"]) for r in BY_INDEX(got)] == [(i, float(i)) for i in range(1500)]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == bool(most)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @pytest.mark.parametrize(("line", "letters"), [("67.3", "i"), ("2", "e"), ("2.0.0", "x"), ("1", "xi"), ("300", "r"), ("-5", "r"), ("65536", "i"), ("-1", "R"), ("128", "a"), ("-129", "a"), ("99999999999", "u"), (" 1", "i")])
 def test_ascii_errors(spark, tmp_path, line, letters):
     (tmp_path / "a.txt").write_text(line + "\n")
