@@ -4,9 +4,9 @@ A page is a set of tokens: an element token for each path of block elements on i
 for each block of text in its element (path, text and the number of the occurrence, so that a token is on a page once or not at all).
 A token's occurrence vector over the host's pages is folded into an exclusive-or of page hashes, so hosts of any number of pages are
 summed where their pages lie. Tokens of a host with equal vectors form an equivalence class. Classes are nested into a template from
-the one of most pages on: a class stands in the slot of the innermost element that holds its tokens, and is split where its tokens
-stand in slots of several classes. A text token that is on nearly all pages, or always there when its element is, is the template's
-own text: menus, notices, an owner's line. What the pages say beyond that, element by element, are the slots' contents.
+the one of most pages on: a class stands in the slots of the elements that hold its outermost ones, and is valid if those are elements
+of one class. A text token that is on nearly all pages, or of the valid class of its element (always there when that is), is the
+template's own text: menus, notices, an owner's line. What the pages say beyond that, element by element, are the slots' contents.
 
 Slots are judged by their contents: those that hold nothing but the template's text, or nearly so, go. Of the others those under
 elements that serve navigation, adverts, forms, comments and the like go, by tag names and a fixed word list: a menu of another
@@ -251,7 +251,7 @@ def host_of(url: Column) -> Column:
 
 
 class Template:
-    """Classes of a host nested into each other: for each element its class, and for each class the element in whose slot it stands.
+    """Classes of a host nested into each other: for each class the elements of others in whose slots it stands.
 
     tokens: (vector, pages, path or None, key, element's key, characters, link characters), the page itself with path "".
     """
@@ -261,18 +261,22 @@ class Template:
         self.elements = {key: (p, vector, n, chars, links) for vector, n, p, key, _, chars, links in tokens if p is not None}
         self.texts = {key: (e, vector, n, chars, links) for vector, n, p, key, e, chars, links in tokens if p is None and e in self.elements}
         path_to = {p: k for k, (p, *_) in self.elements.items()}
-        self.place: dict[int, tuple[int, int]] = {}  # class of an element: (vector, key of the element in whose slot the class stands)
-        for k, (p, vector, *_) in sorted(self.elements.items(), key=lambda x: x[1][0].count("/") + bool(x[1][0])):
+        self.slots: dict[int, set[int]] = {}  # of each class, the elements in whose slots it stands
+        for k, (p, vector, *_) in self.elements.items():
             above = path_to.get(p.rpartition("/")[0], k)  # an element above is on all pages of p, so it is among the tokens
-            same = above != k and self.elements[above][1] == vector
-            self.place[k] = self.place[above] if same else (vector, above)
+            if above != k and self.elements[above][1] != vector:
+                self.slots.setdefault(vector, set()).add(above)
+
+    def valid(self, vector: int) -> bool:
+        """Whether a class nests: it stands in slots of one class, or is the outermost."""
+        return len({self.elements[e][1] for e in self.slots.get(vector, ())}) <= 1
 
     def own_texts(self) -> set[int]:
-        """Text tokens that are the template's: on nearly all pages, or of the class of their element, outside articles."""
+        """Text tokens that are the template's: on nearly all pages, or of the valid class of their element, outside articles."""
         out = set()
         for key, (e, vector, n, *_) in self.texts.items():
             path = self.elements[e][0]
-            with_element = vector == self.place[e][0] and n >= OPTIONAL * self.pages and not in_article(path)
+            with_element = vector == self.elements[e][1] and self.valid(vector) and n >= OPTIONAL * self.pages and not in_article(path)
             if n >= MIN_PAGES and (n >= ALWAYS * self.pages or with_element):
                 out.add(key)
         prose = lambda x: x[-2] - x[-1]
@@ -389,17 +393,14 @@ def without_template(found: list[tuple[str, str, int, int]], new: list[bool], no
     depth = [0] * len(nodes)
     for i, (parent, _) in enumerate(nodes[1:], 1):
         depth[i] = depth[parent] + 1
-    common = -1
+    # The innermost element that holds all that is new: elements are numbered as they open, so those that hold all are a chain downwards.
+    held = [0] * len(nodes)
     for _, node, is_new, _ in kept:
-        if is_new:
-            node = max(holder(node), 0)
-            common = node if common < 0 else common
-            while common != node:
-                if depth[common] >= depth[node]:
-                    common = nodes[common][0]
-                else:
-                    node = nodes[node][0]
-    edge = lambda x: not x[2] and not x[3] and depth[max(holder(x[1]), 0)] <= depth[max(common, 0)]
+        held[max(holder(node), 0)] += is_new
+    for i in range(len(nodes) - 1, 0, -1):
+        held[nodes[i][0]] += held[i]
+    common = max(i for i, n in enumerate(held) if n == held[0])
+    edge = lambda x: not x[2] and not x[3] and depth[max(holder(x[1]), 0)] <= depth[common]
     while kept and edge(kept[0]):
         kept.pop(0)
     while kept and edge(kept[-1]):

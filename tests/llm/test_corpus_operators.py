@@ -296,6 +296,9 @@ def test_odd_markup_takes_linear_time():
     assert html_template.page_text(deep, None).count("z") == 20_000
     for page in ("<a " * 30_000, '<a "' * 20_000, "<p>" * 50_000 + "x", "<!--" * 30_000, "<div>x<section class=ad>y" * 5000):
         assert len(html_template.page_text(page, None)) <= len(page)
+    nested = "<div>" * 30_000 + "".join(f"<p>z{i}</div>" for i in range(30_000))
+    kept = html_template.Kept(["div/div/p", *("/".join(["div"] * k) for k in range(1, 70)), *("/".join(["div"] * k) + "/p" for k in range(1, 70))], [], [])
+    assert html_template.page_text(nested, kept).count("z") == html_template.page_text(deep.replace("<article>", ""), kept).count("z") + 10_000 == 30_000
     assert html_template.page_text('<article><p title="a>b">One</p><p class=\'ad\'>no</p>two', None) == "One\ntwo"
 
 
@@ -375,6 +378,22 @@ def test_template_inside_articles_and_copies(spark):
     assert got[300] == "\n".join([*stories[0], "Send this to a friend", "Print this page", "Written here."])
 
 
+@pytest.mark.parametrize("nested", [True, False])
+def test_classes_nest_into_the_template(nested):
+    """A box on most pages with a text that is always in it is the template's if it stands in slots of one class."""
+    other = "body/div:a/p:y" if nested else "body/div:b/p:y"
+    elements = [("", 1, 20), ("body", 1, 20), ("body/div:a", 1, 20), ("body/div:b", 3, 18), ("body/div:a/p:x", 2, 12), (other, 2, 12), ("body/div:a/p", 1, 20)]
+    keys = {p: k for k, (p, *_) in enumerate(elements)}
+    chars = {"body/div:a/p": 5000, "body/div:a/p:x": 120, other: 120}
+    tokens = [(v, n, p, keys[p], keys[p], chars.get(p, 0), 0) for p, v, n in elements]
+    tokens += [(2, 12, None, 100, keys["body/div:a/p:x"], 120, 0), (2, 12, None, 101, keys[other], 120, 0), (9, 11, None, 102, keys["body/div:a/p"], 40, 0)]
+    t = html_template.Template(tokens)
+    assert t.valid(1) and t.valid(3) and t.valid(2) == nested
+    own = t.own_texts()
+    assert own == ({100, 101} if nested else set())
+    assert ("body/div:a/p" in t.contents(own)) and html_template.judged(t.contents(own))[0].startswith("body/div:a")
+
+
 def test_template_of_a_host_with_very_many_paths(spark):
     rng = random.Random(23)
     letters = lambda: "".join(rng.choice("ghijklmnop") for _ in range(8))
