@@ -4,9 +4,12 @@ SimHash fingerprints are compared once each, however many documents share one, a
 fingerprint. Two fingerprints within the radius agree on a pair at least, so every link is found.
 
 For a similarity of word shingles a node is a set of distinct shingles (as 64-bit hashes), however many documents have it, and two nodes
-link if the exact Jaccard similarity of their sets is the given one or more. Blocks are MINIMA minima of the shingle hashes, which come
-from the set alone: sets of similarity s share none of them with probability (1 - s)^MINIMA, 3 in a million at 0.8. Blocks of the same
-members are compared once. Sets are made again from the texts, of those nodes only that share a block, and travel to its tiles.
+link if the exact Jaccard similarity of their sets is the given one or more. Candidates come from the SimHash of the set, 64 * WORDS
+bits: a block's fingerprints are compared as above, with a radius that similar sets exceed with probability below one in a million
+(wide_radius). A pair of bands says nothing at such a radius, so blocks are MINIMA minima of the shingle hashes, which come from the set
+alone: sets of similarity s share none of them with probability (1 - s)^MINIMA, 3 in a million at 0.8. Blocks of the same members are
+compared once. Sets are made again from the texts of nodes with a candidate only. A component of candidates is one group, to which each
+set travels once; of a component beyond a tile the blocks are dealt into tiles again.
 
 A block of at most TILE fingerprints is one tile (of SET_TILE sets and SET_SHINGLES shingles, for a similarity). A larger one is cut by
 level (population count for a small radius; the number of distinct shingles for a similarity, which is part of the node) and by hash
@@ -41,7 +44,7 @@ SET_TILE, SET_SHINGLES = 2048, 1_000_000
 #: Rows of removed documents (16 bytes each) up to which they are broadcast; beyond, both sides are shuffled.
 BROADCAST_ROWS = 500_000
 CHUNK = 50_000
-MINIMA = 8
+MINIMA, WORDS = 8, 4
 ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x1000193) for k in range(16)]
 
 
@@ -99,6 +102,22 @@ def distinct_shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.array(shingle_hashes(text, shingle), np.uint64))
 
 
+def set_print(h: np.ndarray) -> bytes:
+    """The SimHash of a set by WORDS hashes of each member, one row of h for each."""
+    sums = np.zeros(64 * WORDS, np.int64)
+    for s in range(0, h.shape[1], 255):  # a byte holds the sum of so many bits
+        bits = np.unpackbits(np.ascontiguousarray(h[:, s : s + 255].T).view(np.uint8), axis=1, bitorder="little")
+        sums += bits.view(np.uint64).sum(axis=0).view(np.uint8)
+    return np.packbits(2 * sums > h.shape[1], bitorder="little").tobytes()
+
+
+def wide_radius(similarity: float) -> int:
+    """Bits in which the SimHashes of sets of at least this Jaccard similarity differ at most: the mean and seven standard deviations."""
+    bits = 64 * WORDS
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + 7 * math.sqrt(bits * p * (1 - p)))
+
+
 def fingerprint(text: Column, shingle: int) -> Column:
     """The 64-bit SimHash as a signed long."""
 
@@ -110,18 +129,21 @@ def fingerprint(text: Column, shingle: int) -> Column:
 
 
 def set_sketch(text: Column, shingle: int) -> Column:
-    """struct(fp binary, keys array<long>, n long): 128 bits that name the set of distinct shingles, its minima and its size."""
-    schema = T.StructType([T.StructField("fp", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("n", T.LongType())])
+    """struct(fp binary, sim binary, keys array<long>, n long): 128 bits that name the set of distinct shingles, its SimHash, minima and size."""
+    binary, long = T.BinaryType(), T.LongType()
+    schema = T.StructType([T.StructField("fp", binary), T.StructField("sim", binary), T.StructField("keys", T.ArrayType(long)), T.StructField("n", long)])
 
     @F.pandas_udf(schema)
     def run(texts: pd.Series) -> pd.DataFrame:
-        fp, keys, n = [], [], []
+        fp, sim, keys, n = [], [], [], []
         for text in texts:
             h = distinct_shingles(text, shingle)
             fp.append(xxhash.xxh3_128_digest(h.tobytes()))
-            keys.append(np.array([mixed(h, m).min() if len(h) else 0 for m in range(MINIMA)], np.uint64).view(np.int64))
+            family = np.stack([mixed(h, m) for m in range(MINIMA)])
+            sim.append(set_print(family[-WORDS:]))
+            keys.append((family.min(axis=1) if len(h) else np.zeros(MINIMA, np.uint64)).view(np.int64))
             n.append(len(h))
-        return pd.DataFrame({"fp": fp, "keys": keys, "n": n})
+        return pd.DataFrame({"fp": fp, "sim": sim, "keys": keys, "n": n})
 
     return run(text)
 
@@ -158,9 +180,9 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return d
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (member, root) of the links inside tile a, or between tiles a and b."""
-    ones = lambda x: np.bitwise_count(x).sum(1).astype(int)
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, words: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest (member, root) of the links inside tile a, or between tiles a and b. Words after the first ones are names only."""
+    ones = lambda x: np.bitwise_count(x[:, :words]).sum(1).astype(int)
     same = b is None
     a = a[np.argsort(ones(a), kind="stable")]
     b = a if same else b[np.argsort(ones(b), kind="stable")]
@@ -176,7 +198,7 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
             y = b[t : t + BLOCK]
             if pb[t + len(y) - 1] < pa[s] - radius:
                 continue
-            i, j = np.nonzero(distance(x[:, None], y[None]) <= radius)
+            i, j = np.nonzero(distance(x[:, None, :words], y[None, :, :words]) <= radius)
             i, j = i + s, j + t + shift
             later = i < j
             # Only a forest of each pair of sub-blocks is kept, so a dense tile holds as many links as fingerprints.
@@ -194,7 +216,7 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.nda
     return nodes[moved], nodes[root[moved]]
 
 
-def compare_groups(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def compare_groups(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int, words: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links inside each run of equal group numbers; small groups together, by distance within their group."""
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(first, len(fp)))
@@ -204,13 +226,13 @@ def compare_groups(group: np.ndarray, side: np.ndarray, fp: np.ndarray, radius:
         near = np.flatnonzero(g[d:] == g[:-d])
         if not len(near):
             break
-        hit = near[distance(f[near + d], f[near]) <= radius]
+        hit = near[distance(f[near + d, :words], f[near, :words]) <= radius]
         if len(hit):
             yield f[hit + d], f[hit]
     for s, k in zip(first.tolist(), size.tolist(), strict=True):
         if not small[s]:
             part, which = fp[s : s + k], side[s : s + k]
-            yield tile_links(part, None, radius) if which.max() == 0 else tile_links(part[which == 1], part[which == 2], radius)
+            yield tile_links(part, None, radius, words) if which.max() == 0 else tile_links(part[which == 1], part[which == 2], radius, words)
 
 
 def set_links(sets: list[np.ndarray], side: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
@@ -372,11 +394,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(groups, "fp").select(F.col("id").alias(id_col), "fp", F.col("component").alias("component_id"))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float, tile: int, shingles: int) -> DataFrame:
-    """Links (u, v), u > v, that connect all nodes that share a key and whose sets have the similarity.
-
-    nodes has one row for each set: fp, keys, n (its size), level and the row keys k1, k2 of a row of docs with that set.
-    """
+def dealt_blocks(nodes: DataFrame, tile: int, shingles: int) -> DataFrame:
+    """(fp, g, side) of the nodes that share a key; nodes has one row for each set: fp, keys, n (its size) and level."""
     keyed = nodes.select("fp", "n", "level", F.posexplode("keys").alias("band", "value"))
     marks = [F.bit_xor(F.xxhash64(F.lit(k), "fp")).alias(f"m{k}") for k in (1, 2)]
     sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"), F.min("level").alias("low"), F.max("level").alias("high"), *marks)
@@ -387,8 +406,43 @@ def similar_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int
     small = (F.col("sets") <= tile) & (F.col("shingles") <= shingles)
     parts = F.greatest(F.ceil(F.col("sets") / tile), F.ceil(F.col("shingles") / shingles)).cast("int")
     near = F.sequence(F.greatest(level - 1, F.col("low")), F.least(level + 1, F.col("high")))
-    dealt = cut(deal(keyed.join(blocks, ["band", "value"]), small, parts, near))
-    needed = cut(nodes.join(dealt.select("fp").distinct(), "fp", "left_semi").select("fp", "k1", "k2"))
+    return cut(deal(keyed.join(blocks, ["band", "value"]), small, parts, near))
+
+
+def ordered(ends: list[tuple[bytes, bytes]]) -> pd.DataFrame:
+    return pd.DataFrame({"u": [max(e) for e in ends], "v": [min(e) for e in ends]})
+
+
+def candidates(nodes: DataFrame, radius: int, tile: int = SET_TILE) -> DataFrame:
+    """Links (u, v), u > v, that connect all nodes that share a key and whose SimHashes (sim) are within the radius."""
+    dealt = dealt_blocks(nodes.withColumn("n", F.lit(0)), tile, SET_SHINGLES)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_groups(batches):
+            # A row is the words of the fingerprint, which are compared, and the two of the name.
+            named = np.frombuffer(b"".join(part["sim"] + part["fp"]), np.uint64).reshape(len(part), -1)
+            for x, y in compare_groups(part["g"].to_numpy(), part["side"].to_numpy(), named, radius, WORDS):
+                if len(x):
+                    yield ordered([(a.tobytes(), b.tobytes()) for a, b in zip(x[:, WORDS:], y[:, WORDS:], strict=True)])
+
+    return dealt.join(nodes.select("fp", "sim"), "fp").repartition("g").sortWithinPartitions("g").mapInPandas(run, "u binary, v binary").distinct()
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int, similarity: float, tile: int, shingles: int) -> DataFrame:
+    """Links (u, v), u > v, that connect all nodes that are candidates and whose sets have the similarity.
+
+    nodes has one row for each set: fp, sim, keys, n (its size), level and the row keys k1, k2 of a row of docs with that set.
+    """
+    found = cut(components(candidates(nodes, wide_radius(similarity), tile)))
+    member = found.select(F.col("node").alias("fp"), "root").union(found.select("root", "root").distinct())
+    near = cut(nodes.drop("sim").join(member, "fp"))
+    totals = near.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    whole = F.array(F.xxhash64("root"))
+    blocks = F.transform("keys", lambda k, band: F.xxhash64("root", band, k))
+    keys = F.when((F.col("sets") <= tile) & (F.col("shingles") <= shingles), whole).otherwise(blocks)
+    near = cut(near.join(totals, "root").select("fp", "n", "level", "k1", "k2", keys.alias("keys")))
+    dealt = dealt_blocks(near, tile, shingles)
+    needed = cut(near.join(dealt.select("fp").distinct(), "fp", "left_semi").select("fp", "k1", "k2"))
     needed = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed.hint("shuffle_hash")
     texts = docs.select("k1", "k2", F.col(text_col).alias("text")).join(needed, ["k1", "k2"]).groupBy("fp").agg(F.first("text").alias("text"))
     sets = texts.select("fp", shingle_set(F.col("text"), shingle).alias("set"))
@@ -399,9 +453,9 @@ def similar_links(docs: DataFrame, nodes: DataFrame, text_col: str, shingle: int
             for _, rows in part.groupby("g", sort=False):
                 fp = rows["fp"].tolist()
                 links = zip(*set_links([np.frombuffer(x, np.uint64) for x in rows["set"]], rows["side"].to_numpy(), exact), strict=True)
-                ends = [sorted((fp[i], fp[j])) for i, j in links]
+                ends = [(fp[i], fp[j]) for i, j in links]
                 if ends:
-                    yield pd.DataFrame({"u": [e[1] for e in ends], "v": [e[0] for e in ends]})
+                    yield ordered(ends)
 
     return dealt.join(sets, "fp").repartition("g").sortWithinPartitions("g").mapInPandas(run, "u binary, v binary").distinct()
 
@@ -415,8 +469,9 @@ def similar_documents(
     marked = cut(named_rows.select("id", "k1", "k2", set_sketch(F.col("text"), shingle).alias("s")).select("id", "k1", "k2", "s.*"))
     level = F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(similarity)).cast("int")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "k1", "k2")
-    distinct = marked.groupBy("fp").agg(F.min(order).alias("least"), F.first("keys").alias("keys"), F.first("n").alias("n"))
-    nodes = distinct.select("fp", "keys", "n", level.alias("level"), "least.k1", "least.k2")
+    distinct = marked.groupBy("fp").agg(F.min(order).alias("least"), F.first("sim").alias("sim"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    distinct = cut(distinct)
+    nodes = distinct.select("fp", "sim", "keys", "n", level.alias("level"), "least.k1", "least.k2")
     groups = named(distinct, similar_links(named_rows, nodes, "text", shingle, similarity, tile, shingles), "least")
     return marked.join(groups, "fp").select("k1", "k2", "id", F.col("component").alias("first"))
 

@@ -163,6 +163,24 @@ def test_similar_documents_by_any_tiles(spark, tile, shingles):
     assert got == least_of_similar(texts)
 
 
+def test_sets_travel_for_candidates_only(spark, monkeypatch):
+    """Of 80 texts in one block two are near copies: two sets are made, and each goes to one group."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    texts = [" ".join(passage + [word() for _ in range(300)]) for _ in range(80)]
+    texts[-1] = texts[0] + " " + word()
+    dealt, deal_out = [], simhash.dealt_blocks
+
+    def seen(*args):
+        dealt.append(deal_out(*args))
+        return dealt[-1]
+
+    monkeypatch.setattr(simhash, "dealt_blocks", seen, raising=False)
+    assert kept_ids(spark, texts) == list(range(79))
+    assert dealt[0].count() > 2 and dealt[-1].count() == 2
+
+
 def strip_repeats(texts, length=50):
     """By definition, over (id, bytes) in order of id."""
     seen, out = {}, []
