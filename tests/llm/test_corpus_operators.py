@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 
@@ -163,6 +164,58 @@ def test_similar_documents_by_any_tiles(spark, tile, shingles):
     assert got == least_of_similar(texts)
 
 
+def set_simhash(text):
+    """By definition: bit b is set where it is in over half of the hashes of the distinct five-word shingles."""
+    h = simhash.distinct_shingles(text, 5)
+    family = [simhash.mixed(h, m).tolist() for m in range(simhash.MINIMA - simhash.WORDS, simhash.MINIMA)]
+    return [2 * sum(x >> b & 1 for x in words) > len(words) for words in family for b in range(64)]
+
+
+def nodes_of(spark, texts):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return d.select("doc_id", simhash.set_sketch(F.col("text"), 5).alias("s")).select("doc_id", "s.*").withColumn("level", F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(0.8)).cast("int"))
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+def test_candidates_by_fingerprints(spark, tile):
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage, texts = [word() for _ in range(60)], []
+    for edits in range(1, 16):
+        base = [word() for _ in range(400 if edits == 7 else 200)]
+        texts += [" ".join(base), " ".join(edited(rng, word, base, edits))]
+    texts += [" ".join(passage + [word() for _ in range(rng.randrange(300, 600))]) for _ in range(40)]
+    nodes = nodes_of(spark, texts).cache()
+    name = {bytes(r["fp"]): r["doc_id"] for r in nodes.collect()}
+    sim = {r["doc_id"]: bytes(r["sim"]) for r in nodes.collect()}
+    prints = [set_simhash(t) for t in texts]
+    assert all([x >> b & 1 for x in sim[k] for b in range(8)] == prints[k] for k in range(len(texts)))
+    radius = simhash.wide_radius(0.8)
+    found = [(name[bytes(r["u"])], name[bytes(r["v"])]) for r in simhash.candidates(nodes, radius, tile).collect()]
+    assert all(sum(a != b for a, b in zip(prints[i], prints[j], strict=True)) <= radius for i, j in found)
+    # Texts that share a passage only have blocks in common, but no candidate, so their sets aren't made.
+    assert len(set(nodes.where("doc_id >= 30").select(F.explode("keys")).toPandas()["col"])) < 8 * 40
+    assert found and all(i < 30 and i // 2 == j // 2 for i, j in found)
+    assert {i // 2 for i, _ in found} >= {k // 2 for k in range(0, 30, 2) if jaccard(texts[k], texts[k + 1]) >= 0.8}
+
+
+def test_radius_loses_no_similar_sets():
+    """The probability that sets differ in more bits than the radius, exactly, for all small sets at the similarity or above, and as n grows."""
+    radius, bits = simhash.wide_radius(0.8), 64 * simhash.WORDS
+
+    def heads(n):
+        return [math.comb(n, k) / 2**n for k in range(n + 1)]
+
+    def differ(c, x, y):
+        return sum(p * q * r for i, p in enumerate(heads(c)) for j, q in enumerate(heads(x)) for k, r in enumerate(heads(y)) if (2 * (i + j) > c + x) != (2 * (i + k) > c + y))
+
+    def beyond(p):
+        return sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(radius + 1, bits + 1))
+
+    small = [differ(c, x, y) for c in range(1, 41) for x in range(11) for y in range(x, 11) if x + y and 5 * c >= 4 * (c + x + y)]
+    assert max(map(beyond, small)) < 2e-6 and beyond(math.acos(0.8 / 0.9) / math.pi) < 1e-9
+
+
 def test_sets_travel_for_candidates_only(spark, monkeypatch):
     """Of 80 texts in one block two are near copies: two sets are made, and each goes to one group."""
     rng = random.Random(16)
