@@ -5,7 +5,7 @@ fingerprint. Two fingerprints within the radius agree on a pair at least, so eve
 
 For a similarity of word shingles a node is a set of distinct shingles (as 64-bit hashes), however many documents have it, and two nodes
 link if the exact Jaccard similarity of their sets is the given one or more. Candidates come from the SimHash of the set, 64 * WORDS
-bits: a block's fingerprints are compared as above, with a radius that similar sets exceed with probability below one in a million
+bits: a block's fingerprints are compared as above, with a radius that similar sets exceed with probability below two in a million
 (wide_radius). A pair of bands says nothing at such a radius, so blocks are MINIMA minima of the shingle hashes, which come from the set
 alone: sets of similarity s share none of them with probability (1 - s)^MINIMA, 3 in a million at 0.8. Blocks of the same members are
 compared once. Sets are made again from the texts of nodes with a candidate only. A component of candidates is one group, to which each
