@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontam, html_template, pii, piece_codec, quality_crf, quality_rules, secret_scan, simhash, suffix_dedup
+from . import decontam, html_template, packing, periodic_runs, phrases, pii, piece_codec, quality_crf, quality_rules, secret_scan, simhash, suffix_dedup
 from . import line_dedup as ld
 from .common import table
 
@@ -63,6 +63,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=5)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=0)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, first=2000)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_quality_rules,
         op10_decontamination,
+        op11_packing,
+        op12_phrases,
+        op13_periodic_runs,
     )
 }
 
@@ -139,4 +154,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM s JOIN x ON s.lang IS NOT DISTINCT FROM x.lang AND s.source IS NOT DISTINCT FROM x.source
 """
 
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op8_suffix_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
+OP12_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+g AS (SELECT lang, k, w[i : i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY lang, k, g HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY lang),
+inner_ AS (SELECT lang, k, i, g[i : i + k - 2] AS part, a FROM f, (VALUES (1), (2)) v(i) WHERE k > 2),
+longer AS (SELECT lang, part, max(a) AS longer FROM inner_ GROUP BY lang, part),
+c AS (SELECT f.* FROM f LEFT JOIN longer ON f.lang = longer.lang AND f.g = longer.part WHERE k >= 2 AND (longer IS NULL OR 100 * longer < 100 * a)),
+cuts AS (SELECT c.lang, c.g, c.a, cut, x.a AS l, y.a AS r FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : cut] JOIN f y ON y.lang = c.lang AND y.g = c.g[cut + 1 : c.k]),
+scored AS (SELECT *, CAST((1000 * a::HUGEINT * n::HUGEINT) // (l::HUGEINT * r::HUGEINT) AS BIGINT) AS score FROM cuts JOIN n USING (lang)),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS nth FROM scored),
+ranked AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM best WHERE nth = 1)
+SELECT * FROM (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM ranked) WHERE rank <= 2000
+"""
+
+ORACLES: dict[str, str] = {"op12_phrases": OP12_SQL, "op2_line_dedup": OP2_SQL, "op8_suffix_dedup": OP8_SQL, "op9_quality_rules": OP9_SQL}
