@@ -648,6 +648,30 @@ def las_headers(spark, sf_dir):
     return m.groupBy("point_format", "version").agg(F.sum("point_count").alias("points"), *[F.round(c, 6).alias(n) for n, c in ends.items()], *[c.alias(n) for n, c in returned.items()])
 
 
+@query(f"WITH {EV} SELECT point_idx, round(trunc(x / 0.25) * 0.25, 6) AS x, CAST(cls AS INTEGER) AS classification, gps AS gps_time FROM ev")
+def laz_roundtrip(spark, sf_dir):
+    """Compressed in chunks, read back by ranges of chunks."""
+    path = scratch(spark, "laz")
+    write_points(event_points(spark, sf_dir), path, kind="laz", scale=(0.25, 0.25, 0.25), chunk_size=5000)
+    back = read_points(spark, path, pointsPerPartition=10_000)
+    return back.select(POINT_IDX, F.round(F.col("Position3D.x"), 6).alias("x"), F.col("Classification").cast("int").alias("classification"), F.col("GpsTime").alias("gps_time"))
+
+
+@query(f"""WITH {EV} SELECT point_idx, round(trunc(x / 0.25) * 0.25, 6) AS x, gps AS gps_time, CAST(1 + point_idx % 3 AS INTEGER) AS return_number, CAST(point_idx // 1000 % 3 AS INTEGER) AS channel,
+  CAST(point_idx % 5000 AS INTEGER) AS red, CAST(point_idx % 7 AS INTEGER) AS nir, CAST(point_idx % 90 - 45 AS INTEGER) AS angle FROM ev WHERE point_idx >= 300 AND point_idx < 900""")
+def laz_layers(spark, sf_dir):
+    """Compressed records of an extended format, whose groups of attributes are layers; a range of them by a pushed filter."""
+    path = scratch(spark, "laz")
+    typed = lambda c, t, name: c.cast({"u8": "short", "u16": "int", "i16": "short"}[t]).alias(name, metadata={"point_type": t})
+    i = F.col(POINT_IDX)
+    ink = F.struct(*[(i % 5000).cast("int").alias(a) for a in "xyz"]).alias("ColorRGB", metadata={"point_type": "vec3u16"})
+    more = [typed(1 + i % 3, "u8", "ReturnNumber"), typed(F.lit(3), "u8", "NumberOfReturns"), typed(F.floor(i / 1000) % 3, "u8", "ScannerChannel"), ink, typed(i % 7, "u16", "NIR"), typed(i % 90 - 45, "i16", "ScanAngle")]
+    write_las(event_points(spark, sf_dir).select("*", *more), path, fmt=8, scale=(0.25, 0.25, 0.25), compressed=True, chunk_size=2000)
+    back = frame.seek(read_las(spark, path, pointsPerPartition=2000), 300).where(F.col(POINT_IDX) < 900)
+    shown = {"return_number": "ReturnNumber", "channel": "ScannerChannel", "red": "ColorRGB.x", "nir": "NIR", "angle": "ScanAngle"}
+    return back.select(POINT_IDX, F.round(F.col("Position3D.x"), 6).alias("x"), F.col("GpsTime").alias("gps_time"), *[F.col(c).cast("int").alias(n) for n, c in shown.items()])
+
+
 @query(f"WITH {EV} SELECT point_idx, round(trunc(x / 0.25) * 0.25, 6) AS x FROM ev WHERE point_idx >= 500 AND point_idx < 600")
 def las_seek(spark, sf_dir):
     """A range of a file's points by a pushed filter."""

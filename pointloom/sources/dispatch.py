@@ -8,16 +8,18 @@ from ..functions.schema import PointSchema
 from ..operators.convert import LayoutConverter
 from ..operators.frame import append, write_at
 from .files import list_files
-from .las import read_las, write_las
+from .las import read_las, write_las, write_laz
 from .pnts import read_pnts, write_pnts
 
 READERS = {"las": read_las, "laz": read_las, "pnts": read_pnts}
-WRITERS = {"las": write_las, "pnts": write_pnts}
+WRITERS = {"las": write_las, "laz": write_laz, "pnts": write_pnts}
 
 
 def extension(path: str) -> str:
-    """The extension in lower case; of a folder, that of its first data file."""
+    """The extension in lower case; of a folder, that of its first data file. Files that need different readers raise: they'd be left out."""
     inside = list_files(path, tuple(f".{e}" for e in READERS))
+    if len({READERS.get(p.rsplit(".", 1)[-1].lower()) for p in inside}) > 1:
+        raise ValueError(f"{path}: files of different kinds in one folder; read them apart")
     name = (inside[0] if inside else path).rsplit("/", 1)[-1]
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
@@ -44,8 +46,8 @@ def read_points_into(points: DataFrame, path: str, at: int | None = None, **opti
 
 
 def write_points(points: DataFrame, path: str, kind: str | None = None, **options) -> None:
-    """A folder of files of a kind (las, pnts), or of the kind that the path's extension names."""
+    """A folder of files of a kind (las, laz, pnts), or of the kind that the path's extension names."""
     writer = WRITERS.get(kind or extension(path))
     if writer is None:
-        raise ValueError(f"{path}: no writer for {kind or extension(path)!r}" + (" (compressed point records need a codec that isn't available)" if (kind or extension(path)) == "laz" else ""))
+        raise ValueError(f"{path}: no writer for {kind or extension(path)!r}")
     writer(points, path, **options)

@@ -1,11 +1,13 @@
 """LAS files as a Spark data source (`format("points_las")`), one partition for each range of point records.
 
+Compressed files (.laz) are read and written too, beside others in one folder: their partitions are ranges of chunks, planned from the table of chunks
+that each file carries, and a chunk is decoded by itself (laz_codec says which records have a codec; others raise).
+
 Read options: pointsPerPartition, exact (stored instead of decoded attributes), columns (comma-separated attributes to keep: Spark
 prunes no columns of Python sources). Filters on point_idx and on the position's coordinates are pushed: ranges of records and files
 whose header bounds lie outside are not read, and Spark applies the filters to what is. The options minX .. maxZ skip files by their
 bounds without filtering points. All files of a folder need the same attributes. Headers are read many at a time by the driver.
 Writing streams records to the file system; a file's header is put before them in the end.
-Compressed files need a codec that is not part of this package and raise: convert them, or register a data source of that name.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from ..functions.bits import BASIC_FLAGS, EXTENDED_FLAGS
 from ..functions.casts import can_cast, default_value, point_cast
 from ..functions.schema import BUILTIN, POINT_IDX, PointSchema
 from . import las_format as las
+from . import laz_codec as laz
 from .files import Spool, each, list_files, open_binary, remove
 
 POINTS_PER_PARTITION = 1_000_000
@@ -46,6 +49,39 @@ def file_header(path: str) -> las.Header:
         return las.read_header(head + f.read(max(0, point_at - len(head))))
 
 
+def coding(header: las.Header) -> laz.Description:
+    record = next((v for v in header.vlrs if v.user == laz.VLR_USER and v.record == laz.VLR_RECORD), None)
+    if record is None:
+        raise ValueError("compressed points without the record that describes their coding")
+    found = laz.Description.unpack(record.data)
+    found.check(header.fmt, header.dtype().itemsize - las.record_dtype(header.fmt).itemsize)
+    return found
+
+
+def chunks(path: str, header: las.Header) -> list[tuple[int, int, int]]:
+    """(place in the file, bytes, points) of each chunk of a compressed file, from its table of chunks."""
+    if not header.count:
+        return []
+    how = coding(header)
+    with open_binary(path) as f:
+        f.seek(header.point_at)
+        (table_at,) = struct.unpack("<q", f.read(8))
+        if table_at == -1:  # writers that can't go back put it last
+            f.seek(f.size() - 8)
+            (table_at,) = struct.unpack("<q", f.read(8))
+        f.seek(table_at)
+        head = f.read(8)
+        table = head + f.read(16 + 9 * struct.unpack_from("<I", head, 4)[0])
+    out, at, left = [], header.point_at + 8, header.count
+    for points, size in laz.unpack_table(table, how.chunk_size == laz.WORD):
+        points = min(how.chunk_size, left) if points < 0 else points
+        out.append((at, size, points))
+        at, left = at + size, left - points
+    if left:
+        raise ValueError(f"{path}: {header.count} points announced, the chunks hold {header.count - left}")
+    return out
+
+
 def decode(raw: np.ndarray, header: las.Header, schema: PointSchema, start: int) -> pa.RecordBatch:
     """Point records as an Arrow batch of a schema's attributes, with indices from `start`."""
     flags = las.is_extended(header.fmt)
@@ -80,16 +116,31 @@ def decode(raw: np.ndarray, header: las.Header, schema: PointSchema, start: int)
 
 
 class Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int, first: int):
-        self.path, self.start, self.end, self.first = path, start, end, first
+    """Points start to end of a file, the first of them with index `first`; of a compressed file with its chunks (place, bytes, points, first point)."""
+
+    def __init__(self, path: str, start: int, end: int, first: int, chunks: list[tuple[int, int, int, int]] = ()):
+        self.path, self.start, self.end, self.first, self.chunks = path, start, end, first, chunks
+
+
+def chunk_ranges(path: str, table: list[tuple[int, int, int]], start: int, end: int, first: int, step: int) -> Iterator[Range]:
+    """Ranges of whole chunks, `step` points or one chunk each, that cover points start to end of a file whose first point has index `first`."""
+    held, at = [], 0
+    for i, (place, size, points) in enumerate(table):
+        if at < end and at + points > start:
+            held.append((place, size, points, at))
+        at += points
+        if held and (at - held[0][3] + (table[i + 1][2] if i + 1 < len(table) else step) > step or at >= end):
+            low = max(start, held[0][3])
+            yield Range(path, low, min(end, at), first + low, held)
+            held = []
 
 
 class LasReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
         self.paths = list_files(options["path"], (".las", ".laz"))
-        if any(is_compressed_path(p) for p in self.paths):
-            raise ValueError("compressed point records (.laz) need a codec that isn't available; convert the files to .las")
+        for p in self.paths:
+            is_compressed_path(p)
         self.exact = options.get("exact", "false").lower() == "true"
         # Closed ranges that points must lie in: of the index, and of the coordinates.
         self.limits = {name: [-float("inf"), float("inf")] for name in (POINT_IDX, *"xyz")}
@@ -125,21 +176,31 @@ class LasReader(DataSourceReader):
         out, first = [], 0
         headers = each(file_header, self.paths)
         layout = headers[0].schema(self.exact)
+        packed = [(p, h) for p, h in zip(self.paths, headers, strict=True) if h.compressed and not self.outside(h)]
+        tables = dict(zip([p for p, _ in packed], each(lambda x: chunks(*x), packed), strict=True))
         for path, header in zip(self.paths, headers, strict=True):
             if not header.schema(self.exact).same_attributes(layout):
                 raise ValueError(f"{path}: its attributes differ from those of {self.paths[0]}; read files of different formats apart")
             if not self.outside(header):
                 start, end = (int(min(max(0, v), header.count)) for v in (low - first, high + 1 - first))
-                out += [Range(path, s, min(s + step, end), first + s) for s in range(start, end, step)]
+                if header.compressed:
+                    out += chunk_ranges(path, tables[path], start, end, first, step)
+                else:
+                    out += [Range(path, s, min(s + step, end), first + s) for s in range(start, end, step)]
             first += header.count
         return out or [Range(self.paths[0], 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         header, schema = file_header(partition.path), self.schema()
-        if header.compressed:
-            raise ValueError(f"{partition.path}: compressed point records need a codec that isn't available")
         dtype = header.dtype()
         with open_binary(partition.path) as f:
+            for place, size, points, begin in partition.chunks:
+                f.seek(place)
+                low, high = max(partition.start, begin), min(partition.end, begin + points)
+                raw = laz.decode_chunk(f.read(size), high - begin, dtype, header.fmt, points)[low - begin :]
+                yield decode(raw, header, schema, partition.first + low - partition.start)
+            if partition.chunks:
+                return
             f.seek(header.point_at + partition.start * dtype.itemsize)
             for at in range(partition.start, partition.end, BATCH):
                 n = min(BATCH, partition.end - at)
@@ -184,6 +245,10 @@ class LasWriter(DataSourceArrowWriter):
         self.extra = [(name, kind) for name, _, kind in pairs]
         if 0.0 in self.scale:
             raise ValueError("a scale of zero")
+        #: Points of a chunk of compressed files, 0 for others.
+        self.chunk = int(options.get("chunkSize", laz.CHUNK_SIZE)) if options.get("compressed", "false").lower() == "true" else 0
+        if self.chunk < 0:
+            raise ValueError("chunks hold at least one point")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         from pyspark import TaskContext
@@ -191,25 +256,47 @@ class LasWriter(DataSourceArrowWriter):
         fmt = int(self.options["pointFormat"])
         dtype = las.record_dtype(fmt, self.extra)
         vlrs = [las.Vlr(las.VLR_USER, las.EXTRA_BYTES, b"".join(las.ExtraField(n, t).pack() for n, t in self.extra))] if self.extra else []
+        if self.chunk:
+            how = laz.Description.of(fmt, dtype.itemsize - las.record_dtype(fmt).itemsize, self.chunk)
+            vlrs.append(las.Vlr(laz.VLR_USER, laz.VLR_RECORD, how.pack(), "chunks of coded points"))
         low, high = np.full(3, np.inf), np.full(3, -np.inf)
         counts, total = np.zeros(15, np.int64), 0
         bits = 15 if las.is_extended(fmt) else 7
         # One name for each partition, whichever attempt writes it: a lost task's file is replaced whole.
-        path = f"{self.options['path'].rstrip('/')}/part-{TaskContext.get().partitionId():05d}.las"
+        path = f"{self.options['path'].rstrip('/')}/part-{TaskContext.get().partitionId():05d}.{'laz' if self.chunk else 'las'}"
         spool = Spool(path)
+        waiting, sizes = np.zeros(0, dtype), []
+
+        def put(records: np.ndarray) -> None:
+            data = laz.encode_chunk(records, fmt) if self.chunk else records.tobytes()
+            sizes.append(len(data))
+            spool.write(data)
+
         for batch in batches:
             raw = np.zeros(batch.num_rows, dtype)
             for name in dtype.names:
                 raw[name] = np.asarray(batch.column(name).to_numpy(zero_copy_only=False)).astype(dtype[name])
-            spool.write(raw.tobytes())
+            if self.chunk:
+                waiting = np.concatenate([waiting, raw])
+                while len(waiting) >= self.chunk:
+                    put(waiting[: self.chunk])
+                    waiting = waiting[self.chunk :]
+            else:
+                put(raw)
             if len(raw):
                 local = np.stack([raw[c] for c in "xyz"]).astype(float)
                 low, high = np.minimum(low, local.min(1)), np.maximum(high, local.max(1))
                 counts += np.bincount(raw["flags"] & bits, minlength=16)[1:16]
                 total += len(raw)
         world = lambda v: tuple(float(c) * s + o for c, s, o in zip(v if total else (0, 0, 0), self.scale, self.offset, strict=True))
-        header = las.Header((1, 4), fmt, dtype.itemsize, total, 375, self.scale, self.offset, world(low) + world(high), counts.tolist(), vlrs, software="pointloom")
-        spool.finish(las.pack_header(header))
+        header = las.Header((1, 4), fmt, dtype.itemsize, total, 375, self.scale, self.offset, world(low) + world(high), counts.tolist(), vlrs, bool(self.chunk), software="pointloom")
+        head = las.pack_header(header)
+        if self.chunk:
+            if len(waiting):
+                put(waiting)
+            head += struct.pack("<q", len(head) + 8 + sum(sizes))
+            spool.write(laz.pack_table(sizes))
+        spool.finish(head)
         return Part(path, total)
 
     def commit(self, messages: list[Part | None]) -> None:
@@ -298,10 +385,10 @@ def stored_columns(points: DataFrame, fmt: int, scale, offset, extra: list[tuple
     return points.select(POINT_IDX, *out)
 
 
-def write_las(points: DataFrame, path: str, fmt: int | None = None, scale=(0.001, 0.001, 0.001), offset=(0.0, 0.0, 0.0), extra: tuple[str, ...] = ()) -> None:
+def write_las(points: DataFrame, path: str, fmt: int | None = None, scale=(0.001, 0.001, 0.001), offset=(0.0, 0.0, 0.0), extra: tuple[str, ...] = (), compressed: bool = False, chunk_size: int = laz.CHUNK_SIZE) -> None:
     """A folder of LAS 1.4 files in index order; the format follows from the attributes unless given.
 
-    extra names scalar attributes that no format has; they are stored as described extra bytes.
+    compressed: .laz files of chunks of chunk_size points; not with waveforms. extra names scalar attributes that no format has; they are stored as described extra bytes.
     """
     schema = PointSchema.of_frame(points)
     fmt = las.best_format(schema) if fmt is None else fmt
@@ -313,11 +400,18 @@ def write_las(points: DataFrame, path: str, fmt: int | None = None, scale=(0.001
         if a is None or a.type not in las.NUMPY:
             raise ValueError(f"no scalar attribute {name!r}")
         pairs.append((name, a.type))
+    if compressed:
+        laz.Description.of(fmt, 0, chunk_size)  # raises where there is no codec
     rows = stored_columns(points, fmt, scale, offset, pairs).repartitionByRange(POINT_IDX).sortWithinPartitions(POINT_IDX)
     points.sparkSession.dataSource.register(LasSource)
     join = lambda v: ",".join(map(repr, map(float, v)))
     writer = rows.write.format("points_las").option("pointFormat", fmt).option("scale", join(scale)).option("offset", join(offset))
-    writer.option("extra", ",".join(f"{n}:{t}" for n, t in pairs)).mode("append").save(path)
+    writer.option("compressed", str(compressed).lower()).option("chunkSize", chunk_size).option("extra", ",".join(f"{n}:{t}" for n, t in pairs)).mode("append").save(path)
+
+
+def write_laz(points: DataFrame, path: str, **options) -> None:
+    """write_las with compressed points."""
+    write_las(points, path, compressed=True, **options)
 
 
 def las_bytes(header: las.Header, records: np.ndarray) -> bytes:

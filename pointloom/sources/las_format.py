@@ -224,7 +224,7 @@ def pack_header(h: Header) -> bytes:
     raw[24:26] = bytes((1, 4))
     raw[26:58] = h.system.encode()[:32].ljust(32, b"\0")
     raw[58:90] = h.software.encode()[:32].ljust(32, b"\0")
-    struct.pack_into("<HIIBH", raw, 94, 375, 375 + len(body), len(h.vlrs), h.fmt, h.record_size)
+    struct.pack_into("<HIIBH", raw, 94, 375, 375 + len(body), len(h.vlrs), h.fmt | 0x80 * h.compressed, h.record_size)
     first = (h.by_return + [0] * 15)[:15]
     struct.pack_into("<I5I", raw, 107, h.count if old else 0, *(first[:5] if old else [0] * 5))
     lx, ly, lz, hx, hy, hz = h.bounds

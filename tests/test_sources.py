@@ -1,6 +1,7 @@
 """Readers and writers on files made here."""
 
 import json
+import struct
 from decimal import Decimal
 
 import numpy as np
@@ -11,9 +12,9 @@ from pointloom.functions.schema import POINT_IDX, Attribute, PointSchema
 from pointloom.operators import frame
 from pointloom.sources import ascii as text_points
 from pointloom.sources import las_format as fmt
-from pointloom.sources import raw
+from pointloom.sources import laz_codec, raw
 from pointloom.sources.dispatch import read_points, read_points_into, write_points
-from pointloom.sources.las import las_bytes, las_metadata, read_las, write_las
+from pointloom.sources.las import las_bytes, las_metadata, read_las, write_las, write_laz
 from pointloom.sources.pnts import PntsSource, pack_tile, pnts_metadata, read_pnts, read_tile, write_pnts
 from pointloom.sources.tileset import box_volume, check_tile, read_tileset, sphere_volume, tileset
 
@@ -104,12 +105,17 @@ def test_las_pruning_and_errors(spark, tmp_path):
     assert read_points_into(both, str(tmp_path / "a.las")).count() == 30
     (tmp_path / "c.laz").write_bytes(b"LASF")
     for bad in (tmp_path / "c.laz", tmp_path / "d.xyz"):
-        with pytest.raises(Exception, match="codec|no reader"):
+        with pytest.raises(Exception, match="no LAS file|no reader"):
             read_points(spark, str(bad)).count()
     with pytest.raises(ValueError):
         write_las(both, str(tmp_path / "o"), scale=(0.0, 1.0, 1.0))
     with pytest.raises(ValueError):
-        write_points(both, str(tmp_path / "o"), kind="laz")
+        write_points(both, str(tmp_path / "o"), kind="xyz")
+    (tmp_path / "e").mkdir()
+    las_file(tmp_path / "e" / "a.las", 0)
+    (tmp_path / "e" / "b.pnts").write_bytes(pack_tile({"POSITION": np.zeros((1, 3), np.float32)}, 1))
+    with pytest.raises(ValueError, match="different kinds"):
+        read_points(spark, str(tmp_path / "e"))
 
 
 def test_las_filters_are_pushed(spark, tmp_path):
@@ -307,3 +313,121 @@ def test_raw_attributes(spark):
     assert bytes(raw.raw_attribute(p, "Intensity").first()[1]) == b"\x01\x02" and bytes(raw.raw_attribute(p, "ColorRGB").first()[1]) == b"\1\0\2\0\xff\xff"
     with pytest.raises(ValueError):
         raw.raw_attribute(p, "NIR")
+
+
+def random_records(number, n, seed, smooth, extra=()):
+    """Records that change a little or in all bits. Formats 6 on have returns that exist, and channels."""
+    rng, dtype = np.random.default_rng(seed), fmt.record_dtype(number, list(extra))
+    raw, t = np.frombuffer(rng.bytes(n * dtype.itemsize), dtype).copy(), np.arange(n)
+    if smooth:
+        raw = np.zeros(n, dtype)
+        raw["x"], raw["y"], raw["z"] = t * 13 + rng.integers(-5, 5, n), t // 100 * 50, 1000 + rng.integers(-3, 3, n)
+        raw["Intensity"], raw["Classification"], raw["PointSourceID"], raw["UserData"] = rng.integers(0, 400, n), t // 50 % 3, t // 70, t // 30 % 2
+        raw["ScanAngle" if number >= 6 else "ScanAngleRank"] = t // 20 % 60 - 30
+        for name in {"GpsTime", "red", "green", "blue", "NIR"} & set(dtype.names):
+            raw[name] = 1e5 + t // 3 * 1e-5 + (t // 40 % 3) * 1e4 if name == "GpsTime" else t % 200 * 100
+        for name, _ in extra:
+            raw[name] = t % 7
+    numbers = rng.integers(1, 4 if smooth else 16, n)
+    returns = 1 + rng.integers(0, 99, n) % numbers
+    if number >= 6:
+        raw["flags"] = returns | numbers << 4 | (0 if smooth else rng.integers(0, 16, n) << 8 | rng.integers(0, 4, n) << 14) | t // 40 % 3 << 12
+    elif smooth:
+        raw["flags"] = returns | numbers << 3
+    return raw
+
+
+@pytest.mark.parametrize("number", [0, 1, 2, 3, 6, 7, 8])
+def test_coded_chunks_hold_their_records(number):
+    for smooth in (True, False):
+        for extra in ((), (("a", "u16"), ("b", "u8"))):
+            for n in (1, 2, 40, 700):
+                raw = random_records(number, n, n, smooth, extra)
+                data = laz_codec.encode_chunk(raw, number)
+                assert laz_codec.decode_chunk(data, n, raw.dtype, number).tobytes() == raw.tobytes()
+                assert laz_codec.decode_chunk(data, (n + 1) // 2, raw.dtype, number, n).tobytes() == raw[: (n + 1) // 2].tobytes()
+            assert smooth == (len(data) < raw.nbytes / 2)
+
+
+def test_coded_numbers():
+    """Sizes of chunks and single numbers of all widths; steps of time that leave and come back."""
+    rng = np.random.default_rng(2)
+    for sizes in ([], [5], rng.integers(0, 1 << 31, 300).tolist(), [7] * 300):
+        assert [s for _, s in laz_codec.unpack_table(laz_codec.pack_table(sizes), False)] == sizes
+    values = [0, 1, -1, 127, -128, 2**31 - 1, -(2**31), *rng.integers(-(2**31), 2**31, 200).tolist()]
+    coder, numbers = laz_codec.Encoder(), laz_codec.Integers(32)
+    for near, v in zip(values[1:], values, strict=False):
+        coder.integer(numbers, near, v)
+    coder, numbers = laz_codec.Decoder(coder.finish()), laz_codec.Integers(32)
+    assert [coder.integer(numbers, near) for near in values[1:]] == values[:-1]
+    for same in (True, False):
+        steps = [0, 1, 1, 1, 9, 500, 501, -3, -10, -11, 2**31, -(2**40), 2**40, 5, 7] * 20
+        times = np.cumsum(steps).tolist()
+        times = times if same else [v for i, v in enumerate(times) if not i or v != times[i - 1]]
+        coder, state = laz_codec.Encoder(), laz_codec.Times(3, same)
+        for v in times:
+            state.code(coder, v)
+        coder, state = laz_codec.Decoder(coder.finish()), laz_codec.Times(3, same)
+        assert [state.code(coder, 0) for _ in times] == times
+
+
+@pytest.mark.parametrize("number", [1, 3, 6, 8])
+def test_laz_files_are_their_las_twins(spark, tmp_path, number):
+    raw = random_records(number, 1000, number, True)
+    (tmp_path / "in").mkdir()
+    h = fmt.Header((1, 4), number, raw.dtype.itemsize, 1000, 0, (2**-10,) * 3, (0.0,) * 3, (-1.0, -1.0, 0.0, 99.0, 99.0, 9.0), [1000], [])
+    (tmp_path / "in" / "a.las").write_bytes(las_bytes(h, raw))
+    points = read_las(spark, str(tmp_path / "in"))
+    write_laz(points.repartitionByRange(3, POINT_IDX), str(tmp_path / "out"), fmt=number, scale=(2**-10,) * 3, chunk_size=60)
+    assert {p.suffix for p in (tmp_path / "out").iterdir() if p.name.startswith("part")} == {".laz"}
+    back = read_points(spark, str(tmp_path / "out"), pointsPerPartition=130)
+    assert BY_INDEX(back) == BY_INDEX(points) and back.columns == points.columns
+    parts = lambda d: d.rdd.getNumPartitions()
+    assert parts(back) >= 8
+    some = back.where((F.col(POINT_IDX) >= 250) & (F.col(POINT_IDX) < 300))
+    assert parts(some) <= 2 and [r[POINT_IDX] for r in BY_INDEX(some)] == list(range(250, 300))
+    assert las_metadata(spark, str(tmp_path / "out")).agg(F.sum("point_count")).first()[0] == 1000
+    (tmp_path / "out" / "b.las").write_bytes(las_bytes(h, raw))  # both kinds in one folder
+    assert read_points(spark, str(tmp_path / "out")).count() == 2000
+
+
+def test_laz_files_of_other_writers(spark, tmp_path):
+    """Chunks of varying sizes, the place of their table at the file's end; records that have no codec; files that end early."""
+    raw = random_records(0, 100, 0, True)
+    parts = [raw[:10], raw[10:75], raw[75:]]
+    how = laz_codec.Description(laz_codec.POINTWISE, laz_codec.WORD, laz_codec.items(0, 0))
+    vlr = fmt.Vlr(laz_codec.VLR_USER, laz_codec.VLR_RECORD, how.pack())
+    h = fmt.Header((1, 4), 0, 20, 100, 0, (0.001,) * 3, (0.0,) * 3, (-1.0, -1.0, 0.0, 99.0, 99.0, 9.0), [100], [vlr], compressed=True)
+    body = [laz_codec.encode_chunk(p, 0) for p in parts]
+    coder, numbers, was = laz_codec.Encoder(), laz_codec.Integers(32, 2), (0, 0)
+    for now in zip(map(len, parts), map(len, body), strict=True):
+        for context in (0, 1):
+            coder.integer(numbers, was[context], now[context], context)
+        was = now
+    head = fmt.pack_header(h)
+    table = struct.pack("<II", 0, 3) + coder.finish()
+    at = len(head) + 8 + sum(map(len, body))
+    (tmp_path / "a.laz").write_bytes(head + struct.pack("<q", -1) + b"".join(body) + table + struct.pack("<q", at))
+    back = read_las(spark, str(tmp_path / "a.laz"), pointsPerPartition=1, exact=True)
+    assert back.rdd.getNumPartitions() == 3
+    assert [r["LASLocalPosition"]["x"] for r in BY_INDEX(back)] == raw["x"].tolist()
+    whole = (tmp_path / "a.laz").read_bytes()
+    (tmp_path / "b.laz").write_bytes(whole[: len(head)] + struct.pack("<q", at) + whole[len(head) + 8 : at - 40])
+    with pytest.raises(Exception):  # noqa: B017
+        read_las(spark, str(tmp_path / "b.laz")).count()
+    for number in (4, 9):
+        with pytest.raises(ValueError, match="no codec"):
+            write_laz(read_las(spark, las_file(tmp_path / f"{number}.las", number)), str(tmp_path / "o"))
+    bad = random_records(6, 5, 1, True)
+    bad["flags"] = 3 | 2 << 4
+    with pytest.raises(ValueError, match="return 3 of 2"):
+        laz_codec.encode_chunk(bad, 6)
+
+
+def test_laz_of_no_points_and_extra_attributes(spark, tmp_path):
+    points = read_las(spark, las_file(tmp_path / "a.las", 0, extra=(("height", "f32"),), vlrs=[fmt.Vlr("LASF_Spec", 4, fmt.ExtraField("height", "f32").pack())]))
+    write_laz(points, str(tmp_path / "o"), extra=("height",), chunk_size=4)
+    assert BY_INDEX(read_las(spark, str(tmp_path / "o"))) == BY_INDEX(points)
+    write_laz(points.where("false"), str(tmp_path / "none"))
+    empty = read_las(spark, str(tmp_path / "none"))
+    assert empty.count() == 0 and "Intensity" in empty.columns
