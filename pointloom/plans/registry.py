@@ -373,6 +373,31 @@ def points_in_boxes(spark, sf_dir):
     return joins.points_in_boxes(event_points(spark, sf_dir), nation_boxes(spark, sf_dir), 20.0).select("box_id", POINT_IDX)
 
 
+#: A box for each supplier, from a thousandth to a million times as wide as the next: corners from the account, sizes from the number.
+SUPPLIER_BOX = """sb AS (SELECT s_suppkey AS box_id, s_acctbal / 50 AS lx, s_suppkey % 30 AS ly, 0.0 AS lz, pow(10.0, s_suppkey % 10 - 3) AS w FROM supplier),
+  bx AS (SELECT box_id, lx, ly, lz, lx + w AS hx, ly + 1 AS hy, lz + w * 10 AS hz FROM sb)"""
+
+
+def supplier_boxes(spark, sf_dir):
+    key, w = F.col("s_suppkey"), F.pow(F.lit(10.0), F.col("s_suppkey") % 10 - 3)
+    low = geometry.vec(F.col("s_acctbal") / 50, (key % 30).cast("double"), F.lit(0.0))
+    high = geometry.vec(F.col("s_acctbal") / 50 + w, key % 30 + 1.0, w * 10)
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(key.cast("long").alias("box_id"), geometry.box_unchecked(low, high).alias("box"))
+
+
+@query(f"WITH {EV}, {SUPPLIER_BOX} SELECT CAST(box_id AS BIGINT) AS box_id, point_idx FROM ev JOIN bx ON x BETWEEN lx AND hx AND y BETWEEN ly AND hy AND z BETWEEN lz AND hz")
+def points_in_mixed_boxes(spark, sf_dir):
+    """Boxes of very different sizes, each in few cells of the level of its size."""
+    return joins.points_in_boxes(event_points(spark, sf_dir), supplier_boxes(spark, sf_dir), 1.0).select("box_id", POINT_IDX)
+
+
+@query(f"""WITH {SUPPLIER_BOX} SELECT CAST(a.box_id AS BIGINT) AS box_id, CAST(b.box_id AS BIGINT) AS box_id_right FROM bx a JOIN bx b
+  ON a.lx <= b.hx AND a.hx >= b.lx AND a.ly <= b.hy AND a.hy >= b.ly AND a.lz <= b.hz AND a.hz >= b.lz""")
+def mixed_boxes_intersect(spark, sf_dir):
+    b = supplier_boxes(spark, sf_dir)
+    return joins.boxes_intersecting(b, b, 1.0).select("box_id", "box_id_right")
+
+
 @query(f"""WITH {NATION_BOX} SELECT CAST(a.box_id AS BIGINT) AS box_id, CAST(b.box_id AS BIGINT) AS box_id_right FROM bx a JOIN bx b
   ON a.lx <= b.hx AND a.hx >= b.lx AND a.ly <= b.hy AND a.hy >= b.ly AND a.lz <= b.hz AND a.hz >= b.lz""")
 def aabb_intersects_join(spark, sf_dir):

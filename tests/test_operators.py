@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions.schema import POINT_IDX, Attribute, PointSchema
-from pointloom.operators import aggregates, frame, hull, joins, normals, ransac, reproject, voxel
+from pointloom.operators import aggregates, frame, hull, joins, neighbours, normals, ransac, reproject, voxel
 from pointloom.operators.convert import LayoutConverter
 
 POSITION = PointSchema.of("Position3D")
@@ -227,3 +227,65 @@ def test_points_written_over_others(spark):
     assert [r["Position3D"]["x"] for r in frame.attribute_range(p, "Position3D", 1, 3, "vec3i32").orderBy(POINT_IDX).collect()] == [1, 2]
     with pytest.raises(ValueError):
         frame.write_at(p, p, -1)
+
+
+def brute_neighbours(p, k):
+    d = ((p[:, None] - p[None]) ** 2).sum(-1)
+    return {(i, r + 1): j for i, row in enumerate(d) for r, j in enumerate(np.lexsort((np.arange(len(row)), row))[:k].tolist())}
+
+
+@pytest.mark.parametrize(("leaf", "block", "k"), [(40, 8, 5), (25, 16, 1), (60, 128, 7)])
+def test_knn_across_leaves(spark, monkeypatch, leaf, block, k):
+    """Many leaves and blocks, clusters of all widths, points far outside, copies, and positions on a grid, which tie."""
+    monkeypatch.setattr(neighbours, "LEAF", leaf)
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = np.random.default_rng(leaf)
+    p = np.concatenate([rng.normal(size=(200, 3)), rng.normal(size=(150, 3)) * 1e-5 + 3, rng.integers(0, 4, (200, 3)), np.repeat([[1.5, 1.5, 1.5]], 20, 0), [[1e9, 0, 0], [-1e12, 1e9, 4]]])
+    found = joins.knn(points(spark, p), k).collect()
+    assert {(r[POINT_IDX], r["rank"]): r["neighbour"] for r in found} == brute_neighbours(p, k)
+
+
+def test_knn_of_positions_that_are_not_finite(spark):
+    p = [(0, 0, 0), (1, 0, 0), (NAN, 0, 0), (0, INF, 0), (5, 0, 0), (0, 0, -INF)]
+    found = joins.knn(points(spark, p), 3).collect()
+    assert {r[POINT_IDX] for r in found} == {0, 1, 4} == {r["neighbour"] for r in found} and len(found) == 9
+    with pytest.raises(ValueError):
+        joins.knn(points(spark, p), 4)
+
+
+def test_tree_leaves_are_even_whatever_the_extent():
+    rng = np.random.default_rng(1)
+    p = np.concatenate([rng.normal(size=(20_000, 3)), rng.normal(size=(20, 3)) * 1e9])
+    tree = neighbours.Tree(p[::10], 5)
+    assert np.bincount(tree.leaf(p), minlength=32).max() < 2.5 * len(p) / 32
+    parts = neighbours.blocks(p)
+    assert sorted(np.concatenate(parts).tolist()) == list(range(len(p))) and max(map(len, parts)) <= neighbours.BLOCK
+
+
+def boxes_of(spark, rows):
+    vector = "struct<x:double,y:double,z:double>"
+    return spark.createDataFrame([(i, (tuple(map(float, a)), tuple(map(float, b)))) for i, (a, b) in enumerate(rows)], f"id long, box struct<min:{vector},max:{vector}>")
+
+
+@pytest.mark.parametrize("cell", [0.5, 3.0])
+def test_boxes_of_mixed_sizes(spark, cell):
+    rng = np.random.default_rng(4)
+    low = rng.uniform(-50, 50, (60, 3))
+    size = 10.0 ** rng.uniform(-3, 6, (60, 3))
+    boxes = [(tuple(a), tuple(a + s)) for a, s in zip(low, size, strict=True)]
+    boxes += [((-INF, -INF, -INF), (INF, INF, INF)), ((0, 0, 0), (INF, 1, 1)), ((3, 3, 3), (3, 3, 3)), ((1, 1, 1), (-1, 2, 2)), ((NAN, 0, 0), (1, 1, 1)), ((-1e300, 0, 0), (1e300, 1, 1))]
+    p = np.concatenate([rng.uniform(-60, 60, (150, 3)), low[:20], [[3, 3, 3], [INF, 0.5, 0.5], [NAN, 0, 0], [1e200, 0.5, 0.5]]])
+    holds = lambda b, q: all(x <= y <= z for x, y, z in zip(b[0], q, b[1], strict=True))
+    got = sorted((r["id"], r[POINT_IDX]) for r in joins.points_in_boxes(points(spark, p), boxes_of(spark, boxes), cell).collect())
+    assert got == [(i, j) for i, b in enumerate(boxes) for j, q in enumerate(p.tolist()) if holds(b, q)]
+    right = boxes[::3] + [((2, 2, 2), (2.5, 1000, 2.5))]
+    proper = lambda b: all(x <= y for x, y in zip(*b, strict=True))
+    meet = lambda a, b: proper(a) and proper(b) and all(a[0][i] <= b[1][i] and a[1][i] >= b[0][i] for i in range(3))
+    found = joins.boxes_intersecting(boxes_of(spark, boxes), boxes_of(spark, right), cell)
+    assert sorted((r["id"], r["id_right"]) for r in found.collect()) == [(i, j) for i, a in enumerate(boxes) for j, b in enumerate(right) if meet(a, b)]
+
+
+def test_large_boxes_are_listed_in_few_cells(spark):
+    rows = joins.listed(boxes_of(spark, [((0, 0, 0), (100, 100, 100)), ((-1e9, 0, 0), (1e9, 1, 1)), ((0.1, 0.1, 0.1), (0.2, 0.2, 0.2))]), 1.0).groupBy("id").count().collect()
+    assert max(r["count"] for r in rows) < 100 and joins.levels(boxes_of(spark, [((0, 0, 0), (1, 1, 1)), ((0, 0, 0), (100, 1, 1))]), 1.0) == [0, 6]
+    assert joins.points_in_boxes(points(spark, [(0, 0, 0)]), boxes_of(spark, []), 1.0).count() == 0
