@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..functions.casts import point_cast
 from ..functions.schema import BUILTIN, POINT_IDX, Attribute, PointSchema
 from ..operators import aggregates, frame, hull, joins, normals, ransac, reproject, voxel
 from ..operators.convert import LayoutConverter
+from ..operators.materialize import stable
 from ..sources import ascii as ascii_points
 from ..sources import las_format
 from ..sources.dispatch import read_points, write_points
@@ -611,6 +613,28 @@ def convex_hull_mesh(spark, sf_dir):
     return hull.hull_mesh(embedding_points(spark, sf_dir))
 
 
+@query("SELECT count(*) AS n_points, 0 AS beyond, 0 AS open_sides, true AS by_euler FROM embeddings")
+def convex_hull_check(spark, sf_dir):
+    """The mesh against all points: none lies beyond a triangle, each side has two triangles, and triangles are 2 v - 4."""
+    p = embedding_points(spark, sf_dir)
+    mesh, at = stable(hull.hull_mesh(p)), flat(p)
+    corner = lambda c: at.select(F.col(POINT_IDX).alias(c), geometry.vec(*[F.col(a) for a in "xyz"]).alias(f"p{c}"))
+    placed = mesh
+    for c in "abc":
+        placed = placed.join(corner(c), c)
+    planes = placed.select("pa", geometry.cross(geometry.sub(F.col("pb"), F.col("pa")), geometry.sub(F.col("pc"), F.col("pa"))).alias("n"))
+    # All points against the planes in blocks of about a thousand, a scan for each block: the planes are a query set.
+    n_blocks = -(-mesh.count() // 1000)
+    planes = stable(planes.select("pa", "n", geometry.norm(F.col("n")).alias("size"), F.pmod(F.xxhash64("pa", "n"), F.lit(n_blocks)).alias("block")))
+    height = geometry.dot(geometry.sub(geometry.vec(*[F.col(a) for a in "xyz"]), F.col("pa")), F.col("n"))
+    above = [at.join(F.broadcast(planes.where(F.col("block") == i)), height > 1e-9 * F.col("size")).agg(F.count("*").alias("beyond")) for i in range(n_blocks)]
+    over = reduce(DataFrame.union, above).agg(F.sum("beyond").cast("int").alias("beyond")).join(at.agg(F.count("*").alias("n_points")))
+    sides = mesh.select(F.explode(F.array(*[F.struct(F.least(u, v), F.greatest(u, v)) for u, v in (("a", "b"), ("b", "c"), ("c", "a"))])).alias("s")).groupBy("s").count()
+    open_ = sides.agg(F.count(F.when(F.col("count") != 2, 1)).cast("int").alias("open_sides"))
+    corners = mesh.agg(F.count("*").alias("f")).join(mesh.select(F.explode(F.array("a", "b", "c")).alias("v")).agg(F.countDistinct("v").alias("v")))
+    return over.join(open_).join(corners.select((F.col("f") == 2 * F.col("v") - 4).alias("by_euler")))
+
+
 ALBERS = """c AS (SELECT sqrt(e2) AS e, e2, f2.* FROM (SELECT (2 - f) * f AS e2 FROM (SELECT 1 / 298.257222101 AS f)), (SELECT radians(29.5) AS p1, radians(45.5) AS p2, radians(23) AS p0) f2),
   m AS (SELECT *, cos(p1) * cos(p1) / (1 - e2 * sin(p1) * sin(p1)) AS m1, cos(p2) * cos(p2) / (1 - e2 * sin(p2) * sin(p2)) AS m2, {q1} AS q1, {q2} AS q2, {q0} AS q0 FROM c),
   n AS (SELECT *, (m1 - m2) / (q2 - q1) AS n FROM m), k AS (SELECT *, m1 + n * q1 AS k FROM n)""".format(

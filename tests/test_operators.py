@@ -289,3 +289,40 @@ def test_large_boxes_are_listed_in_few_cells(spark):
     rows = joins.listed(boxes_of(spark, [((0, 0, 0), (100, 100, 100)), ((-1e9, 0, 0), (1e9, 1, 1)), ((0.1, 0.1, 0.1), (0.2, 0.2, 0.2))]), 1.0).groupBy("id").count().collect()
     assert max(r["count"] for r in rows) < 100 and joins.levels(boxes_of(spark, [((0, 0, 0), (1, 1, 1)), ((0, 0, 0), (100, 1, 1))]), 1.0) == [0, 6]
     assert joins.points_in_boxes(points(spark, [(0, 0, 0)]), boxes_of(spark, []), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["sphere", "ball", "grid", "stretched"])
+def test_hull_by_sectors(spark, monkeypatch, shape):
+    """Sectors find what one task finds, and their triangles close and hold all points."""
+    rng = np.random.default_rng(3)
+    p = rng.normal(size=(1500, 3))
+    if shape in ("sphere", "stretched"):
+        p /= np.linalg.norm(p, axis=1, keepdims=True)
+    if shape == "stretched":
+        p = np.concatenate([p * [1000, 1, 0.01] + 7, rng.normal(size=(300, 3)) * 1e-3])
+    if shape == "grid":
+        p = rng.integers(0, 9, (1500, 3)).astype(float)
+    whole, faces = hull.hull_faces(p)
+    monkeypatch.setattr(hull, "SECTOR", 150)
+    monkeypatch.setattr(hull, "CHUNK", 100)
+    got = [r[POINT_IDX] for r in hull.hull_vertices(points(spark, p).repartition(3)).collect()]
+    assert len(got) == len(set(got))
+    if shape != "grid":  # copies and points on edges: either is a vertex
+        assert sorted(got) == sorted(whole)
+    else:
+        corners = p[np.isin(p, (0, 8)).all(1)]
+        assert len(corners) and {tuple(v) for v in corners.tolist()} <= {tuple(v) for v in p[got].tolist()}
+    mesh = np.array([tuple(r) for r in hull.hull_mesh(points(spark, p).repartition(3)).collect()])
+    n, d = hull.planes(p, mesh)
+    assert (p @ n.T - d).max() < 1e-7 * np.abs(p).max() and (shape == "grid" or len(mesh) == len(faces))
+    edges = {(int(a), int(b)) for f in mesh for a, b in zip(f, np.roll(f, -1), strict=True)}
+    assert len(edges) == 3 * len(mesh) and all((b, a) in edges for a, b in edges)
+
+
+def test_hull_of_positions_that_are_not_finite(spark):
+    rng = np.random.default_rng(5)
+    p = rng.normal(size=(50, 3))
+    odd = np.concatenate([p, [[NAN, 0, 0], [0, INF, 0], [0, 0, -INF]]])
+    assert sorted(r[POINT_IDX] for r in hull.hull_vertices(points(spark, odd)).collect()) == sorted(hull.hull_faces(p)[0])
+    assert hull.hull_mesh(points(spark, odd)).count() == len(hull.hull_faces(p)[1])
+    assert hull.hull_vertices(points(spark, [(NAN, 0, 0)])).count() == 0
