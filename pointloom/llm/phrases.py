@@ -6,8 +6,9 @@ merged by key over all shards, one length after the other, for a phrase can only
 
 * Frequent phrases have names. What the merge of length n finds goes back to the shards that hold the phrase; a shard then counts phrases of n + 1 words
   only where the two phrases of n words inside have names, and the two names are the key: a phrase is known exactly, no hash stands for it.
-* A shard sends a key once with its count, so a phrase that is everywhere meets as many rows as there are shards, and a key's rows are
-  small: two names, a place and a count. The place of smallest number in the group is the phrase's name.
+* A shard sends a key once with its count, so a phrase that is everywhere meets as many counts as there are shards. What a shard sends of
+  phrases with the same beginning travels together, in as many rows as the beginning is frequent, so that no beginning fills a task. The place of
+  smallest number among equal keys is the phrase's name.
 * The tables of frequent phrases take their texts and the counts of their beginnings and ends from the tables one word shorter by joins on names.
 
 So all counts are over all documents, nothing is collected by the driver and nothing broadcast that grows. A shard is SHARD bytes of text (one document, if
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import remove_path, scratch
 from .suffixes import common, suffix_ranks
 
-SHARD, HELD = 8 << 20, 48 << 20
+SHARD, HELD, MOST_FILES = 8 << 20, 48 << 20, 50_000
 #: Bits of a place inside a shard, and of a shard's number inside its partition; the rest of 63 bits is the partition's.
 PLACE, SERIAL = 28, 15
+#: Occurrences of a beginning for each row of a shard that its phrases are dealt to.
+SPREAD = 1 << 16
 #: Breaks become new lines, tabs blanks, letters small.
 _table = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -102,6 +105,14 @@ def phrase_counts(ids: np.ndarray, n: int, places: np.ndarray, names: np.ndarray
 
     places and names: a place of each named phrase of n - 1 words (of single words, their number) and its name.
     """
+    kept = None
+    if n > 2:  # other words than those of named phrases end pieces
+        inside = np.zeros(int(ids.max()) + 2, bool)
+        inside[ids[places[:, None] + np.arange(n - 1)]] = True
+        inside[-1] = False
+        word = inside[ids]
+        kept = np.flatnonzero(word | np.append(False, word[:-1]))
+        ids, places = np.where(word, ids, -1)[kept], np.searchsorted(kept, places)
     keys = np.append(ids, -1).astype(np.int64)
     breaks = np.flatnonzero(keys < 0)
     room = breaks[np.searchsorted(breaks, np.arange(len(keys)))] - np.arange(len(keys))
@@ -125,7 +136,11 @@ def phrase_counts(ids: np.ndarray, n: int, places: np.ndarray, names: np.ndarray
     at, counts = at[long], counts[long]
     known = (name[at] >= 0) & (name[at + 1] >= 0)
     at, counts = at[known], counts[known]
-    return at, name[at], name[at + 1], counts
+    return at if kept is None else kept[at], name[at], name[at + 1], counts
+
+
+#: A row for phrases of a shard with the same beginning.
+COUNTED = "p long, part long, s array<long>, at array<long>, count array<long>"
 
 
 def _phrases(n: int):
@@ -134,9 +149,16 @@ def _phrases(n: int):
             for i in range(batch.num_rows):
                 shard = batch.column(0)[i].as_py()
                 ids = np.frombuffer(_open(batch.column(1)[i].as_py()), np.int32)
-                places, names = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
-                at, *rest = phrase_counts(ids, n, places & ((1 << PLACE) - 1), names)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in ((shard << PLACE) + at, *rest)], names=["at", "p", "s", "count"])
+                places, names, sizes = (batch.column(c)[i].values.to_numpy() for c in (2, 3, 4))
+                at, p, s, count = phrase_counts(ids, n, places & ((1 << PLACE) - 1), names)
+                by = np.argsort(names)
+                part = s % (1 + sizes[by][np.searchsorted(names[by], p)] // SPREAD)
+                order = np.lexsort((s, part, p))
+                p, part = p[order], part[order]
+                first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (part[1:] != part[:-1])))[: len(p)]
+                ends = pa.array(np.append(first, len(p)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (s, (shard << PLACE) + at, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(p[first]), pa.array(part[first]), *lists], names=["p", "part", "s", "at", "count"])
 
     return work
 
@@ -165,7 +187,13 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
         return spark.read.parquet(path), path
 
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    shards, shards_at = stored(texts.mapInArrow(_shards, "shard long, lang string, n_words long, words binary, ids binary"), "shards")
+    # One table for all lengths, bucketed by shard (a file for each): only what is told to the shards is shuffled to them.
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files, shards_name = min(max(1, -(-total // SHARD)), MOST_FILES), f"pointloom_{mine.replace('-', '_')}"
+    gathered = texts.mapInArrow(_shards, "shard long, lang string, n_words long, words binary, ids binary")
+    shards_at = scratch(spark, shards_name, table=True)
+    gathered.write.bucketBy(files, "shard").option("path", shards_at).saveAsTable(shards_name)
+    shards = spark.table(shards_name)
     sizes, _ = stored(shards.groupBy("lang").agg(F.sum("n_words").alias("n")), "sizes")
 
     def frequent(counted: DataFrame, *key: str) -> DataFrame:
@@ -179,11 +207,12 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
     known, _ = stored(found.where("at = name").select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("before"), none.alias("behind")), "known-1")
     tables: list[DataFrame] = []
     for n in range(2, longest + 1):
-        told = found.groupBy(F.shiftright("at", PLACE).alias("shard")).agg(F.collect_list(F.struct("at", "name")).alias("told"))  # one shard's phrases
-        asked = shards.select("shard", "ids").join(told, "shard").select("shard", "ids", F.col("told.at").alias("places"), F.col("told.name").alias("names"))
-        counted = asked.mapInArrow(_phrases(n), "at long, p long, s long, count long")
+        told = found.groupBy(F.shiftright("at", PLACE).alias("shard")).agg(F.collect_list(F.struct("at", "name", "a")).alias("told"))  # one shard's phrases
+        asked = shards.select("shard", "ids").join(told, "shard").select("shard", "ids", F.col("told.at").alias("places"), F.col("told.name").alias("names"), F.col("told.a").alias("sizes"))
+        sent = asked.mapInArrow(_phrases(n), COUNTED).repartition("p", "part")
+        counted = sent.select("p", "part", F.inline(F.arrays_zip("s", "at", "count")))
         used = found_at
-        found, found_at = stored(frequent(counted, "p", "s"), f"found-{n}")
+        found, found_at = stored(frequent(counted, "p", "part", "s"), f"found-{n}")
         remove_path(spark, used)
         part = lambda c, k=known: k.select(*[F.col(x).alias(f"{c}_{x}") for x in k.columns])
         both = found.where("at = name").select("name", "p", "s", "a").join(part("p"), F.col("p") == F.col("p_name")).join(part("s"), F.col("s") == F.col("s_name"))
@@ -196,6 +225,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
         )
         known = table.drop("p", "s")
         tables.append(table)
+    spark.sql(f"DROP TABLE {shards_name}")
     for path in (found_at, shards_at):
         remove_path(spark, path)
     kept = [_outstanding(t, longer, percent) for t, longer in zip(tables, [*tables[1:], None], strict=True)]
