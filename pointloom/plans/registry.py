@@ -781,6 +781,16 @@ def pnts_tileset(spark, sf_dir):
     return counted.join(root.select(*[c.alias(n) for n, c in half.items()]))
 
 
+@query(f"WITH {EV} SELECT point_idx, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z FROM ev WHERE CAST(x AS FLOAT) > 100 AND CAST(z AS FLOAT) <= 500")
+def tileset_points(spark, sf_dir):
+    """Points of a tileset's tiles whose boxes a filter leaves."""
+    path = scratch(spark, "pnts")
+    write_pnts(event_points(spark, sf_dir), path)
+    p = read_points(spark, f"{path}/tileset.json")
+    some = p.where((F.col("Position3D.x") > 100) & (F.col("Position3D.z") <= 500))
+    return flat(some).drop("y")
+
+
 @query(f"WITH {EV} SELECT point_idx, x, z, CAST(cls AS INTEGER) AS classification, gps AS gps_time FROM ev")
 def raw_roundtrip(spark, sf_dir):
     """Binary records without a header."""

@@ -10,8 +10,11 @@ from ..operators.frame import append, write_at
 from .files import list_files
 from .las import read_las, write_las, write_laz
 from .pnts import read_pnts, write_pnts
+from .tileset_points import read_tileset_points
 
 READERS = {"las": read_las, "laz": read_las, "pnts": read_pnts}
+#: A tileset file names its tiles; in a folder of tiles it is no data file.
+TREES = {"json": read_tileset_points}
 WRITERS = {"las": write_las, "laz": write_laz, "pnts": write_pnts}
 
 
@@ -29,7 +32,7 @@ def read_points(spark: SparkSession, path: str, layout: PointSchema | None = Non
 
     Text files have no extension of their own: see ascii.read_ascii.
     """
-    reader = READERS.get(extension(path))
+    reader = (READERS | TREES).get(extension(path))
     if reader is None:
         raise ValueError(f"{path}: no reader for the extension {extension(path)!r}")
     points = reader(spark, path, **options)

@@ -16,6 +16,7 @@ from pointloom.sources import laz_codec, raw
 from pointloom.sources.dispatch import read_points, read_points_into, write_points
 from pointloom.sources.las import las_bytes, las_metadata, read_las, write_las, write_laz
 from pointloom.sources.pnts import PntsSource, pack_tile, pnts_metadata, read_pnts, read_tile, write_pnts
+from pointloom.sources.tileset_points import contents, read_tileset_points, region_box, volume_box
 from pointloom.sources.tileset import box_volume, check_tile, read_tileset, sphere_volume, tileset
 
 SIZES = [20, 28, 26, 34, 57, 63, 30, 36, 38, 59, 67]
@@ -431,3 +432,85 @@ def test_laz_of_no_points_and_extra_attributes(spark, tmp_path):
     write_laz(points.where("false"), str(tmp_path / "none"))
     empty = read_las(spark, str(tmp_path / "none"))
     assert empty.count() == 0 and "Intensity" in empty.columns
+
+
+def turned(angle, scale, at):
+    """A transform by columns: turned about z, scaled, moved."""
+    c, s = scale * np.cos(angle), scale * np.sin(angle)
+    return [c, s, 0, 0, -s, c, 0, 0, 0, 0, scale, 0, *at, 1]
+
+
+def tree_of_tiles(tmp_path):
+    """A root that children add to, a tile that its child replaces, and an external tileset under a transform."""
+    rng = np.random.default_rng(6)
+    tiles = {n: rng.uniform(0, 10, (20, 3)).astype(np.float32) for n in ("root", "coarse", "fine", "far")}
+    (tmp_path / "sub").mkdir()
+    for name, at in tiles.items():
+        path = tmp_path / "sub" / "far.pnts" if name == "far" else tmp_path / f"{name}.pnts"
+        path.write_bytes(pack_tile({"POSITION": at, "NORMAL": at * 0 + [1, 0, 0]}, 20, [1.0, 0.0, 0.0] if name == "far" else None))
+    box = box_volume([0.0] * 3, [11.0] * 3)
+    fine = {"boundingVolume": box, "geometricError": 0, "content": {"uri": "fine.pnts"}}
+    coarse = {"boundingVolume": box, "geometricError": 4, "refine": "REPLACE", "content": {"uri": "coarse.pnts"}, "transform": turned(0, 1, [100, 0, 0]), "children": [fine]}
+    outer = {"boundingVolume": box_volume([-20.0] * 3, [20.0] * 3), "geometricError": 2, "transform": turned(np.pi / 2, 2, [0, 1000, 5]), "content": {"uri": "sub/tileset.json"}}
+    root = {"boundingVolume": sphere_volume([0.0] * 3, 5000.0), "geometricError": 9, "refine": "ADD", "content": {"uri": "root.pnts", "boundingVolume": box}, "children": [coarse, outer]}
+    (tmp_path / "tileset.json").write_text(json.dumps(tileset(root, 9.0)))
+    (tmp_path / "sub" / "tileset.json").write_text(json.dumps(tileset({"boundingVolume": box, "geometricError": 0, "content": {"uri": "far.pnts"}, "transform": turned(0, 1, [0, 0, 3])}, 1.0)))
+    x, y, z = (tiles["far"].astype(float) + [1, 0, 0]).T
+    where = {"root": tiles["root"].astype(float), "coarse": tiles["coarse"] + [100.0, 0, 0], "fine": tiles["fine"] + [100.0, 0, 0], "far": np.stack([-2 * y, 2 * x + 1000, 2 * (z + 3) + 5], 1)}
+    return str(tmp_path / "tileset.json"), where
+
+
+def test_points_of_a_tileset(spark, tmp_path):
+    path, where = tree_of_tiles(tmp_path)
+    at = lambda d: np.array([tuple(r["Position3D"]) for r in BY_INDEX(d)])
+    points = read_points(spark, path)
+    assert np.allclose(at(points), np.concatenate([where[n] for n in ("root", "fine", "far")]), atol=1e-9)
+    assert [r[POINT_IDX] for r in BY_INDEX(points)] == list(range(60))
+    assert np.allclose([tuple(r["Normal"]) for r in BY_INDEX(points)][-20:], [(0, 1, 0)] * 20, atol=1e-6)
+    assert np.allclose(at(read_points(spark, path, geometricError=4)), np.concatenate([where[n] for n in ("root", "coarse", "far")]), atol=1e-9)
+    parts = lambda d: d.rdd.getNumPartitions()
+    assert parts(points) == 3
+    x, y = F.col("Position3D.x"), F.col("Position3D.y")
+    for keep, tiles, most in ((x > 90, ("fine",), 1), ((y > 500) & (x <= 0), ("far",), 1), (x > 1e6, (), 0), (y < 50, ("root", "fine"), 2), (F.col("Position3D.z") < 5, ("root", "fine"), 2)):
+        some, all_ = points.where(keep), read_tileset_points(spark, path, pushdown=False).where(keep)
+        assert BY_INDEX(some) == BY_INDEX(all_) and parts(some) <= max(most, 1)
+        assert sum(len(where[t]) for t in tiles) >= some.count()
+    (tmp_path / "sub" / "tileset.json").unlink()  # a branch that is cut isn't opened
+    assert read_points(spark, path, maxY=500).count() == 40
+    with pytest.raises(Exception):  # noqa: B017
+        read_points(spark, path).count()
+
+
+def test_tilesets_that_refer_to_each_other_raise(tmp_path):
+    box = box_volume([0.0] * 3, [1.0] * 3)
+    (tmp_path / "a.json").write_text(json.dumps(tileset({"boundingVolume": box, "geometricError": 1, "content": {"uri": "a.json"}}, 1.0)))
+    with pytest.raises(ValueError, match="nest"):
+        contents(str(tmp_path / "a.json"), [(-np.inf, np.inf)] * 3)
+    (tmp_path / "b.json").write_text(json.dumps(tileset({"boundingVolume": box, "geometricError": 1, "content": {"uri": "mesh.b3dm"}}, 1.0)))
+    with pytest.raises(ValueError, match="no point tile"):
+        contents(str(tmp_path / "b.json"), [(-np.inf, np.inf)] * 3)
+
+
+def test_boxes_of_volumes_hold_them():
+    rng = np.random.default_rng(7)
+    for _ in range(60):
+        west, south = rng.uniform(-np.pi, np.pi), rng.uniform(-np.pi / 2, np.pi / 2)
+        east, north = west + rng.uniform(0, 3), min(np.pi / 2, south + rng.uniform(0, 2))
+        low, high = -100.0, 3000.0
+        lon, lat, h = rng.uniform(west, east, 300), rng.uniform(south, north, 300), rng.uniform(low, high, 300)
+        n = 6378137.0 / np.sqrt(1 - 0.0066943799901413165 * np.sin(lat) ** 2)
+        p = np.stack([(n + h) * np.cos(lat) * np.cos(lon), (n + h) * np.cos(lat) * np.sin(lon), (n * (1 - 0.0066943799901413165) + h) * np.sin(lat)], 1)
+        east = east - 2 * np.pi if east > np.pi else east
+        a, b = region_box(west, south, east, north, low, high)
+        assert (p >= a - 1e-6).all() and (p <= b + 1e-6).all()
+        m = np.eye(4)
+        m[:3] = rng.normal(size=(3, 4))
+        half = rng.normal(size=(3, 3))
+        inside = rng.uniform(-1, 1, (200, 3)) @ half + [1, 2, 3]
+        a, b = volume_box({"box": [1, 2, 3, *half.ravel()]}, m)
+        q = inside @ m[:3, :3].T + m[:3, 3]
+        assert (q >= a - 1e-9).all() and (q <= b + 1e-9).all()
+        u = rng.normal(size=(200, 3))
+        q = ([1, 2, 3] + 2 * u / np.linalg.norm(u, axis=1, keepdims=True)) @ m[:3, :3].T + m[:3, 3]
+        a, b = volume_box({"sphere": [1, 2, 3, 2]}, m)
+        assert (q >= a - 1e-9).all() and (q <= b + 1e-9).all()
