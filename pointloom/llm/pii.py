@@ -6,8 +6,11 @@ document, different values different ones, and separators stay. Candidates that
 
     card    digits after the issuer's four, new check digit     phone  999 x 9990000 over area, exchange and line
     ipv4    2^16 x 2^16                                         ssn    88902 x 9999 over all valid numbers
-    date    189 x 773 = 146097 days from 1800-01-01             email  keyed hashes of the local part and of the domain
+    date    400 years from 1800, by the day of the month: 4800  email  keyed hashes of the local part and of the domain
+            x 12 (1 to 12), 4800 x 16 (13 to 28), 21 x 557 (29 on)
 
+Dates are permuted among days of the same of the three kinds, in every format, so the order of a date with slashes can be written as it was read: equal
+dates stay linked across formats, and what is read as day/month (a first number above 12) is read so again.
 A phone number is valid if neither its area code nor its exchange is 000: number plans differ too much between countries for more.
 Of an email's domain at most LABELS labels of LABEL characters, as the DNS has them, and the last label after them belong to the match.
 
@@ -178,7 +181,7 @@ def ssn(key: str, m: Column, decrypt: bool) -> Column:
 
 
 def date_format(m: Column) -> Column:
-    """ISO, day.month.year, and month/day/year unless only day/month/year is a date."""
+    """ISO, day.month.year, and month/day/year unless the first number is above 12: then day/month/year."""
     return F.when(m.rlike("^[0-9]{4}-"), F.lit("yyyy-MM-dd")).when(m.contains("."), F.lit("dd.MM.yyyy")).when(m.substr(F.lit(1), F.lit(2)).cast("int") > 12, F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
 
 
@@ -196,18 +199,41 @@ def date_valid(m: Column) -> Column:
     return F.coalesce(day_number(m).between(0, DAYS - 1), F.lit(False))
 
 
-def date(key: str, m: Column, decrypt: bool) -> Column:
-    n = day_number(m)
-    out = feistel(key, "date", F.call_function("div", n, F.lit(773)), F.pmod(n, F.lit(773)), F.lit(189), F.lit(773), decrypt)
-    day = lambda s: F.date_add(F.lit(DAY_ZERO).cast("date"), (s["l"] * 773 + s["r"]).cast("int"))
+def month_start(month: Column) -> Column:
+    return F.add_months(F.lit(DAY_ZERO).cast("date"), month.cast("int"))
+
+
+def late_before(month: Column) -> Column:
+    """Days from the 29th on in the months before this one."""
+    return F.datediff(month_start(month), F.lit(DAY_ZERO).cast("date")) - 28 * month
 
-    def show(s: Column) -> Column:
-        # A month/day value must stay one for which month/day is read: both orders of a day are the same date, so the order is written back.
+
+def date(key: str, m: Column, decrypt: bool) -> Column:
+    iso = date_iso(m)
+    month, day = (F.year(iso) - 1800) * 12 + F.month(iso) - 1, F.dayofmonth(iso)
+    kind = F.when(day <= 12, F.lit("early")).when(day <= 28, F.lit("middle")).otherwise(F.lit("late"))
+    late = late_before(month) + day - 29
+    by_kind = lambda k, early, middle, rest: F.when(k == "early", early).when(k == "middle", middle).otherwise(rest)
+    left = by_kind(kind, month, month, F.call_function("div", late, F.lit(557)))
+    right = by_kind(kind, day - 1, day - 13, F.pmod(late, F.lit(557)))
+    sizes = by_kind(kind, F.lit(4800), F.lit(4800), F.lit(21)), by_kind(kind, F.lit(12), F.lit(16), F.lit(557))
+    out = feistel(key, F.concat(F.lit("date|"), kind), left, right, *sizes, decrypt)
+
+    def new_date(s: Column) -> Column:
+        index = s["l"] * 557 + s["r"]
+        near = F.floor(index * 4800 / 11_697)  # late days are nearly even over the months
+        at = F.array_max(F.filter(F.sequence(F.greatest(near - 6, F.lit(0)), F.least(near + 6, F.lit(4799))), lambda x: late_before(x) <= index))
+        return by_kind(
+            kind, F.date_add(month_start(s["l"]), s["r"].cast("int")), F.date_add(month_start(s["l"]), (s["r"] + 12).cast("int")),
+            F.date_add(month_start(at), (index - late_before(at) + 28).cast("int")),
+        )
+
+    def show(d: Column) -> Column:
         f = date_format(m)
-        y, mo, d = (F.date_format(day(s), p) for p in ("yyyy", "MM", "dd"))
-        return F.when(f == "yyyy-MM-dd", F.concat_ws("-", y, mo, d)).when(f == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
+        y, mo, day = (F.date_format(d, p) for p in ("yyyy", "MM", "dd"))
+        return F.when(f == "yyyy-MM-dd", F.concat_ws("-", y, mo, day)).when(f == "dd.MM.yyyy", F.concat_ws(".", day, mo, y)).when(f == "dd/MM/yyyy", F.concat_ws("/", day, mo, y)).otherwise(F.concat_ws("/", mo, day, y))
 
-    return F.element_at(F.transform(F.array(out), show), 1)
+    return F.element_at(F.transform(F.transform(F.array(out), new_date), show), 1)
 
 
 def email(key: str, m: Column, decrypt: bool) -> Column:

@@ -172,6 +172,27 @@ def into(shape, digits):
     return "".join(next(digits) if c.isdigit() else c for c in shape)
 
 
+#: All days from the 29th on of the 400 years.
+LATE = [d for d in (date.fromordinal(date(1800, 1, 1).toordinal() + i) for i in range(pii.DAYS)) if d.day > 28]
+
+
+def test_every_date_of_a_decade_in_every_format(spark):
+    """No two dates as written share a pseudonym, formats and orders stay, equal dates stay linked, and decrypting gives what was written."""
+    days = [date.fromordinal(date(2015, 1, 1).toordinal() + i) for i in range(3653)]
+    written = {f: [d.strftime(f) for d in days] for f in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y")}
+    written["%d/%m/%Y"] = [d.strftime("%d/%m/%Y") for d in days if d.day > 12]
+    values = [v for f in written.values() for v in f]
+    frame = docs(spark, values)
+    new = [r["text"] for r in pii.pseudonymize(frame, "key").orderBy("doc_id").collect()]
+    assert len(set(new)) == len(set(values)) == len(values)
+    assert [r["text"] for r in pii.pseudonymize(docs(spark, new), "key", decrypt=True).orderBy("doc_id").collect()] == values
+    got = dict(zip(values, new, strict=True))
+    for d in days:
+        again = date.fromisoformat(got[d.strftime("%Y-%m-%d")])
+        orders = [f for f in written if f != "%d/%m/%Y" or d.day > 12]
+        assert all(got[d.strftime(f)] == again.strftime(f) for f in orders)
+
+
 def python_pseudonym(key, m):
     d = re.sub(r"\D", "", m)
     if "@" in m:
@@ -192,9 +213,13 @@ def python_pseudonym(key, m):
             return None, m
         if not 0 <= n < pii.DAYS:
             return None, m
-        x, z = python_feistel(key, "date", n // 773, n % 773, 189, 773)
-        new = date.fromordinal(date(1800, 1, 1).toordinal() + x * 773 + z)
-        return "date", new.strftime("%Y-%m-%d" if m[4] == "-" else "%d.%m.%Y" if "." in m else "%m/%d/%Y")
+        month, order = (y - 1800) * 12 + mo - 1, "%Y-%m-%d" if m[4] == "-" else "%d.%m.%Y" if "." in m else "%d/%m/%Y" if parts[0] > 12 else "%m/%d/%Y"
+        if day <= 28:
+            kind, first, size = ("early", 1, 12) if day <= 12 else ("middle", 13, 16)
+            x, z = python_feistel(key, f"date|{kind}", month, day - first, 4800, size)
+            return "date", date(1800 + x // 12, 1 + x % 12, first + z).strftime(order)
+        x, z = python_feistel(key, "date|late", *divmod(LATE.index(date(y, mo, day)), 557), 21, 557)
+        return "date", LATE[x * 557 + z].strftime(order)
     if regex.fullmatch(r"\d{3}-\d\d-\d{4}", m):
         a, g, s = map(int, m.split("-"))
         if not (1 <= a <= 899 and a != 666 and g and s):
