@@ -17,7 +17,7 @@ from ..operators.materialize import stable
 from ..sources import ascii as ascii_points
 from ..sources import las_format
 from ..sources.dispatch import read_points, write_points
-from ..sources.las import las_metadata, read_las, write_las
+from ..sources.las import las_metadata, read_las, stream_las, write_las, write_las_stream
 from ..sources.pnts import pnts_metadata, read_pnts, write_pnts
 from ..sources.raw import read_raw, write_raw
 from ..sources.tileset import read_tileset
@@ -857,6 +857,19 @@ def streamed_sessions(spark, sf_dir):
     return w.select(F.col("Classification").cast("int").alias("classification"), F.unix_timestamp("start").alias("first"), F.unix_timestamp("end").alias("until"), "n_points", "max_x")
 
 
+@query(f"WITH {EV} SELECT point_idx, round(trunc(x / 0.25) * 0.25, 6) AS x, CAST(cls AS INTEGER) AS classification, gps AS gps_time FROM ev")
+def streamed_las(spark, sf_dir):
+    """Files that have arrived, as a stream, into a sink of compressed files."""
+    arrived, log, done, state = (scratch(spark, f"stream-{n}") for n in ("las", "log", "out", "state"))
+    write_las(event_points(spark, sf_dir), arrived, scale=(0.25, 0.25, 0.25))
+    stream = stream_las(spark, arrived, log, pointsPerPartition=5000)
+    # The index of a record in the stream, as an attribute: files of a sink are numbered anew.
+    stream = stream.withColumn("UserIndex", F.col(POINT_IDX).cast("double").alias("UserIndex", metadata={"point_type": "f64"}))
+    write_las_stream(stream, done, state, scale=(0.25, 0.25, 0.25), extra=("UserIndex",), compressed=True, chunk_size=2000).trigger(availableNow=True).start().awaitTermination()
+    back = read_las(spark, done)
+    return back.select(F.col("UserIndex").cast("long").alias(POINT_IDX), F.round(F.col("Position3D.x"), 6).alias("x"), F.col("Classification").cast("int").alias("classification"), F.col("GpsTime").alias("gps_time"))
+
+
 @query(f"WITH {EV} SELECT CAST(cls AS INTEGER) AS classification, CAST(y AS INTEGER) AS day, count(*) AS n_points FROM ev GROUP BY ROLLUP (cls, y)")
 def classification_rollup(spark, sf_dir):
     p = event_points(spark, sf_dir).select(F.col("Classification").cast("int").alias("classification"), F.col("Position3D.y").cast("int").alias("day"))

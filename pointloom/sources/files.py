@@ -72,6 +72,17 @@ def each(read: Callable, paths: list[str], at_once: int = 64) -> list:
         return list(pool.map(read, paths))
 
 
+def make_folder(path: str) -> None:
+    system, inner = system_of(path)
+    system.create_dir(inner, recursive=True)
+
+
+def move(source: str, target: str) -> None:
+    """Rename within a file system, over what is there."""
+    system, inner = system_of(source)
+    system.move(inner, system_of(target)[1])
+
+
 def remove(path: str) -> None:
     system, inner = system_of(path)
     if system.get_file_info(inner).type == fs.FileType.File:

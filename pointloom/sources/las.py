@@ -12,15 +12,17 @@ Writing streams records to the file system; a file's header is put before them i
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
-    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamArrowWriter, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
 
 from ..functions.bits import BASIC_FLAGS, EXTENDED_FLAGS
@@ -28,7 +30,7 @@ from ..functions.casts import can_cast, default_value, point_cast
 from ..functions.schema import BUILTIN, POINT_IDX, PointSchema
 from . import las_format as las
 from . import laz_codec as laz
-from .files import Spool, each, list_files, open_binary, remove
+from .files import Spool, each, list_files, make_folder, move, open_binary, remove, write_whole
 
 POINTS_PER_PARTITION = 1_000_000
 BATCH = 65_536
@@ -250,6 +252,14 @@ class LasWriter(DataSourceArrowWriter):
         if self.chunk < 0:
             raise ValueError("chunks hold at least one point")
 
+    @property
+    def ending(self) -> str:
+        return "laz" if self.chunk else "las"
+
+    def place(self, partition: int) -> str:
+        """One name for each partition, whichever attempt writes it: a lost task's file is replaced whole."""
+        return f"{self.options['path'].rstrip('/')}/part-{partition:05d}.{self.ending}"
+
     def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
         from pyspark import TaskContext
 
@@ -262,8 +272,7 @@ class LasWriter(DataSourceArrowWriter):
         low, high = np.full(3, np.inf), np.full(3, -np.inf)
         counts, total = np.zeros(15, np.int64), 0
         bits = 15 if las.is_extended(fmt) else 7
-        # One name for each partition, whichever attempt writes it: a lost task's file is replaced whole.
-        path = f"{self.options['path'].rstrip('/')}/part-{TaskContext.get().partitionId():05d}.{'laz' if self.chunk else 'las'}"
+        path = self.place(TaskContext.get().partitionId())
         spool = Spool(path)
         waiting, sizes = np.zeros(0, dtype), []
 
@@ -313,6 +322,91 @@ class LasWriter(DataSourceArrowWriter):
                 remove(m.path)
 
 
+class LasStream(DataSourceStreamReader):
+    """Files that arrive in a folder. An offset is a number of files of a log, which the reader keeps in the folder of the option `log`: which files have been seen,
+    in which order, and the index of each one's first point. So a query that starts again reads each record once, whatever has arrived meanwhile.
+
+    A trigger reads all files that are there; ranges of their records are its partitions. Files must be moved into the folder whole, and one must be there at
+    the start, to give the schema.
+    """
+
+    def __init__(self, options: dict):
+        if not options.get("log"):
+            raise ValueError("a stream of files needs the option log, a folder for what has been read")
+        self.points, self.path, self.log = LasReader(options), options["path"], options["log"].rstrip("/")
+        self.seen: list[tuple[str, int, int]] | None = None
+
+    def entries(self) -> list[tuple[str, int, int]]:
+        """(path, points, index of the first) of all files of the log."""
+        if self.seen is None:
+            make_folder(self.log)
+            self.seen = []
+            for name in list_files(self.log, (".json",)):
+                with open_binary(name) as f:
+                    self.seen += [tuple(e) for e in json.loads(f.read())]
+        return self.seen
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"files": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        seen = self.entries()
+        known = {e[0] for e in seen}
+        paths = [p for p in list_files(self.path, (".las", ".laz")) if p not in known]
+        if paths:
+            new, layout = [], self.points.schema()
+            first = seen[-1][1] + seen[-1][2] if seen else 0
+            for p, header in zip(paths, each(file_header, paths), strict=True):
+                if not self.points.options.get("columns") and not header.schema(self.points.exact).same_attributes(layout):
+                    raise ValueError(f"{p}: its attributes differ from those the stream began with")
+                new.append((p, header.count, first))
+                first += header.count
+            write_whole(f"{self.log}/{len(seen):012d}.json", json.dumps(new).encode())
+            seen += new
+        return {"files": len(seen)}
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        step = int(self.points.options.get("pointsPerPartition", POINTS_PER_PARTITION))
+        some = self.entries()[start["files"] : end["files"]]
+        out: list[Range] = []
+        for (path, count, first), header in zip(some, each(file_header, [e[0] for e in some]), strict=True):
+            if header.compressed:
+                out += chunk_ranges(path, chunks(path, header), 0, count, first, step)
+            else:
+                out += [Range(path, s, min(s + step, count), first + s) for s in range(0, count, step)]
+        return out or [Range(self.points.paths[0], 0, 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        return self.points.read(partition)
+
+
+class LasStreamWriter(DataSourceStreamArrowWriter):
+    """Each batch's files are written aside and moved into place under the batch's number when it commits; committing it again replaces them."""
+
+    def __init__(self, options: dict, schema, overwrite: bool):
+        self.path = options["path"].rstrip("/")
+        self.files = LasWriter(options, schema, overwrite)
+        self.files.place = lambda _: f"{self.path}/_arriving/{uuid4().hex}.{self.files.ending}"
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
+        return self.files.write(batches)
+
+    def commit(self, messages: list[Part | None], batchId: int) -> None:  # noqa: N803
+        begin = f"batch-{batchId:010d}-"
+        make_folder(self.path)
+        for old in list_files(self.path, (".las", ".laz")):
+            if old.rsplit("/", 1)[-1].startswith(begin):
+                remove(old)
+        for i, m in enumerate(m for m in messages if m):
+            if m.count:
+                move(m.path, f"{self.path}/{begin}{i:05d}.{self.files.ending}")
+            else:
+                remove(m.path)
+
+    def abort(self, messages: list[Part | None], batchId: int) -> None:  # noqa: N803
+        self.files.abort(messages)
+
+
 class LasSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -327,6 +421,12 @@ class LasSource(DataSource):
     def writer(self, schema, overwrite: bool) -> LasWriter:
         return LasWriter(self.options, schema, overwrite)
 
+    def streamReader(self, schema) -> LasStream:  # noqa: N802
+        return LasStream(self.options)
+
+    def streamWriter(self, schema, overwrite: bool) -> LasStreamWriter:  # noqa: N802
+        return LasStreamWriter(self.options, schema, overwrite)
+
 
 def read_las(spark: SparkSession, path: str, **options) -> DataFrame:
     """Points of a file or folder. Filters are pushed unless pushdown=False; that needs a Spark setting, which is turned on for the session."""
@@ -390,6 +490,13 @@ def write_las(points: DataFrame, path: str, fmt: int | None = None, scale=(0.001
 
     compressed: .laz files of chunks of chunk_size points; not with waveforms. extra names scalar attributes that no format has; they are stored as described extra bytes.
     """
+    rows, options = _stored(points, fmt, scale, offset, extra, compressed, chunk_size)
+    rows = rows.repartitionByRange(POINT_IDX).sortWithinPartitions(POINT_IDX)
+    rows.write.format("points_las").options(**options).mode("append").save(path)
+
+
+def _stored(points: DataFrame, fmt: int | None, scale, offset, extra: tuple[str, ...], compressed: bool, chunk_size: int) -> tuple[DataFrame, dict]:
+    """The records' fields of points and the options of their writer."""
     schema = PointSchema.of_frame(points)
     fmt = las.best_format(schema) if fmt is None else fmt
     if 0.0 in scale:
@@ -402,11 +509,22 @@ def write_las(points: DataFrame, path: str, fmt: int | None = None, scale=(0.001
         pairs.append((name, a.type))
     if compressed:
         laz.Description.of(fmt, 0, chunk_size)  # raises where there is no codec
-    rows = stored_columns(points, fmt, scale, offset, pairs).repartitionByRange(POINT_IDX).sortWithinPartitions(POINT_IDX)
     points.sparkSession.dataSource.register(LasSource)
     join = lambda v: ",".join(map(repr, map(float, v)))
-    writer = rows.write.format("points_las").option("pointFormat", fmt).option("scale", join(scale)).option("offset", join(offset))
-    writer.option("compressed", str(compressed).lower()).option("chunkSize", chunk_size).option("extra", ",".join(f"{n}:{t}" for n, t in pairs)).mode("append").save(path)
+    options = {"pointFormat": fmt, "scale": join(scale), "offset": join(offset), "compressed": str(compressed).lower(), "chunkSize": chunk_size, "extra": ",".join(f"{n}:{t}" for n, t in pairs)}
+    return stored_columns(points, fmt, scale, offset, pairs), {k: str(v) for k, v in options.items()}
+
+
+def stream_las(spark: SparkSession, path: str, log: str, **options) -> DataFrame:
+    """Points of files that arrive in a folder, as a stream; log: a folder of its own in shared storage for what has been read."""
+    spark.dataSource.register(LasSource)
+    return spark.readStream.format("points_las").options(log=log, **{k: str(v) for k, v in options.items()}).load(path)
+
+
+def write_las_stream(points: DataFrame, path: str, checkpoint: str, fmt: int | None = None, scale=(0.001, 0.001, 0.001), offset=(0.0, 0.0, 0.0), extra: tuple[str, ...] = (), compressed: bool = False, chunk_size: int = laz.CHUNK_SIZE):
+    """The writer of a stream of points into a folder of files, each batch's once; the caller sets a trigger and starts it."""
+    rows, options = _stored(points, fmt, scale, offset, extra, compressed, chunk_size)
+    return rows.writeStream.format("points_las").options(**options).option("path", path).option("checkpointLocation", checkpoint)
 
 
 def write_laz(points: DataFrame, path: str, **options) -> None:

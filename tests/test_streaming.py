@@ -41,3 +41,46 @@ def test_late_points_are_dropped(spark, tmp_path):
     q.stop()
     got = {r["start"].day: (r["n_points"], r["max_x"]) for r in spark.table("late_bounds").collect()}
     assert got[1] == (2, 2.0) and got[5] == (1, 4.0) and got[6] == (1, 3.0)
+
+
+def test_point_files_as_stream_and_sink(spark, sf_dir, tmp_path):
+    """Files that arrive while the query is down are read once; a batch that is committed again replaces its files."""
+    from pointloom.functions.schema import POINT_IDX
+    from pointloom.sources import las
+
+    points = event_points(spark, sf_dir)
+    n = points.count()
+    where = [str(tmp_path / d) for d in ("in", "log", "out", "state")]
+    some = lambda low, high: points.where((F.col(POINT_IDX) >= low) & (F.col(POINT_IDX) < high)).coalesce(1)
+
+    def arrive(name, part, compressed):
+        las.write_las(part, str(tmp_path / name), scale=(0.25,) * 3, compressed=compressed, chunk_size=100)
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for i, f in enumerate(sorted((tmp_path / name).glob("part-*"))):
+            f.rename(tmp_path / "in" / f"{name}-{i}{f.suffix}")
+
+    def run():
+        stream = las.stream_las(spark, where[0], where[1], pointsPerPartition=150)
+        q = las.write_las_stream(stream, where[2], where[3], scale=(0.25,) * 3, compressed=True, chunk_size=64).trigger(availableNow=True).start()
+        q.awaitTermination()
+        out = las.read_las(spark, where[2]).collect()
+        return sorted((r["GpsTime"], r["Position3D"]["x"], r["Classification"]) for r in out)
+
+    whole = {k: sorted((r["GpsTime"], int(r["Position3D"]["x"] / 0.25) * 0.25, r["Classification"]) for r in some(0, k).collect()) for k in (400, 700, n)}
+    arrive("b", some(0, 400), False)
+    assert run() == whole[400]
+    arrive("a", some(400, 700), True)  # before the others by name: the log keeps the order
+    arrive("c", some(700, n), False)
+    assert run() == whole[n] == run()
+    assert not list((tmp_path / "out" / "_arriving").iterdir())
+    # The last batch again: its first attempt's files go.
+    name = sorted(p.name for p in (tmp_path / "out").glob("batch-*"))[-1]
+    writer = las.LasStreamWriter({"path": where[2], "pointFormat": "1", "compressed": "true"}, None, False)
+    staged = tmp_path / "out" / "_arriving" / "x.laz"
+    staged.write_bytes((tmp_path / "out" / name).read_bytes())
+    batch = int(name.split("-")[1])
+    writer.commit([las.Part(str(staged), 1), None], batch)
+    assert [p.name for p in (tmp_path / "out").glob(f"batch-{batch:010d}-*")] == [f"batch-{batch:010d}-00000.laz"]
+    writer.abort([las.Part(str(tmp_path / "out" / "_arriving" / "gone.laz"), 1)], batch)
+    reader = las.LasStream({"path": where[0], "log": where[1]})
+    assert reader.latestOffset() == {"files": len(list((tmp_path / "in").iterdir()))} and reader.entries()[0][0].rsplit("/", 1)[-1].startswith("b-")
