@@ -6,9 +6,9 @@ merged by key over all shards, one length after the other, for a phrase can only
 
 * Frequent phrases have names. What the merge of length n finds goes back to the shards that hold the phrase; a shard then counts phrases of n + 1 words
   only where the two phrases of n words inside have names, and the two names are the key: a phrase is known exactly, no hash stands for it.
-* A shard sends a key once with its count, so a phrase that is everywhere meets as many counts as there are shards. What a shard sends of
-  phrases with the same beginning travels together, in as many rows as the beginning is frequent, so that no beginning fills a task. The place of
-  smallest number among equal keys is the phrase's name.
+* A shard sends a key once with its count, so a phrase that is everywhere meets as many counts as there are shards. Keys are dealt to buckets by
+  a hash of both names, and what a shard has for a bucket travels as one row of arrays. The place of smallest number among equal keys is the phrase's
+  name.
 * The tables of frequent phrases take their texts and the counts of their beginnings and ends from the tables one word shorter by joins on names.
 
 So all counts are over all documents, nothing is collected by the driver and nothing broadcast that grows. A shard is SHARD bytes of text (one document, if
@@ -38,8 +38,8 @@ from .suffixes import common, suffix_ranks
 SHARD, HELD, MOST_FILES = 8 << 20, 48 << 20, 50_000
 #: Bits of a place inside a shard, and of a shard's number inside its partition; the rest of 63 bits is the partition's.
 PLACE, SERIAL = 28, 15
-#: Occurrences of a beginning for each row of a shard that its phrases are dealt to.
-SPREAD = 1 << 16
+#: Bytes of text for each bucket of keys, and the most buckets: with more, a shard's row for one would hold few keys.
+BUCKET, MOST_BUCKETS = 4 << 20, 1 << 15
 #: Breaks become new lines, tabs blanks, letters small.
 _table = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -139,26 +139,33 @@ def phrase_counts(ids: np.ndarray, n: int, places: np.ndarray, names: np.ndarray
     return at if kept is None else kept[at], name[at], name[at + 1], counts
 
 
-#: A row for phrases of a shard with the same beginning.
-COUNTED = "p long, part long, s array<long>, at array<long>, count array<long>"
+#: A shard's phrases of a bucket. Names are long numbers; those of ends go in two parts, of which the higher is mostly the same.
+COUNTED = "shard long, bucket int, p array<long>, s_high array<long>, s_low array<int>, place array<int>, count array<int>"
 
 
-def _phrases(n: int):
+def bucket_of(p: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
+    h = p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + s.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(n)).astype(np.int32)
+
+
+def _phrases(n: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names_of = [f.split()[0] for f in COUNTED.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = batch.column(0)[i].as_py()
                 ids = np.frombuffer(_open(batch.column(1)[i].as_py()), np.int32)
-                places, names, sizes = (batch.column(c)[i].values.to_numpy() for c in (2, 3, 4))
+                places, names = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
                 at, p, s, count = phrase_counts(ids, n, places & ((1 << PLACE) - 1), names)
-                by = np.argsort(names)
-                part = s % (1 + sizes[by][np.searchsorted(names[by], p)] // SPREAD)
-                order = np.lexsort((s, part, p))
-                p, part = p[order], part[order]
-                first = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (part[1:] != part[:-1])))[: len(p)]
-                ends = pa.array(np.append(first, len(p)), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (s, (shard << PLACE) + at, count)]
-                yield pa.RecordBatch.from_arrays([pa.array(p[first]), pa.array(part[first]), *lists], names=["p", "part", "s", "at", "count"])
+                bucket = bucket_of(p, s, buckets)
+                order = np.lexsort((s, p, bucket))
+                bucket, s = bucket[order], s[order]
+                first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
+                ends = pa.array(np.append(first, len(bucket)), pa.int32())
+                values = (p[order], s >> PLACE, (s & ((1 << PLACE) - 1)).astype(np.int32), at[order].astype(np.int32), count[order].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), shard)), pa.array(bucket[first]), *lists], names=names_of)
 
     return work
 
@@ -187,10 +194,11 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
         return spark.read.parquet(path), path
 
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
-    # One table for all lengths, bucketed by shard (a file for each): only what is told to the shards is shuffled to them.
+    # One table for all lengths, bucketed by shard, a file for each bucket: only what is told to the shards is shuffled to them.
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     files, shards_name = min(max(1, -(-total // SHARD)), MOST_FILES), f"pointloom_{mine.replace('-', '_')}"
-    gathered = texts.mapInArrow(_shards, "shard long, lang string, n_words long, words binary, ids binary")
+    buckets = min(max(1, -(-total // BUCKET)), MOST_BUCKETS)
+    gathered = texts.mapInArrow(_shards, "shard long, lang string, n_words long, words binary, ids binary").repartition(files, "shard")
     shards_at = scratch(spark, shards_name, table=True)
     gathered.write.bucketBy(files, "shard").option("path", shards_at).saveAsTable(shards_name)
     shards = spark.table(shards_name)
@@ -207,12 +215,14 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
     known, _ = stored(found.where("at = name").select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("before"), none.alias("behind")), "known-1")
     tables: list[DataFrame] = []
     for n in range(2, longest + 1):
-        told = found.groupBy(F.shiftright("at", PLACE).alias("shard")).agg(F.collect_list(F.struct("at", "name", "a")).alias("told"))  # one shard's phrases
-        asked = shards.select("shard", "ids").join(told, "shard").select("shard", "ids", F.col("told.at").alias("places"), F.col("told.name").alias("names"), F.col("told.a").alias("sizes"))
-        sent = asked.mapInArrow(_phrases(n), COUNTED).repartition("p", "part")
-        counted = sent.select("p", "part", F.inline(F.arrays_zip("s", "at", "count")))
+        told = found.groupBy(F.shiftright("at", PLACE).alias("shard")).agg(F.collect_list(F.struct("at", "name")).alias("told"))  # one shard's phrases
+        asked = shards.select("shard", "ids").join(told, "shard").select("shard", "ids", F.col("told.at").alias("places"), F.col("told.name").alias("names"))
+        sent = asked.mapInArrow(_phrases(n, buckets), COUNTED).repartition("bucket")
+        keys = sent.select("shard", "bucket", F.inline(F.arrays_zip("p", "s_high", "s_low", "place", "count")))
+        joined = lambda high, low: F.shiftleft(high, PLACE).bitwiseOR(F.col(low).cast("long"))
+        counted = keys.select("bucket", "p", joined("s_high", "s_low").alias("s"), joined("shard", "place").alias("at"), "count")
         used = found_at
-        found, found_at = stored(frequent(counted, "p", "part", "s"), f"found-{n}")
+        found, found_at = stored(frequent(counted, "bucket", "p", "s"), f"found-{n}")
         remove_path(spark, used)
         part = lambda c, k=known: k.select(*[F.col(x).alias(f"{c}_{x}") for x in k.columns])
         both = found.where("at = name").select("name", "p", "s", "a").join(part("p"), F.col("p") == F.col("p_name")).join(part("s"), F.col("s") == F.col("s_name"))
