@@ -650,6 +650,18 @@ def reproject_albers(spark, sf_dir):
     return flat(reproject.reproject(p, "EPSG:4326", "EPSG:5070")).select(POINT_IDX, F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
+@query(f"""WITH {EV}, c AS (SELECT sqrt(e2) AS e FROM (SELECT (2 - f) * f AS e2 FROM (SELECT 1 / 298.257223563 AS f))),
+  k AS (SELECT e, cos(radians(70)) / sqrt(1 - e * e * sin(radians(70)) * sin(radians(70))) / (tan(pi() / 4 - radians(70) / 2) / pow((1 - e * sin(radians(70))) / (1 + e * sin(radians(70))), e / 2)) AS k FROM c),
+  g AS (SELECT point_idx, radians(50 + x / 20) AS p, radians(y * 3 + 45) AS l, k, e FROM ev, k),
+  r AS (SELECT *, 6378137.0 * k * tan(pi() / 4 - p / 2) / pow((1 - e * sin(p)) / (1 + e * sin(p)), e / 2) AS r FROM g)
+  SELECT point_idx, round(r * sin(l), 3) AS x, round(-r * cos(l), 3) AS y FROM r""")
+def reproject_polar(spark, sf_dir):
+    """Polar stereographic, by its PROJ string."""
+    p = frame.transform_attribute(event_points(spark, sf_dir), "Position3D", lambda i, v: geometry.vec(v["x"] / 20 + 50, v["y"] * 3, v["z"]))
+    out = reproject.reproject(p, 4326, "+proj=stere +lat_0=90 +lat_ts=70 +lon_0=-45 +datum=WGS84 +units=m +no_defs")
+    return flat(out).select(POINT_IDX, F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query(f"WITH {EV} SELECT point_idx, round(radians(y) * 6378137.0, 4) AS x, round(ln(tan(radians(x / 10) / 2 + pi() / 4)) * 6378137.0, 4) AS y FROM ev")
 def reproject_webmercator(spark, sf_dir):
     p = frame.transform_attribute(event_points(spark, sf_dir), "Position3D", lambda i, v: geometry.vec(v["x"] / 10, v["y"], v["z"]))

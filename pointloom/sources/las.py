@@ -450,6 +450,19 @@ def las_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def crs_text(path: str) -> str | None:
+    """What a file says about its coordinate system: its WKT, or "EPSG:" and the number of its keys, as reproject takes them; None if nothing."""
+    records = {v.record: v.data for v in file_header(path).vlrs if v.user == "LASF_Projection"}
+    if 2112 in records:
+        return records[2112].split(b"\0")[0].decode("utf-8", "replace")
+    if 34735 in records:
+        keys = np.frombuffer(records[34735][: len(records[34735]) // 8 * 8], "<u2").reshape(-1, 4)[1:]
+        found = {int(k): int(v) for k, where, _, v in keys if where == 0}
+        code = next((found[k] for k in (3072, 2048) if 0 < found.get(k, 0) < 32767), None)  # projected, then geographic
+        return code and f"EPSG:{code}"
+    return None
+
+
 def stored_columns(points: DataFrame, fmt: int, scale, offset, extra: list[tuple[str, str]] = ()) -> DataFrame:
     """Points as the fields of a format's records, extra attributes after them. Other attributes are dropped, missing ones are zero."""
     from ..functions.bits import pack

@@ -326,3 +326,51 @@ def test_hull_of_positions_that_are_not_finite(spark):
     assert sorted(r[POINT_IDX] for r in hull.hull_vertices(points(spark, odd)).collect()) == sorted(hull.hull_faces(p)[0])
     assert hull.hull_mesh(points(spark, odd)).count() == len(hull.hull_faces(p)[1])
     assert hull.hull_vertices(points(spark, [(NAN, 0, 0)])).count() == 0
+
+
+def place(spark, crs, lat, lon, h=0.0):
+    """A position of the datum itself in a system, and back."""
+    s = reproject._system(crs)
+    there, back = reproject.FORMULAS[s.method]
+    x, y = there(s, F.lit(lat), F.lit(lon))
+    row = spark.range(1).select((x / s.unit).alias("x"), (y / s.unit).alias("y")).first()
+    again = back(s, F.lit(row["x"] * s.unit), F.lit(row["y"] * s.unit))
+    assert tuple(spark.range(1).select(again[0].alias("a"), again[1].alias("b")).first()) == pytest.approx((lat, lon), abs=2e-9)
+    return tuple(row)
+
+
+# The worked examples of the registry's guidance on coordinate operations.
+EXAMPLES = [
+    ("+proj=stere +lat_0=90 +lon_0=0 +k=0.994 +x_0=2000000 +y_0=2000000 +datum=WGS84", 73.0, 44.0, 3320416.75, 632668.43),
+    ("+proj=stere +lat_0=-90 +lat_ts=-71 +lon_0=70 +x_0=6000000 +y_0=6000000 +datum=WGS84", -75.0, 120.0, 7255380.79, 7053389.56),
+    ("+proj=merc +lon_0=110 +k=0.997 +x_0=3900000 +y_0=900000 +ellps=bessel", -3.0, 120.0, 5009726.58, 569150.82),
+    ("+proj=tmerc +lat_0=49 +lon_0=-2 +k=0.9996012717 +x_0=400000 +y_0=-100000 +ellps=airy", 50.5, 0.5, 577274.99, 69740.50),
+    ("+proj=lcc +lat_0=27.833333333333333 +lat_1=28.383333333333333 +lat_2=30.283333333333333 +lon_0=-99 +x_0=609601.2192024384 +y_0=0 +ellps=clrk66 +units=us-ft", 28.5, -96.0, 2963503.91, 254759.80),
+    ("+proj=omerc +lat_0=4 +lonc=115 +alpha=53.31582047222222 +gamma=53.13010236111111 +k=0.99984 +x_0=590476.87 +y_0=442857.65 +a=6377298.556 +rf=300.8017", 5.387253583333, 115.805505444444, 679245.73, 596562.78),
+]
+
+
+@pytest.mark.parametrize(("crs", "lat", "lon", "east", "north"), EXAMPLES)
+def test_projections_by_their_worked_examples(spark, crs, lat, lon, east, north):
+    assert place(spark, crs, lat, lon) == pytest.approx((east, north), abs=0.011)
+
+
+def test_systems_by_text(spark):
+    utm = 'PROJCS["WGS 84 / UTM zone 32N",GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],PARAMETER["central_meridian",9],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",0],UNIT["metre",1],AUTHORITY["EPSG","32632"]]'
+    assert reproject.of_wkt(utm) == reproject._system(32632) == reproject.of_wkt(f'COMPD_CS["both",{utm},VERT_CS["h",VERT_DATUM["v",2005],UNIT["metre",1]]]') == reproject.of_proj("+proj=utm +zone=32 +datum=WGS84 +units=m +no_defs")
+    feet = utm.replace("500000", "1640416.6666666667").replace('UNIT["metre",1]', 'UNIT["US survey foot",0.3048006096012192]')
+    assert place(spark, feet, 50.0, 8.0)[0] * 1200 / 3937 == pytest.approx(place(spark, utm, 50.0, 8.0)[0], abs=1e-6)
+    p = points(spark, [(8.0, 50.0, 100.0)])
+    lonlat, latlon = (tuple(reproject.reproject(q, crs, utm).first()["Position3D"]) for q, crs in ((p, "+proj=longlat +datum=WGS84"), (points(spark, [(50.0, 8.0, 100.0)]), 4326)))
+    assert lonlat == latlon and lonlat[2] == 100.0
+    polar = 'PROJCS["p",GEOGCS["WGS 84",DATUM["d",SPHEROID["s",6378137,298.257223563]],PRIMEM["Greenwich",0]],PROJECTION["Polar_Stereographic"],PARAMETER["latitude_of_origin",-71],PARAMETER["central_meridian",70],PARAMETER["false_easting",6000000],PARAMETER["false_northing",6000000],UNIT["metre",1]]'
+    assert place(spark, polar, -75.0, 120.0) == pytest.approx((7255380.79, 7053389.56), abs=0.011)
+    # A datum that is turned and scaled: there and back, and moved by about a hundred metres.
+    british = "+proj=tmerc +lat_0=49 +lon_0=-2 +k=0.9996012717 +x_0=400000 +y_0=-100000 +datum=OSGB36"
+    there = reproject.reproject(points(spark, [(52.5, -1.5, 0.0)]), 4326, british)
+    assert tuple(reproject.reproject(there, british, 4326).first()["Position3D"]) == pytest.approx((52.5, -1.5, 0.0), abs=1e-6)
+    same = reproject.reproject(points(spark, [(52.5, -1.5, 0.0)]), 4326, british.replace("+datum=OSGB36", "+ellps=airy")).first()["Position3D"]
+    assert 50 < np.hypot(there.first()["Position3D"]["x"] - same["x"], there.first()["Position3D"]["y"] - same["y"]) < 300
+    for bad in ("+proj=robin", "+proj=utm +zone=3 +nadgrids=x.gsb", "+proj=merc +datum=nowhere", 'LOCAL_CS["x"]', 'PROJCS["x"', "+proj=stere +lat_0=45"):
+        with pytest.raises(ValueError):
+            reproject._system(bad)

@@ -14,7 +14,7 @@ from pointloom.sources import ascii as text_points
 from pointloom.sources import las_format as fmt
 from pointloom.sources import laz_codec, raw
 from pointloom.sources.dispatch import read_points, read_points_into, write_points
-from pointloom.sources.las import las_bytes, las_metadata, read_las, write_las, write_laz
+from pointloom.sources.las import crs_text, las_bytes, las_metadata, read_las, write_las, write_laz
 from pointloom.sources.pnts import PntsSource, pack_tile, pnts_metadata, read_pnts, read_tile, write_pnts
 from pointloom.sources.tileset_points import contents, read_tileset_points, region_box, volume_box
 from pointloom.sources.tileset import box_volume, check_tile, read_tileset, sphere_volume, tileset
@@ -514,3 +514,13 @@ def test_boxes_of_volumes_hold_them():
         q = ([1, 2, 3] + 2 * u / np.linalg.norm(u, axis=1, keepdims=True)) @ m[:3, :3].T + m[:3, 3]
         a, b = volume_box({"sphere": [1, 2, 3, 2]}, m)
         assert (q >= a - 1e-9).all() and (q <= b + 1e-9).all()
+
+
+def test_coordinate_systems_of_files(tmp_path):
+    from pointloom.operators.reproject import _system
+
+    keys = struct.pack("<16H", 1, 1, 0, 3, 1024, 0, 1, 1, 3072, 0, 1, 32632, 2048, 0, 1, 4326)
+    wkt = 'GEOGCS["WGS 84",DATUM["d",SPHEROID["s",6378137,298.257223563]],PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433],AXIS["Latitude",NORTH],AXIS["Longitude",EAST]]'
+    found = [crs_text(las_file(tmp_path / f"{i}.las", 0, vlrs=[fmt.Vlr("LASF_Projection", r, d)])) for i, (r, d) in enumerate([(34735, keys), (2112, wkt.encode() + b"\0")])]
+    assert found == ["EPSG:32632", wkt] and crs_text(las_file(tmp_path / "n.las", 0)) is None
+    assert _system(found[0]).lon == 9 and _system(found[1]).lat_first
