@@ -322,18 +322,29 @@ KINDS = ("u8", "i8", "u16", "i16", "u32", "i32", "u64", "i64", "f32", "f64", "ve
 
 
 @query(f"""WITH k AS (SELECT unnest([{", ".join(f"'{k}'" for k in KINDS)}]) AS k), g AS (SELECT k, CASE WHEN k LIKE 'vec3%' THEN 'vector' WHEN k LIKE '%[%' OR k LIKE 'vec4%' THEN k ELSE 'scalar' END AS g FROM k)
-SELECT a.k AS source, b.k AS target, a.g = b.g AS legal FROM g a, g b""")
+SELECT a.k AS source, b.k AS target, a.g = b.g AS legal, CASE WHEN a.g = b.g THEN (SELECT count(*) FROM events) ELSE 0 END AS n_same FROM g a, g b""")
 def legal_casts(spark, sf_dir):
-    """Which types convert to which; the others raise when a plan is made."""
+    """Which types convert to which, and of how many points a number below 100, which all types hold, is the same afterwards; other pairs raise when a plan is made."""
+    small = F.floor(F.abs(F.col("Position3D.x"))) % 100
 
-    def legal(a: str, b: str) -> bool:
+    def value(kind: str):
+        if kind.startswith("vec"):
+            part = point_cast(small, "i64", kind[4:])
+            return F.struct(*[part.alias(a) for a in "xyzw"[: int(kind[3])]])
+        return small.cast("string").cast("binary") if "[" in kind else point_cast(small, "i64", kind)
+
+    def same(a: str, b: str):
         try:
-            point_cast(F.lit(None), a, b)
+            out = point_cast(value(a), a, b)
         except ValueError:
-            return False
-        return True
+            return None
+        if "[" in b:
+            return out == value(a)
+        return (out["x"] if b.startswith("vec") else out).cast("double") == small.cast("double")
 
-    return spark.createDataFrame([(a, b, legal(a, b)) for a in KINDS for b in KINDS], "source string, target string, legal boolean")
+    pairs = {(a, b): same(a, b) for a in KINDS for b in KINDS}
+    rows = [F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.lit(c is not None).alias("legal"), (F.lit(0) if c is None else F.count(F.when(c, 1))).cast("long").alias("n_same")) for (a, b), c in pairs.items()]
+    return event_points(spark, sf_dir).agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 # Boxes, vectors, bits.
@@ -753,11 +764,20 @@ def read_into(spark, sf_dir):
     return both.select(POINT_IDX, F.round(F.col("Position3D.x"), 6).alias("x"), F.col("Classification").cast("int").alias("classification"))
 
 
-@query("""SELECT CAST(f AS INTEGER) AS point_format, CAST(f AS INTEGER) AS chosen, size FROM (VALUES (0, 20), (1, 28), (2, 26), (3, 34), (4, 57), (5, 63), (6, 30), (7, 36), (8, 38), (9, 59), (10, 67)) v(f, size)""")
+@query(f"""WITH {EV} SELECT CAST(f AS INTEGER) AS point_format, CAST(f AS INTEGER) AS chosen, size, count(*) AS points, round(max(trunc(x / 0.25) * 0.25), 6) AS max_x, CAST(sum(CASE WHEN f IN (0, 2) THEN 0 ELSE gps END) AS BIGINT) AS gps
+  FROM ev, (VALUES (0, 20), (1, 28), (2, 26), (3, 34), (4, 57), (5, 63), (6, 30), (7, 36), (8, 38), (9, 59), (10, 67)) v(f, size) GROUP BY f, size""")
 def las_formats(spark, sf_dir):
-    """Record sizes of the point formats, and the format that each one's attributes lead back to."""
-    rows = [(f, las_format.best_format(las_format.format_schema(f)), las_format.record_dtype(f).itemsize) for f in range(11)]
-    return spark.createDataFrame(rows, "point_format int, chosen int, size int")
+    """The points written in each point format and read back: record sizes, and the format that each one's attributes lead back to."""
+    out = []
+    for f in range(11):
+        path = scratch(spark, "las")
+        write_las(event_points(spark, sf_dir), path, fmt=f, scale=(0.25, 0.25, 0.25))
+        back = read_las(spark, path)
+        gps = F.sum("GpsTime") if "GpsTime" in back.columns else F.lit(0.0)
+        chosen = las_format.best_format(PointSchema.of_frame(back))
+        found = back.agg(F.count("*").alias("points"), F.round(F.max("Position3D.x"), 6).alias("max_x"), gps.cast("long").alias("gps"))
+        out.append(found.select(F.lit(f).alias("point_format"), F.lit(chosen).alias("chosen"), F.lit(las_format.record_dtype(f).itemsize).alias("size"), "*"))
+    return reduce(DataFrame.union, out)
 
 
 @query(f"WITH {EV} SELECT point_idx, CAST(CAST(x / 3 AS FLOAT) AS DOUBLE) AS quality, CAST(point_idx * 7 AS BIGINT) AS tag FROM ev")
@@ -888,10 +908,12 @@ def classification_rollup(spark, sf_dir):
     return p.rollup("classification", "day").agg(F.count("*").alias("n_points"))
 
 
-@query("SELECT 'Position3D' AS name, 'vec3f64' AS type UNION ALL SELECT 'Classification', 'u8' UNION ALL SELECT 'GpsTime', 'f64'")
+@query("SELECT name, type, count(*) AS n_values FROM events, (VALUES ('Position3D', 'vec3f64'), ('Classification', 'u8'), ('GpsTime', 'f64')) v(name, type) GROUP BY name, type")
 def point_schema(spark, sf_dir):
-    schema = PointSchema.of_frame(event_points(spark, sf_dir))
-    return spark.createDataFrame([(a.name, a.type) for a in schema.attributes if a.name in BUILTIN], "name string, type string")
+    points = event_points(spark, sf_dir)
+    known = [a for a in PointSchema.of_frame(points).attributes if a.name in BUILTIN]
+    rows = [F.struct(F.lit(a.name).alias("name"), F.lit(a.type).alias("type"), F.count(a.name).alias("n_values")) for a in known]
+    return points.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def queries() -> dict[str, Query]:
