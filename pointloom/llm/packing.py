@@ -9,7 +9,7 @@ a worker has left in the end, at most one open sequence a class, is joined and c
 of two, which need no padding.
 
 Tokens are the ids of a `tokenizers` file followed by one end id. Texts are split into the tokenizer's words here and each different word
-is encoded by the library's model once in a while (a bounded cache of CACHED words a worker); texts with other characters than those below
+is encoded by the library's model once in a while (a bounded cache of CACHED words a worker process, which its tasks share); texts with other characters than those below
 U+0530 and common punctuation, or with one of the file's added tokens, go to the library whole. Both give the same ids.
 
 A worker holds the batch at hand, the cache and the open sequences (less than `capacity` tokens a class). Sequences are numbered by
@@ -26,6 +26,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Words of the cache of one worker; longer words than LONGEST aren't kept.
-CACHED, LONGEST = 400_000, 64
+CACHED, LONGEST = 800_000, 64
 FLUSH = 20_000
 
 
@@ -88,6 +89,12 @@ class Encoder:
         return ids
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """The worker process's encoder."""
+    return Encoder(path)
+
+
 def classes(capacity: int, slack: int) -> list[tuple[int, int]]:
     """(tokens of a piece, pieces of a sequence), longest pieces first, of the reciprocal classes that lack at most `slack` tokens."""
     if capacity < 1 or slack < 0:
@@ -163,7 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, slack: int = 4,
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         packer = Packer(capacity, slack, TaskContext.get().partitionId() << 40)
         id_type, rows = None, []
 
