@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import remove_path, scratch
 from .suffixes import common, suffix_ranks
 
-SHARD, HELD, MOST_FILES = 8 << 20, 48 << 20, 50_000
+SHARD, HELD, MOST_FILES = 4 << 20, 16 << 20, 50_000
 #: Bits of a place inside a shard, and of a shard's number inside its partition; the rest of 63 bits is the partition's.
 PLACE, SERIAL = 28, 15
 #: Bytes of text for each bucket of keys, and the most buckets: with more, a shard's row for one would hold few keys.
