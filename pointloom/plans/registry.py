@@ -889,6 +889,25 @@ def streamed_sessions(spark, sf_dir):
     return w.select(F.col("Classification").cast("int").alias("classification"), F.unix_timestamp("start").alias("first"), F.unix_timestamp("end").alias("until"), "n_points", "max_x")
 
 
+@query(f"""WITH {EV}, o AS (SELECT cls, gps, x, CASE WHEN gps - lag(gps) OVER (PARTITION BY cls ORDER BY gps) <= 600 THEN 0 ELSE 1 END AS fresh FROM ev),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY cls ORDER BY gps ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT CAST(cls AS INTEGER) AS classification, CAST(min(gps) AS BIGINT) AS first, CAST(max(gps) AS BIGINT) AS last, count(*) AS n_points, max(x) AS max_x FROM s GROUP BY cls, s""")
+def streamed_reports(spark, sf_dir):
+    """What the log of changes of each key's reports amounts to, after points have arrived in three parts, in the order of their times."""
+    arrived, done, state = (scratch(spark, f"stream-{n}") for n in ("in", "out", "state"))
+    points = event_points(spark, sf_dir)
+    ends = points.agg(*[F.percentile_approx("GpsTime", q).alias(f"q{i}") for i, q in enumerate((0.3, 0.7))]).first()
+    part = F.when(F.col("GpsTime") <= ends[0], 0).when(F.col("GpsTime") <= ends[1], 1).otherwise(2)
+    for i in range(3):
+        points.where(part == i).write.mode("append").parquet(arrived)
+        stream = running.running_reports(running.arriving_points(spark, arrived, points.schema), "Classification", 600.0)
+        write = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state).trigger(availableNow=True)
+        write.start(done).awaitTermination()
+    log = spark.read.parquet(done).where("change != 0")
+    same = [F.col("Classification").cast("int").alias("classification"), F.col("start").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "n_points", "max_x"]
+    return log.select(*same, "change").groupBy("classification", "first", "last", "n_points", "max_x").agg(F.sum("change").alias("c")).where("c = 1").drop("c")
+
+
 @query(f"WITH {EV} SELECT point_idx, round(trunc(x / 0.25) * 0.25, 6) AS x, CAST(cls AS INTEGER) AS classification, gps AS gps_time FROM ev")
 def streamed_las(spark, sf_dir):
     """Files that have arrived, as a stream, into a sink of compressed files."""

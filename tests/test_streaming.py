@@ -84,3 +84,39 @@ def test_point_files_as_stream_and_sink(spark, sf_dir, tmp_path):
     writer.abort([las.Part(str(tmp_path / "out" / "_arriving" / "gone.laz"), 1)], batch)
     reader = las.LasStream({"path": where[0], "log": where[1]})
     assert reader.latestOffset() == {"files": len(list((tmp_path / "in").iterdir()))} and reader.entries()[0][0].rsplit("/", 1)[-1].startswith("b-")
+
+
+def test_reports_as_keyed_state(spark, tmp_path):
+    """Reports that grow over batches and a restart, close by a later point or by the watermark, and meet late points."""
+    from pointloom.functions.schema import PointSchema
+    from pointloom.operators.frame import in_memory
+
+    schema = PointSchema.of("Position3D", "GpsTime", "Classification")
+    (tmp_path / "in").mkdir()
+
+    def run(rows):
+        if rows:
+            in_memory(spark, schema, [((x, float("nan"), 1.0), t, c) for c, t, x in rows]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = running.arriving_points(spark, str(tmp_path / "in"), schema.struct_type(), 1)
+        q = running.running_reports(stream, "Classification", 10.0, "100 seconds").writeStream.format("parquet").outputMode("append")
+        q.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        log = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("Classification", "change", "start", "last", "n_points", "min_x", "max_x", "min_y").collect()]
+        net = {}
+        for c, change, start, last, n, low, high, none in log:
+            assert none is None or none != none
+            if change:
+                net[c, start, last, n, low, high] = net.get((c, start, last, n, low, high), 0) + change
+        assert set(net.values()) <= {0, 1}
+        return sorted(k for k, v in net.items() if v), sorted((c, start, n) for c, change, start, _, n, *_ in log if change == 0)
+
+    assert run([(1, 1000.0, 5.0), (1, 1008.0, 7.0), (2, 1000.0, 1.0)]) == ([(1, 1000.0, 1008.0, 2, 5.0, 7.0), (2, 1000.0, 1000.0, 1, 1.0, 1.0)], [])
+    # One grows, one begins another session twice, one reaches into the gap before.
+    holds, closed = run([(1, 1015.0, 2.0), (2, 1020.0, 3.0), (2, 1040.0, 4.0), (2, 1045.0, 9.0), (3, 1050.0, 1.0)])
+    assert holds == [(1, 1000.0, 1015.0, 3, 2.0, 7.0), (2, 1000.0, 1000.0, 1, 1.0, 1.0), (2, 1020.0, 1020.0, 1, 3.0, 3.0), (2, 1040.0, 1045.0, 2, 4.0, 9.0), (3, 1050.0, 1050.0, 1, 1.0, 1.0)]
+    assert closed == [(2, 1000.0, 1), (2, 1020.0, 1)]
+    holds, closed = run([(3, 1042.0, 8.0), (2, 1001.0, 99.0)])  # the second is more than a gap before the open session
+    assert (3, 1042.0, 1050.0, 2, 1.0, 8.0) in holds and (2, 1000.0, 1000.0, 1, 1.0, 1.0) in holds and len(holds) == 5
+    run([(4, 5000.0, 1.0)])  # the watermark passes the ends of all others
+    holds, closed = run([(4, 5001.0, 2.0), (1, 1016.0, 50.0)])
+    assert closed == [(1, 1000.0, 3), (2, 1000.0, 1), (2, 1020.0, 1), (2, 1040.0, 2), (3, 1042.0, 2)]
+    assert (4, 5000.0, 5001.0, 2, 1.0, 2.0) in holds and not any(k[0] == 1 and k[3] == 4 for k in holds)
