@@ -8,13 +8,18 @@ the one of most pages on: a class stands in the slots of the elements that hold
 of one class. A text token that is on nearly all pages, or of the valid class of its element (always there when that is), is the
 template's own text: menus, notices, an owner's line. What the pages say beyond that, element by element, are the slots' contents.
 
-Slots are judged by their contents: those that hold nothing but the template's text, or nearly so, go. Of the others those under
-elements that serve navigation, adverts, forms, comments and the like go, by tag names and a fixed word list: a menu of another
-section, or an advert that changes, varies like an article does. Where the template has an article or main element, only what it
-holds stays; elsewhere the container with most text that isn't links. Of the slots that stay the page's own text is extracted, with the
-template's text in its midst, such as a heading that every article has; whole containers (a list, a division) in which a page says
-nothing of its own go, and so does the template's text before and after all that is the page's own. Pages of one host may be copies of each other: where fewer than MIN_PAGES pages are there, or the template's text
-would be most of the host's prose, text counts as contents, and elements alone decide.
+Slots are judged by their occurrence vectors first. A slot whose texts take few values (the texts on several pages are `repeats` of its
+characters or more) holds the template's choices: menus of sections, adverts that change. Those, and slots that hold nothing but the
+template's text, or nearly so, say nothing of a page's own. What two vectors can't tell apart, tag names and a fixed word list do: of
+the slots left, those under elements that serve navigation, adverts, forms, comments and the like go. Where the template has an article
+or main element, only what it holds stays; elsewhere the container with most text that isn't links. Of the slots that stay the page's
+own text is extracted, with the template's text in its midst, such as a heading that every article has; whole containers (a list, a
+division) in which a page says nothing of its own go, and so does the template's text before and after all that is the page's own.
+
+Pages of one host may be copies of each other: a text counts as one of several pages only if these differ in their longest block of text,
+and a slot takes few values only if it repeats itself COPIES times as much as the slot with most text does. Evidence
+starts at `least` pages, two, and grows with them: a host's one page is judged by its own elements. If the template's text would be
+`most` of the host's prose or more, text counts as contents, and elements alone decide.
 
 Tokens are counted by (host, token), so a host of a third of all pages spreads over all tasks. What reaches one row of a host are the
 tokens on a tenth of its pages or more, of which there are at most ten times as many as a page has on average. A page is parsed twice,
@@ -30,7 +35,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import xxhash
@@ -68,9 +73,10 @@ CONTAINERS = frozenset(" html body main article section div aside nav header foo
 # Elements that hold a whole page or text, whose classes and ids differ from page to page.
 WHOLE = frozenset("html body main article".split())
 #: Share of a host's pages that an element or a text of a class with it covers at least; that from which a text is the template's
-#: without its element; the pages that give evidence on text; the share of a slot's text that varies at least; the largest share of
-#: link text in a slot that stays where no element says article; the depth below which paths list each element once.
-SUPPORT, OPTIONAL, ALWAYS, MIN_PAGES, VARIES, LINKS, DEEP = 0.1, 0.5, 0.9, 5, 0.05, 0.5, 64
+#: without its element; the share of a slot's text that varies at least; the largest share of link text in a slot that stays where no
+#: element says article; the share of repeated text from which a slot in an article takes few values (lists there may repeat words that
+#: are a page's own); how much more a slot with few values repeats itself than the slot with most text; the depth below which paths list each element once.
+SUPPORT, OPTIONAL, ALWAYS, VARIES, LINKS, INSIDE, COPIES, DEEP = 0.1, 0.5, 0.9, 0.05, 0.5, 0.9, 3, 64
 #: Characters of all templates up to which they are broadcast; beyond, pages are joined with them by host.
 BROADCAST_CHARS = 16 << 20
 #: Hosts up to which their numbers of pages (16 bytes each) are broadcast; beyond, tokens are joined with them by host.
@@ -210,18 +216,23 @@ def path_key(path: str) -> int:
 
 TOKEN_FIELDS = T.StructType([
     T.StructField("path", T.ArrayType(T.StringType())), T.StructField("key", T.ArrayType(T.LongType())), T.StructField("element", T.ArrayType(T.LongType())),
-    T.StructField("chars", T.ArrayType(T.LongType())), T.StructField("links", T.ArrayType(T.LongType())),
+    T.StructField("chars", T.ArrayType(T.LongType())), T.StructField("links", T.ArrayType(T.LongType())), T.StructField("longest", T.LongType()),
 ])
 
 
 def page_tokens(page: Column) -> Column:
-    """The tokens of a page, in arrays of equal length: those of elements have a path; chars and links are of text directly in it."""
+    """The tokens of a page, in arrays of equal length: those of elements have a path; chars and links are of text directly in it.
+
+    longest is a hash of the page's longest block of text.
+    """
 
     def tokens(page: str | None) -> tuple[list, ...]:
         elements: dict[str, list[int]] = {"": [0, 0]}  # the page itself
         texts: list[tuple[int, str, int, int]] = []
         seen: dict[int, int] = {}
+        longest = ""
         for path, text, linked, _ in blocks(page):
+            longest = max(longest, text, key=len)
             if path not in elements:
                 cut = len(path)
                 while cut > 0 and path[:cut] not in elements:
@@ -236,6 +247,7 @@ def page_tokens(page: Column) -> Column:
         return (
             [*elements, *[None] * len(texts)], [*keys.values(), *[t[0] for t in texts]], [*keys.values(), *[keys[t[1]] for t in texts]],
             [*[c for c, _ in elements.values()], *[t[2] for t in texts]], [*[k for _, k in elements.values()], *[t[3] for t in texts]],
+            path_key(longest),
         )
 
     @F.pandas_udf(TOKEN_FIELDS)
@@ -253,10 +265,15 @@ def host_of(url: Column) -> Column:
 class Template:
     """Classes of a host nested into each other: for each class the elements of others in whose slots it stands.
 
-    tokens: (vector, pages, path or None, key, element's key, characters, link characters), the page itself with path "".
+    tokens: (vector, pages, path or None, key, element's key, characters, link characters), the page itself with path ""; texts are of
+    pages that aren't copies. shared: characters of an element's texts that are on several pages.
     """
 
-    def __init__(self, tokens: list[tuple[int, int, str | None, int, int, int, int]]):
+    def __init__(
+        self, tokens: list[tuple[int, int, str | None, int, int, int, int]], shared: dict[int, int] | None = None,
+        least: int = 2, repeats: float = 0.25, most: float = 0.5,
+    ):
+        self.least, self.most = least, most
         self.pages = max((n for _, n, p, *_ in tokens if p == ""), default=0)
         self.elements = {key: (p, vector, n, chars, links) for vector, n, p, key, _, chars, links in tokens if p is not None}
         self.texts = {key: (e, vector, n, chars, links) for vector, n, p, key, e, chars, links in tokens if p is None and e in self.elements}
@@ -266,23 +283,35 @@ class Template:
             above = path_to.get(p.rpartition("/")[0], k)  # an element above is on all pages of p, so it is among the tokens
             if above != k and self.elements[above][1] != vector:
                 self.slots.setdefault(vector, set()).add(above)
+        repeated = {k: c / self.elements[k][3] for k, c in (shared or {}).items() if k in self.elements and c}
+        most_text = max(self.elements, key=lambda k: (self.elements[k][3] - self.elements[k][4], k), default=0)
+        bound = max(repeats, COPIES * repeated.get(most_text, 0))
+        few = {k for k, share in repeated.items() if share >= (max(bound, INSIDE) if in_article(self.elements[k][0]) else bound)}
+        self.few = few if self.is_minor([self.elements[k] for k in few]) else set()
+
+    def is_minor(self, parts: Iterable[tuple]) -> bool:
+        """Whether elements' own text, outside elements that serve something else, is less than `most` of the host's prose."""
+        prose = lambda xs: sum(chars - links for p, _, _, chars, links in xs if not is_aside(p))
+        found = prose(parts)
+        return not found or found < self.most * prose(self.elements.values())
 
     def valid(self, vector: int) -> bool:
         """Whether a class nests: it stands in slots of one class, or is the outermost."""
         return len({self.elements[e][1] for e in self.slots.get(vector, ())}) <= 1
 
     def own_texts(self) -> set[int]:
-        """Text tokens that are the template's: on nearly all pages, or of the valid class of their element, outside articles."""
+        """Text tokens that are the template's: on nearly all pages, or of the valid class of their element, outside articles.
+
+        Elements with few values are the template's whatever they say, so their texts aren't listed.
+        """
         out = set()
         for key, (e, vector, n, *_) in self.texts.items():
             path = self.elements[e][0]
             with_element = vector == self.elements[e][1] and self.valid(vector) and n >= OPTIONAL * self.pages and not in_article(path)
-            if n >= MIN_PAGES and (n >= ALWAYS * self.pages or with_element):
+            if e not in self.few and n >= self.least and (n >= ALWAYS * self.pages or with_element):
                 out.add(key)
-        prose = lambda x: x[-2] - x[-1]
-        said = sum(prose(x) for x in self.elements.values() if not is_aside(x[0]))
-        fixed = sum(prose(self.texts[k]) for k in out if not is_aside(self.elements[self.texts[k][0]][0]))
-        return out if 2 * fixed < said else set()
+        parts = [(self.elements[self.texts[k][0]][0], *self.texts[k][1:]) for k in out]
+        return out if self.is_minor([*parts, *[self.elements[k] for k in self.few]]) else set()
 
     def contents(self, own: set[int]) -> dict[str, tuple[int, int]]:
         """(characters, link characters) beyond the template's text of each slot: an element with such contents, or one beside it."""
@@ -294,7 +323,7 @@ class Template:
             f[1] += links
         left, inside = {}, {}
         for k, (p, _, _, chars, links) in self.elements.items():
-            c, l = fixed.get(k, (0, 0))
+            c, l = (chars, links) if k in self.few else fixed.get(k, (0, 0))
             left[p] = (chars - c, links - l)
             at = p
             while True:
@@ -325,36 +354,45 @@ def judged(contents: dict[str, tuple[int, int]]) -> list[str]:
     return sorted(p for p, (c, k) in slots.items() if (p.startswith(best + "/") or p == best) and k <= LINKS * c)
 
 
-TEMPLATE = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("slots", T.StringType()), ("gone", T.StringType()), ("own", T.LongType()))])
+TEMPLATE = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("slots", T.StringType()), ("gone", T.StringType()), ("own", T.LongType()), ("few", T.StringType()))])
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, template): for each host with a name (as a hash) the slots that stay, those that go, and the template's own text tokens."""
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: int = 2, repeats: float = 0.25, most: float = 0.5) -> DataFrame:
+    """(host, template): for each host with a name (as a hash) the slots that stay, those that go, the template's own text tokens, and
+    the slots that take few values."""
     key = F.xxhash64(F.col(url_col), F.col(html_col))
     host = host_of(F.col(url_col))
     found = pages.where(host != "").select(F.xxhash64(host).alias("host"), key.alias("page"), page_tokens(F.col(html_col)).alias("t"))
-    tokens = found.select("host", "page", F.explode(F.arrays_zip(*[F.col(f"t.{f.name}") for f in TOKEN_FIELDS])).alias("t")).select("host", "page", "t.*")
+    arrays = [F.col(f"t.{f.name}") for f in TOKEN_FIELDS if isinstance(f.dataType, T.ArrayType)]
+    tokens = found.select("host", "page", "t.longest", F.explode(F.arrays_zip(*arrays)).alias("t")).select("host", "page", "longest", "t.*")
     # A token is on a page once at most, so equal occurrence vectors have equal exclusive-ors of page hashes, summed in any order.
     summed = cut(
         tokens.groupBy("host", "key")
-        .agg(F.bit_xor("page").alias("vector"), F.count("*").alias("n"), F.max("path").alias("path"), F.max("element").alias("element"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-        .where((F.col("n") >= MIN_PAGES) | F.col("path").isNotNull())
-    )
+        .agg(
+            F.bit_xor("page").alias("vector"), F.count("*").alias("n"), F.max("path").alias("path"), F.max("element").alias("element"), F.sum("chars").alias("chars"),
+            F.sum("links").alias("links"), (F.min("longest") != F.max("longest")).alias("apart"),
+        )
+        .where((F.col("apart") & (F.col("n") >= least)) | F.col("path").isNotNull())
+        .drop("apart")
+    )
+    shared = summed.where("path is null").groupBy("host", F.col("element").alias("key")).agg(F.sum("chars").alias("shared"))
     counts = summed.where("path = ''").select("host", F.col("n").alias("pages"))
     few = counts.count() <= BROADCAST_HOSTS
     often = summed.join(F.broadcast(counts) if few else counts, "host").where(F.col("n") >= F.when(F.col("path").isNull(), OPTIONAL).otherwise(SUPPORT) * F.col("pages"))
     often = often if few else often.repartition("host", "key")  # the join may then split a host's rare tokens
-    members = often.groupBy("host").agg(F.collect_list(F.struct("vector", "n", "path", "key", "element", "chars", "links")).alias("tokens"))
+    often = often.join(shared, ["host", "key"], "left")  # a text's key is no element's
+    members = often.groupBy("host").agg(F.collect_list(F.struct("vector", "n", "path", "key", "element", "chars", "links", "shared")).alias("tokens"))
 
     @F.pandas_udf(TEMPLATE)
     def deduce(rows: pd.Series) -> pd.DataFrame:
         out = []
         for row in rows:
-            t = Template([tuple(m.values()) for m in row])
+            found = [tuple(m.values()) for m in row]
+            t = Template([m[:7] for m in found], {m[3]: m[7] for m in found if m[2] is not None and m[7]}, least, repeats, most)
             own = t.own_texts()
             slots = judged(t.contents(own))
-            out.append((slots, sorted({x[0] for x in t.elements.values()} - {""} - set(slots)), sorted(own)))
-        return pd.DataFrame(out, columns=["slots", "gone", "own"])
+            out.append((slots, sorted({x[0] for x in t.elements.values()} - {""} - set(slots)), sorted(own), sorted(t.elements[k][0] for k in t.few)))
+        return pd.DataFrame(out, columns=TEMPLATE.names)
 
     return members.select("host", deduce("tokens").alias("template"))
 
@@ -362,8 +400,8 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 class Kept:
     """Which blocks of a host's pages are main text: by the innermost element of theirs that the template has."""
 
-    def __init__(self, slots: list[str], gone: list[str], own: list[int]):
-        self.slots, self.gone, self.own = frozenset(slots), frozenset(gone), frozenset(own)
+    def __init__(self, slots: list[str], gone: list[str], own: list[int], few: list[str] | None = None):
+        self.slots, self.gone, self.own, self.few = frozenset(slots), frozenset(gone), frozenset(own), frozenset(few or ())
         self.article = any(in_article(p) for p in slots)
         self.decided: dict[str, bool] = {}
 
@@ -414,7 +452,7 @@ def page_text(page: str | None, template: Kept | None) -> str:
     found = list(blocks(page, nodes))
     if template is not None:
         seen: dict[int, int] = {}
-        new = [text_key(p, t, seen) not in template.own for p, t, *_ in found]
+        new = [text_key(p, t, seen) not in template.own and p not in template.few for p, t, *_ in found]
         stays = [template.stays(p) for p, *_ in found]
         if any(map(bool.__and__, new, stays)):
             return "\n".join(without_template([f for f, s in zip(found, stays, strict=True) if s], [n for n, s in zip(new, stays, strict=True) if s], nodes))
@@ -428,10 +466,12 @@ def page_text(page: str | None, template: Kept | None) -> str:
     return "\n".join(t for p, t, *_ in found if p in own)
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """pages with the main text of each."""
-    found = cut(templates(pages, url_col, html_col)).select(F.col("host").alias("_host"), F.col("template").alias("_template"))
-    length = F.aggregate(F.concat("template.slots", "template.gone"), F.lit(0).cast("long"), lambda n, p: n + F.length(p)) + 8 * F.size("template.own")
+def extract(
+    pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text", least: int = 2, repeats: float = 0.25, most: float = 0.5
+) -> DataFrame:
+    """pages with the main text of each; `least`, `repeats` and `most` are the evidence on text described above."""
+    found = cut(templates(pages, url_col, html_col, least, repeats, most)).select(F.col("host").alias("_host"), F.col("template").alias("_template"))
+    length = F.aggregate(F.concat("template.slots", "template.gone", "template.few"), F.lit(0).cast("long"), lambda n, p: n + F.length(p)) + 8 * F.size("template.own")
     size = found.select(F.col("_template").alias("template")).agg(F.sum(length)).first()[0] or 0
     found = F.broadcast(found) if size <= BROADCAST_CHARS else found
 
@@ -442,7 +482,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
         for i, (h, host) in enumerate(zip(html, hosts, strict=True)):
             slots = template["slots"].iat[i]
             if slots is not None and host not in held:
-                held[host] = Kept(list(slots), list(template["gone"].iat[i]), list(template["own"].iat[i]))
+                held[host] = Kept(*[list(template[n].iat[i]) for n in TEMPLATE.names])
             out.append(page_text(h, None if slots is None else held[host]))
         return pd.Series(out)
 
