@@ -2,8 +2,8 @@
 
 Systems are given by EPSG number (4326, 3857, the UTM zones 326xx and 327xx, those in SYSTEMS), as a PROJ string ("+proj=..."), as WKT (PROJCS,
 GEOGCS), or as a System. There are conic projections, Albers' (equal areas) and Lambert's (equal angles), transverse, oblique and plain Mercator, and
-polar stereographic ones, each on an ellipsoid whose datum is WGS 84 moved, turned and scaled a little (three or seven parameters). Grids of shifts have no
-formula; they and anything else need a function of the caller's, from columns (x, y, z) to columns.
+polar stereographic ones, each on an ellipsoid whose datum is WGS 84 moved, turned and scaled a little (three or seven parameters), or
+that a grid of shifts takes to WGS 84 (NTv2 files, +nadgrids=). Anything else needs a function of the caller's, from columns (x, y, z) to columns.
 Coordinates follow the systems' own axis order: (latitude, longitude) in degrees for EPSG:4326 and WKT that says so, (longitude, latitude) for PROJ strings and
 other WKT, (easting, northing) for projected ones; heights stay.
 """
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box_unchecked, vec
 from ..functions.schema import POINT_IDX
 from .aggregates import POSITION
+from .grid_shift import shifted
 
 # The WGS 84 ellipsoid and the UTM grid.
 SEMI_MAJOR, FLATTENING = 6378137.0, 1 / 298.257223563
@@ -51,6 +52,7 @@ class System:
 
     shift is what the datum's geocentric coordinates need added to be those of WGS 84; turn are rotations (seconds, position vector) and growth (parts in
     a million) before that. parallels: two of conic systems; of Mercator and polar ones (parallel, 0) is the parallel of true scale, if any.
+    grids: files that take the datum to WGS 84 in place of shift and turn (grid_shift).
     azimuth: of the central line of oblique ones, whose coordinates are counted from the center, or from where the line meets the equator (natural).
     """
 
@@ -70,6 +72,7 @@ class System:
     rectified: float | None = None
     natural: bool = False
     lat_first: bool = False
+    grids: tuple[str, ...] = ()
 
     def __post_init__(self):
         if self.method not in FORMULAS:
@@ -323,6 +326,8 @@ def _helmert(s: System) -> np.ndarray:
 def _moved(lat: Column, lon: Column, h: Column, s: System, back: bool) -> tuple[Column, Column]:
     """From WGS 84 to the system's datum, or back."""
     wgs, own = (SEMI_MAJOR, FLATTENING * (2 - FLATTENING)), (s.axis, s.e2)
+    if s.grids:
+        return shifted(s.grids, lat, lon, not back)
     if s.shift == (0.0, 0.0, 0.0) and not any(s.turn):
         return lat, lon
     at = _geocentric(lat, lon, h, *(own if back else wgs))
@@ -367,7 +372,7 @@ DATUMS = {
 }
 UNITS = {"m": 1.0, "km": 1000.0, "ft": 0.3048, "us-ft": 1200 / 3937}
 PROJ_METHODS = {"aea": "albers", "lcc": "lambert", "tmerc": "transverse", "utm": "transverse", "merc": "mercator", "stere": "polar", "omerc": "oblique", "longlat": "geographic", "latlong": "geographic"}
-PROJ_KEYS = {"proj", "lat_0", "lat_1", "lat_2", "lat_ts", "lon_0", "lonc", "k", "k_0", "x_0", "y_0", "a", "b", "rf", "ellps", "datum", "towgs84", "units", "to_meter", "zone", "south", "alpha", "gamma", "no_uoff", "no_off", "no_defs", "type", "wktext", "over"}
+PROJ_KEYS = {"proj", "lat_0", "lat_1", "lat_2", "lat_ts", "lon_0", "lonc", "k", "k_0", "x_0", "y_0", "a", "b", "rf", "ellps", "datum", "towgs84", "nadgrids", "units", "to_meter", "zone", "south", "alpha", "gamma", "no_uoff", "no_off", "no_defs", "type", "wktext", "over"}
 
 
 def _to_wgs84(values: list[float]) -> dict:
@@ -390,6 +395,10 @@ def of_proj(text: str) -> System:
     flattening = 1 - number("b") / axis if "b" in given else 1 / inverse if inverse else 0.0
     shared = {"axis": axis, "flattening": flattening, "unit": number("to_meter", UNITS[given.get("units", "m")]) if method != "geographic" else 1.0}
     shared |= _to_wgs84([float(v) for v in given["towgs84"].split(",")] if "towgs84" in given else list(moves))
+    if "nadgrids" in given:
+        if "towgs84" in given:
+            raise ValueError(f"{text}: grids and parameters of one datum")
+        shared |= {"shift": (0.0, 0.0, 0.0), "turn": (0.0,) * 4, "grids": tuple(n for n in given["nadgrids"].split(",") if n)}
     if given["proj"] == "utm":
         south = "south" in given
         return System("transverse", 0, 6 * int(number("zone")) - 183, (0, 0), UTM_EASTING, UTM_SOUTH if south else 0.0, UTM_SCALE, **shared)

@@ -371,6 +371,6 @@ def test_systems_by_text(spark):
     assert tuple(reproject.reproject(there, british, 4326).first()["Position3D"]) == pytest.approx((52.5, -1.5, 0.0), abs=1e-6)
     same = reproject.reproject(points(spark, [(52.5, -1.5, 0.0)]), 4326, british.replace("+datum=OSGB36", "+ellps=airy")).first()["Position3D"]
     assert 50 < np.hypot(there.first()["Position3D"]["x"] - same["x"], there.first()["Position3D"]["y"] - same["y"]) < 300
-    for bad in ("+proj=robin", "+proj=utm +zone=3 +nadgrids=x.gsb", "+proj=merc +datum=nowhere", 'LOCAL_CS["x"]', 'PROJCS["x"', "+proj=stere +lat_0=45"):
+    for bad in ("+proj=robin", "+proj=utm +zone=3 +geoidgrids=x.gtx", "+proj=utm +zone=3 +nadgrids=x.gsb +towgs84=1,2,3", "+proj=merc +datum=nowhere", 'LOCAL_CS["x"]', 'PROJCS["x"', "+proj=stere +lat_0=45"):
         with pytest.raises(ValueError):
             reproject._system(bad)
