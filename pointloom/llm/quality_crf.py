@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 TRAIN_DOCS, TRAIN_LINES = 3000, 256
 CHUNK = 1_000_000
+#: Training lines that are widened to double precision at once.
+BLOCK = 1 << 15
 SYMBOLS = b"#*$%&|<>@^~{}[]\\/_=+"
 
 
@@ -80,22 +82,53 @@ def line_measures(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.n
     return np.stack([m[k] for k in BASE], 1).astype(np.float32), n_lines, size
 
 
-def features(measures: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
-    """Indicators and clipped measures of each line, of the lines before and after it, and its place in the document."""
-    own = [np.ones(len(measures))]
+def own_features(measures: np.ndarray) -> np.ndarray:
+    """Indicators and clipped measures of each line by itself, in single precision, as the measures are."""
+    own = [np.ones(len(measures), np.float32)]
     for j, k in enumerate(BASE):
         own.append(np.minimum(measures[:, j], STEPS[k][-1]) / STEPS[k][-1])
-        own += [(measures[:, j] > s).astype(float) for s in STEPS[k]]
-    x = np.stack(own, 1)
-    first = np.zeros(len(x), bool)
-    last = np.zeros(len(x), bool)
+        own += [(measures[:, j] > s).astype(np.float32) for s in STEPS[k]]
+    return np.stack(own, 1)
+
+
+def edges(n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines are the first and the last of their documents."""
+    first, last = (np.zeros(int(n_lines.sum()), bool) for _ in range(2))
     ends = np.cumsum(n_lines)
     first[ends - n_lines] = last[ends - 1] = True
+    return first, last
+
+
+def features(measures: np.ndarray, n_lines: np.ndarray) -> np.ndarray:
+    """Features of each line, of the lines before and after it, and its place in the document."""
+    x = own_features(measures).astype(float)
+    first, last = edges(n_lines)
     before, after = np.roll(x, 1, 0), np.roll(x, -1, 0)
     before[first], after[last] = 0, 0
     return np.concatenate([x, before, after, first[:, None], last[:, None]], 1)
 
 
+class Lines:
+    """Lines to train on: `features` by products, from a line's own features only, so that neighbours' aren't held thrice."""
+
+    def __init__(self, measures: np.ndarray, n_lines: np.ndarray):
+        self.parts = [own_features(measures[i : i + BLOCK]) for i in range(0, len(measures), BLOCK)]
+        self.first, self.last = edges(n_lines)
+        self.own = self.parts[0].shape[1]
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """features @ weights."""
+        k = self.own
+        mine, before, after = np.concatenate([p.astype(float) @ weights[: 3 * k].reshape(3, k).T for p in self.parts]).T
+        return mine + np.where(self.first, weights[3 * k], np.roll(before, 1)) + np.where(self.last, weights[3 * k + 1], np.roll(after, -1))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """values @ features."""
+        moved = np.stack([values, np.roll(np.where(self.first, 0, values), -1), np.roll(np.where(self.last, 0, values), 1)])
+        own = sum(moved[:, i * BLOCK : i * BLOCK + len(p)] @ p.astype(float) for i, p in enumerate(self.parts))
+        return np.concatenate([own.ravel(), [values[self.first].sum(), values[self.last].sum()]])
+
+
 @dataclass
 class Chain:
     """Emission weights of label "good" against "bad", and transition weights between labels."""
@@ -133,10 +166,11 @@ def forward_backward(emit: np.ndarray, n_lines: np.ndarray, moves: np.ndarray) -
     return ahead, behind, odds / (1 + odds)
 
 
-def train(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Chain:
+def train(measures: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-4) -> Chain:
     """Maximum conditional likelihood by full-batch Adam; every line of a document has its label."""
+    x = Lines(measures, n_lines)
     y = np.repeat(labels, n_lines).astype(float)
-    weights, moves = np.zeros(x.shape[1]), np.zeros((2, 2))
+    weights, moves = np.zeros(3 * x.own + 2), np.zeros((2, 2))
     follows = np.ones(len(y), bool)
     follows[np.cumsum(n_lines) - n_lines] = False
     here = np.flatnonzero(follows)
@@ -144,13 +178,13 @@ def train(x: np.ndarray, n_lines: np.ndarray, labels: np.ndarray, rounds: int =
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(moves), np.zeros_like(moves)]
     docs = len(labels)
     for k in range(1, rounds + 1):
-        emit = np.exp(np.clip(x @ weights, -30, 30))
+        emit = np.exp(np.clip(x.times(weights), -30, 30))
         ahead, behind, good = forward_backward(emit, n_lines, moves)
         t = np.exp(moves)
         e = emit[here] * behind[here]
         joint = np.stack([np.full(len(here), t[0, 0]), t[0, 1] * e, t[1, 0] * ahead[here - 1], t[1, 1] * ahead[here - 1] * e], 1)
         expected = (joint / joint.sum(1, keepdims=True)).sum(0).reshape(2, 2)
-        for i, (value, slope) in enumerate(((weights, x.T @ (y - good)), (moves, seen - expected))):
+        for i, (value, slope) in enumerate(((weights, x.sums(y - good)), (moves, seen - expected))):
             g = slope / docs - decay * value
             m, v = state[2 * i], state[2 * i + 1]
             m *= 0.9
@@ -207,7 +241,7 @@ def fit(
         return float(np.mean(labels_of)) if rows else 0.5
     measures = [np.frombuffer(m, np.float32).reshape(-1, len(BASE)) for _, _, m in rows]
     n_lines = np.array([len(m) for m in measures])
-    return train(features(np.concatenate(measures), n_lines), n_lines, labels_of)
+    return train(np.concatenate(measures), n_lines, labels_of)
 
 
 def score(text: Column, model: Chain | float) -> Column:

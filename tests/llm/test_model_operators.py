@@ -113,6 +113,95 @@ def test_classifier_trains_on_one_row_of_an_id(spark, sf_dir):
     assert quality_crf.fit(docs, labels, max_lines=0) == 0.5 and isinstance(quality_crf.fit(docs, labels, max_docs=20), (quality_crf.Chain, float))
 
 
+def plain_line(line):
+    """The features of a line by itself, from their definitions, by character and word."""
+    data = line.encode()
+    tail = sum(0x80 <= c < 0xC0 for c in data)
+    chars = len(data) - tail
+    count = lambda members: sum(c in members for c in data)
+    words = line.split()
+    n, space = max(len(words), 1), count(b" \t\x0b\x0c\r")
+    solid = max(chars - space, 1)
+    m = {
+        "symbol": count(quality_crf.SYMBOLS) / solid, "bar": count(b"|") / n, "upper": sum(65 <= c <= 90 for c in data) / solid, "shout": count(b"!?") / n,
+        "digit": sum(48 <= c <= 57 for c in data) / solid, "stop": count(b".,;:") / n, "distinct": len(set(words)) / n if words else 1.0,
+        "again": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "mean": (chars - space) / n,
+        "foreign": sum(c >= 0xC0 for c in data) / solid, "length": np.log(1 + chars),
+    }
+    out = [1.0]
+    for k, steps in quality_crf.STEPS.items():
+        value = np.float32(m[k])
+        out += [min(value, np.float32(steps[-1])) / np.float32(steps[-1]), *[float(value > np.float32(s)) for s in steps]]
+    return out
+
+
+def plain_score(text, chain):
+    """One document: probabilities of its lines' labels by sums in logarithms, forth and back."""
+    lines = (text or "").split("\n")
+    own = [plain_line(x) for x in lines]
+    none = [0.0] * len(own[0])
+    n = len(lines)
+    weight = lambda i: np.dot([*own[i], *(own[i - 1] if i else none), *(own[i + 1] if i + 1 < n else none), float(i == 0), float(i == n - 1)], chain.weights)
+    said = [(0.0, float(np.clip(weight(i), -30, 30))) for i in range(n)]
+    ahead, behind = [said[0]], [(0.0, 0.0)]
+    for i in range(1, n):
+        ahead.append(tuple(said[i][b] + np.logaddexp(*[ahead[-1][a] + chain.moves[a, b] for a in (0, 1)]) for b in (0, 1)))
+    for i in range(n - 2, -1, -1):
+        behind.insert(0, tuple(np.logaddexp(*[chain.moves[a, b] + said[i + 1][b] + behind[0][b] for b in (0, 1)]) for a in (0, 1)))
+    both = [np.add(x, y) for x, y in zip(ahead, behind, strict=True)]
+    good = [np.exp(b - np.logaddexp(a, b)) for a, b in both]
+    size = [len(x.encode()) + 1 for x in lines]
+    return np.dot(good, size) / sum(size)
+
+
+def test_classifier_query_matches_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    chain = quality_crf.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in queries.op4_quality_classifier(spark, sf_dir).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        assert got[doc_id] == pytest.approx(plain_score(text, chain), abs=1e-6), doc_id
+
+
+def test_training_sums_equal_products_and_slopes(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("aB1. |\n!é"), rng.integers(0, 60))) for _ in range(40)]
+    measures, n_lines, _ = quality_crf.line_measures(texts)
+    x = quality_crf.features(measures, n_lines)
+    monkeypatch.setattr(quality_crf, "BLOCK", 7)
+    lines = quality_crf.Lines(measures, n_lines)
+    weights, values = rng.normal(size=x.shape[1]), rng.normal(size=len(x))
+    np.testing.assert_allclose(lines.times(weights), x @ weights, atol=1e-9)
+    np.testing.assert_allclose(lines.sums(values), values @ x, atol=1e-9)
+    # One step of training moves each weight along the slope of the likelihood, taken here by differences.
+    labels = np.arange(40) % 2
+
+    def likelihood(w, moves):
+        total, at = 0.0, 0
+        for n, y in zip(n_lines.tolist(), labels.tolist(), strict=True):
+            said = x[at : at + n] @ w
+            ahead = np.array([0.0, said[0]])
+            for i in range(1, n):
+                ahead = np.array([0.0, said[i]]) + [np.logaddexp(*(ahead + moves[:, b])) for b in (0, 1)]
+            total += y * said.sum() + (n - 1) * moves[y, y] - np.logaddexp(*ahead)
+            at += n
+        return total / len(labels)
+
+    zero, still, step = np.zeros(x.shape[1]), np.zeros((2, 2)), 1e-5
+    once = quality_crf.train(measures, n_lines, labels, rounds=1, rate=1.0, decay=0.0)
+    for k in range(x.shape[1]):
+        d = np.eye(1, x.shape[1], k)[0] * step
+        slope = (likelihood(zero + d, still) - likelihood(zero - d, still)) / (2 * step)
+        assert once.weights[k] == pytest.approx(slope / (abs(slope) + 1e-8), abs=1e-3) or abs(slope) < 1e-6
+    for a in (0, 1):
+        for b in (0, 1):
+            d = np.zeros((2, 2))
+            d[a, b] = step
+            slope = (likelihood(zero, d) - likelihood(zero, -d)) / (2 * step)
+            assert once.moves[a, b] == pytest.approx(slope / (abs(slope) + 1e-8), abs=1e-3)
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(4)
     emit, moves, sizes = rng.lognormal(size=9), rng.normal(size=(2, 2)), np.array([4, 1, 3, 1])
