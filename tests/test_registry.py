@@ -44,6 +44,16 @@ def test_query_without_sql_runs(spark, sf_dir, name):
     assert registry.QUERIES[name](spark, sf_dir).count() > 0
 
 
+def test_morton_codes_of_cells_beyond_ten_bits_match_sql(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("SET timezone = 'UTC'")
+    con.execute("""CREATE TABLE events AS SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_days(i::INTEGER * 150) AS ts, 'view' AS event_type,
+      i * 700.5 - 2000 AS value, (i * 1021) % 5000 AS user_id FROM range(12) r(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = [tuple(r) for r in registry.QUERIES["morton3"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(registry.ORACLES["morton3"]).fetchall())
+
+
 def test_contract(spark):
     assert entry_module.entry(spark).count() == 1
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
