@@ -291,6 +291,20 @@ def test_large_boxes_are_listed_in_few_cells(spark):
     assert joins.points_in_boxes(points(spark, [(0, 0, 0)]), boxes_of(spark, []), 1.0).count() == 0
 
 
+FLAT = [((-5.0 * k, k, 0), (1e6, k + 0.5, 10.0**k)) for k in range(8)] + [((k, -1e5, 0), (k + 0.5, 1e5, 2)) for k in range(8)] + [((0, 0, -INF), (2, 2, INF)), ((1, 1, 1), (0, 9, 9))]
+
+
+def test_points_in_flat_boxes(spark):
+    """Boxes that are wide along one axis are told apart along the others, whether one cell holds them or more than a pack."""
+    way, (shapes,) = joins._shapes([(boxes_of(spark, FLAT), "box")], 1.0)
+    assert way == (True, 1) and 2 < len(shapes) <= joins.SHAPES
+    shared = joins.listed(boxes_of(spark, FLAT[:8]), 1.0, way=way).groupBy("_shape", "_cell.i", "_cell.j", "_cell.k").count()
+    assert max(r["count"] for r in shared.collect()) <= 2
+    p = [(x, y, 1.0) for x in (-3.0, 0.25, 4.25, 5e5) for y in (-2.0, 0.25, 1.0, 3.75, 7.5)]
+    got = sorted((r["id"], r[POINT_IDX]) for r in joins.points_in_boxes(points(spark, p), boxes_of(spark, FLAT), 1.0).collect())
+    assert got == [(i, j) for i, b in enumerate(FLAT) for j, q in enumerate(p) if all(x <= y <= z for x, y, z in zip(b[0], q, b[1], strict=True))]
+
+
 @pytest.mark.parametrize("shape", ["sphere", "ball", "grid", "stretched"])
 def test_hull_by_sectors(spark, monkeypatch, shape):
     """Sectors find what one task finds, and their triangles close and hold all points."""
