@@ -305,6 +305,15 @@ def test_points_in_flat_boxes(spark):
     assert got == [(i, j) for i, b in enumerate(FLAT) for j, q in enumerate(p) if all(x <= y <= z for x, y, z in zip(b[0], q, b[1], strict=True))]
 
 
+def test_flat_boxes_that_cross(spark):
+    """Neither box of a pair is the larger one along all axes; each pair is found once. Both sides are dealt to all cores, for a table may be one partition."""
+    meet = lambda a, b: all(max(a[0][i], b[0][i]) <= min(a[1][i], b[1][i]) for i in range(3))
+    one = boxes_of(spark, FLAT)
+    found = joins.boxes_intersecting(one, one, 1.0)
+    assert sorted((r["id"], r["id_right"]) for r in found.collect()) == [(i, j) for i, a in enumerate(FLAT) for j, b in enumerate(FLAT) if meet(a, b)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == 2
+
+
 @pytest.mark.parametrize("shape", ["sphere", "ball", "grid", "stretched"])
 def test_hull_by_sectors(spark, monkeypatch, shape):
     """Sectors find what one task finds, and their triangles close and hold all points."""
