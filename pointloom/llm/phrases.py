@@ -7,8 +7,10 @@ merged by key over all shards, one length after the other, for a phrase can only
 * Frequent phrases have names. What the merge of length n finds goes back to the shards that hold the phrase; a shard then counts phrases of n + 1 words
   only where the two phrases of n words inside have names, and the two names are the key: a phrase is known exactly, no hash stands for it.
 * A shard sends a key once with its count, so a phrase that is everywhere meets as many counts as there are shards. Keys are dealt to buckets by
-  a hash of both names, and what a shard has for a bucket travels as one row of arrays. The place of smallest number among equal keys is the phrase's
-  name.
+  a hash of both names. What a shard has for a bucket travels as one row: its keys in order, the first name as the difference from the one before,
+  all numbers cut into bytes and those laid out by significance. The high ones are zeros, which the shuffle's compression takes away.
+  A task merges one bucket at a time and tells a shard of its phrases there in one such row, of places and names. A phrase's name is its rank among the
+  bucket's frequent ones and the bucket, so names stay small numbers. A word's name is the smallest of its places.
 * The tables of frequent phrases take their texts and the counts of their beginnings and ends from the tables one word shorter by joins on names.
 
 So all counts are over all documents, nothing is collected by the driver and nothing broadcast that grows. A shard is SHARD bytes of text (one document, if
@@ -24,6 +26,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 from uuid import uuid4
 
 import numpy as np
@@ -139,8 +142,54 @@ def phrase_counts(ids: np.ndarray, n: int, places: np.ndarray, names: np.ndarray
     return at if kept is None else kept[at], name[at], name[at + 1], counts
 
 
-#: A shard's phrases of a bucket. Names are long numbers; those of ends go in two parts, of which the higher is mostly the same.
-COUNTED = "shard long, bucket int, p array<long>, s_high array<long>, s_low array<int>, place array<int>, count array<int>"
+#: A shard's phrases of a bucket, packed: names of both parts, place, count. What goes back to it, packed: place, name.
+COUNTED, COUNTS, NAMED = "shard long, bucket int, keys binary", ("<i8", "<i8", "<i4", "<i4"), ("<i4", "<i8")
+#: A shard hands on so many keys at once, or one row.
+BATCH = 1 << 21
+#: What is told to a shard, or, where that is null, a frequent phrase.
+FOUND = "shard long, told binary, name long, a long, p long, s long"
+
+
+def _slots(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every key of rows with so many keys: the slot of its lowest byte, the way from there to the next byte, and whether it is its row's first."""
+    way = np.repeat(sizes, sizes)
+    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
+    inside = np.arange(len(way)) - start
+    return start * width + inside, way, inside == 0
+
+
+def pack(columns: tuple[np.ndarray, ...], kinds: tuple[str, ...], sizes: np.ndarray) -> pa.Array:
+    """Rows of so many keys each, in which the first column doesn't fall."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    slot, way, first = _slots(sizes, width)
+    lead = columns[0]
+    step = np.where(first, lead, lead - np.append(0, lead[:-1])[: len(lead)])
+    out = np.empty(len(lead) * width, np.uint8)
+    for values, kind in zip((step, *columns[1:]), map(np.dtype, kinds), strict=True):
+        for byte in np.ascontiguousarray(values, kind).view(np.uint8).reshape(-1, kind.itemsize).T:
+            out[slot] = byte
+            slot = slot + way
+    ends = np.append(0, np.cumsum(sizes)) * width
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpack(rows: pa.Array, kinds: tuple[str, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """(columns, sizes) of packed rows."""
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    ends = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    data = np.frombuffer(rows.buffers()[2], np.uint8)[ends[0] :]
+    sizes = np.diff(ends).astype(np.int64) // width
+    slot, way, first = _slots(sizes, width)
+    columns = []
+    for kind in map(np.dtype, kinds):
+        values = np.empty((len(slot), kind.itemsize), np.uint8)
+        for k in range(kind.itemsize):
+            values[:, k] = data[slot]
+            slot = slot + way
+        columns.append(values.reshape(-1).view(kind))
+    upto, head = np.cumsum(columns[0], dtype=np.int64), np.flatnonzero(first)
+    columns[0] = upto - np.repeat(upto[head] - columns[0][head], sizes[sizes > 0])
+    return columns, sizes
 
 
 def bucket_of(p: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
@@ -151,21 +200,50 @@ def bucket_of(p: np.ndarray, s: np.ndarray, n: int) -> np.ndarray:
 
 def _phrases(n: int, buckets: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names_of = [f.split()[0] for f in COUNTED.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
                 shard = batch.column(0)[i].as_py()
                 ids = np.frombuffer(_open(batch.column(1)[i].as_py()), np.int32)
-                places, names = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
-                at, p, s, count = phrase_counts(ids, n, places & ((1 << PLACE) - 1), names)
+                if n == 2:
+                    places, names = (batch.column(c)[i].values.to_numpy() for c in (2, 3))
+                else:
+                    (places, names), _ = unpack(batch.column(2)[i].values, NAMED)
+                at, p, s, count = phrase_counts(ids, n, places, names)
                 bucket = bucket_of(p, s, buckets)
                 order = np.lexsort((s, p, bucket))
-                bucket, s = bucket[order], s[order]
+                bucket = bucket[order]
                 first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
-                ends = pa.array(np.append(first, len(bucket)), pa.int32())
-                values = (p[order], s >> PLACE, (s & ((1 << PLACE) - 1)).astype(np.int32), at[order].astype(np.int32), count[order].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in values]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), shard)), pa.array(bucket[first]), *lists], names=names_of)
+                p, s, at, count = p[order], s[order], at[order], count[order]
+                cuts = np.flatnonzero(np.append(True, first[1:] // BATCH != first[:-1] // BATCH))[: len(first)].tolist()
+                for i, j in pairwise([*cuts, len(first)]):
+                    ends = np.append(first, len(p))[i : j + 1]
+                    mine = slice(ends[0], ends[-1])
+                    keys = pack((p[mine], s[mine], at[mine], count[mine]), COUNTS, np.diff(ends))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, shard)), pa.array(bucket[first[i:j]]), keys], names=["shard", "bucket", "keys"])
+
+    return work
+
+
+def _frequent(least: int, buckets: int):
+    """Merges the counts that shards sent to a bucket."""
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [(np.asarray(b.column("shard")), *unpack(b.column("keys"), COUNTS)) for b in table.to_batches() if b.num_rows]
+        p, s, place, count = (np.concatenate([columns[i] for _, columns, _ in parts]) for i in range(4))
+        shard = np.concatenate([np.repeat(shards, sizes) for shards, _, sizes in parts])
+        order = np.lexsort((s, p))
+        p, s = p[order], s[order]
+        head = np.flatnonzero(np.append(True, (p[1:] != p[:-1]) | (s[1:] != s[:-1])))
+        a, sizes = np.add.reduceat(count[order].astype(np.int64), head), np.diff(np.append(head, len(p)))
+        enough = a >= least
+        name = np.arange(int(enough.sum())) * buckets + key[0].as_py()
+        kept, name_of = order[np.repeat(enough, sizes)], np.repeat(name, sizes[enough])
+        by = np.lexsort((place[kept], shard[kept]))
+        kept, name_of = kept[by], name_of[by]
+        shards, sizes = np.unique(shard[kept], return_counts=True)
+        told = [pa.array(shards), pack((place[kept], name_of), NAMED, sizes), *[pa.nulls(len(shards), pa.int64())] * 4]
+        phrases = [pa.nulls(len(name), pa.int64()), pa.nulls(len(name), pa.binary()), *map(pa.array, (name, a[enough], p[head][enough], s[head][enough]))]
+        return pa.concat_tables([pa.Table.from_arrays(c, names=[f.split()[0] for f in FOUND.split(", ")]) for c in (told, phrases)])
 
     return work
 
@@ -204,28 +282,28 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
     shards = spark.table(shards_name)
     sizes, _ = stored(shards.groupBy("lang").agg(F.sum("n_words").alias("n")), "sizes")
 
-    def frequent(counted: DataFrame, *key: str) -> DataFrame:
-        """The rows of keys with a count of `least` or more in all, with that and the key's name."""
-        same = Window.partitionBy(*key)
-        return counted.select("at", *key, F.sum("count").over(same).alias("a"), F.min("at").over(same).alias("name")).where(F.col("a") >= least)
-
     words = shards.select("shard", "lang", "words", "ids").mapInArrow(_words, "at long, lang string, word string, count long")
-    found, found_at = stored(frequent(words, "lang", "word"), "found-1")
+    same = Window.partitionBy("lang", "word")
+    summed = words.select("at", "lang", "word", F.sum("count").over(same).alias("a"), F.min("at").over(same).alias("name")).where(F.col("a") >= least)
+    found, found_at = stored(summed, "found-1")
     none = F.array().cast("array<long>")
     known, _ = stored(found.where("at = name").select("name", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("before"), none.alias("behind")), "known-1")
     tables: list[DataFrame] = []
     for n in range(2, longest + 1):
-        told = found.groupBy(F.shiftright("at", PLACE).alias("shard")).agg(F.collect_list(F.struct("at", "name")).alias("told"))  # one shard's phrases
-        asked = shards.select("shard", "ids").join(told, "shard").select("shard", "ids", F.col("told.at").alias("places"), F.col("told.name").alias("names"))
-        sent = asked.mapInArrow(_phrases(n, buckets), COUNTED).repartition("bucket")
-        keys = sent.select("shard", "bucket", F.inline(F.arrays_zip("p", "s_high", "s_low", "place", "count")))
-        joined = lambda high, low: F.shiftleft(high, PLACE).bitwiseOR(F.col(low).cast("long"))
-        counted = keys.select("bucket", "p", joined("s_high", "s_low").alias("s"), joined("shard", "place").alias("at"), "count")
+        # What is told to one shard, dealt as the table of shards is.
+        if n == 2:
+            dealt = found.select(F.shiftright("at", PLACE).alias("shard"), F.col("at").bitwiseAND((1 << PLACE) - 1).alias("place"), "name")
+            parts = ["place", "name"]
+        else:
+            dealt, parts = found.where("shard is not null").select("shard", "told"), ["told"]
+        told = dealt.repartition(files, "shard").groupBy("shard").agg(F.collect_list(F.struct(*parts)).alias("told"))
+        asked = shards.select("shard", "ids").join(told, "shard").select("shard", "ids", *[F.col(f"told.{c}").alias(c) for c in parts])
+        sent = asked.mapInArrow(_phrases(n, buckets), COUNTED)
         used = found_at
-        found, found_at = stored(frequent(counted, "bucket", "p", "s"), f"found-{n}")
+        found, found_at = stored(sent.groupBy("bucket").applyInArrow(_frequent(least, buckets), FOUND), f"found-{n}")
         remove_path(spark, used)
         part = lambda c, k=known: k.select(*[F.col(x).alias(f"{c}_{x}") for x in k.columns])
-        both = found.where("at = name").select("name", "p", "s", "a").join(part("p"), F.col("p") == F.col("p_name")).join(part("s"), F.col("s") == F.col("s_name"))
+        both = found.where("shard is null").select("name", "p", "s", "a").join(part("p"), F.col("p") == F.col("p_name")).join(part("s"), F.col("s") == F.col("s_name"))
         table, _ = stored(
             both.select(
                 "name", F.col("p_lang").alias("lang"), F.concat_ws(" ", "p_phrase", "s_last").alias("phrase"), F.col("s_last").alias("last"), "a",

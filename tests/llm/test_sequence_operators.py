@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from pointloom.llm import packing, periodic_runs, phrases, queries
@@ -137,6 +139,34 @@ def test_counts_of_a_shard_are_those_of_its_intervals():
         places, names, f = at, np.arange(len(at)) + 100, {g: i + 100 for i, g in enumerate(grams)}
 
 
+def test_counts_of_a_shard_travel_in_few_bytes():
+    """Compressed as the shuffle does it; arrays of whole names took 12.6 bytes a phrase here, packed rows take 7.8."""
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 20_000).astype(np.int32) - 1
+    ids[::9] = -1
+    words = int(ids.max()) + 1
+    names = (rng.integers(0, 4, words) << phrases.PLACE) + rng.permutation(words)
+    told = [pa.array([list(range(words))], pa.list_(pa.int64())), pa.array([names.tolist()], pa.list_(pa.int64()))]
+    shard = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([zstandard.compress(ids.tobytes())], pa.binary()), *told], names=["shard", "ids", "places", "names"])
+    sent = list(phrases._phrases(2, 200)(iter([shard])))
+    n = len(phrases.phrase_counts(ids, 2, np.arange(words), names)[0])
+    size = sum(len(pa.compress(b, "lz4", asbytes=True)) for r in sent for c in r.columns for b in c.buffers() if b)
+    assert n > 30_000 and size < 9 * n, (n, size / n)
+
+
+def test_packed_rows_are_read_back():
+    rng = np.random.default_rng(1)
+    for sizes in map(np.array, ([3, 1, 5], [2, 0, 4], [0], np.zeros(0, int))):
+        n = int(sizes.sum())
+        lead = np.concatenate([np.zeros(0, np.int64), *[np.sort(rng.integers(0, 1 << 62, k)) for k in sizes]])
+        columns = (lead, rng.integers(0, 1 << 62, n), rng.integers(0, 1 << 28, n), rng.integers(1, 1 << 28, n))
+        rows = phrases.pack(columns, phrases.COUNTS, sizes)
+        got, lengths = phrases.unpack(rows, phrases.COUNTS)
+        assert [g.tolist() for g in got] == [c.tolist() for c in columns] and lengths.tolist() == sizes.tolist()
+        got, lengths = phrases.unpack(rows[1:], phrases.COUNTS)
+        assert [g.tolist() for g in got] == [c[sizes[:1].sum() :].tolist() for c in columns] and lengths.tolist() == sizes[1:].tolist()
+
+
 def brute_runs(w, least):
     """Stretches of each period by definition, smallest period first."""
     ids = np.unique(np.array(w, object), return_inverse=True)[1] if w else np.zeros(0, int)
